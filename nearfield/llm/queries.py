@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import mixing, secrets, token_files, transport
+from nearfield.llm import mixing, near_duplicates, secrets, token_files, transport
 from nearfield.llm.common import table
 
 
@@ -22,12 +22,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.media_features(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op8_source_mix, op10_transport_stream)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op8_source_mix, op9_near_duplicates, op10_transport_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
