@@ -4,7 +4,7 @@ Every id takes the fewest bits that the vocabulary needs. Ids are cut into block
 of its own, so block k of a shard is found by its offset (k * BLOCK ids) and unpacked by numpy alone.
 
 The file format is a Parquet table with one row per block: shard, block, n_tokens, bits, payload, and the
-index of the documents that start in the block (doc_ids, doc_starts: place of the first id in the shard;
+index of the documents that have ids in the block (doc_ids, doc_starts: place of the first id in the shard;
 doc_lens). Rows lie in ascending order of the document id within a shard, and shards are ranges of the
 document id. Spark's committer makes the files whole or absent when an executor is lost.
 
@@ -67,30 +67,81 @@ def unpack(data: bytes, bits: int, count: int, first: int = 0) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Ids of whole texts as little-endian 32-bit numbers; chunks between white space are remembered."""
+    """Ids of whole texts as little-endian 32-bit numbers; chunks between white space are remembered.
+
+    A chunk that is a Latin word with punctuation after it, as most are, is the word in lower case and the
+    punctuation, each encoded for itself. New words are encoded many at once and told apart by the ids that end a word.
+    """
 
     #: Separators of str.split() that the tokenizer does not see as white space.
     ODD = re.compile("[\x1c-\x1f]")
+    TAIL = ".,;:!?"
+    #: Below it no letter combines with another.
+    LATIN = "\u0250"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 2048):
+            part = words[at : at + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            border = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]) * 4
+            if len(border) == len(part) + 1:
+                raw, cut = ids.tobytes(), border.tolist()
+                self.words.update((w, raw[a:b]) for w, a, b in zip(part, cut[:-1], cut[1:], strict=True))
+            else:  # some word has no id of its own that ends it
+                self.words.update(zip(part, self._plain(part), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.chunks) > CACHE:
+            self.chunks = {}
+        if len(self.words) > CACHE:
+            self.words = {}
+        simple, other, words = [], [], set()
+        for c in new:
+            low = c.lower()
+            core = low.rstrip(self.TAIL)
+            if core.isalpha() and max(core) < self.LATIN:
+                simple.append((c, core, low[len(core) :]))
+                words.add(core)
+            else:
+                other.append(c)
+        self._learn_words(list(words.difference(self.words)))
+        tails = list({t for _, _, t in simple})
+        tail = dict(zip(tails, self._plain(tails), strict=True))
+        known = self.words
+        self.chunks.update((c, known[core] + tail[t] if t else known[core]) for c, core, t in simple)
+        self.chunks.update(zip(other, self._plain(other), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [not self.ODD.search(t) and not any(s in t for s in self.special) for t in texts]
-        chunks = [t.split() if p else [t] for t, p in zip(texts, plain, strict=True)]
-        new = list({c for cs in chunks for c in cs} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({c for cs in chunks for c in cs})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunks]
+        split = [t.split() if not self.ODD.search(t) and not any(s in t for s in self.special) else [t] for t in texts]
+        every = set().union(*split)
+        new = every.difference(self.chunks)
+        if len(self.chunks) > CACHE:
+            new = every
+        self._learn(new)
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, cs)) for cs in split]
+
+
+_ENCODERS: dict[str, ChunkEncoder] = {}
+
+
+def _shared_encoder(path: str) -> ChunkEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
 
 
 def _encoder(path: str, end_id: int, bits: int):
@@ -98,7 +149,7 @@ def _encoder(path: str, end_id: int, bits: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = ChunkEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = _shared_encoder(path), np.array([end_id], "<u4").tobytes()
         shard, block, held, held_n, total = -1, 0, [], 0, 0
         docs: list[tuple[int, int, int]] = []
 
@@ -106,7 +157,8 @@ def _encoder(path: str, end_id: int, bits: int):
             nonlocal block, held, held_n, docs
             ids = np.frombuffer(b"".join(held), "<u4")
             rows = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([count], pa.int32()), pa.array([bits], pa.int32()), *(pa.array([[d[i] for d in docs]], pa.list_(pa.int64())) for i in range(3)), pa.array([pack(ids[:count], bits)], pa.binary())]
-            held, held_n, block, docs = [ids[count:].tobytes()], held_n - count, block + 1, []
+            held, held_n, block = [ids[count:].tobytes()], held_n - count, block + 1
+            docs = [d for d in docs[-1:] if d[1] + d[2] > block * BLOCK]
             return pa.RecordBatch.from_arrays(rows, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -120,7 +172,7 @@ def _encoder(path: str, end_id: int, bits: int):
                     held_n += len(ids) // 4 + 1
                     while held_n >= BLOCK:
                         yield flush(BLOCK)
-        if held_n or docs:
+        if held_n:
             yield flush(held_n)
 
     return run
@@ -141,32 +193,25 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
 
 
 def _doc_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that end inside their block whole; of the others their pieces (last: true for the final one)."""
+    """Checksums of documents inside one block; of the others, the ids that lie in this block."""
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("shard", "doc_id", "doc_start", "n_tokens", "ids_crc32")}
+        out: dict[str, list] = {k: [] for k in ("shard", "doc_id", "doc_start", "n_tokens", "ids_crc32", "block", "ids")}
         rows = {c: batch.column(c).to_pylist() for c in batch.schema.names}
         for i in range(batch.num_rows):
             ids = unpack(rows["payload"][i], rows["bits"][i], rows["n_tokens"][i]).astype("<u4")
             for doc, at, n in zip(rows["doc_ids"][i], rows["doc_starts"][i], rows["doc_lens"][i], strict=True):
                 low = at - rows["block"][i] * BLOCK
-                out["shard"].append(rows["shard"][i])
-                out["doc_id"].append(doc)
-                out["doc_start"].append(at)
-                out["n_tokens"].append(n)
-                out["ids_crc32"].append(zlib.crc32(ids[low : low + n].tobytes()) if low + n <= len(ids) else None)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "shard" else pa.int64()) for k, v in out.items()], names=list(out))
+                part = ids[max(low, 0) : low + n].tobytes()
+                whole = len(part) == 4 * n
+                for k, v in zip(out, (rows["shard"][i], doc, at, n, zlib.crc32(part) if whole else None, rows["block"][i], None if whole else part), strict=True):
+                    out[k].append(v)
+        types = {"shard": pa.int32(), "block": pa.int32(), "ids": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crc = []
-        for n, at, parts in zip(batch.column("n_tokens").to_pylist(), batch.column("doc_start").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-            first, value = at // BLOCK, 0
-            for p in sorted(parts, key=lambda p: p["block"]):
-                low = at - first * BLOCK if p["block"] == first else 0
-                high = min(at + n - p["block"] * BLOCK, p["n"])
-                value = zlib.crc32(unpack(p["payload"], p["bits"], high - low, low).astype("<u4").tobytes(), value)
-            crc.append(value)
+        crc = [zlib.crc32(b"".join(p["ids"] for p in sorted(parts, key=lambda p: p["block"]))) for parts in batch.column("parts").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "doc_id", "doc_start", "n_tokens")), pa.array(crc, pa.int64())], names=["shard", "doc_id", "doc_start", "n_tokens", "ids_crc32"])
 
 
@@ -176,8 +221,8 @@ DOCS = "shard int, doc_id bigint, doc_start bigint, n_tokens bigint, ids_crc32 b
 def read_digests(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the stored blocks.
 
-    A document inside one block is read from that block. Those that cross a border, at most one per block,
-    fetch their blocks by (shard, block).
+    A document inside one block is read from that block alone. Of one that crosses a border, at most two per
+    block, the ids in each block are brought together.
     """
     sums = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per shard
     starts, at = [], 0
@@ -186,12 +231,9 @@ def read_digests(blocks: DataFrame) -> DataFrame:
         at += sums[shard]
     spark = blocks.sparkSession
     placed = F.broadcast(spark.createDataFrame(starts, "shard int, shard_start bigint"))
-    parts = blocks.mapInArrow(_doc_parts, DOCS)
-    inside = parts.where("ids_crc32 is not null")
-    border = parts.where("ids_crc32 is null").drop("ids_crc32")
-    wanted = border.withColumn("block", F.explode(F.expr(f"sequence(cast(doc_start div {BLOCK} as int), cast((doc_start + n_tokens - 1) div {BLOCK} as int))")))
-    pieces = wanted.join(blocks.select("shard", "block", "bits", F.col("n_tokens").alias("n"), "payload"), ["shard", "block"])
-    pieces = pieces.groupBy("shard", "doc_id", "doc_start", "n_tokens").agg(F.collect_list(F.struct("block", "bits", "n", "payload")).alias("parts"))
+    parts = stored(blocks.mapInArrow(_doc_parts, DOCS + ", block int, ids binary"), "token-parts")
+    inside = parts.where("ids_crc32 is not null").select("shard", "doc_id", "doc_start", "n_tokens", "ids_crc32")
+    pieces = parts.where("ids_crc32 is null").groupBy("shard", "doc_id", "doc_start", "n_tokens").agg(F.collect_list(F.struct("block", "ids")).alias("parts"))
     whole = inside.unionByName(pieces.mapInArrow(_joined, DOCS))
     return whole.join(placed, "shard").select("doc_id", (F.col("shard_start") + F.col("doc_start")).alias("start"), "n_tokens", "ids_crc32")
 
