@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import mixing, near_duplicates, secrets, suffix_dedup, token_files, transport
+from nearfield.llm import decontamination, mixing, near_duplicates, secrets, suffix_dedup, token_files, toxicity, transport
 from nearfield.llm.common import table
 
 
@@ -18,6 +18,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,7 +44,7 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op6_suffix_dedup, op8_source_mix, op9_near_duplicates, op10_transport_stream)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op3_toxicity, op5_decontamination, op6_suffix_dedup, op8_source_mix, op9_near_duplicates, op10_transport_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
