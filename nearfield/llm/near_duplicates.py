@@ -2,14 +2,16 @@
 
 A document is its set of distinct word shingles. MinHash samples give band keys for the candidate search, and
 are folded into a parity bitmap, the odd sketch (Mitzenmacher, Pagh and Pham, 2014): the population count of the
-XOR of two sketches estimates high similarities closely, and candidates far below the threshold go. What is left is
-confirmed on the full sets, made anew from the texts.
+XOR of two sketches estimates high similarities closely, and candidates far below the threshold go. A second, longer
+sketch folds the whole set: its count never exceeds the number of shingles in which two sets differ, so more than
+the threshold allows means no link, and in texts of usual length few other pairs pass. What is left is confirmed on
+the full sets, made anew from the texts.
 
 Documents with equal sets are one class, represented by its least id. Classes in a bucket are not paired with
 each other; links are sought in steps, of which each asks only for classes that are not yet connected:
 
-1. stars: each class is compared with the best by sketch of the centres of its buckets, each bucket having a
-   centre of its own (twice, with other centres);
+1. stars: each class is compared with the best by sketch of the centres of its buckets. The centre of a bucket
+   is first the class that meets most others in all its buckets (the original among its copies), then another one;
 2. rest: in buckets that still hold several components, every class outside the largest of them is compared with
    all classes of other components whose sketches are near.
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from nearfield.llm.components import connected_components
 from nearfield.llm.shingles import common, mix, shingle_sets, stream
 
 MISS, MOST_SAMPLES = 1e-5, 112
-SKETCH_WORDS = 8
+SKETCH_WORDS, SET_WORDS = 8, 32
 _ROWS = 64  # texts that numpy takes at once
 
 
@@ -66,16 +69,16 @@ def minhashes(s: np.ndarray, samples: int) -> np.ndarray:
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The parity bitmap of samples, as SKETCH_WORDS 64-bit words."""
-    place = mix(samples ^ stream(5, len(samples))) % np.uint64(64 * SKETCH_WORDS)
-    bits = (np.bincount(place.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+def odd_sketch(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The parity bitmap of hashes, as 64-bit words."""
+    place = mix(hashes + np.uint64(words)) % np.uint64(64 * words)
+    bits = (np.bincount(place.astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
 def _signer(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt, turn = stream(6, bands), stream(7, rows) | np.uint64(1)
+        salt, turn, number = stream(6, bands), stream(7, rows) | np.uint64(1), stream(5, bands * rows)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
@@ -84,7 +87,8 @@ def _signer(width: int, bands: int, rows: int):
                 for s in sets:
                     m = minhashes(s, bands * rows)
                     keys.append(mix((m.reshape(bands, rows) * turn).sum(1) + salt).view(np.int64) if len(s) else [])
-                    sketches.append(odd_sketch(m))
+                    # a sample counts with its number: equal values of different samples must not cancel
+                    sketches.append(np.concatenate([odd_sketch(m ^ number, SKETCH_WORDS), odd_sketch(s, SET_WORDS)]))
                     classes[0].append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
                     classes[1].append(int(mix(s ^ salt[0]).sum().view(np.int64)) if len(s) else 0)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(c, pa.int64()) for c in classes), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"])
@@ -110,8 +114,14 @@ def _confirmer(width: int, percent: int):
     return run
 
 
-def _distance(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def _distance(a: str, b: str, low: int = 0, high: int = SKETCH_WORDS) -> Column:
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(low, high)))
+
+
+def _near(percent: int, limit: int) -> Column:
+    """If the sketches of sides a and b allow a link."""
+    differ = _distance("sketch_a", "sketch_b", SKETCH_WORDS, SKETCH_WORDS + SET_WORDS)
+    return (_distance("sketch_a", "sketch_b") <= limit) & (differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
@@ -120,19 +130,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     limit = sketch_limit(percent, bands * rows)
     texts = docs.select("doc_id", text_of(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signer(width, bands, rows), "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
-    classes = stored(signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     member = classes.select(F.col("rep"), F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = stored(member.join(shared, "bucket"), "members")
-    sketches = classes.select("rep", "sketch")
+    central = member.groupBy("rep").agg(F.sum("n").alias("central"))
+    sketches = classes.select("rep", "size", "sketch")
     kept_texts = stored(texts.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate-texts")
     side = lambda s: kept_texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
 
     def near(pairs: DataFrame) -> DataFrame:
         """a, b, distance of the pairs whose sketches are near."""
         for s in ("a", "b"):
-            pairs = pairs.join(sketches.select(F.col("rep").alias(s), F.col("sketch").alias(f"sketch_{s}")), s)
-        return pairs.select("a", "b", _distance("sketch_a", "sketch_b").alias("distance")).where(F.col("distance") <= limit)
+            pairs = pairs.join(sketches.select(F.col("rep").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}")), s)
+        return pairs.where(_near(percent, limit)).select("a", "b", _distance("sketch_a", "sketch_b").alias("distance"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(width, percent), "a bigint, b bigint")
@@ -140,25 +151,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     comps = None
     for step in range(3):
         if comps is None:
-            placed = member.withColumn("comp", F.col("rep"))
+            placed = member.join(central, "rep").select("bucket", "rep", F.col("rep").alias("comp"), F.col("central").alias("order"))
         else:
-            placed = member.join(comps, member["rep"] == comps["node"], "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
+            placed = member.join(comps, member["rep"] == comps["node"], "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"), F.xxhash64("rep", "bucket").alias("order"))
             mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
             placed = stored(placed.join(mixed, "bucket"), f"placed-{step}")
             if placed.isEmpty():
                 break
         if step < 2:
-            order = F.xxhash64("rep", "bucket", F.lit(step))
-            centre = placed.groupBy("bucket").agg(F.min_by("rep", order).alias("b"), F.min_by("comp", order).alias("comp_b"))
+            centre = placed.groupBy("bucket").agg(F.max(F.struct("order", (-F.col("rep")).alias("rep"), "comp")).alias("top")).select("bucket", (-F.col("top.rep")).alias("b"), F.col("top.comp").alias("comp_b"))
             pairs = placed.join(centre, "bucket").where("comp <> comp_b").select(F.col("rep").alias("a"), "b").distinct()
             pairs = near(pairs).groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
         else:
             held = placed.join(sketches, "rep")
             major = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
-            left = held.join(major, "bucket").where("comp <> major").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("sketch").alias("sketch_a"))
-            right = held.join(major, "bucket").select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b"), (F.col("comp") == F.col("major")).alias("in_major"))
+            left = held.join(major, "bucket").where("comp <> major").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+            right = held.join(major, "bucket").select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"), (F.col("comp") == F.col("major")).alias("in_major"))
             far = (left["bucket"] == right["bucket"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("in_major") | (F.col("a") < F.col("b")))
-            pairs = left.join(right, far & (_distance("sketch_a", "sketch_b") <= limit))
+            pairs = left.join(right, far & _near(percent, limit))
             pairs = pairs.select("a", "b").distinct()
         links = confirmed(pairs)
         if comps is not None:
