@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontamination, mixing, near_duplicates, secrets, suffix_dedup, token_files, toxicity, transport
+from nearfield.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, secrets, suffix_dedup, token_files, toxicity, transport
 from nearfield.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +35,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "pages"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -44,7 +52,7 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op3_toxicity, op5_decontamination, op6_suffix_dedup, op8_source_mix, op9_near_duplicates, op10_transport_stream)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op3_toxicity, op4_html_text, op5_decontamination, op6_suffix_dedup, op7_line_dedup, op8_source_mix, op9_near_duplicates, op10_transport_stream)}
 
 
 def oracle_sql() -> dict[str, str]:
