@@ -20,12 +20,10 @@ result; other columns are kept aside by name.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import WORD, text_of
+from nearfield.llm.common import WORD, stored, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, EPOCHS = 1.5, 2.0
@@ -95,13 +93,13 @@ def schedule(sources: DataFrame, total_target: float, block: int = BLOCK) -> Dat
 
 
 def mix(docs: DataFrame, text_col: str = "text", block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, and first_slot (of the first block that takes words of it)."""
+    """doc_id, size, source, source_size, target, taken, and first_slot (of the first block that takes words of it, or -1)."""
     rows = docs.select("doc_id", F.col("source"), *keep, words_of(text_of(text_col)).alias("size"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     goal = targets(sizes.drop("source_rows"))
     known = sizes.agg(F.sum("source_size").alias("w"), F.max("source_rows").alias("r")).first()
     if known["r"] is None:
-        return rows.select("doc_id", *keep, "size", "source", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+        return rows.select("doc_id", *keep, "size", "source", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(-1).cast("long").alias("first_slot"))
     digits = 1
     while known["r"] / 16**digits > CELL_ROWS:
         digits += 1
@@ -120,5 +118,15 @@ def mix(docs: DataFrame, text_col: str = "text", block: int = BLOCK, keep: tuple
     return (
         placed.withColumn("start_key", F.when(F.col("size") > 0, F.col("start")))
         .join(taken.select(F.col("rank").alias("r"), F.col("start").alias("start_key2"), "taken", "first_slot"), (F.col("rank") == F.col("r")) & (F.col("start_key") == F.col("start_key2")), "left")
-        .select("doc_id", *keep, "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+        .select("doc_id", *keep, "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("first_slot", F.lit(-1)).cast("long").alias("first_slot"))
     )
+
+
+def repeat_by_share(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, as often as the schedule begins to take them; those it does not take go.
+
+    Rows that share an id are taken equally often.
+    """
+    shares = mix(docs, text_col).groupBy("doc_id").agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__passes")).where("__passes > 0")
+    out = docs.join(stored(shares, "shares"), "doc_id")
+    return out.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)

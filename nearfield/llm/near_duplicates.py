@@ -32,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import stored, text_of
@@ -132,7 +132,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     signed = stored(texts.mapInArrow(_signer(width, bands, rows), "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
     classes = stored(signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     member = classes.select(F.col("rep"), F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Small tables are stored before a join, so that the join may split a large bucket.
+    shared = stored(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     member = stored(member.join(shared, "bucket"), "members")
     central = member.groupBy("rep").agg(F.sum("n").alias("central"))
     sketches = classes.select("rep", "size", "sketch")
@@ -155,12 +156,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
         else:
             placed = member.join(comps, member["rep"] == comps["node"], "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"), F.xxhash64("rep", "bucket").alias("order"))
             mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-            placed = stored(placed.join(mixed, "bucket"), f"placed-{step}")
+            placed = stored(placed.join(stored(mixed, f"mixed-{step}"), "bucket"), f"placed-{step}")
             if placed.isEmpty():
                 break
         if step < 2:
             centre = placed.groupBy("bucket").agg(F.max(F.struct("order", (-F.col("rep")).alias("rep"), "comp")).alias("top")).select("bucket", (-F.col("top.rep")).alias("b"), F.col("top.comp").alias("comp_b"))
-            pairs = placed.join(centre, "bucket").where("comp <> comp_b").select(F.col("rep").alias("a"), "b").distinct()
+            pairs = placed.join(stored(centre, f"centres-{step}"), "bucket").where("comp <> comp_b").select(F.col("rep").alias("a"), "b").distinct()
             pairs = near(pairs).groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
         else:
             held = placed.join(sketches, "rep")
@@ -178,3 +179,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     filled = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that represent their group: those with its least id, and of rows that share
+    this id one. Rows without an id are all kept."""
+    kept = near_duplicates(docs, width, percent, text_col).where("kept").select("doc_id").distinct()
+    place = Window.partitionBy("doc_id").orderBy(text_of(text_col))
+    one = docs.join(stored(kept, "kept"), "doc_id", "left_semi").withColumn("__place", F.row_number().over(place)).where("__place = 1")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, secrets, suffix_dedup, token_files, toxicity, transport
+from nearfield.llm import decontamination, html_text, line_dedup, mixing, near_duplicates, oracles, secrets, suffix_dedup, token_files, toxicity, transport
 from nearfield.llm.common import table
 
 
@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

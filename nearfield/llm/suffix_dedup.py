@@ -303,7 +303,8 @@ def repeated_intervals(texts: DataFrame) -> DataFrame:
     """doc, first, count: all starts whose string also starts elsewhere. texts: doc (64-bit key of the row), text."""
     found = stored(texts.mapInArrow(_find_runs, "doc bigint, first bigint, count int, off int, anchor bigint, content bigint"), "runs")
     groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    again = stored(found.join(groups, "anchor"), "again")
+    # The table of anchors is stored before the join, so that the join may split an anchor with very many runs.
+    again = stored(found.join(stored(groups, "anchors"), "anchor"), "again")
     pure = again.where("not mixed").select("doc", "first", F.col("count").cast("long").alias("count"))
     mixed = again.where("mixed")
     contents = stored(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "count", "off")).alias("one")), "contents")

@@ -246,3 +246,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     rows = docs.select("doc_id", held_out().alias("held_out"), text_of(text_col).alias("text"))
     out = rows.mapInArrow(_scorer(model), "doc_id bigint, held_out boolean, score double, spans array<struct<start:int,end:int>>")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that are not predicted to be toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text_col).to_pylist()
+            keep = [model.score(*model.evidence(_TOKEN.findall((t or "").lower()))[1:]) < THRESHOLD for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
