@@ -33,7 +33,7 @@ from nearfield.llm.common import stored, text_of
 
 BLOCK = 1 << 16
 CACHE = 1 << 20
-SHARD_ROWS = 20_000
+SHARD_ROWS = 5_000
 
 BLOCKS = "shard int, block int, n_tokens int, bits int, doc_ids array<bigint>, doc_starts array<bigint>, doc_lens array<bigint>, payload binary"
 
