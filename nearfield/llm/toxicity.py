@@ -221,9 +221,11 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
     """Fit on rows that are not held out."""
-    known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out())
-    rows = docs.select("doc_id", text_of(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(known, "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("h"))
-    got = [r for y in (0, 1) for r in rows.where(F.col("toxic") == y).orderBy("h", "text").limit(SAMPLE).collect()]
+    known = labels.where("toxic in (0, 1)").where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"))
+    # The sample is drawn among the labels; only its ids, 2 * SAMPLE at most, go to the tasks that read texts.
+    drawn = known.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE).unionByName(known.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE))
+    rows = docs.select("doc_id", text_of(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    got = sorted(rows.join(F.broadcast(drawn), "doc_id").select("toxic", "h", "text").collect(), key=lambda r: (r["toxic"], r["h"], r["text"]))
     return fit([r["text"] for r in got], [r["toxic"] for r in got])
 
 
