@@ -37,6 +37,8 @@ SAMPLE, SAMPLE_CHARS = 3000, 20_000
 PREFIXES = (4, 5, 6)
 MIN_ODDS, MIN_SHARE, MIN_DOCS = 2.5, 0.01, 3
 SKETCH = 16
+#: A marker of few documents is used several times in each and never in clean ones.
+FEW_DOCS, USES = 2, 2.5
 WINDOW, STEPS, RATE, DECAY = 64, 80, 0.15, 1e-3
 THRESHOLD = 0.7
 _TOKEN = re.compile(r"\w+")
@@ -116,12 +118,15 @@ class Model:
 
 
 def _markers(docs: list[list[str]], toxic: list[int]) -> set[str]:
-    seen = (Counter(), Counter())
+    seen, uses = (Counter(), Counter()), Counter()
     for words, y in zip(docs, toxic, strict=True):
         seen[y].update({f for w in set(words) for f in features(w)})
+        if y:
+            uses.update(f for w in words for f in features(w))
     n = [toxic.count(0), toxic.count(1)]
     odds = lambda f: np.log((seen[1][f] + 0.5) / (n[1] + 1)) - np.log((seen[0][f] + 0.5) / (n[0] + 1))
-    return {f for f, c in seen[1].items() if c >= max(MIN_DOCS, MIN_SHARE * n[1]) and odds(f) >= MIN_ODDS}
+    often = lambda f, c: c >= max(MIN_DOCS, MIN_SHARE * n[1]) or c >= FEW_DOCS and uses[f] >= USES * c and not seen[0][f]
+    return {f for f, c in seen[1].items() if often(f, c) and odds(f) >= MIN_ODDS}
 
 
 def _families(docs: list[list[str]]) -> list[int]:
