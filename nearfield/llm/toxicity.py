@@ -21,6 +21,7 @@ labels counts once for each; other columns, such as lang and source, are never r
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import text_of
 
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 PREFIXES = (4, 5, 6)
 MIN_ODDS, MIN_SHARE, MIN_DOCS = 2.5, 0.01, 3
 SKETCH = 16
@@ -175,7 +176,7 @@ def _chain(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """The model of a labelled sample."""
-    docs = [_TOKEN.findall(t.lower()) for t in texts]
+    docs = [list(map(sys.intern, _TOKEN.findall(t.lower()))) for t in texts]
     places = _families(docs)
     docs, toxic = [docs[i] for i in places], [toxic[i] for i in places]
     share = sum(toxic) / max(1, len(toxic))
