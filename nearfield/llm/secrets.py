@@ -75,12 +75,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if blob in seen:
                 continue
             seen.add(blob)
-            for rule in rules:
-                version, scanner = RULES[rule]
+            for due in rules:
+                rule, _, version = due.rpartition("@")
                 out["blob"].append(blob)
                 out["rule"].append(rule)
-                out["version"].append(version)
-                out["spans"].append([{"start": a, "end": b} for a, b in scanner(text)])
+                out["version"].append(int(version))
+                out["spans"].append([{"start": a, "end": b} for a, b in RULES[rule][1](text)])
         yield pa.RecordBatch.from_arrays([pa.array(out["blob"], pa.string()), pa.array(out["rule"], pa.string()), pa.array(out["version"], pa.int32()), pa.array(out["spans"], spans_type)], names=["blob", "rule", "version", "spans"])
 
 
@@ -94,7 +94,7 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "
         known = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("known"))
         blobs = blobs.join(known, "blob", "left")
         due = F.array_except(due, F.coalesce("known", F.array().cast("array<string>")))
-    blobs = blobs.select("blob", "text", F.transform(due, lambda x: F.split_part(x, F.lit("@"), F.lit(1))).alias("rules")).where(F.size("rules") > 0)
+    blobs = blobs.select("blob", "text", due.alias("rules")).where(F.size("rules") > 0)
     return blobs.repartition("blob").mapInArrow(_scan, LEDGER)
 
 

@@ -1,9 +1,9 @@
 """Token-id output in fixed-width bit packing.
 
 Every id takes the fewest bits that the vocabulary needs. Ids are cut into blocks; a block starts on a byte
-of its own, so block k of a shard is found by its offset (k * BLOCK ids) and unpacked by numpy alone.
+of its own, so block k of a shard is found by its offset (k * block_ids) and unpacked by numpy alone.
 
-The file format is a Parquet table with one row per block: shard, block, n_tokens, bits, payload, and the
+The file format is a Parquet table with one row per block: shard, block, n_tokens, bits, block_ids, payload, and the
 index of the documents that have ids in the block (doc_ids, doc_starts: place of the first id in the shard;
 doc_lens). Rows lie in ascending order of the document id within a shard, and shards are ranges of the
 document id. Spark's committer makes the files whole or absent when an executor is lost.
@@ -35,7 +35,7 @@ BLOCK = 1 << 16
 CACHE = 1 << 20
 SHARD_ROWS = 5_000
 
-BLOCKS = "shard int, block int, n_tokens int, bits int, doc_ids array<bigint>, doc_starts array<bigint>, doc_lens array<bigint>, payload binary"
+BLOCKS = "shard int, block int, n_tokens int, bits int, block_ids int, doc_ids array<bigint>, doc_starts array<bigint>, doc_lens array<bigint>, payload binary"
 
 
 def default_tokenizer() -> str:
@@ -133,7 +133,7 @@ def _shared_encoder(path: str) -> ChunkEncoder:
     return _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
 
 
-def _encoder(path: str, end_id: int, bits: int):
+def _encoder(path: str, end_id: int, bits: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -145,9 +145,9 @@ def _encoder(path: str, end_id: int, bits: int):
         def flush(count: int) -> pa.RecordBatch:
             nonlocal block, held, held_n, docs
             ids = np.frombuffer(b"".join(held), "<u4")
-            rows = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([count], pa.int32()), pa.array([bits], pa.int32()), *(pa.array([[d[i] for d in docs]], pa.list_(pa.int64())) for i in range(3)), pa.array([pack(ids[:count], bits)], pa.binary())]
+            rows = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([count], pa.int32()), pa.array([bits], pa.int32()), pa.array([size], pa.int32()), *(pa.array([[d[i] for d in docs]], pa.list_(pa.int64())) for i in range(3)), pa.array([pack(ids[:count], bits)], pa.binary())]
             held, held_n, block = [ids[count:].tobytes()], held_n - count, block + 1
-            docs = [d for d in docs[-1:] if d[1] + d[2] > block * BLOCK]
+            docs = [d for d in docs[-1:] if d[1] + d[2] > block * size]
             return pa.RecordBatch.from_arrays(rows, names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -159,15 +159,15 @@ def _encoder(path: str, end_id: int, bits: int):
                     total += len(ids) // 4 + 1
                     held += [ids, end]
                     held_n += len(ids) // 4 + 1
-                    while held_n >= BLOCK:
-                        yield flush(BLOCK)
+                    while held_n >= size:
+                        yield flush(size)
         if held_n:
             yield flush(held_n)
 
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, text_col: str = "text", block_ids: int = BLOCK) -> DataFrame:
     """Encode docs and store the block table; returns the table as read back.
 
     docs is read twice, once for the bounds of the ranges (ids only) and once for its texts.
@@ -178,7 +178,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     bits = bits_for(Tokenizer.from_file(path).get_vocab_size())
     shards = max(2, docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // SHARD_ROWS))
     dealt = docs.select("doc_id", text_of(text_col).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(_encoder(path, end_id, bits), BLOCKS), "tokens")
+    return stored(dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(_encoder(path, end_id, bits, block_ids), BLOCKS), "tokens")
 
 
 def _doc_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +189,7 @@ def _doc_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             ids = unpack(rows["payload"][i], rows["bits"][i], rows["n_tokens"][i]).astype("<u4")
             for doc, at, n in zip(rows["doc_ids"][i], rows["doc_starts"][i], rows["doc_lens"][i], strict=True):
-                low = at - rows["block"][i] * BLOCK
+                low = at - rows["block"][i] * rows["block_ids"][i]
                 part = ids[max(low, 0) : low + n].tobytes()
                 whole = len(part) == 4 * n
                 for k, v in zip(out, (rows["shard"][i], doc, at, n, zlib.crc32(part) if whole else None, rows["block"][i], None if whole else part), strict=True):
@@ -229,11 +229,15 @@ def read_digests(blocks: DataFrame) -> DataFrame:
 
 def read_tokens(blocks: DataFrame, shard: int, first: int, count: int) -> np.ndarray:
     """Random access: count ids of a shard from place first on; only the blocks that hold them are read."""
-    low, high = first // BLOCK, (first + count - 1) // BLOCK
+    one = blocks.select("block_ids").first()
+    if not one or not count:
+        return np.empty(0, np.uint32)
+    size = one["block_ids"]
+    low, high = first // size, (first + count - 1) // size
     rows = sorted(blocks.where((F.col("shard") == shard) & F.col("block").between(low, high)).select("block", "bits", "n_tokens", "payload").collect(), key=lambda r: r["block"])
     out = []
     for r in rows:
-        a = max(0, first - r["block"] * BLOCK)
-        b = min(r["n_tokens"], first + count - r["block"] * BLOCK)
+        a = max(0, first - r["block"] * size)
+        b = min(r["n_tokens"], first + count - r["block"] * size)
         out.append(unpack(r["payload"], r["bits"], b - a, a))
     return np.concatenate(out) if out else np.empty(0, np.uint32)
