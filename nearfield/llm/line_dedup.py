@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.common import stored
+
 MAX_RATIO, MIN_PAGES = 0.2, 3
 SALTS = 32
 #: What is removed with its content, tags that end a line, and entities.
@@ -47,6 +49,7 @@ def line_dedup(pages: DataFrame, lines: Column | None = None, max_ratio: float =
     """page_id, host, n_lines, n_dropped, text for each row of pages (page_id, url, html, or an array of lines given)."""
     lines = html_lines(F.coalesce(F.col("html"), F.lit(""))) if lines is None else F.coalesce(lines, F.array().cast("array<string>"))
     rows = pages.select("page_id", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)).alias("host"), lines.alias("lines"))
+    rows = stored(rows, "lines")  # cutting pages into lines is most of the work and both uses read it
     counts = rows.select("host", F.explode(F.array_distinct(F.transform("lines", F.md5))).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     common = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") > F.lit(max_ratio) * F.col("total"))
