@@ -104,7 +104,7 @@ def mix(docs: DataFrame, text_col: str = "text", block: int = BLOCK, keep: tuple
     while known["r"] / 16**digits > CELL_ROWS:
         digits += 1
     # The shuffled order: MD5 of the id. Rows with the same id follow by size; those of equal size are alike.
-    order = F.md5(F.col("doc_id").cast("string"))
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.join(F.broadcast(goal), rows["source"].eqNullSafe(goal["source"])).drop(goal["source"])  # a row per source
     rows = rows.withColumn("order", order).withColumn("hash_cell", F.substring("order", 1, digits))
     placed = _prefix(rows, ["rank"], "hash_cell", ["order", "doc_id", "size"], "size", "start").drop("order", "hash_cell")

@@ -20,7 +20,7 @@ and a group of copies costs about one comparison per class. Bands are chosen so
 shares no bucket with a probability of at most MISS; pairs above it do so even less.
 
 Edge cases: null texts, empty texts and texts without words have an empty set and are linked with nothing;
-equal rows are one class; rows that share an id with different texts are one node, linked if any of the texts is;
+equal rows are one class; a class whose rows have no id is linked with nothing and has no component; rows that share an id with different texts are one node, linked if any of the texts is;
 an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     texts = docs.select("doc_id", text_of(text_col).alias("text"))
     signed = stored(texts.mapInArrow(_signer(width, bands, rows), "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
     classes = stored(signed.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    member = classes.select(F.col("rep"), F.explode("bands").alias("bucket"))
+    member = classes.where("rep is not null").select(F.col("rep"), F.explode("bands").alias("bucket"))
     # Small tables are stored before a join, so that the join may split a large bucket.
     shared = stored(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     member = stored(member.join(shared, "bucket"), "members")

@@ -57,7 +57,7 @@ ranked as (
   from slots join bounds on slots.point < bounds.high and slots.point >= coalesce((select max(b.high) from bounds b where b.rnk < bounds.rnk), 0)),
 placed as (
   select r.*, g.rnk, g.source_size, g.target,
-    coalesce(sum(size) over (partition by g.rnk order by md5(doc_id::varchar), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
+    coalesce(sum(size) over (partition by g.rnk order by md5(coalesce(doc_id::varchar, '')), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
   from rows r join goal g on r.source is not distinct from g.source),
 cut as (
   select doc_id, rnk, start, start + source_size * k as low, least(start + source_size * k + size, floor(target)::bigint) as high

@@ -362,6 +362,14 @@ def test_mixing(spark, docs, rows, none):
     assert repeated.columns == docs.columns and repeated.count() > 0
 
 
+def test_rows_without_an_id(spark):
+    df = brute.docs_frame(spark, [(None, "one two three four five six", "s"), (None, "one two three four five six", "s"), (None, None, None), (4, "a b", None)])
+    for query in (secrets.secret_digest, mixing.mix, suffix_dedup.suffix_dedup, near_duplicates.near_duplicates, transport.media_features, lambda d: token_files.read_digests(token_files.write_tokens(d)), lambda d: toxicity.score(d, toxicity.Model())):
+        assert query(df).count() == 4
+    assert near_duplicates.keep_one(df).count() == 4
+    assert decontamination.contaminated(df, spark.createDataFrame([(None, "two three four five six")], "item_id bigint, text string")).count() == 2
+
+
 def test_van_der_corput(spark):
     points = [r["p"] for r in spark.range(8).select(mixing.van_der_corput(F.col("id")).alias("p")).collect()]
     assert points == [0, 0.5, 0.25, 0.75, 0.125, 0.625, 0.375, 0.875]
