@@ -60,6 +60,10 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
     return words_of(head), words_of(tail)
 
 
+def _place(cursor: list) -> int:
+    return cursor[0][cursor[2]]
+
+
 class Index:
     """Postings of items with impacts, and the maxima of their blocks."""
 
@@ -89,50 +93,62 @@ class Index:
     def bound(self, terms: list[int]) -> np.ndarray:
         return self.top[terms].sum(0) + np.float32(1e-4)
 
-    def search(self, words: list[str]) -> list[tuple[int, float]]:
-        """(item, share of its own score) of every item that a query of distinct words scores MIN_SCORE or more."""
-        cursors = [[self.postings[w][0], self.postings[w][1], 0, self.terms[w]] for w in words]
-        found = []
-        while True:
-            cursors = [c for c in cursors if c[2] < len(c[0])]
-            cursors.sort(key=lambda c: c[0][c[2]])
-            high, pivot = 0.0, -1
+    def search(self, words: list[str], blocks: list[int]) -> list[tuple[int, float]]:
+        """(item, share of its own score) of every item that a query of distinct words scores MIN_SCORE or more.
+
+        blocks: the blocks, ascending, whose bound for these words allows that; all others are skipped.
+        """
+        cursors = [[self.postings[w][0], self.postings[w][1], 0, float(self.most[self.terms[w]])] for w in words]
+        found, at, last = [], 0, len(blocks)
+        target = blocks[0] * BLOCK if blocks else 0
+        while at < last:
+            kept = []
+            for c in cursors:
+                if c[0][c[2]] < target:
+                    c[2] = bisect_left(c[0], target, c[2])
+                if c[2] < len(c[0]):
+                    kept.append(c)
+            cursors = kept
+            cursors.sort(key=_place)
+            high, pivot = 1e-9, -1
             for k, c in enumerate(cursors):
-                high += float(self.most[c[3]])
+                high += c[3]
                 if high >= MIN_SCORE:
                     pivot = k
                     break
             if pivot < 0:
-                return found
-            item = cursors[pivot][0][cursors[pivot][2]]
-            block = item // BLOCK
-            if sum(float(self.top[c[3], block]) for c in cursors if c[0][c[2]] <= item) < MIN_SCORE:
-                # No item of this block up to the next cursor's can reach the threshold.
-                beyond = min([c[0][c[2]] for c in cursors if c[0][c[2]] > item], default=len(self.ids))
-                target = min(beyond, (block + 1) * BLOCK)
-            elif cursors[0][0][cursors[0][2]] == item:
-                score = sum(c[1][c[2]] for c in cursors if c[0][c[2]] == item)
+                break
+            item = _place(cursors[pivot])
+            while at < last and blocks[at] < item // BLOCK:
+                at += 1
+            if at < last and blocks[at] > item // BLOCK:
+                target = blocks[at] * BLOCK
+            elif _place(cursors[0]) == item:
+                score = 0.0
+                for c in cursors:
+                    if _place(c) != item:
+                        break
+                    score += c[1][c[2]]
                 if score >= MIN_SCORE:
                     found.append((item, score))
                 target = item + 1
             else:
                 target = item
-            for c in cursors:
-                if c[0][c[2]] < target:
-                    c[2] = bisect_left(c[0], target, c[2])
+        return found
 
     def candidates(self, words: list[str]) -> dict[int, tuple[float, int]]:
         """item -> (best score, first word of that passage) over the passages of a document."""
         terms = self.terms
-        own = {w for w in words if w in terms}
+        own = set(words) & terms.keys()
         if not own or self.bound([terms[w] for w in own]).max() < MIN_SCORE:
             return {}
         width = max(PASSAGE, 2 * self.longest)
         out: dict[int, tuple[float, int]] = {}
         for at in range(0, max(1, len(words) - width // 2), width // 2):
-            query = {w for w in words[at : at + width] if w in own}
-            if query and self.bound([terms[w] for w in query]).max() >= MIN_SCORE:
-                for item, score in self.search(sorted(query)):
+            query = own.intersection(words[at : at + width])
+            blocks = np.flatnonzero(self.bound([terms[w] for w in query]) >= MIN_SCORE).tolist() if query else []
+            if blocks:
+                for item, score in self.search(sorted(query), blocks):
                     if score > out.get(item, (0.0, 0))[0]:
                         out[item] = (score, at)
         return out

@@ -226,7 +226,8 @@ def test_block_max_wand_finds_all():
     index = decontamination.Index(items, df, len(items), 6.0)
     for _ in range(300):
         query = sorted(set(rng.sample(vocabulary, rng.randint(1, 25))) & set(index.terms))
-        got = index.search(query)
+        got = index.search(query, np.flatnonzero(index.bound([index.terms[w] for w in query]) >= decontamination.MIN_SCORE).tolist())
+        assert sorted(n for n, _ in got) == sorted(n for n, _ in index.search(query, list(range(index.blocks))))
         want = plain_scores(index, query)
         assert sorted(n for n, _ in got) == sorted(want) and all(abs(s - want[n]) < 1e-9 for n, s in got)
 
