@@ -128,3 +128,41 @@ def filtered_recall(table: VectorTable, queries: DataFrame, k: int, attribute: s
             rows.append((f, len(got & true) / max(1, len(true))))
     spark = table.rows.sparkSession
     return spark.createDataFrame(rows, "overfetch int, recall double").groupBy("overfetch").agg(F.avg("recall").alias("recall")).orderBy("overfetch")
+
+
+def scale_sweep(df: DataFrame, dimension: int, folder: str, sizes: Sequence[int], k: int = 10, queries: int = 3, **options) -> DataFrame:
+    """For tables of the first rows of df (row_index, id, vector): bytes with and without codes, recall and times of both ways."""
+    from nearfield.sources.inspect import inspect
+
+    out = []
+    for n in sizes:
+        rows = df.where(F.col("row_index") < n)
+        asked = sample_queries(rows, queries, n).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        tables = {b: write_vectors(rows, f"{folder}/{n}-{b}", dimension, binary=b, order_by=("row_index",), **options) for b in (False, True)}
+        size = {b: int(inspect(df.sparkSession, f"{folder}/{n}-{b}").where("property = 'bytes'").first()["value"]) for b in tables}
+        truth = search_batch(tables[False], asked, k).persist()
+        rerank, exact = (sweep(tables[b], asked, truth, k, [{}]).first() for b in (True, False))
+        out.append((n, size[False], size[True], rerank["recall"], exact["mean_ms"], rerank["mean_ms"]))
+    return df.sparkSession.createDataFrame(out, "rows bigint, bytes_without bigint, bytes_with bigint, recall double, exact_ms double, rerank_ms double")
+
+
+def cold_and_warm(table: VectorTable, queries: DataFrame, k: int = 10, **options) -> DataFrame:
+    """Percentiles of milliseconds per query with codes read from files (cold) and held in memory (warm)."""
+    from nearfield.sources.table import prefetch_codes
+
+    asked = [list(r["query"]) for r in queries.select("query").collect()]  # the stated query set
+    out = []
+    for name, t in (("cold", table), ("warm", prefetch_codes(table))):
+        spent = sorted(timed(lambda q=q, t=t: search(t, q, k, **options))[1] for q in asked)
+        out.append((name, *(spent[min(len(spent) - 1, int(share * len(spent)))] for share in (0.5, 0.9, 0.99))))
+    return table.rows.sparkSession.createDataFrame(out, "codes string, p50_ms double, p90_ms double, p99_ms double")
+
+
+def compare_models(models: dict[str, VectorTable], pairs: DataFrame, k: int = 10) -> DataFrame:
+    """model, dimension, hits1, hits10, mrr10 of pairs(query_id, target_id) whose vectors are rows of each model's table."""
+    out = []
+    for name, t in models.items():
+        asked = t.rows.join(F.broadcast(pairs.select(F.col("query_id").alias("id")).distinct()), "id").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        found = search_batch(t, asked, k, exclude_self=True)
+        out.append(hits_and_mrr(found, pairs).select(F.lit(name).alias("model"), F.lit(t.meta.dimension).alias("dimension"), "hits1", "hits10", "mrr10"))
+    return reduce(DataFrame.unionByName, out)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
+from nearfield.functions.generate import random_vectors
 from nearfield.operators import kmeans, ranges, search
 from nearfield.plans import evaluate
 from nearfield.plans.planner import code_of, plan_search
@@ -578,6 +579,44 @@ def storage_codecs(spark, d):
     return spark.createDataFrame(out, "codec string, bytes bigint")
 
 
+@query(
+    "with recursive g(i, st) as (select 1::bigint, (5 * 1664525 + 1013904223) % 4294967296 union all select i + 1, (st * 1664525 + 1013904223) % 4294967296 from g where i < 480), "
+    "v as (select (i - 1) // 24 as row_index, list((st / 4294967296.0 * 2 - 1)::float order by i) as v from g group by 1) "
+    "select row_index, 'vec-' || row_index as id, round(list_sum(list_transform(v, lambda x: (x::double / sqrt(list_dot_product(v::double[], v::double[])))::float::double)), 5) as total from v"
+)
+def random_unit_vectors(spark, d):
+    made = random_vectors(spark, 20, 24, 5, unit=True)
+    return made.select("row_index", "id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), PLACES - 1).alias("total"))
+
+
+def _model_sql(name: str, dim: int) -> str:
+    batch = _BATCH.replace("e.embedding", f"e.embedding[:{dim}]").replace("q.embedding", f"q.embedding[:{dim}]") + " and e.vec_id <> q.vec_id"
+    return (
+        f"select '{name}' as model, {dim} as dimension, round(avg((coalesce(rank, 0) = 1)::int::double), {PLACES}) as hits1, round(avg((rank is not null)::int::double), {PLACES}) as hits10, round(avg(coalesce(1.0 / rank, 0)), {PLACES}) as mrr10 "
+        f"from (select p.vec_id::varchar as query_id, ((p.vec_id + 1) % n)::varchar as target_id from embeddings p, (select count(*) as n from embeddings) where p.vec_id in {QUERIES}) t left join ({_BATCH_RANKED.format(batch, K)}) r on r.query_id = t.query_id and r.id = t.target_id"
+    )
+
+
+@query(" union all ".join((_model_sql("whole", DIM), _model_sql("half", DIM // 2))))
+def model_comparison(spark, d):
+    rows = _rows(spark, d)
+    n = rows.count()
+    pairs = spark.createDataFrame([(str(q), str((q + 1) % n)) for q in QUERIES], "query_id string, target_id string")
+    half = table.from_rows(rows.withColumn("vector", F.slice("vector", 1, DIM // 2)), DIM // 2)
+    found = evaluate.compare_models({"whole": _table(rows), "half": half}, pairs)
+    return found.select("model", "dimension", *[F.round(c, PLACES).alias(c) for c in ("hits1", "hits10", "mrr10")])
+
+
+@query()
+def scale_sweep(spark, d):
+    return evaluate.scale_sweep(_rows(spark, d).drop("label"), DIM, scratch(spark, "scale"), (100, 400))
+
+
+@query()
+def cold_and_warm(spark, d):
+    return evaluate.cold_and_warm(_table(_coded(spark, d)), _queries(spark, d))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.search(_table(_rows(spark, d)), _vector(spark, d, 0), K))
 

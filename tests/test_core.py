@@ -284,3 +284,18 @@ def test_exact_plan_has_no_shuffle(spark):
 
     plan = search_exact(t, plan_search(t, [0.1] * 64), 10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_random_vectors(spark):
+    from nearfield.functions.generate import random_vectors
+
+    got = random_vectors(spark, 30, 7, 9).orderBy("row_index").collect()
+    assert [(r["row_index"], r["id"], r["vector"]) for r in got] == make_vectors(30, 7, 9)
+
+
+def test_cancel(spark):
+    from nearfield.plans.cancel import cancel, tagged
+
+    with tagged(spark, "some-search"):
+        assert spark.range(5).count() == 5
+    assert cancel(spark, "some-search") == []
