@@ -128,5 +128,6 @@ def repeat_by_share(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Rows that share an id are taken equally often.
     """
     shares = mix(docs, text_col).groupBy("doc_id").agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__passes")).where("__passes > 0")
-    out = docs.join(stored(shares, "shares"), "doc_id")
+    # A merge join at any size: the shares grow with the documents.
+    out = docs.join(stored(shares, "shares").hint("merge"), "doc_id")
     return out.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)

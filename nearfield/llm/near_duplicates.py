@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     member = stored(member.join(shared, "bucket"), "members")
     central = member.groupBy("rep").agg(F.sum("n").alias("central"))
     sketches = classes.select("rep", "size", "sketch")
-    kept_texts = stored(texts.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "candidate-texts")
+    kept_texts = stored(texts.join(member.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "candidate-texts")
     side = lambda s: kept_texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -186,5 +186,6 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str =
     this id one. Rows without an id are all kept."""
     kept = near_duplicates(docs, width, percent, text_col).where("kept").select("doc_id").distinct()
     place = Window.partitionBy("doc_id").orderBy(text_of(text_col))
-    one = docs.join(stored(kept, "kept"), "doc_id", "left_semi").withColumn("__place", F.row_number().over(place)).where("__place = 1")
+    # A merge join at any size: the ids grow with the documents.
+    one = docs.join(stored(kept, "kept").hint("merge"), "doc_id", "left_semi").withColumn("__place", F.row_number().over(place)).where("__place = 1")
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
