@@ -22,7 +22,7 @@ from nearfield.sources.table import from_rows, write_vectors
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-COPIES, WARM, RUNS, K = 50, 1, 3, 10
+COPIES, WARM, RUNS, K = 25, 1, 2, 10
 HEADLINE = ("fn_cosine", "fn_hamming", "knn_exact_cosine", "knn_exact_euclidean", "knn_rerank", "knn_batch", "knn_multi_source", "kmeans_full", "knn_clustered", "recall_micro", "latency_percentiles")
 
 
@@ -61,9 +61,9 @@ def main() -> None:
     seconds["scale_build"] = round(time.perf_counter() - start, 4)
     seconds["scale_clustered"] = best(lambda: search(clustered, query, K).collect())
     seconds["scale_exact_files"] = best(lambda: search(clustered, query, K, algorithm="exact").collect())
-    asked = sample_queries(rows, 20, total).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    asked = sample_queries(rows, 10, total).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
     truth = search_batch(table, asked, K).persist()
-    seconds["scale_batch20_exact"] = best(lambda: search_batch(table, asked, K).collect())
+    seconds["scale_batch10_exact"] = best(lambda: search_batch(table, asked, K).collect())
     recall = {"rerank": recall_micro(truth, search_batch(table, asked, K, algorithm="binary"), K).first()["recall"]}
     exact = {}
     for r in truth.collect():
