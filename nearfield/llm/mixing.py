@@ -11,7 +11,7 @@ excess is shared again by weight until no target is above.
 Scale: places on the line come from sums per (source, cell of the shuffled order), where cells have a bounded
 mean number of rows, so a source with a third of all rows is spread over its cells. Slots are made by a range
 and grow with the words. Their ranks are counted the same way, over cells of consecutive slots. The table of
-sources and the sums per cell are the only small tables; the first has a row per source.
+sources (a row per source, MOST_SOURCES at most) is broadcast; the sums per cell are joined.
 
 Edge cases: null text and empty text have size 0 and take 0; a null source is a source of its own and the last;
 rows that repeat each have their own interval; a source without words has target 0; an empty table gives an empty
@@ -30,6 +30,8 @@ SHARE, EPOCHS = 1.5, 2.0
 BLOCK = 4096
 #: Mean rows of a cell, and slots of a cell.
 CELL_ROWS, CELL_SLOTS = 20_000, 4096
+#: More sources than this are an error: their table is broadcast and every slot looks its source up in it.
+MOST_SOURCES = 20_000
 #: The schedule has so many times the slots that the targets need, and MORE besides; discrepancy is far below.
 SLACK, MORE = 1.02, 64
 _BITS = 31
@@ -97,7 +99,9 @@ def mix(docs: DataFrame, text_col: str = "text", block: int = BLOCK, keep: tuple
     rows = docs.select("doc_id", F.col("source"), *keep, words_of(text_of(text_col)).alias("size"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     goal = targets(sizes.drop("source_rows"))
-    known = sizes.agg(F.sum("source_size").alias("w"), F.max("source_rows").alias("r")).first()
+    known = sizes.agg(F.sum("source_size").alias("w"), F.max("source_rows").alias("r"), F.count(F.lit(1)).alias("n")).first()
+    if known["n"] > MOST_SOURCES:
+        raise ValueError(f"{known['n']} sources are more than {MOST_SOURCES}; group them first")
     if known["r"] is None:
         return rows.select("doc_id", *keep, "size", "source", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(-1).cast("long").alias("first_slot"))
     digits = 1

@@ -333,7 +333,7 @@ def test_native_operators_run_no_python(spark):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
 
 
-def test_mixing(spark, docs, rows, none):
+def test_mixing(docs, rows, none, monkeypatch):
     got = mixing.mix(docs).collect()
     size = {}
     for _, t, s in rows:
@@ -359,6 +359,10 @@ def test_mixing(spark, docs, rows, none):
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
     assert mixing.mix(none).count() == mixing.mix(docs.where("doc_id = 0")).count() - 1 == 0
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(docs)
+    monkeypatch.undo()
     repeated = mixing.repeat_by_share(docs.where("doc_id > 6"))
     assert repeated.columns == docs.columns and repeated.count() > 0
 
