@@ -1,6 +1,8 @@
 """Queries against their SQL at the smallest scale."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -8,6 +10,7 @@ import pytest
 import __spark_entry__
 from nearfield import queries as core
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
 
 
@@ -35,3 +38,17 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(core.queries()) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_corpus_operators():
+    code = "import sys; sys.modules['nearfield.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(*e.queries())"
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split()
+    assert set(found) == set(core.queries())
+
+
+def test_nothing_imports_the_corpus_operators():
+    for folder, _, files in os.walk(os.path.join(ROOT, "nearfield")):
+        if not folder.endswith("llm"):
+            for f in files:
+                if f.endswith(".py"):
+                    assert "nearfield.llm" not in open(os.path.join(folder, f)).read()
