@@ -3,16 +3,19 @@
 Every order ends with the row number, so results do not depend on partitioning. One query plans as
 TakeOrderedAndProject without a shuffle of rows.
 
-Many queries: the queries go to the tasks in blocks of BLOCK, which bounds what is broadcast; each row is scored against
-the block in the JVM, and row_number <= k has a partial limit before its one shuffle by (query, salt). Salts spread the
-rows of a query when there are few queries.
+Many queries go to the tasks in blocks of BLOCK, which bounds what is sent. Exact: each task multiplies its rows with the
+block in numpy and passes on, for each query, the rows that reach its k-th best score up to a rounding error; these
+few are scored again in the JVM as one query would be, so both give the same results. By codes: each row is compared with
+the block in the JVM. Either way row_number <= k has a partial limit before its one shuffle by (query, salt).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +106,50 @@ def post_filtered(table: VectorTable, query: Sequence[float], top_k: int, predic
     return wide.where(predicate).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
+def _shortlist(queries: np.ndarray, metric: str, k: int, skip: list[str] | None):
+    """Of a partition's rows, those that may be among the k best of each query; skip: an id for each query to leave out."""
+    lengths = np.sqrt((queries**2).sum(1))
+
+    def scores(v: np.ndarray) -> np.ndarray:
+        products = v @ queries.T
+        if metric == "dot":
+            return products
+        squares = (v**2).sum(1)[:, None]
+        if metric == "euclidean":
+            return -(squares + lengths**2 - 2 * products)
+        norms = np.sqrt(squares) * lengths
+        return np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((k, len(queries)), -np.inf)
+        places: dict[str, list[int]] = {}
+        for j, i in enumerate(skip or ()):
+            places.setdefault(i, []).append(j)
+        size = 0.0  # the largest that a sum of products may be, which bounds its rounding error
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            s = scores(v)
+            if places:
+                for n, i in enumerate(batch.column("id").to_pylist()):
+                    s[n, places.get(i, [])] = -np.inf
+            high = s if len(s) <= k else np.partition(s, len(s) - k, axis=0)[-k:]
+            best = np.sort(np.concatenate([best, high]), axis=0)[-k:]
+            size = max(size, v.shape[1] * max(1.0, float(np.abs(v).max()), float(np.abs(queries).max(initial=0))) ** 2)
+            row, q = np.nonzero((s >= best[0] - 1e-12 * size) & (s > -np.inf))
+            rows = np.unique(row)
+            held.append((np.searchsorted(rows, row), q, s[row, q], batch.take(pa.array(rows))))
+        for row, q, s, batch in held:
+            keep = s >= best[0][q] - 1e-12 * size
+            if keep.any():
+                chosen = batch.take(pa.array(row[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep], pa.int32()), *(chosen.column(c) for c in ("id", "row_index", "vector"))], names=["q", "id", "row_index", "vector"])
+
+    return run
+
+
 def search_batch(
     table: VectorTable, queries: DataFrame, top_k: int = TOP_K, *, metric: str | None = None, exclude_self: bool = False, where: Column | None = None, salts: int = 8, algorithm: str = "exact", rerank_factor: float = RERANK,
 ) -> DataFrame:
@@ -110,10 +157,10 @@ def search_batch(
 
     exclude_self leaves out the row whose id is the query's. Queries are collected; they are the stated query set.
     """
-    given = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("query").cast("array<double>").alias("query")).toLocalIterator()
+    stated = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("query").cast("array<double>").alias("query")).toLocalIterator()
     spark, blocks, block = table.rows.sparkSession, [], []
     plan = None
-    for r in given:
+    for r in stated:
         p = plan_search(table, r["query"], top_k, metric, rerank_factor, None, algorithm)
         plan = plan or p
         block.append((r["query_id"], p.query, [w - (1 << 64) if w >> 63 else w for w in p.code]))
@@ -135,11 +182,17 @@ def search_batch(
 
     out = []
     for b in blocks:
+        given = spark.createDataFrame([(n, *x) for n, x in enumerate(b)], f"q int, {schema}")
+        if plan.exact:
+            asked = np.array([x[1] for x in b], np.float64).reshape(len(b), table.meta.dimension)
+            near = rows.select("id", "row_index", "vector").mapInArrow(_shortlist(asked, plan.scoring, top_k, [x[0] for x in b] if exclude_self else None), "q int, id string, row_index bigint, vector array<float>")
+            scored = near.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts))).join(F.broadcast(given), "q").select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), plan.scoring).alias("score"))
+            out.append(best(scored, top_k, best_first("score", plan.metric)).select("query_id", "rank", "id", "score", "row_index"))
+            continue
         pairs = rows.join(F.broadcast(spark.createDataFrame(b, schema)))  # at most BLOCK queries
         if exclude_self:
             pairs = pairs.where(F.col("id") != F.col("query_id"))
-        if not plan.exact:
-            pairs = best(pairs.withColumn("hamming", hamming(F.col("vector_bin"), F.col("code"))), plan.pool, F.col("hamming").asc())
+        pairs = best(pairs.withColumn("hamming", hamming(F.col("vector_bin"), F.col("code"))), plan.pool, F.col("hamming").asc())
         scored = pairs.select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), plan.scoring).alias("score"))
         out.append(best(scored, top_k, best_first("score", plan.metric)).select("query_id", "rank", "id", "score", "row_index"))
     return reduce(DataFrame.unionByName, out)
