@@ -29,7 +29,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, EPOCHS = 1.5, 2.0
 BLOCK = 4096
 #: Mean rows of a cell, and slots of a cell.
-CELL_ROWS, CELL_SLOTS = 20_000, 4096
+CELL_ROWS, CELL_SLOTS = 2_000, 4096
 #: More sources than this are an error: their table is broadcast and every slot looks its source up in it.
 MOST_SOURCES = 20_000
 #: The schedule has so many times the slots that the targets need, and MORE besides; discrepancy is far below.
