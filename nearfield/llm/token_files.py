@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import stored, text_of
 
 BLOCK = 1 << 16
-#: Chunks of one generation that a worker remembers; there are two.
-CACHE = 3 << 17
+#: Chunks that a worker remembers before it starts anew; about 0.2 GB.
+CACHE = 3 << 18
 SHARD_ROWS = 5_000
 
 BLOCKS = "shard int, block int, n_tokens int, bits int, block_ids int, doc_ids array<bigint>, doc_starts array<bigint>, doc_lens array<bigint>, payload binary"
@@ -86,7 +86,6 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -120,11 +119,8 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
         if len(self.chunks) > CACHE:
-            self.chunks, self.older = {}, self.chunks
-        new = set().union(*split).difference(self.chunks)
-        again = new.intersection(self.older)
-        self.chunks.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        self._learn(new - again)
+            self.chunks = {}
+        self._learn(set().union(*split).difference(self.chunks))
         get = self.chunks.__getitem__
         return [b"".join(map(get, cs)) for cs in split]
 

@@ -9,9 +9,9 @@ through a logistic regression, and tokens at 0.5 or more give the offending offs
 Tokens without a marker all have the same potential, so a stretch of them is a power of one 2 x 2 matrix: inference
 is exact and visits marked tokens only.
 
-The model is fitted on the driver on a bounded sample (at most SAMPLE labelled rows of each class, of at most
-SAMPLE_CHARS characters each, in the order of a hash of the id); scoring is one narrow pass over all texts, and the
-model is a few thousand numbers.
+The model is fitted in one task on a bounded sample (at most SAMPLE labelled rows of each class, of at most
+SAMPLE_CHARS characters each, in the order of a hash of the id), and comes to the driver as a few thousand numbers;
+scoring is one narrow pass over all texts.
 
 Edge cases: null and empty texts have no tokens and get the score of no evidence; without labels of both
 classes every score is the share of toxic labels, or 0; labels with a null are ignored; a document with several
@@ -20,6 +20,7 @@ labels counts once for each; other columns, such as lang and source, are never r
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -70,6 +71,14 @@ class Model:
         self.step = step
         self.memo: dict[str, float] = {}
 
+    def to_json(self) -> str:
+        return json.dumps({"weights": self.weights, "moves": self.moves.tolist(), "bias": self.bias, "final": self.final})
+
+    @classmethod
+    def from_json(cls, text: str) -> Model:
+        x = json.loads(text)
+        return cls(x["weights"], np.array(x["moves"]), x["bias"], tuple(x["final"]))
+
     def weight(self, word: str) -> float:
         w = self.memo.get(word)
         if w is None:
@@ -119,11 +128,19 @@ class Model:
 
 
 def _markers(docs: list[list[str]], toxic: list[int]) -> set[str]:
-    seen, uses = (Counter(), Counter()), Counter()
+    # Toxic documents first: what few of them share is no marker, and need not be counted elsewhere.
+    first: Counter = Counter()
+    for words, y in zip(docs, toxic, strict=True):
+        if y:
+            first.update({f for w in set(words) for f in features(w)})
+    seen: tuple[Counter, Counter] = (Counter(), Counter({f: c for f, c in first.items() if c >= FEW_DOCS}))
+    uses: Counter = Counter()
+    del first
     for words, y in zip(docs, toxic, strict=True):
-        seen[y].update({f for w in set(words) for f in features(w)})
         if y:
-            uses.update(f for w in words for f in features(w))
+            uses.update(f for w in words for f in features(w) if f in seen[1])
+        else:
+            seen[0].update({f for w in set(words) for f in features(w) if f in seen[1]})
     n = [toxic.count(0), toxic.count(1)]
     odds = lambda f: np.log((seen[1][f] + 0.5) / (n[1] + 1)) - np.log((seen[0][f] + 0.5) / (n[0] + 1))
     often = lambda f, c: c >= max(MIN_DOCS, MIN_SHARE * n[1]) or c >= FEW_DOCS and uses[f] >= USES * c and not seen[0][f]
@@ -231,8 +248,18 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Model:
     # The sample is drawn among the labels; only its ids, 2 * SAMPLE at most, go to the tasks that read texts.
     drawn = known.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE).unionByName(known.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE))
     rows = docs.select("doc_id", text_of(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    got = sorted(rows.join(F.broadcast(drawn), "doc_id").select("toxic", "h", "text").collect(), key=lambda r: (r["toxic"], r["h"], r["text"]))
-    return fit([r["text"] for r in got], [r["toxic"] for r in got])
+    sample = rows.join(F.broadcast(drawn), "doc_id").select("toxic", "h", "text").repartition(1).sortWithinPartitions("toxic", "h", "text")
+    fitted = sample.mapInArrow(_fitter, "model string").first()
+    return Model.from_json(fitted["model"]) if fitted else Model()
+
+
+def _fitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the sample, which one task holds."""
+    texts, toxic = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        toxic += batch.column("toxic").to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([fit(texts, toxic).to_json()])], names=["model"])
 
 
 def _scorer(model: Model):
