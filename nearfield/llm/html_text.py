@@ -4,7 +4,8 @@ Each page is cut into text lines, one for each block. Pages are sorted by host a
 neighbour there (the one before, or the one after at the start), and their lines are aligned by a longest common
 subsequence. Shared lines are what a site repeats: they are deleted, unless the markup itself says that they belong
 to the article. Elements that markup names as menu, header, footer, sidebar, notice, advert, form, script, style or
-comment section go first, and a page that marks its article (article, main or role=main) keeps that alone.
+comment section go first. Every page is aligned; lines inside a marked article (article or main) count in the
+alignment but are not deleted by it. A marked page without a neighbour keeps its article alone.
 
 A page that equals its neighbour line by line tells nothing about the site, so nothing is deleted by it.
 
@@ -66,10 +67,16 @@ def _is_outside(tag: str, attributes: dict[str, str]) -> bool:
 
 def lines_of(page: str) -> tuple[list[str], bool]:
     """Lines of the page outside of what markup excludes, and if markup named the article (then they are its lines)."""
+    lines, inside, named = marked_lines(page)
+    return ([x for x, i in zip(lines, inside, strict=True) if i] if named else lines), named
+
+
+def marked_lines(page: str) -> tuple[list[str], list[bool], bool]:
+    """All lines of the page outside of what markup excludes, which of them lie in the article, and if markup named it."""
     low = page.lower() if "<" in page else page
     lower = low if len(low) == len(page) else None
     every: list[str] = []
-    inner: list[str] = []
+    inner: list[bool] = []
     words: list[str] = []
     skip, depth, inside, named, raw_end = "", 0, 0, False, 0
     kinds: list[bool] = []  # for each open article or main: if it is counted
@@ -80,8 +87,7 @@ def lines_of(page: str) -> tuple[list[str], bool]:
             words.clear()
             if line:
                 every.append(line)
-                if inside:
-                    inner.append(line)
+                inner.append(inside > 0)
 
     for m in _TOKEN.finditer(page):
         if m.start() < raw_end:
@@ -128,7 +134,7 @@ def lines_of(page: str) -> tuple[list[str], bool]:
             if rest.find(f"</{tag}", m.end()) >= 0:
                 skip, depth = tag, 1
     end_block()
-    return (inner, True) if named else (every, False)
+    return every, inner, named
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -154,12 +160,12 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[str], named: bool, neighbour: list[str] | None) -> str:
-    """The text of a page after its lines were compared with those of its neighbour."""
-    if named or not neighbour or lines == neighbour:
-        return "\n".join(lines)
+def main_text(lines: list[str], inside: list[bool], named: bool, neighbour: list[str] | None) -> str:
+    """The text of a page after its lines were compared with those of its neighbour; inside: lines of the marked article."""
+    if neighbour is None or lines == neighbour:
+        return "\n".join(x for x, i in zip(lines, inside, strict=True) if i or not named)
     shared = common_lines(lines, neighbour)
-    return "\n".join(x for i, x in enumerate(lines) if i not in shared)
+    return "\n".join(x for i, x in enumerate(lines) if inside[i] or i not in shared)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,15 +175,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         for page_id, url, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-            lines, named = lines_of(page)
+            lines, inside, named = marked_lines(page)
             same = last is not None and last[0] == host
             if waiting:
                 out.append((*waiting[:2], main_text(*waiting[2:], lines if same else None)))
                 waiting = None
             if same:
-                out.append((page_id, url, main_text(lines, named, last[1])))
+                out.append((page_id, url, main_text(lines, inside, named, last[1])))
             else:
-                waiting = (page_id, url, lines, named)
+                waiting = (page_id, url, lines, inside, named)
             last = (host, lines)
         yield _rows(out)
     if waiting:

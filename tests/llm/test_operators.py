@@ -207,6 +207,12 @@ def test_page_differencing(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_marked_pages_are_differenced(spark):
+    pages = [(1, "http://h.org/1", "<p>Top<main><p>same<p>one</main><p>only here<p>End"), (2, "http://h.org/2", "<p>Top<article><p>same<p>two</article><p>End"), (3, "http://h.org/3", "<p>Top<p>three<p>End"), (4, "http://lone.org/", "<p>Top<main><p>x</main>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1)).collect()}
+    assert got == {1: "same\none\nonly here", 2: "same\ntwo", 3: "three", 4: "x"}
+
+
 # ---- 5 decontamination ----
 
 
