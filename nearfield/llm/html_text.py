@@ -7,11 +7,11 @@ to the article. Elements that markup names as menu, header, footer, sidebar, not
 comment section go first. Every page is aligned; lines inside a marked article (article or main) count in the
 alignment but are not deleted by it. A marked page without a neighbour keeps its article alone.
 
-A page that equals its neighbour line by line tells nothing about the site, so nothing is deleted by it.
-
-Pages are dealt by range of (host, path, page_id), which also spreads a host that has a third of all pages; the
-neighbour is sought inside the range, so the first page of a range is paired with the one after it. A page that is
-alone of its host in its range has no neighbour and keeps what the markup leaves.
+Pages of a host with equal lines are one class, which stands at its first page; the neighbour is the nearest class, so
+copies do not hide the site's lines from each other and all get the same lines deleted. Classes carry a hash for each
+line and are dealt by range of (host, path, page_id), which also spreads a host that has a third of all pages. The classes
+at the borders of ranges (three a range at most) are stored and paired on the driver, so results do not depend on the
+ranges. The result is joined back to all pages. A host with a single class keeps what the markup leaves.
 
 Edge cases: null html is the empty page; null URLs are of one empty host; unclosed elements end at the end of the
 page and an unclosed menu or the like does not swallow what follows; very long pages are handled whole; equal pages
@@ -23,13 +23,15 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import text_of
+from nearfield.llm.common import stored, text_of
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -160,48 +162,101 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[str], inside: list[bool], named: bool, neighbour: list[str] | None) -> str:
-    """The text of a page after its lines were compared with those of its neighbour; inside: lines of the marked article."""
-    if neighbour is None or lines == neighbour:
-        return "\n".join(x for x, i in zip(lines, inside, strict=True) if i or not named)
-    shared = common_lines(lines, neighbour)
-    return "\n".join(x for i, x in enumerate(lines) if inside[i] or i not in shared)
+def _shared(lines: list, neighbour: list | None) -> list[bool] | None:
+    """For each line, if the neighbour shares it."""
+    if neighbour is None:
+        return None
+    at = common_lines(lines, neighbour)
+    return [i in at for i in range(len(lines))]
+
 
+def _key(lines: list[str], size: int) -> bytes:
+    return blake2b("\n".join(lines).encode(), digest_size=size).digest()
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host and path; one row waits for the next as long as it has no neighbour before it."""
-    last: tuple[str, list[str]] | None = None  # host and lines of the row before
-    waiting: tuple | None = None
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        for page_id, url, host, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-            lines, inside, named = marked_lines(page)
-            same = last is not None and last[0] == host
-            if waiting:
-                out.append((*waiting[:2], main_text(*waiting[2:], lines if same else None)))
-                waiting = None
-            if same:
-                out.append((page_id, url, main_text(lines, inside, named, last[1])))
-            else:
-                waiting = (page_id, url, lines, inside, named)
-            last = (host, lines)
-        yield _rows(out)
+        found = [marked_lines(x) for x in batch.column("html").to_pylist()]
+        lines, inside, named = (pa.array([x[n] for x in found], t) for n, t in enumerate((pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_())))
+        keys = pa.array([_key(x[0], 16) for x in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), keys, lines, inside, named], names=["page_id", "url", "host", "key", "lines", "inside", "named"])
+
+
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with 64-bit hashes of their lines; a page without lines tells nothing about the site."""
+    for batch in batches:
+        found = [(n, lines) for n, x in enumerate(batch.column("html").to_pylist()) if (lines := marked_lines(x)[0])]
+        own = batch.take(pa.array([n for n, _ in found], pa.int64()))
+        keys = pa.array([_key(lines, 16) for _, lines in found], pa.binary())
+        hashes = pa.array([[int.from_bytes(_key([x], 8), "little", signed=True) for x in lines] for _, lines in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("host", "path", "page_id")), keys, hashes], names=["host", "path", "page_id", "key", "hashes"])
+
+
+def _paired(classes: Iterable[tuple]) -> Iterator[tuple]:
+    """(class, shared) of sorted classes (host, key, hashes, ...): with the one before, or the one after at the start of a host."""
+    last = waiting = None
+    for c in classes:
+        same = last is not None and last[0] == c[0]
+        if waiting:
+            yield waiting, _shared(waiting[2], c[2] if same else None)
+            waiting = None
+        if same:
+            yield c, _shared(c[2], last[2])
+        else:
+            waiting = c
+        last = c
     if waiting:
-        yield _rows([(*waiting[:2], main_text(*waiting[2:], None))])
+        yield waiting, None
+
+
+_FOUND = "host string, key binary, shared array<boolean>, hashes array<bigint>, part int, place int, open boolean"
+
+
+def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of a range's classes (place 0), and its first, second and last class with hashes; other ranges decide on an open one."""
+    part, rows = TaskContext.get().partitionId(), (c for b in batches for c in zip(*(b.column(x).to_pylist() for x in ("host", "key", "hashes")), strict=True))
+    out: list[tuple] = []
+    ends: list[tuple] = []
+    held: tuple | None = None  # the last class so far and its result
+    for n, (c, shared) in enumerate(_paired(rows)):
+        if held:
+            out.append((*held[0][:2], held[1], None, part, 0, False))
+        if len(out) >= 1000:
+            yield _rows(out)
+            out = []
+        if n < 2:
+            ends.append((*c[:2], None, c[2], part, n + 1, not n))
+        held = (c, shared) if n else None
+    if held:
+        c, shared = held
+        last = (*c[:2], None, c[2], part, 3, shared is None)  # the next range may begin with its host
+        ends = ends[: 1 if ends[1][:2] == c[:2] else 2] + [last]
+        if shared is not None:
+            out.append((*c[:2], shared, None, part, 0, False))
+    yield _rows(out + ends)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["page_id", "url", "text"])
+    kinds = {"host": pa.string(), "key": pa.binary(), "shared": pa.list_(pa.bool_()), "hashes": pa.list_(pa.int64()), "part": pa.int32(), "place": pa.int32(), "open": pa.bool_()}
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each row of pages."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     rows = pages.select(
-        "page_id", F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"),
+        F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), text_of(html_col).alias("html"),
     )
-    dealt = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id", "html")
-    out = dealt.select("page_id", "url", "host", "html").mapInArrow(_extract, "page_id bigint, url string, text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    parsed = rows.mapInArrow(_parse, "page_id bigint, url string, host string, key binary, lines array<string>, inside array<boolean>, named boolean")
+    hashed = rows.mapInArrow(_hash, "host string, path string, page_id bigint, key binary, hashes array<bigint>")
+    classes = hashed.groupBy("host", "key").agg(F.min(F.struct("path", "page_id")).alias("at"), F.first("hashes").alias("hashes")).select("host", "at.path", "at.page_id", "key", "hashes")
+    dealt = classes.repartitionByRange("host", "path", "page_id", "key").sortWithinPartitions("host", "path", "page_id", "key")
+    found = stored(dealt.mapInArrow(_pair, _FOUND), "page-classes")
+    borders = sorted(found.where("place > 0").select("host", "key", "hashes", "part", "place", "open").collect(), key=lambda r: (r["part"], r["place"]))  # three a range
+    paired = [(c["host"], c["key"], shared) for c, shared in _paired(borders) if c["open"]]
+    ends = pages.sparkSession.createDataFrame(paired, "host string, key binary, shared array<boolean>")
+    shared = found.where("place = 0").select("host", "key", "shared").unionByName(ends)
+    kept = F.filter("lines", lambda _, i: F.get("inside", i) | F.when(F.col("shared").isNull(), ~F.col("named")).otherwise(~F.get("shared", i)))
+    return parsed.join(shared, ["host", "key"], "left").select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

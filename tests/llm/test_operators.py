@@ -213,6 +213,46 @@ def test_marked_pages_are_differenced(spark):
     assert got == {1: "same\none\nonly here", 2: "same\ntwo", 3: "three", 4: "x"}
 
 
+def plain_differencing(pages):
+    """Texts by one pass over all classes of pages, without ranges."""
+    marked = [(u.split("/")[2], u.split(u.split("/")[2], 1)[1], i, *html_text.marked_lines(h)) for i, u, h in pages]
+    first = {}
+    for host, path, i, lines, _, _ in sorted(marked):
+        if lines:
+            first.setdefault((host, tuple(lines)), (host, path, i))
+    order = sorted(first, key=first.get)
+    out = {}
+    for host, _, i, lines, inside, named in marked:
+        n = order.index((host, tuple(lines))) if lines else 0
+        near = [order[m][1] for m in (n - 1, n + 1) if lines and 0 <= m < len(order) and order[m][0] == host]
+        shared = html_text.common_lines(lines, list(near[0])) if near else range(0 if not named else len(lines))
+        out[i] = "\n".join(x for k, x in enumerate(lines) if inside[k] or k not in shared)
+    return out
+
+
+def test_copies_and_ranges_are_differenced(spark):
+    pages = [(1, "http://h.org/a/1", "<p>Menu<p>one<p>Foot"), (2, "http://h.org/a/2", "<p>Menu<p>two<p>Foot"), *((i, f"http://h.org/a/{i}", "<p>Menu<p>two<p>Foot") for i in range(3, 40))]
+    schema = "page_id bigint, url string, html string"
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, schema)).collect()}
+    assert got == {1: "one"} | {i: "two" for i in range(2, 40)}
+    rng = random.Random(3)
+    pages = []
+    for i in range(300):
+        host = rng.choice(["big.org"] * 4 + [f"s{j}.org" for j in range(40)])
+        words = [f"{host} menu", *(f"w{rng.randint(0, 3)}" for _ in range(rng.randint(0, 3))), f"{host} foot"]
+        mark = rng.random() < 0.3
+        pages.append((i, f"http://{host}/{rng.randint(0, 50):02}", "" if rng.random() < 0.05 else "<p>".join(["", words[0]]) + ("<main>" if mark else "") + "".join(f"<p>{w}" for w in words[1:-1]) + ("</main>" if mark else "") + f"<p>{words[-1]}"))
+    want = plain_differencing(pages)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (1, 4, 60, 400):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(pages, schema)).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # ---- 5 decontamination ----
 
 
