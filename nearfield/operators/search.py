@@ -5,8 +5,8 @@ TakeOrderedAndProject without a shuffle of rows.
 
 Many queries go to the tasks in blocks of BLOCK, which bounds what is sent. Exact: each task multiplies its rows with the
 block in numpy and passes on, for each query, the rows that reach its k-th best score up to a rounding error; these
-few are scored again in the JVM as one query would be, so both give the same results. By codes: each row is compared with
-the block in the JVM. Either way row_number <= k has a partial limit before its one shuffle by (query, salt).
+few are scored again in the JVM as one query would be, so both give the same results. By codes: each task passes on the pool
+of each query as row numbers, and the rows that stay in it are joined back. Either way row_number <= k has a partial limit before its one shuffle by (query, salt).
 """
 
 from __future__ import annotations
@@ -150,30 +150,66 @@ def _shortlist(queries: np.ndarray, metric: str, k: int, skip: list[str] | None)
     return run
 
 
+def _nearest_codes(codes: list[list[int]], pool: int, skip: list[str] | None, clusters: list[list[int]] | None):
+    """Of a partition's rows, the pool nearest to each code, of equals the lower row; clusters: what each query may read."""
+    asked = np.array(codes, np.int64).view(np.uint64).reshape(len(codes), -1 if codes else 1)
+    last = np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.empty((0, len(asked)), np.int64)  # the distance above 40 bits of the row number
+        places: dict[str, list[int]] = {}
+        for j, i in enumerate(skip or ()):
+            places.setdefault(i, []).append(j)
+        allowed = np.zeros((len(asked), 1 + max((c for x in clusters or () for c in x), default=0)), bool)
+        for j, x in enumerate(clusters or ()):
+            allowed[j, x] = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = batch.column("vector_bin").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+            keys = sum(np.bitwise_count(words[:, w, None] ^ asked[None, :, w]).astype(np.int64) for w in range(words.shape[1])) << 40
+            keys |= batch.column("row_index").to_numpy()[:, None]
+            if clusters is not None:
+                c = batch.column("cluster_id").to_numpy()
+                keys[~(allowed[:, np.minimum(c, allowed.shape[1] - 1)].T & (c < allowed.shape[1])[:, None])] = last
+            if places:
+                for n, i in enumerate(batch.column("id").to_pylist()):
+                    keys[n, places.get(i, [])] = last
+            best = np.concatenate([best, keys])
+            if len(best) > pool:
+                best = np.partition(best, pool - 1, axis=0)[:pool]
+        q, key = (x[best.T < last] for x in (np.broadcast_to(np.arange(len(asked))[:, None], best.T.shape), best.T))
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(key & ((1 << 40) - 1), pa.int64()), pa.array(key >> 40, pa.int32())], names=["q", "row_index", "hamming"])
+
+    return run
+
+
 def search_batch(
-    table: VectorTable, queries: DataFrame, top_k: int = TOP_K, *, metric: str | None = None, exclude_self: bool = False, where: Column | None = None, salts: int = 8, algorithm: str = "exact", rerank_factor: float = RERANK,
+    table: VectorTable, queries: DataFrame, top_k: int = TOP_K, *, metric: str | None = None, exclude_self: bool = False, where: Column | None = None, salts: int = 8, algorithm: str = "exact", rerank_factor: float = RERANK, probe: float | None = None,
+    by_cluster: bool = False,
 ) -> DataFrame:
     """query_id, rank, id, score, row_index of the top_k for each of queries(query_id, query): exact, or by codes with a rerank.
 
+    by_cluster: codes of a clustered table are compared in the clusters that probe chooses for each query, as in search.
     exclude_self leaves out the row whose id is the query's. Queries are collected; they are the stated query set.
     """
     stated = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("query").cast("array<double>").alias("query")).toLocalIterator()
     spark, blocks, block = table.rows.sparkSession, [], []
     plan = None
     for r in stated:
-        p = plan_search(table, r["query"], top_k, metric, rerank_factor, None, algorithm)
+        p = plan_search(table, r["query"], top_k, metric, rerank_factor, probe, algorithm)
         plan = plan or p
-        block.append((r["query_id"], p.query, [w - (1 << 64) if w >> 63 else w for w in p.code]))
+        block.append((r["query_id"], p.query, [w - (1 << 64) if w >> 63 else w for w in p.code], p.clusters))
         if len(block) == BLOCK:
             blocks.append(block)
             block = []
     if block or not blocks:
         blocks.append(block)
     if plan is None:
-        plan = plan_search(table, [0.0] * table.meta.dimension, top_k, metric, rerank_factor, None, algorithm)
+        plan = plan_search(table, [0.0] * table.meta.dimension, top_k, metric, rerank_factor, probe, algorithm)
     rows = table.rows if where is None else table.rows.where(where)
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts)))
-    schema = "query_id string, query array<double>, code array<bigint>"
+    schema = "query_id string, query array<double>, code array<bigint>, clusters array<int>"
 
     def best(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
         """The first k of each query: in each salt first, then of what is left."""
@@ -189,10 +225,10 @@ def search_batch(
             scored = near.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts))).join(F.broadcast(given), "q").select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), plan.scoring).alias("score"))
             out.append(best(scored, top_k, best_first("score", plan.metric)).select("query_id", "rank", "id", "score", "row_index"))
             continue
-        pairs = rows.join(F.broadcast(spark.createDataFrame(b, schema)))  # at most BLOCK queries
-        if exclude_self:
-            pairs = pairs.where(F.col("id") != F.col("query_id"))
-        pairs = best(pairs.withColumn("hamming", hamming(F.col("vector_bin"), F.col("code"))), plan.pool, F.col("hamming").asc())
+        chosen = [x[3] for x in b] if by_cluster and plan.clusters is not None else None
+        near = rows.select("id", "row_index", "vector_bin", *(["cluster_id"] if chosen else [])).mapInArrow(_nearest_codes([x[2] for x in b], plan.pool, [x[0] for x in b] if exclude_self else None, chosen), "q int, row_index bigint, hamming int")
+        pairs = best(near.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts))).join(F.broadcast(given.select("q", "query_id")), "q"), plan.pool, F.col("hamming").asc())
+        pairs = pairs.select("q", "row_index", "salt").join(rows.select("id", "row_index", "vector"), "row_index").join(F.broadcast(given), "q")
         scored = pairs.select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), plan.scoring).alias("score"))
         out.append(best(scored, top_k, best_first("score", plan.metric)).select("query_id", "rank", "id", "score", "row_index"))
     return reduce(DataFrame.unionByName, out)

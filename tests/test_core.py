@@ -299,3 +299,21 @@ def test_cancel(spark):
     with tagged(spark, "some-search"):
         assert spark.range(5).count() == 5
     assert cancel(spark, "some-search") == []
+
+
+def test_evaluations_take_the_stated_queries(spark, monkeypatch):
+    from nearfield import queries
+
+    for name, f, place in (("parameter_sweep", "sweep", 1), ("cold_and_warm", "cold_and_warm", 1), ("write_ablation", "build_ablation", 3)):
+        monkeypatch.setattr(evaluate, f, lambda *a, place=place, **_: a[place])
+        got = queries.QUERY_MAP[name](spark, "/root/testdata/sf0.1").collect()
+        assert sorted(int(r["query_id"]) for r in got) == list(range(0, 2000, 50))
+
+
+def test_batch_by_cluster_is_many_searches(spark):
+    rows = make_vectors(300, 16, 5)
+    t = table.write_vectors(frame(spark, rows), scratch(spark, "batch-clusters"), 16, order_by=("n",), clusters=6)
+    asked = rows[::50]
+    got = search_batch(t, spark.createDataFrame([(i, v) for _, i, v in asked], "query_id string, query array<float>"), 5, algorithm="binary", rerank_factor=2, probe=0.4, by_cluster=True).collect()
+    for _, i, v in asked:
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == ids(search(t, v, 5, rerank_factor=2, probe=0.4))
