@@ -30,6 +30,16 @@ def recall_micro(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return _hits(truth, found, k).agg(F.lit(k).alias("k"), (F.sum("hits") / F.sum("total")).alias("recall"))
 
 
+def factor_for(table: VectorTable, queries: DataFrame, truth: DataFrame, k: int, recall: float = 0.9, **options) -> tuple[float, float]:
+    """The first of the rerank factors 10, 20, 40, ... that reaches the micro recall over all queries, and that recall."""
+    n, factor = table.rows.count(), 10
+    while True:
+        got = recall_micro(truth, search_batch(table, queries, k, algorithm="binary", rerank_factor=factor, **options), k).first()["recall"]
+        if got >= recall or factor * k >= n:
+            return factor, got
+        factor *= 2
+
+
 def hits_and_mrr(results: DataFrame, targets: DataFrame) -> DataFrame:
     """hits1, hits10, mrr10 of targets(query_id, target_id): the share ranked first, ranked at all, and the mean of 1 / rank."""
     rank = targets.join(results.where("rank <= 10"), (results["query_id"] == targets["query_id"]) & (results["id"] == targets["target_id"]), "left").select(results["rank"])

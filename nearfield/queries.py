@@ -514,6 +514,27 @@ def recall_micro(spark, d):
     return evaluate.recall_micro(*_truth_found(spark, d), K).withColumn("recall", F.round("recall", PLACES))
 
 
+def _reached(spark: SparkSession, d: str, t: VectorTable, *probes: float) -> DataFrame:
+    """The first probe, and the least factor with it, whose recall over the stated queries is 0.9; the last probe reads all clusters."""
+    q = _stated(spark, d).persist()
+    truth = search.search_batch(t, q, K).persist()
+    for probe in probes:
+        factor, recall = evaluate.factor_for(t, q, truth, K, probe=probe, by_cluster=bool(t.meta.clusters))
+        if recall >= 0.9:
+            break
+    return spark.createDataFrame([(K, q.count(), t.meta.clusters, probe, factor, recall)], "k int, queries bigint, clusters int, probe double, rerank_factor int, recall double")
+
+
+@query()
+def recall_rerank(spark, d):
+    return _reached(spark, d, _table(_coded(spark, d)), 1.0)
+
+
+@query()
+def recall_clustered(spark, d):
+    return _reached(spark, d, _clustered(spark, d), 0.875, 1.0)
+
+
 @query(
     f"with r as ({_BATCH_RANKED.format(_BATCH + ' and e.vec_id <> q.vec_id', K)}), t as (select q.vec_id::varchar as query_id, min(e.vec_id)::varchar as target_id from embeddings q join embeddings e on e.label = q.label and e.vec_id <> q.vec_id where q.vec_id in {QUERIES} group by 1), "
     f"j as (select t.query_id, r.rank from t left join r on r.query_id = t.query_id and r.id = t.target_id) select round(avg((coalesce(rank, 0) = 1)::int::double), {PLACES}) as hits1, round(avg((rank is not null)::int::double), {PLACES}) as hits10, round(avg(coalesce(1.0 / rank, 0)), {PLACES}) as mrr10 from j"

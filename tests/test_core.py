@@ -317,3 +317,11 @@ def test_batch_by_cluster_is_many_searches(spark):
     got = search_batch(t, spark.createDataFrame([(i, v) for _, i, v in asked], "query_id string, query array<float>"), 5, algorithm="binary", rerank_factor=2, probe=0.4, by_cluster=True).collect()
     for _, i, v in asked:
         assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == ids(search(t, v, 5, rerank_factor=2, probe=0.4))
+
+
+def test_recall_is_reached(spark):
+    from nearfield import queries
+
+    for name in ("recall_rerank", "recall_clustered"):
+        r = queries.QUERY_MAP[name](spark, "/root/testdata/sf0.1").first()
+        assert r["queries"] == 40 and r["recall"] >= 0.9 and r["rerank_factor"] > 10
