@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nearfield.llm import line_dedup, mixing
+from nearfield.llm import line_dedup
 
 
 def _op7() -> str:
@@ -31,40 +31,38 @@ select page_id, host, n_lines::bigint as n_lines, (n_lines - len(kept))::bigint
 """
 
 
-def _op8() -> str:
-    n = len(mixing.WEIGHTS)
-    weight = f"[{', '.join(map(str, mixing.WEIGHTS))}][((rnk % {n}) + 1)::int]"
-    return f"""
+#: Targets by sharing again and again until none is above its cap; the schedule by the points of each source's share.
+_OP8 = """
 with recursive rows as (
-  select doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 'w', 'g'), '[^w]', '', 'g'))::bigint as size from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size from documents),
 sources as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source is null, encode(source)) - 1 as rnk from rows group by source),
-weighed as (select *, {weight} as weight, source_size * {mixing.EPOCHS} as cap from sources),
-levels as (
-  select *, ({mixing.SHARE} * sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, rnk rows between unbounded preceding and 1 preceding), 0))
-    / (sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, rnk rows between unbounded preceding and 1 preceding), 0)) as level
-  from weighed),
-free as (select min(row(cap / weight, rnk)) as f, arg_min(level, row(cap / weight, rnk)) as level from levels where cap / weight > level),
+weighed as (
+  select *, case rnk % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end::double as weight, 2.0::double * source_size as cap, (1.5::double * (select sum(source_size) from sources))::double as whole from sources),
+fill as (
+  select rnk, weight, cap, whole, false as full_now, -1.0::double as level, 0 as step from weighed
+  union all
+  select rnk, weight, cap, whole, full_now or weight * lv > cap, lv, step + 1 from (
+    select *, (whole - coalesce(sum(cap) filter (full_now) over (), 0)) / (sum(weight) filter (not full_now) over ()) as lv from fill) as x where lv is not null and lv <> level),
 goal as (
-  select source, rnk, source_size, case when free.f is not null and row(cap / weight, rnk) >= free.f then weight * free.level else cap end as target from levels, free),
-bounds as (select *, sum(target) over (order by rnk) - target as low, sum(target) over (order by rnk) as high from goal),
-whole as (select max(high) as w, ({mixing.SHARE} * sum(source_size) / {mixing.BLOCK} * {mixing.SLACK})::double as s from bounds),
-slots as (
-  select i as slot, (list_sum(list_transform(range(0, {mixing._BITS}), lambda b: (((i >> b) & 1) << ({mixing._BITS - 1} - b))::double)) / {float(1 << mixing._BITS)}) * w as point
-  from whole, unnest(range(0, floor(s)::bigint + {mixing.MORE})) as t(i)),
-ranked as (
-  select slot, rnk, row_number() over (partition by rnk order by slot) - 1 as place
-  from slots join bounds on slots.point < bounds.high and slots.point >= coalesce((select max(b.high) from bounds b where b.rnk < bounds.rnk), 0)),
+  select s.source, s.rnk, s.source_size, case when f.full_now then f.cap else f.weight * f.level end as target
+  from weighed s join fill f using (rnk) where f.step = (select max(step) from fill)),
+blocks as (select rnk, ceil(target / 4096)::bigint as n from goal where target > 0),
+shares as (select rnk, n, (sum(n) over (order by rnk) - n)::hugeint as low, (sum(n) over (order by rnk))::hugeint as high, (sum(n) over ())::hugeint as total from blocks),
+bits as (select greatest(1, ceil(log2(max(total)))::int) as b from shares),
+points as (select rnk, n, b, unnest(range(((low * (1::hugeint << b) + total - 1) // total)::bigint, ((high * (1::hugeint << b) + total - 1) // total)::bigint)) as k from shares, bits),
+slots as (select rnk, n, list_sum(list_transform(range(0, b), lambda i: ((k >> i) & 1) << (b - 1 - i)))::bigint as slot from points),
+ranked as (select rnk, slot, row_number() over (partition by rnk order by slot) - 1 as place from slots qualify place < n),
 placed as (
   select r.*, g.rnk, g.source_size, g.target,
     coalesce(sum(size) over (partition by g.rnk order by md5(coalesce(doc_id::varchar, '')), doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
   from rows r join goal g on r.source is not distinct from g.source),
 cut as (
   select doc_id, rnk, start, start + source_size * k as low, least(start + source_size * k + size, floor(target)::bigint) as high
-  from placed, unnest(range(0, {int(mixing.EPOCHS)})) as e(k) where size > 0 and start + source_size * k < target),
+  from placed, (values (0), (1)) as e(k) where size > 0 and start + source_size * k < target),
 taken as (
-  select c.rnk, c.start, sum(greatest(0, least(high, (place + 1) * {mixing.BLOCK}) - greatest(low, place * {mixing.BLOCK})))::bigint as taken, min(slot) as first_slot
-  from cut c join ranked s on c.rnk = s.rnk and s.place between c.low // {mixing.BLOCK} and greatest(c.low // {mixing.BLOCK}, (c.high - 1) // {mixing.BLOCK})
+  select c.rnk, c.start, sum(greatest(0, least(high, (place + 1) * 4096) - greatest(low, place * 4096)))::bigint as taken, min(slot) as first_slot
+  from cut c join ranked s on c.rnk = s.rnk and s.place between c.low // 4096 and greatest(c.low // 4096, (c.high - 1) // 4096)
   group by c.rnk, c.start)
 select p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0)::bigint as taken, coalesce(t.first_slot, -1)::bigint as first_slot
 from placed p left join taken t on p.size > 0 and p.rnk = t.rnk and p.start = t.start
@@ -91,4 +89,4 @@ from documents d left join sizes s on s.doc_id = d.doc_id left join least_id l o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": _op7(), "op8_source_mix": _op8(), "op9_near_duplicates": _OP9}
+    return {"op7_line_dedup": _op7(), "op8_source_mix": _OP8, "op9_near_duplicates": _OP9}

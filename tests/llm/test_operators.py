@@ -405,9 +405,10 @@ def test_mixing(docs, rows, none, monkeypatch):
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
     assert mixing.mix(none).count() == mixing.mix(docs.where("doc_id = 0")).count() - 1 == 0
-    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mix(docs)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 1)
+    monkeypatch.setattr(mixing, "FAN", 1)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).collect()))
     monkeypatch.undo()
     repeated = mixing.repeat_by_share(docs.where("doc_id > 6"))
     assert repeated.columns == docs.columns and repeated.count() > 0
@@ -421,9 +422,29 @@ def test_rows_without_an_id(spark):
     assert decontamination.contaminated(df, spark.createDataFrame([(None, "two three four five six")], "item_id bigint, text string")).count() == 2
 
 
+def test_small_sources_reach_their_targets(spark):
+    sources = [("big", 10_000_000), *((f"small-{i:02}", 100) for i in range(20)), ("none", 0)]
+    goal = mixing.targets(spark.createDataFrame(sources, "source string, source_size bigint"))
+    target = {r["rank"]: r["target"] for r in goal.collect()}
+    assert sorted(target.values())[:2] == [0.0, 200.0] and len(target) == 22
+    slots = mixing.schedule(goal).collect()
+    assert len({r["slot"] for r in slots}) == len(slots)
+    for rank, t in target.items():
+        assert sorted(r["place"] for r in slots if r["rank"] == rank) == list(range(math.ceil(t / mixing.BLOCK)))
+        order = sorted((r["slot"], r["place"]) for r in slots if r["rank"] == rank)
+        assert [p for _, p in order] == list(range(len(order)))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("if(id < 3980, 'big', 'small-' || id)").alias("source"), F.expr("if(id < 3980, repeat('w ', 2500), 'a b c')").alias("text"))
+    got = mixing.mix(docs).collect()
+    assert {r["taken"] for r in got if r["source"] != "big"} == {6}
+    assert abs(sum(r["taken"] for r in got if r["source"] == "big") - next(r["target"] for r in got if r["source"] == "big")) <= 1
+
+
 def test_van_der_corput(spark):
-    points = [r["p"] for r in spark.range(8).select(mixing.van_der_corput(F.col("id")).alias("p")).collect()]
-    assert points == [0, 0.5, 0.25, 0.75, 0.125, 0.625, 0.375, 0.875]
+    slots = [r["p"] for r in spark.range(8).select(mixing.reversed_bits(F.col("id"), 3).alias("p")).collect()]
+    assert slots == [0, 4, 2, 6, 1, 5, 3, 7]
+    far = [(1 << 33) + 5, (1 << 61) + 3, (1 << 62) - 1]
+    got = [r["p"] for r in spark.createDataFrame([(x,) for x in far], "k bigint").select(mixing.reversed_bits(F.col("k"), 62).alias("p")).collect()]
+    assert got == [int(f"{x:062b}"[::-1], 2) for x in far]
 
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
