@@ -1,11 +1,13 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Each page is cut into text lines, one for each block. Pages are sorted by host and URL path, a page is paired with its
-neighbour there (the one before, or the one after at the start), and their lines are aligned by a longest common
-subsequence. Shared lines are what a site repeats: they are deleted, unless the markup itself says that they belong
-to the article. Elements that markup names as menu, header, footer, sidebar, notice, advert, form, script, style or
-comment section go first. Every page is aligned; lines inside a marked article (article or main) count in the
-alignment but are not deleted by it. A marked page without a neighbour keeps its article alone.
+Each page is cut into text lines, one for each block, menus and the like included. Pages are sorted by host and URL path, a
+page is paired with its neighbour there (the one before, or the one after at the start), and their lines are aligned by
+a longest common subsequence. Shared lines are what a site repeats: they are deleted, unless they lie in the marked
+article. That decides first and on every page. Markup is the second signal, for lines that no neighbour repeats: what is
+left in elements that it names as menu, header, footer, sidebar, notice, advert, form or comment section goes too, and a
+marked page without a neighbour keeps its article alone. Lines inside a marked article (article, main or role=main)
+count in the alignment but are not deleted by it, as articles of a site do share sentences. Scripts, styles and other
+content that is no text never make lines.
 
 Pages of a host with equal lines are one class, which stands at its first page; the neighbour is the nearest class, so
 copies do not hide the site's lines from each other and all get the same lines deleted. Classes carry a hash for each
@@ -13,6 +15,9 @@ line and are dealt by range of (host, path, page_id), which also spreads a host
 at the borders of ranges (three a range at most) are stored and paired on the driver, so results do not depend on the
 ranges. The result is joined back to all pages. A host with a single class keeps what the markup leaves.
 
+The alignment runs on bits, 30 lines a step, and keeps SPLIT bits at most, beyond which it halves the lines (Hirschberg);
+tags are cut in one pass that never looks back. So a page of many equal lines or unclosed tags costs no more than others.
+
 Edge cases: null html is the empty page; null URLs are of one empty host; unclosed elements end at the end of the
 page and an unclosed menu or the like does not swallow what follows; very long pages are handled whole; equal pages
 keep a row each; an empty table gives an empty result; other columns are ignored.
@@ -22,10 +27,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,8 +38,9 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.common import stored, text_of
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Comments, raw sections, declarations, whole tags, tags that the next one or the end cuts off, text.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:"[^"]*+"|'[^']*+'|[^"'<>])*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>?|[^<]++|<""", re.S)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _PART = re.compile(r"[^a-z0-9]+")
 
 #: Fixed values of HTML: elements whose content is no text, elements without content, and elements that are blocks.
@@ -49,39 +55,55 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsbygoogle banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription popup modal login signup search widget pagination pager skip".split()
 )
-_KEEP = frozenset("html body article main".split())
+#: Those that also mark a block inside a marked article, where the others name parts of its text.
+INNER_NAMES = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo cookie cookies consent gdpr notice notices sidebar sidebars menu menus nav navbar comment comments commentlist disqus newsletter".split())
+INNER_OUTSIDE = OUTSIDE - {"label", "button"}
+ARTICLE = frozenset(("article", "main"))
+#: Bits that an alignment keeps at once: 16 MB.
+SPLIT = 1 << 27
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\t\r\n") else {}
 
 
-def _is_outside(tag: str, attributes: dict[str, str]) -> bool:
-    if tag in OUTSIDE:
+def _is_outside(tag: str, attributes: dict[str, str], inside: bool = False) -> bool:
+    if tag in (INNER_OUTSIDE if inside else OUTSIDE):
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     if "hidden" in attributes or attributes.get("role", "").lower() in ROLES:
         return True
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return any(p in NAMES for p in _PART.split(names))
+    return any(p in (INNER_NAMES if inside else NAMES) for p in _PART.split(names))
+
+
+#: Where a line lies: in what markup excludes, in plain content, in the marked article.
+OUT, PLAIN, INSIDE = 0, 1, 2
 
 
 def lines_of(page: str) -> tuple[list[str], bool]:
     """Lines of the page outside of what markup excludes, and if markup named the article (then they are its lines)."""
-    lines, inside, named = marked_lines(page)
-    return ([x for x, i in zip(lines, inside, strict=True) if i] if named else lines), named
+    lines, kinds, named = marked_lines(page)
+    least = INSIDE if named else PLAIN
+    return [x for x, k in zip(lines, kinds, strict=True) if k >= least], named
 
 
-def marked_lines(page: str) -> tuple[list[str], list[bool], bool]:
-    """All lines of the page outside of what markup excludes, which of them lie in the article, and if markup named it."""
+def marked_lines(page: str) -> tuple[list[str], list[int], bool]:
+    """All lines of the page, where each of them lies, and if markup named the article."""
     low = page.lower() if "<" in page else page
-    lower = low if len(low) == len(page) else None
+    lower = low if len(low) == len(page) else page
     every: list[str] = []
-    inner: list[bool] = []
+    kinds: list[int] = []
     words: list[str] = []
-    skip, depth, inside, named, raw_end = "", 0, 0, False, 0
-    kinds: list[bool] = []  # for each open article or main: if it is counted
+    skip, depth, named, raw_end = "", 0, False, 0
+    articles: list[list] = []  # open articles: the tag, and how many of this tag are open since
+    closes: dict[str, int] = {}
+
+    def last_close(tag: str) -> int:
+        if tag not in closes:
+            closes[tag] = lower.rfind(f"</{tag}")
+        return closes[tag]
 
     def end_block() -> None:
         if words:
@@ -89,7 +111,7 @@ def marked_lines(page: str) -> tuple[list[str], list[bool], bool]:
             words.clear()
             if line:
                 every.append(line)
-                inner.append(inside > 0)
+                kinds.append(OUT if skip else INSIDE if articles else PLAIN)
 
     for m in _TOKEN.finditer(page):
         if m.start() < raw_end:
@@ -97,68 +119,123 @@ def marked_lines(page: str) -> tuple[list[str], list[bool], bool]:
         tag = m[2] or m[5]
         if not tag:
             piece = m[0]
-            if not skip and (piece == "<" or not piece.startswith("<")):
+            if piece == "<" or not piece.startswith("<"):
                 words.append(html.unescape(piece))
-            elif not skip and piece.startswith("<![CDATA["):
+            elif piece.startswith("<![CDATA["):
                 words.append(piece[9:].removesuffix("]]>"))
             continue
         tag, closing, raw = tag.lower(), bool(m[1] or m[4]), m[3] if m[2] else m[6]
         empty = tag in VOID or (raw.endswith("/") and tag not in BLOCKS)
-        if skip:
-            if tag == skip and not empty:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            continue
         if tag in RAW and not closing and not empty:
-            close = lower.find(f"</{tag}", m.end()) if lower is not None else page.find(f"</{tag}", m.end())
+            close = lower.find(f"</{tag}", m.end()) if last_close(tag) >= m.end() else -1
             raw_end = len(page) if close < 0 and tag in ("script", "style") else max(close, m.end())
             continue
         if tag == "br":
             words.append(" ")
         if tag in BLOCKS:
             end_block()
-        if tag in ("article", "main") or (not closing and "main" in raw.lower() and _attributes(raw).get("role", "").lower() == "main"):
-            if closing:
-                if kinds and kinds.pop():
-                    inside -= 1
-                continue
-            if tag in ("article", "main"):
-                out = _is_outside(tag, _attributes(raw))
-                if not out:
-                    kinds.append(True)
-                    inside += 1
-                    named = True
-                    continue
-        if not closing and not empty and tag not in _KEEP - {"article"} and _is_outside(tag, _attributes(raw)):
-            end_block()
-            rest = lower if lower is not None else page
-            if rest.find(f"</{tag}", m.end()) >= 0:
+        if skip:
+            if tag == skip and not empty:
+                depth += -1 if closing else 1
+                if not depth:
+                    end_block()
+                    skip = ""
+            continue
+        if closing:
+            at = next((n for n in range(len(articles) - 1, -1, -1) if articles[n][0] == tag), -1)
+            if at >= 0:
+                articles[at][1] -= 1
+                if not articles[at][1]:
+                    end_block()
+                    del articles[at:]
+            continue
+        if empty:
+            continue
+        attributes = _attributes(raw)
+        mark = tag in ARTICLE or attributes.get("role", "").lower() == "main"
+        if _is_outside(tag, attributes, bool(articles)) and tag not in ("html", "body") and not (mark and tag not in ARTICLE):
+            if last_close(tag) >= m.end():
+                end_block()
                 skip, depth = tag, 1
+        elif mark:
+            end_block()
+            named = True
+            articles.append([tag, 1])
+        elif articles and articles[-1][0] == tag:
+            articles[-1][1] += 1
     end_block()
-    return every, inner, named
-
-
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b (Hunt and Szymanski, 1977)."""
-    at: dict[str, list[int]] = {}
-    for j, line in enumerate(b):
-        at.setdefault(line, []).append(j)
-    ends: list[int] = []  # least place in b at which a common subsequence of each length ends
-    links: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(at.get(line, ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    out, link = set(), links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
+    return every, kinds, named
+
+
+class _Places:
+    """For a line, the bits of its places in b; those of frequent lines are kept."""
+
+    def __init__(self, b: list) -> None:
+        self.size = len(b)
+        self.at: dict = {}
+        self.kept: dict = {}
+        for j, line in enumerate(b):
+            self.at.setdefault(line, []).append(j)
+
+    def bits(self, line) -> int:
+        places = self.at.get(line, ())
+        if len(places) <= 64:
+            return sum(1 << j for j in places)
+        if line not in self.kept:
+            bits = np.zeros(self.size, np.uint8)
+            bits[places] = 1
+            self.kept[line] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        return self.kept[line]
+
+
+def _bit_rows(a: list, b: list) -> Iterator[int]:
+    """After each line of a: bit j is 0 if line j of b lengthens the common subsequence (Hyyro, 2004). First, all ones."""
+    places = _Places(b)
+    mask = row = (1 << len(b)) - 1
+    yield row
+    for line in a:
+        hit = row & places.bits(line)
+        row = ((row + hit) | (row - hit)) & mask
+        yield row
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of a longest common subsequence of a and each beginning of b."""
+    row = 0
+    for row in _bit_rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_lines(a: list, b: list) -> set[int]:
+    """Places in a of a longest common subsequence of a and b."""
+    low, high, end = 0, len(a), len(b)
+    while low < min(high, end) and a[low] == b[low]:
+        low += 1
+    out = set(range(low))
+    while min(high, end) > low and a[high - 1] == b[end - 1]:
+        high, end = high - 1, end - 1
+        out.add(high)
+    a, b = a[low:high], b[low:end]
+    if not a or not b:
+        return out
+    if len(a) > 1 and len(a) * len(b) > SPLIT:
+        half = len(a) // 2
+        ahead, behind = _lengths(a[:half], b), _lengths(a[: half - 1 : -1], b[::-1])[::-1]
+        cut = int(np.argmax(ahead + behind))
+        return out | {low + i for i in common_lines(a[:half], b[:cut])} | {low + half + i for i in common_lines(a[half:], b[cut:])}
+    rows = list(_bit_rows(a, b))
+    i, j = len(a), len(b)
+    while i and j:
+        bit = 1 << (j - 1)
+        if rows[i] & bit:
+            j -= 1
+        elif i > 1 and not rows[i - 1] & bit:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.add(low + i)
     return out
 
 
@@ -177,9 +254,9 @@ def _key(lines: list[str], size: int) -> bytes:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [marked_lines(x) for x in batch.column("html").to_pylist()]
-        lines, inside, named = (pa.array([x[n] for x in found], t) for n, t in enumerate((pa.list_(pa.string()), pa.list_(pa.bool_()), pa.bool_())))
+        lines, kinds, named = (pa.array([x[n] for x in found], t) for n, t in enumerate((pa.list_(pa.string()), pa.list_(pa.int32()), pa.bool_())))
         keys = pa.array([_key(x[0], 16) for x in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), keys, lines, inside, named], names=["page_id", "url", "host", "key", "lines", "inside", "named"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), keys, lines, kinds, named], names=["page_id", "url", "host", "key", "lines", "kinds", "named"])
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,13 +320,16 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages."""
+    """page_id, url, text, n_chars, n_lines, n_shared for each row of pages.
+
+    n_lines: lines of the whole page. n_shared: those that the alignment deleted.
+    """
     url = F.coalesce(F.col(url_col), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"), text_of(html_col).alias("html"),
     )
-    parsed = rows.mapInArrow(_parse, "page_id bigint, url string, host string, key binary, lines array<string>, inside array<boolean>, named boolean")
+    parsed = rows.mapInArrow(_parse, "page_id bigint, url string, host string, key binary, lines array<string>, kinds array<int>, named boolean")
     hashed = rows.mapInArrow(_hash, "host string, path string, page_id bigint, key binary, hashes array<bigint>")
     classes = hashed.groupBy("host", "key").agg(F.min(F.struct("path", "page_id")).alias("at"), F.first("hashes").alias("hashes")).select("host", "at.path", "at.page_id", "key", "hashes")
     dealt = classes.repartitionByRange("host", "path", "page_id", "key").sortWithinPartitions("host", "path", "page_id", "key")
@@ -258,5 +338,12 @@ def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     paired = [(c["host"], c["key"], shared) for c, shared in _paired(borders) if c["open"]]
     ends = pages.sparkSession.createDataFrame(paired, "host string, key binary, shared array<boolean>")
     shared = found.where("place = 0").select("host", "key", "shared").unionByName(ends)
-    kept = F.filter("lines", lambda _, i: F.get("inside", i) | F.when(F.col("shared").isNull(), ~F.col("named")).otherwise(~F.get("shared", i)))
-    return parsed.join(shared, ["host", "key"], "left").select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    # First the alignment: what the neighbour shares goes, but for lines of the marked article. Then the markup.
+    is_shared = lambda i: F.coalesce(F.get("shared", i), F.lit(False)) & (F.get("kinds", i) != INSIDE)
+    least = F.when(F.col("shared").isNull() & F.col("named"), INSIDE).otherwise(PLAIN)
+    at = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    out = parsed.join(shared, ["host", "key"], "left").withColumn("left", F.filter(at, lambda i: ~is_shared(i)))
+    kept = F.filter("left", lambda i: F.get("kinds", i) >= least)
+    text = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    n = F.size("lines").cast("long")
+    return out.select("page_id", "url", text.alias("text"), n.alias("n_lines"), (n - F.size("left")).alias("n_shared")).withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_lines", "n_shared")

@@ -143,25 +143,77 @@ def test_toxicity(spark, none):
     assert {r["predicted"] for r in toxicity.score(docs, unlabelled).collect()} == {0}
 
 
+def plain_marginals(model, words):
+    """Probability of the toxic state at every token, by a chain over all of them."""
+    own = [model.weight(x) for x in words]
+    emit = np.zeros((len(words), 2))
+    for i in range(len(words)):
+        emit[i, 1] = model.bias + own[i] + (model.beside[0] if i and own[i - 1] else 0) + (model.beside[1] if i + 1 < len(words) and own[i + 1] else 0)
+    f, b = np.zeros((len(words), 2)), np.ones((len(words), 2))
+    step = np.exp(model.moves)
+    f[0] = np.ones(2) @ step * np.exp(emit[0])
+    for t in range(1, len(words)):
+        f[t] = f[t - 1] @ step * np.exp(emit[t])
+        f[t] /= f[t].sum()
+    for t in range(len(words) - 2, -1, -1):
+        b[t] = step @ (np.exp(emit[t + 1]) * b[t + 1])
+        b[t] /= b[t].sum()
+    p = f * b
+    return (p / p.sum(1, keepdims=True))[:, 1]
+
+
 def test_marginals_match_a_full_chain():
-    model = toxicity.Model({"bad": 2.0, "worse": 3.0, "badder": -1.0}, np.array([[0.5, -0.7], [-0.3, 0.4]]), -1.0)
+    model = toxicity.Model({"bad": 2.0, "worse": 3.0, "badder": -1.0}, np.array([[0.5, -0.7], [-0.3, 0.4]]), -1.0, (0.4, -0.3))
     rng = random.Random(1)
     for n in (1, 2, 9, 40):
         w = [rng.choice(["ok", "fine", "bad", "worse", "badder"]) for _ in range(n)]
         marked = model.marked(w)
-        if not marked:
-            continue
-        emit = np.array([[0.0, model.bias + model.weight(x)] for x in w])
-        f, b = np.zeros((n, 2)), np.ones((n, 2))
-        step = np.exp(model.moves)
-        f[0] = np.ones(2) @ step * np.exp(emit[0])
-        for t in range(1, n):
-            f[t] = f[t - 1] @ step * np.exp(emit[t])
-        for t in range(n - 2, -1, -1):
-            b[t] = step @ (np.exp(emit[t + 1]) * b[t + 1])
-        p = f * b
-        p /= p.sum(1, keepdims=True)
-        assert np.allclose(model.marginals(marked, n), [p[i, 1] for i, _ in marked], atol=1e-9)
+        p = plain_marginals(model, w)
+        assert np.allclose(model.marginals(marked, n), [p[i] for i, _ in marked], atol=1e-9)
+
+
+@pytest.mark.parametrize("gap", [511, 512, 513, 900, 1000, 2600])
+def test_marginals_of_far_tokens(gap):
+    model = toxicity.Model({"bad": 4.0}, np.array([[0.01, -6.0], [-6.0, 0.01]]), 0.0)
+    words = ["bad", *["ok"] * (gap - 1), "bad", *["ok"] * 99]
+    marked, p = model.marked(words), plain_marginals(model, words)
+    assert np.allclose(model.marginals(marked, len(words)), [p[i] for i, _ in marked], atol=1e-9)
+
+
+def test_spans_are_offsets_of_the_text():
+    model = toxicity.Model({"vile": 9.0}, bias=-4.0, final=(0.0, 1.0, 0.0))
+    for text in ("İstanbul vile end", "ẞ İİ Vile\u0307 vile", "VILE", "no"):
+        want = [(m.start(), m.end()) for m in __import__("re").finditer("(?i)vile", text)]
+        assert toxicity.spans_of(model, text)[1] == want
+    assert len(toxicity.lowered("İẞΣ")) == 3
+
+
+def test_toxicity_equals_a_plain_version(spark, docs, rows):
+    sample = toxic_sample(200)
+    model = toxicity.fit([t for _, t, _ in sample], [y for _, _, y in sample])
+    assert model.weights and model.beside != (0.0, 0.0)
+    texts = [(i, t) for i, t, _ in sample[:60]] + [(1000 + i, t) for i, (_, t, _) in enumerate(rows)]
+    got = sorted((r["doc_id"], round(r["score"], 9), tuple((s["start"], s["end"]) for s in r["spans"])) for r in toxicity.score(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect())
+    want = []
+    for i, t in texts:
+        t = (t or "").lower()
+        at = [m.span() for m in __import__("re").finditer(r"\w+", t)]
+        w = [t[a:b] for a, b in at]
+        near = {j for k, x in enumerate(w) if model.weight(x) for j in (k - 1, k, k + 1) if 0 <= j < len(w)}
+        p = plain_marginals(model, w) if w else []
+        total = sum(p[k] for k in near)
+        z = model.final[0] + model.final[1] * math.log1p(total) + model.final[2] * min(5.0, 100 * total / max(1, len(w)))
+        want.append((i, round(1 / (1 + math.exp(-max(-30, min(30, z)))), 9), tuple(at[k] for k in sorted(near) if p[k] >= 0.5)))
+    assert got == sorted(want)
+
+
+def test_long_texts_and_repeated_ids_are_learned(spark):
+    sample = toxic_sample(300, 4)
+    long = [(i, t + " calm" * 9000 if y else t) for i, t, y in sample]
+    frame = spark.createDataFrame(long + long[:50] + [(long[0][0], "another text")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in sample] * 2, "doc_id bigint, toxic int")
+    model = toxicity.train(frame, labels)
+    assert {"vilest", "grubbing"} <= set(model.weights)
 
 
 # ---- 4 HTML ----
@@ -177,13 +229,14 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><
     [
         ("", ""), (PAGE, "A & B C\nFirst bold text more é<x>\nSecond"), ("plain  text < 5 &unknown;", "plain text < 5 &unknown;"), ("<p>a<!-- x --><p>b<nav>c", "a\nb\nc"), ("<main><p>x</p></main>out", "x"),
         ("<article class='comment'>c</article><p>y</p>", "y"), ("<script>x", ""), ("<p title='a>b'>q</p>", "q"), ("<form>f</form><article><p>1<p>2</article><article>3</article>", "1\n2\n3"), ("<div hidden>h</div><p>v", "v"),
+        ('<p>x</p><div role="main"><p>a</p><div>b<div>c</div></div></div><p>y', "a\nb\nc"), ('<article><p class="related-work">r</p><div class="entry-header">h</div><label>l</label><div class="ad-box">no</div></article>', "r\nh\nl"), ("<p>a<b <i>c</i></p>d", "ac\nd"), ("<nav>a</nav><nav>b<p>c", "b\nc"),
     ],
 )
 def test_page_lines(page, text):
     assert "\n".join(html_text.lines_of(page)[0]) == text
 
 
-def test_common_lines():
+def test_common_lines(monkeypatch):
     rng = random.Random(2)
     for _ in range(200):
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
@@ -194,6 +247,21 @@ def test_common_lines():
         got = sorted(html_text.common_lines(a, b))
         left = iter(b)
         assert len(got) == best[-1][-1] and all(a[i] in left for i in got)
+        monkeypatch.setattr(html_text, "SPLIT", 4)
+        halved, left = sorted(html_text.common_lines(a, b)), iter(b)
+        assert len(halved) == best[-1][-1] and all(a[i] in left for i in halved)
+        monkeypatch.undo()
+
+
+def test_awkward_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert len(html_text.common_lines(["x"] * 20_000, ["x"] * 19_000 + ["y"] * 50)) == 19_000
+    assert html_text.common_lines([f"a{i}" for i in range(9000)], [f"b{i}" for i in range(9000)]) == set()
+    for page in ("<a " * 200_000, "<a '" * 100_001, "<!x " * 200_000, "<nav>" * 100_000, "<textarea>" * 50_000, "<article>" * 300 + "<p>x" * 50_000, '<p a="' * 100_001, "<p " + "a" * 300_000, "&" * 200_000, "<p " + "a=" * 100_000):
+        html_text.marked_lines(page)
+    assert time.perf_counter() - start < 20
 
 
 def test_page_differencing(spark):
@@ -202,7 +270,7 @@ def test_page_differencing(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     got = {r["page_id"]: r for r in html_text.extract_text(df).collect()}
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert {i: r["text"] for i, r in got.items()} == {1: "one", 2: "two", 3: "Menu\ntwo\nFoot", 4: "Menu\nalone", 5: "", 6: "Menu\nkept"}
+    assert {i: r["text"] for i, r in got.items()} == {1: "one", 2: "two", 3: "two", 4: "Menu\nalone", 5: "", 6: "Menu\nkept"}
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and got[5]["url"] is None
     assert html_text.extract_text(df.limit(0)).count() == 0
 
@@ -222,14 +290,25 @@ def plain_differencing(pages):
             first.setdefault((host, tuple(lines)), (host, path, i))
     order = sorted(first, key=first.get)
     out = {}
-    for host, _, i, lines, inside, named in marked:
+    for host, _, i, lines, kinds, named in marked:
         n = order.index((host, tuple(lines))) if lines else 0
         near = [order[m][1] for m in (n - 1, n + 1) if lines and 0 <= m < len(order) and order[m][0] == host]
-        shared = html_text.common_lines(lines, list(near[0])) if near else range(0 if not named else len(lines))
-        out[i] = "\n".join(x for k, x in enumerate(lines) if inside[k] or k not in shared)
+        shared = html_text.common_lines(lines, list(near[0])) if near else set()
+        least = html_text.INSIDE if named and not near else html_text.PLAIN
+        out[i] = "\n".join(x for k, x in enumerate(lines) if kinds[k] >= least and (kinds[k] == html_text.INSIDE or k not in shared))
     return out
 
 
+def test_differencing_decides(spark):
+    """On the given pages, the alignment itself deletes lines; its result equals one pass over all classes."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r for r in html_text.extract_text(pages).collect()}
+    assert sum(r["n_shared"] > 0 for r in got.values()) > 0
+    plain = [(r["page_id"], r["url"] or "", r["html"] or "") for r in pages.collect()]
+    want = plain_differencing([(i, u.split("?")[0].split("#")[0].lower(), h) for i, u, h in plain])
+    assert {i: r["text"] for i, r in got.items()} == want
+
+
 def test_copies_and_ranges_are_differenced(spark):
     pages = [(1, "http://h.org/a/1", "<p>Menu<p>one<p>Foot"), (2, "http://h.org/a/2", "<p>Menu<p>two<p>Foot"), *((i, f"http://h.org/a/{i}", "<p>Menu<p>two<p>Foot") for i in range(3, 40))]
     schema = "page_id bigint, url string, html string"
