@@ -5,21 +5,26 @@ Every byte covered by a WINDOW-byte string that also starts anywhere else goes.
 Which strings can repeat is found without moving texts. Each WINDOW-byte string has an anchor: the gram of GRAM
 bytes in it with the least hash, the rightmost of equals. Equal strings have equal anchors at equal places, so
 starts are grouped by anchor: consecutive starts with one anchor are a run, with the bytes they cover as its
-content. Only keys (hash of the anchor, hash of the content) are shuffled at first.
+content. Only keys (hash of the anchor, hash of the content, 128-bit key of the text) are shuffled at first.
 
-- An anchor seen once: nothing in its run repeats.
+- An anchor with one run: nothing in it repeats.
 - A content seen twice or more: all starts of its runs repeat.
 - What is left: different contents around one anchor. One run of each content sends its bytes to the group of the
   anchor. There the suffixes that begin at the anchor are sorted, and so are the prefixes that end there, read
   backwards. Starts at distance j before the anchor are equal if their backward strings agree for j bytes and their
   suffixes for WINDOW - j bytes; adjacent common prefixes of the two orders give the classes for each j.
 
-The sort is deep-shallow (Manzini and Ferragina, 2004): multikey quicksort partitions by SHALLOW words of 8 bytes,
-and groups that still agree are long-common-prefix groups that a blind trie puts in order.
+The sort is deep-shallow (Manzini and Ferragina, 2004): multikey quicksort splits each group in three around a pivot word
+of 8 bytes, word after word down to SHALLOW words, and groups that still agree are long-common-prefix groups that a
+blind trie puts in order.
 
 Groups of more than HOT different contents around one anchor are never gathered: each of their starts becomes a
 row with the 128-bit hash of its string, counted with partial aggregates. Contents are told apart by 64-bit hashes.
 
+Hot keys: an anchor, content or string that very many rows share is counted by partial aggregates per (key, salt), and
+joined back by (key, salt), so its rows stay spread over SALTS places (see _repeated). Equal texts share their key, and what
+is found for a text is gathered without repeats, so it is bounded by the text's own length.
+
 Edge cases: null texts and texts shorter than WINDOW keep all bytes; a very long text is cut into pieces of starts;
 equal rows repeat each other, also under one id; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import stored, text_of
@@ -40,6 +45,7 @@ from nearfield.llm.shingles import mix, stream
 WINDOW, GRAM = 200, 32
 SHALLOW = 2
 HOT = 4096
+SALTS = 16
 _PIECE = 1 << 19  # starts of a piece; places take 20 bits
 _PLACE = (1 << 20) - 1
 _BYTE = stream(11, 256)
@@ -80,10 +86,10 @@ def runs(buf: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("doc", "first", "count", "off", "anchor", "content")
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    names = ("d1", "d2", "first", "count", "off", "anchor", "content")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
-    def found(group: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def found(group: list[tuple[tuple[int, int], int, bytes]]) -> pa.RecordBatch:
         buf = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
         sizes = np.array([len(p) for _, _, p in group])
         begins = np.cumsum(sizes) - sizes
@@ -94,12 +100,12 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = np.searchsorted(begins, first, "right") - 1
         doc = np.array([d for d, _, _ in group])[which]
         at = np.array([a for _, a, _ in group])[which]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((doc, first - begins[which] + at, *rest), types, strict=True)], names=list(names))
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((doc[:, 0], doc[:, 1], first - begins[which] + at, *rest), types, strict=True)], names=list(names))
 
-    group: list[tuple[int, int, bytes]] = []
+    group: list[tuple[tuple[int, int], int, bytes]] = []
     held = 0
     for batch in batches:
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for *doc, text in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "text")), strict=True):
             raw = text.encode()
             for at in range(0, len(raw) - WINDOW + 1, _PIECE):
                 piece = raw[at : at + _PIECE + WINDOW - 1]
@@ -115,15 +121,22 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contents of the wanted runs of each document."""
     for batch in batches:
-        for doc, text, wanted in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for d1, d2, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "text", "wanted")), strict=True):
             raw = text.encode()
             col = lambda k, t: pa.array([w[k] for w in wanted], t)  # noqa: B023, E731
+            same = lambda x: pa.array([x] * len(wanted), pa.int64())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [col("anchor", pa.int64()), pa.array([doc] * len(wanted), pa.int64()), col("first", pa.int64()), col("count", pa.int32()), col("off", pa.int32()), col("alone", pa.bool_()), pa.array([raw[w["first"] : w["first"] + w["count"] - 1 + WINDOW] for w in wanted], pa.binary())],
-                names=["anchor", "doc", "first", "count", "off", "alone", "bytes"],
+                [col("anchor", pa.int64()), same(d1), same(d2), col("first", pa.int64()), col("count", pa.int32()), col("off", pa.int32()), col("alone", pa.bool_()), col("hot", pa.bool_()), pa.array([raw[w["first"] : w["first"] + w["count"] - 1 + WINDOW] for w in wanted], pa.binary())],
+                names=["anchor", "d1", "d2", "first", "count", "off", "alone", "hot", "bytes"],
             )
 
 
+def _common_prefix(s: bytes, t: bytes) -> int:
+    n = min(len(s), len(t))
+    differ = int.from_bytes(s[:n], "big") ^ int.from_bytes(t[:n], "big")
+    return n - -(-differ.bit_length() // 8)
+
+
 class BlindTrie:
     """Strings in order by a trie that keeps, at each node, the place of a difference and its bytes only."""
 
@@ -140,7 +153,7 @@ class BlindTrie:
             b = s[node[0]] if node[0] < len(s) else -1
             node = node[1].get(b) if b in node[1] else next(iter(node[1].values()))
         t = self.strings[node]
-        k = next((i for i, (x, y) in enumerate(zip(s, t, strict=False)) if x != y), min(len(s), len(t)))
+        k = _common_prefix(s, t)
         parent, node = None, self.root
         while not isinstance(node, int) and node[0] < k:
             parent, b = node, s[node[0]] if node[0] < len(s) else -1
@@ -174,21 +187,49 @@ class BlindTrie:
 def deep_shallow(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     """The order of rows (fixed-width byte strings) within ascending groups."""
     words = np.ascontiguousarray(rows[:, : SHALLOW * 8]).view(">u8").astype(np.uint64)
-    order = np.argsort(group, kind="stable")
-    tied = group[order]
-    for depth in range(SHALLOW):  # multikey quicksort: one partition of all open groups by a word a step
-        key = words[order, depth]
-        step = np.lexsort((key, tied))
-        order, tied, key = order[step], tied[step], key[step]
-        tied = np.cumsum(np.concatenate([[0], (tied[1:] != tied[:-1]) | (key[1:] != key[:-1])]))
+    order, part, depth = _multikey_quicksort(words, group)
     if len(order):
-        edges = np.flatnonzero(np.concatenate([[True], tied[1:] != tied[:-1], [True]]))
-        for a, b in zip(edges[:-1][np.diff(edges) > 1], edges[1:][np.diff(edges) > 1], strict=True):
-            part = order[a:b]
-            order[a:b] = part[BlindTrie([rows[i, SHALLOW * 8 :].tobytes() for i in part]).order()]
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        open_ = (np.diff(edges) > 1) & (depth[edges[:-1]] == SHALLOW)
+        for a, b in zip(edges[:-1][open_], edges[1:][open_], strict=True):
+            tied = order[a:b]
+            order[a:b] = tied[BlindTrie([rows[i, SHALLOW * 8 :].tobytes() for i in tied]).order()]
     return order
 
 
+def _multikey_quicksort(words: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of words in order within groups; the part of each place, and how many words all rows of the part agree in.
+
+    Each turn splits every open part around the middle one of three of its words: below and above go on with the same
+    word, equals with the next (Bentley and Sedgewick, 1997). All parts take their turn at once.
+    """
+    order = np.argsort(group, kind="stable")
+    tied = group[order]
+    part = np.cumsum(np.concatenate([[0], tied[1:] != tied[:-1]])) if len(order) else order
+    depth = np.zeros(len(order), np.int64)
+    while len(order):
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        sizes = np.diff(edges)
+        active = (sizes > 1) & (depth[edges[:-1]] < words.shape[1])
+        if not active.any():
+            break
+        begin, size = edges[:-1][active], sizes[active]
+        places = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        owner = np.repeat(np.arange(len(begin)), size)
+        at = depth[begin]
+        three = np.stack([words[order[begin + x], at] for x in (size * 0, size // 2, size - 1)])
+        pivot = np.sort(three, axis=0)[1][owner]
+        key = words[order[places], depth[places]]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        step = np.argsort(owner * 3 + side, kind="stable")
+        order[places], depth[places] = order[places][step], depth[places] + (side[step] == 1)
+        inner = np.zeros(len(order), bool)
+        inner[places] = np.concatenate([[True], (owner * 3 + side[step])[1:] != (owner * 3 + side[step])[:-1]])
+        inner[edges[:-1]] = True
+        part = np.cumsum(inner)
+    return order, part, depth
+
+
 def _classes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The deep-shallow order, and the common prefix of each row with the one before (-1 at a new group)."""
     order = deep_shallow(rows, group)
@@ -229,12 +270,12 @@ def repeated_starts(contents: list[bytes], off: np.ndarray, count: np.ndarray, g
     return out
 
 
-def _intervals(first: np.ndarray, flags: np.ndarray, off: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, first start and number of starts of each run of flags; column j of flags stands for first + off - j."""
+def _intervals(first: np.ndarray, flags: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, first start and number of starts of each run of flags; column j of flags stands for first + off - j."""
     edge = np.diff(np.pad(flags[:, ::-1].astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, a = np.nonzero(edge == 1)
     _, b = np.nonzero(edge == -1)
-    return doc[rows], first[rows] + off[rows] - (flags.shape[1] - 1) + a, b - a
+    return rows, first[rows] + off[rows] - (flags.shape[1] - 1) + a, b - a
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +285,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off, count = t["off"].to_numpy(), t["count"].to_numpy()
         flags = repeated_starts(t["bytes"].to_pylist(), off, count, np.unique(t["anchor"].to_numpy(), return_inverse=True)[1])
         flags &= t["alone"].to_numpy()[:, None]
-        doc, first, n = _intervals(t["first"].to_numpy(), flags, off, t["doc"].to_numpy())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["doc", "first", "count"])
+        rows, first, n = _intervals(t["first"].to_numpy(), flags, off)
+        return pa.RecordBatch.from_arrays([pa.array(t[k].to_numpy()[rows], pa.int64()) for k in ("d1", "d2")] + [pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["d1", "d2", "first", "count"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -266,9 +307,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each start of each content with the hash of its string."""
     for batch in batches:
-        for doc, first, count, alone, raw in zip(*(batch.column(c).to_pylist() for c in ("doc", "first", "count", "alone", "bytes")), strict=True):
+        for d1, d2, first, count, alone, raw in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "first", "count", "alone", "bytes")), strict=True):
             sums = [hashlib.blake2b(raw[i : i + WINDOW], digest_size=16).digest() for i in range(count)]
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(x[:8], "little", signed=True) for x in sums], pa.int64()), pa.array([int.from_bytes(x[8:], "little", signed=True) for x in sums], pa.int64()), pa.array([doc] * count, pa.int64()), pa.array(range(first, first + count), pa.int64()), pa.array([alone] * count, pa.bool_())], names=["h1", "h2", "doc", "first", "alone"])
+            halves = [pa.array([int.from_bytes(x[k : k + 8], "little", signed=True) for x in sums], pa.int64()) for k in (0, 8)]
+            same = [pa.array([x] * count, t) for x, t in ((d1, pa.int64()), (d2, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*halves, *same, pa.array(range(first, first + count), pa.int64()), pa.array([alone] * count, pa.bool_())], names=["h1", "h2", "d1", "d2", "first", "alone"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,30 +342,44 @@ def removed_spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return spans
 
 
+def _salt(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows (with `salt`) whose keys occur twice or more, with `n`, how often.
+
+    Keys are counted per salt, so the join back needs as many rows for a key as it has salts, and a key that very many
+    rows share meets them in SALTS places.
+    """
+    cells = stored(rows.groupBy(*keys, "salt").agg(F.count(F.lit(1)).alias("cell_n")), f"{name}-cells")
+    totals = cells.groupBy(*keys).agg(F.sum("cell_n").alias("n")).where("n > 1")
+    marks = stored(cells.join(totals, keys).select(*keys, "salt", "n"), f"{name}-marks")
+    return rows.join(marks, [*keys, "salt"])
+
+
+_RUN = ("d1", "d2", "first", "count")
+
+
 def repeated_intervals(texts: DataFrame) -> DataFrame:
-    """doc, first, count: all starts whose string also starts elsewhere. texts: doc (64-bit key of the row), text."""
-    found = stored(texts.mapInArrow(_find_runs, "doc bigint, first bigint, count int, off int, anchor bigint, content bigint"), "runs")
-    groups = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    # The table of anchors is stored before the join, so that the join may split an anchor with very many runs.
-    again = stored(found.join(stored(groups, "anchors"), "anchor"), "again")
-    pure = again.where("not mixed").select("doc", "first", F.col("count").cast("long").alias("count"))
-    mixed = again.where("mixed")
-    contents = stored(mixed.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "first", "count", "off")).alias("one")), "contents")
-    twice = mixed.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("doc", "first", F.col("count").cast("long").alias("count"))
-    sizes = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
-    wanted = contents.select("anchor", "one.*", (F.col("n") == 1).alias("alone")).groupBy("doc").agg(F.collect_list(F.struct("anchor", "first", "count", "off", "alone")).alias("wanted"))
-    cut = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_cut, "anchor bigint, doc bigint, first bigint, count int, off int, alone boolean, bytes binary")
-    hot = sizes.where(F.col("different") > HOT).select("anchor")
-    parts = [pure, twice]
-    if hot.isEmpty():
-        calm = cut
-    else:
-        cut = stored(cut, "cut")
-        calm = cut.join(hot, "anchor", "left_anti")
-        strings = stored(cut.join(hot, "anchor", "left_semi").mapInArrow(_strings, "h1 bigint, h2 bigint, doc bigint, first bigint, alone boolean"), "strings")
-        often = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-        parts.append(strings.where("alone").join(often, ["h1", "h2"], "left_semi").select("doc", "first", F.lit(1).cast("long").alias("count")))
-    parts.append(calm.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "doc bigint, first bigint, count bigint"))
+    """d1, d2, first, count: all starts whose string also starts elsewhere. texts: d1, d2 (128-bit key of the text), text."""
+    found = texts.mapInArrow(_find_runs, "d1 bigint, d2 bigint, first bigint, count int, off int, anchor bigint, content bigint")
+    found = stored(found.withColumn("salt", _salt("d1", "first")), "runs")
+    # Contents by (anchor, content, salt) first: a row for each place of a content that very many texts share.
+    cells = stored(found.groupBy("anchor", "content", "salt").agg(F.count(F.lit(1)).alias("cell_n"), F.min(F.struct(*_RUN, "off")).alias("one")), "contents-cells")
+    contents = stored(cells.groupBy("anchor", "content").agg(F.sum("cell_n").alias("n"), F.min("one").alias("one")).withColumn("salt", _salt("content")), "contents")
+    twice = stored(cells.select("anchor", "content", "salt").join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"]), "contents-marks")
+    parts = [found.join(twice, ["anchor", "content", "salt"], "left_semi").select(*_RUN[:3], F.col("count").cast("long").alias("count"))]
+    mixed = _repeated(contents.select("anchor", "content", "salt"), ["anchor"], "anchors").withColumn("hot", F.col("n") > HOT)  # n: different contents of the anchor
+    ones = contents.select("anchor", "content", "salt", (F.col("n") == 1).alias("alone"), "one")
+    wanted = ones.join(mixed.select("anchor", "content", "salt", "hot"), ["anchor", "content", "salt"]).select("anchor", "one.*", "alone", "hot")
+    wanted = wanted.groupBy("d1", "d2").agg(F.collect_set(F.struct("anchor", "first", "count", "off", "alone", "hot")).alias("wanted"))
+    one_text = texts.join(stored(wanted, "wanted"), ["d1", "d2"]).select("d1", "d2", "text", "wanted")
+    cut = stored(one_text.mapInArrow(_cut, "anchor bigint, d1 bigint, d2 bigint, first bigint, count int, off int, alone boolean, hot boolean, bytes binary").dropDuplicates(["anchor", "d1", "d2", "first"]), "cut")
+    parts.append(cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "d1 bigint, d2 bigint, first bigint, count bigint"))
+    if not cut.where("hot").isEmpty():
+        strings = cut.where("hot").mapInArrow(_strings, "h1 bigint, h2 bigint, d1 bigint, d2 bigint, first bigint, alone boolean").withColumn("salt", _salt("d1", "first"))
+        parts.append(_repeated(stored(strings, "strings"), ["h1", "h2"], "strings").where("alone").select(*_RUN[:3], F.lit(1).cast("long").alias("count")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -331,6 +388,6 @@ def repeated_intervals(texts: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    rows = docs.select("doc_id", text_of(text_col).alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    found = repeated_intervals(rows.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("first", "count")).alias("found"))
-    return rows.join(found, "doc", "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    rows = docs.select("doc_id", text_of(text_col).alias("text")).withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(WINDOW), "text")})
+    found = repeated_intervals(rows.select("d1", "d2", "text")).groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "count")).alias("found"))
+    return rows.join(found, ["d1", "d2"], "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
