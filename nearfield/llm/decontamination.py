@@ -8,12 +8,16 @@ words also found in the document must make up MIN_OVERLAP of each.
 Passages are windows of words, twice the longest item wide (PASSAGE at least) with half of it as the stride, so
 any item that a document holds lies whole in one passage.
 
-Search goes by exact bounds, so nothing above the threshold is lost. The items lie in blocks of neighbours; bounds of
-a document by the maxima of its words in each block dismiss whole documents, then passages, and only those left walk
-the postings by block-max WAND (Ding and Suel, 2011).
+Search goes by exact bounds, so nothing above the threshold is lost. The postings of a word lie in blocks of BLOCK
+neighbouring items, of which only those that hold the word are kept, each with its largest impact. The sums of these over
+the words of a document, and then of a passage, dismiss most of them; what is left walks the postings by block-max WAND
+(Ding and Suel, 2011): a pivot by the largest impacts of whole lists, then the bound by the maxima of the pivot's block
+alone, and if that is too low a skip to the next block.
 
-Nothing is shuffled. The index is broadcast in parts of at most PART_ITEMS items, one pass over the documents for
-each, so its size is bounded whatever the benchmark holds; the statistics are those of all items.
+No document is shuffled. Items are cut into words in tasks, and document frequencies and lengths are counted there too.
+The items are dealt by hash into parts of about PART_BYTES of text. One part after the other goes to the tasks, which
+build its index once for each worker; a benchmark of one part, as is usual, takes one pass over the documents. With
+several parts each pass is stored before the next part is read, so no more than one part is held anywhere.
 
 Edge cases: null or empty items are not indexed, and a null or empty text matches nothing; an item without a line
 break or a sentence before its last has no answer of its own, which then counts as found; equal items match alike;
@@ -23,6 +27,7 @@ an empty table on either side gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -33,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import text_of
+from nearfield.llm.common import stored, text_of
 
 K1, B = 1.2, 0.75
 MIN_SCORE, MIN_OVERLAP, SHINGLE = 0.5, 0.8, 5
 PASSAGE = 128
-PART_ITEMS = 4096
+PART_BYTES = 4 << 20
 BLOCK = 4
 _WORD = re.compile(r"\w+")
 _LAST = re.compile(r"(?s)(.*(?:\n|[.!?]\s))(.*\w.*)")
@@ -67,7 +72,7 @@ def _place(cursor: list) -> int:
 class Index:
     """Postings of items with impacts, and the maxima of their blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], df: Counter, total: int, mean: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, mean: float) -> None:
         self.ids = [i for i, _ in items]
         self.parts = [split_item(t) for _, t in items]
         self.longest = max((len(q) + len(a) for q, a in self.parts), default=0)
@@ -83,25 +88,28 @@ class Index:
                 p[1].append(float(impact[t] / own))
         self.blocks = -(-len(items) // BLOCK)
         self.terms = {t: k for k, t in enumerate(self.postings)}
-        self.top = np.zeros((len(self.terms), self.blocks), np.float32)
-        for t, k in self.terms.items():
-            for n, x in zip(*self.postings[t], strict=True):
-                self.top[k, n // BLOCK] = max(self.top[k, n // BLOCK], x)
-        self.top = np.nextafter(self.top, np.float32(2))  # a bound also after rounding
-        self.most = self.top.max(1, initial=0)
+        #: For each word the blocks that hold it and their largest impacts, one word after the other, and as a dict.
+        self.tops: dict[str, dict[int, float]] = {}
+        for t, (at, impacts) in self.postings.items():
+            top = self.tops[t] = {}
+            for n, x in zip(at, impacts, strict=True):
+                top[n // BLOCK] = max(top.get(n // BLOCK, 0.0), x)
+        self.block_of = np.array([b for top in self.tops.values() for b in top], np.int64)
+        self.block_top = np.array([x for top in self.tops.values() for x in top.values()])
+        self.begin = np.cumsum([0, *(len(top) for top in self.tops.values())])
+        self.most = {t: max(top.values()) for t, top in self.tops.items()}
 
     def bound(self, terms: list[int]) -> np.ndarray:
-        return self.top[terms].sum(0) + np.float32(1e-4)
-
-    def search(self, words: list[str], blocks: list[int]) -> list[tuple[int, float]]:
-        """(item, share of its own score) of every item that a query of distinct words scores MIN_SCORE or more.
-
-        blocks: the blocks, ascending, whose bound for these words allows that; all others are skipped.
-        """
-        cursors = [[self.postings[w][0], self.postings[w][1], 0, float(self.most[self.terms[w]])] for w in words]
-        found, at, last = [], 0, len(blocks)
-        target = blocks[0] * BLOCK if blocks else 0
-        while at < last:
+        """For each block, a bound of what a query of these words scores there."""
+        begin, size = self.begin[terms], self.begin[np.asarray(terms) + 1] - self.begin[terms]
+        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.block_of[at], self.block_top[at], self.blocks) + 1e-9
+
+    def search(self, words: list[str]) -> list[tuple[int, float]]:
+        """(item, share of its own score) of every item that a query of distinct words scores MIN_SCORE or more."""
+        cursors = [[self.postings[w][0], self.postings[w][1], 0, self.most[w], self.tops[w]] for w in words]
+        found, target = [], 0
+        while True:
             kept = []
             for c in cursors:
                 if c[0][c[2]] < target:
@@ -117,24 +125,23 @@ class Index:
                     pivot = k
                     break
             if pivot < 0:
-                break
+                return found
             item = _place(cursors[pivot])
-            while at < last and blocks[at] < item // BLOCK:
-                at += 1
-            if at < last and blocks[at] > item // BLOCK:
-                target = blocks[at] * BLOCK
+            while pivot + 1 < len(cursors) and _place(cursors[pivot + 1]) == item:
+                pivot += 1
+            block = item // BLOCK
+            after = _place(cursors[pivot + 1]) if pivot + 1 < len(cursors) else self.blocks * BLOCK
+            if sum(c[4].get(block, 0.0) for c in cursors[: pivot + 1]) + 1e-9 < MIN_SCORE:
+                target = min(after, (block + 1) * BLOCK)  # no item before it gets more from these words
             elif _place(cursors[0]) == item:
                 score = 0.0
-                for c in cursors:
-                    if _place(c) != item:
-                        break
+                for c in cursors[: pivot + 1]:
                     score += c[1][c[2]]
                 if score >= MIN_SCORE:
                     found.append((item, score))
                 target = item + 1
             else:
                 target = item
-        return found
 
     def candidates(self, words: list[str]) -> dict[int, tuple[float, int]]:
         """item -> (best score, first word of that passage) over the passages of a document."""
@@ -146,9 +153,8 @@ class Index:
         out: dict[int, tuple[float, int]] = {}
         for at in range(0, max(1, len(words) - width // 2), width // 2):
             query = own.intersection(words[at : at + width])
-            blocks = np.flatnonzero(self.bound([terms[w] for w in query]) >= MIN_SCORE).tolist() if query else []
-            if blocks:
-                for item, score in self.search(sorted(query), blocks):
+            if query and self.bound([terms[w] for w in query]).max() >= MIN_SCORE:
+                for item, score in self.search(sorted(query)):
                     if score > out.get(item, (0.0, 0))[0]:
                         out[item] = (score, at)
         return out
@@ -179,8 +185,22 @@ class _Shingles(dict):
         return self[n]
 
 
-def _matcher(index: Index):
+_INDEXES: dict[tuple, Index] = {}
+
+
+def _shared_index(key: str, part: tuple) -> Index:
+    """The index of the part, built once for all tasks of a Python worker; that of the last part only."""
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Index(*part)
+    return _INDEXES[key]
+
+
+def _matcher(items: list[tuple[int, str]], df: dict[str, int], total: int, mean: float):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _shared_index(key, (items, df, total, mean))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -197,22 +217,31 @@ def _matcher(index: Index):
     return run
 
 
+def _cut_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items that have words, with their number and the different ones."""
+    for batch in batches:
+        words = [words_of(t) for t in batch.column("text").to_pylist()]
+        some = pa.array([n for n, w in enumerate(words) if w], pa.int64())
+        own = batch.take(some)
+        sizes, terms = pa.array([len(w) for w in words if w], pa.int64()), pa.array([sorted(set(w)) for w in words if w], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([own.column("item_id"), own.column("text"), sizes, terms], names=["item_id", "text", "size", "terms"])
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "text") -> DataFrame:
     """A row for each pair of a document and an item that it holds. The item's columns are item_id and item_col."""
-    items = items.select("item_id", text_of(item_col).alias("text")).where(F.col("text").rlike(r"(?U)\w")).orderBy("item_id", "text")
+    given = items.select(F.col("item_id").cast("long").alias("item_id"), text_of(item_col).alias("text"))
+    given = stored(given.mapInArrow(_cut_items, "item_id bigint, text string, size bigint, terms array<string>"), "items")
     texts = docs.select("doc_id", text_of(text_col).alias("text"))
-    df: Counter = Counter()
-    total = size = 0
-    for r in items.select("text").toLocalIterator():
-        words = words_of(r["text"])
-        df.update(set(words))
-        total, size = total + 1, size + len(words)
-    parts, held = [], []
-    for r in items.toLocalIterator():
-        held.append((r["item_id"], r["text"]))
-        if len(held) == PART_ITEMS:
-            parts.append(texts.mapInArrow(_matcher(Index(held, df, total, size / total)), RESULT))
-            held = []
-    if held or not parts:
-        parts.append(texts.mapInArrow(_matcher(Index(held, df, total, size / total if total else 1.0)), RESULT))
-    return reduce(DataFrame.unionByName, parts)
+    known = given.agg(F.count(F.lit(1)).alias("total"), F.sum("size").alias("size"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(1, -(-(known["bytes"] or 0) // PART_BYTES))
+    dealt = given.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    terms = dealt.select("part", F.explode("terms").alias("term"))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    of_parts = stored(terms.distinct().join(counts, "term"), "item-terms") if n > 1 else counts.select(F.lit(0).alias("part"), "term", "df")
+    out = []
+    for part in range(n):  # what is collected is one part: about PART_BYTES of items and the words in them
+        rows = sorted((r["item_id"] is not None, r["item_id"] or 0, r["text"], r["item_id"]) for r in dealt.where(F.col("part") == part).select("item_id", "text").collect())
+        df = {r["term"]: r["df"] for r in of_parts.where(F.col("part") == part).select("term", "df").collect()}
+        found = texts.mapInArrow(_matcher([(i, t) for _, _, t, i in rows], df, known["total"], (known["size"] or 0) / max(1, known["total"])), RESULT)
+        out.append(stored(found, "found") if n > 1 else found)
+    return reduce(DataFrame.unionByName, out)
