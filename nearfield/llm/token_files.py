@@ -9,13 +9,15 @@ doc_lens). Rows lie in ascending order of the document id within a shard, and sh
 document id. Spark's committer makes the files whole or absent when an executor is lost.
 
 Documents are dealt to shards by range of the document id (one shuffle of texts, no other), tokenized in
-order and written. Global starts come from the sum of ids per shard: as many rows as there are shards.
+order and written. Shards hold about SHARD_BYTES of text, more only where that would make over MOST_SHARDS of them, so the
+table of ids per shard, whose running sum gives the global starts, is small whatever the number of rows. Rows of one id
+are ordered by a hash of the text, which also is the second key of the ranges: very many rows of one id spread.
 
 Tokenizing: a chunk between white space never influences its neighbours (the pre-tokenizer drops white space
 and never crosses it), so each chunk is encoded once per cache period and then looked up.
 
 Edge cases: a null text is the empty text, which is the end id alone; documents with equal ids follow each
-other, ordered by text; very long texts span blocks; an empty table gives empty files; other columns are ignored.
+other, ordered by a hash of the text, then by the text; very long texts span blocks; an empty table gives empty files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import stored, text_of
@@ -34,7 +36,7 @@ from nearfield.llm.common import stored, text_of
 BLOCK = 1 << 16
 #: Chunks that a worker remembers before it starts anew; about 0.2 GB.
 CACHE = 3 << 18
-SHARD_ROWS = 5_000
+SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
 
 BLOCKS = "shard int, block int, n_tokens int, bits int, block_ids int, doc_ids array<bigint>, doc_starts array<bigint>, doc_lens array<bigint>, payload binary"
 
@@ -170,14 +172,16 @@ def _encoder(path: str, end_id: int, bits: int, size: int):
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, text_col: str = "text", block_ids: int = BLOCK) -> DataFrame:
     """Encode docs and store the block table; returns the table as read back.
 
-    docs is read twice, once for the bounds of the ranges (ids only) and once for its texts.
+    docs is read three times: for its size, for the bounds of the ranges, and for its texts.
     """
     from tokenizers import Tokenizer
 
     path = tokenizer or default_tokenizer()
     bits = bits_for(Tokenizer.from_file(path).get_vocab_size())
-    shards = max(2, docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // SHARD_ROWS))
-    dealt = docs.select("doc_id", text_of(text_col).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
+    shards = max(2, docs.sparkSession.sparkContext.defaultParallelism, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
+    rows = docs.select("doc_id", text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     return stored(dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(_encoder(path, end_id, bits, block_ids), BLOCKS), "tokens")
 
 
@@ -213,13 +217,9 @@ def read_digests(blocks: DataFrame) -> DataFrame:
     A document inside one block is read from that block alone. Of one that crosses a border, at most two per
     block, the ids in each block are brought together.
     """
-    sums = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}  # a row per shard
-    starts, at = [], 0
-    for shard in sorted(sums):
-        starts.append((shard, at))
-        at += sums[shard]
-    spark = blocks.sparkSession
-    placed = F.broadcast(spark.createDataFrame(starts, "shard int, shard_start bigint"))
+    sums = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row per shard, MOST_SHARDS at most
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = F.broadcast(sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("shard_start")))
     parts = stored(blocks.mapInArrow(_doc_parts, DOCS + ", block int, ids binary"), "token-parts")
     inside = parts.where("ids_crc32 is not null").select("shard", "doc_id", "doc_start", "n_tokens", "ids_crc32")
     pieces = parts.where("ids_crc32 is null").groupBy("shard", "doc_id", "doc_start", "n_tokens").agg(F.collect_list(F.struct("block", "ids")).alias("parts"))
