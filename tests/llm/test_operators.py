@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import math
 import os
@@ -48,6 +49,17 @@ def test_secrets(docs, rows, none):
     assert secrets.secret_digest(none).count() == 0
 
 
+def test_second_delivery_scans_only_new_blobs(docs, rows, monkeypatch):
+    scanned = []
+    real = secrets.scan_secrets
+    monkeypatch.setattr(secrets, "scan_secrets", lambda *a, **k: scanned.append(real(*a, **k)) or scanned[-1])
+    monkeypatch.setattr(secrets, "SEEN", 2)
+    secrets.secret_digest(docs).count()
+    (_, first), (_, second) = scanned
+    blobs = [{r["blob"] for r in x.select("blob").distinct().collect()} for x in (first, second)]
+    assert blobs[0] and blobs[1] and not blobs[0] & blobs[1] and len(blobs[0] | blobs[1]) == len({t or "" for _, t, _ in rows})
+
+
 @pytest.mark.parametrize("text", ["secret:token: abcdefg", "token=token=abcdefgh", "ApI_kEy'=  \"a.b/c+d=", "paſſword=abcdefgh", "AKIAAKIA" + "A" * 16, "AKIAB AKIA" + "0" * 16, "f" * 23 + " " + "a" * 24 + "g" + "1" * 30, "password:=abcdef", "toKen: short; secret=longer1", "-----BEGIN RSA PRIVATE KEY-----"])
 def test_secret_rules(text):
     found = sorted((a, k, b) for k, (_, scan) in secrets.RULES.items() if k in secrets.BASE for a, b in scan(text))
@@ -108,6 +120,17 @@ def test_token_files(docs, rows, none, tokenizer, block):
     assert token_files.read_digests(token_files.write_tokens(none)).count() == 0
 
 
+def test_many_rows_of_one_id_spread_over_shards(spark, tokenizer):
+    rng = random.Random(4)
+    texts = [brute.prose(rng, 30) for _ in range(400)]
+    blocks = token_files.write_tokens(spark.createDataFrame([(5, t) for t in texts] + [(None, "x")] * 3, "doc_id bigint, text string"))
+    got = sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_digests(blocks).collect())
+    assert blocks.select("shard").distinct().count() > 1 and len(got) == 403
+    assert [s for s, _, _ in got] == [sum(n for _, n, _ in got[:k]) for k in range(403)]
+    ids = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in [*texts, "x", "x", "x"]]
+    assert sorted(c for _, _, c in got) == sorted(map(brute.crc, ids))
+
+
 # ---- 3 toxicity ----
 
 
@@ -351,8 +374,9 @@ def test_block_max_wand_finds_all():
     index = decontamination.Index(items, df, len(items), 6.0)
     for _ in range(300):
         query = sorted(set(rng.sample(vocabulary, rng.randint(1, 25))) & set(index.terms))
-        got = index.search(query, np.flatnonzero(index.bound([index.terms[w] for w in query]) >= decontamination.MIN_SCORE).tolist())
-        assert sorted(n for n, _ in got) == sorted(n for n, _ in index.search(query, list(range(index.blocks))))
+        got = index.search(query)
+        bound = index.bound([index.terms[w] for w in query]) if query else [0]
+        assert all(bound[n // decontamination.BLOCK] >= s for n, s in got)
         want = plain_scores(index, query)
         assert sorted(n for n, _ in got) == sorted(want) and all(abs(s - want[n]) < 1e-9 for n, s in got)
 
@@ -367,11 +391,57 @@ def test_contaminated(spark, docs, none, monkeypatch):
     found = decontamination.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), frame)
     want = [(1, 3), (3, 7), (6, 102), (6, 102), (7, 8), (7, 9)]
     assert by_row(found, "doc_id", "item_id") == want
-    monkeypatch.setattr(decontamination, "PART_ITEMS", 7)
+    monkeypatch.setattr(decontamination, "PART_BYTES", 900)
     assert by_row(decontamination.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), frame), "doc_id", "item_id") == want
     assert decontamination.contaminated(none, frame).count() == decontamination.contaminated(docs, frame.limit(0)).count() == 0
 
 
+def plain_contaminated(texts, items):
+    """(doc, item, score) by scoring every passage against every item."""
+    items = [(i, t, decontamination.words_of(t or "")) for i, t in items if decontamination.words_of(t or "")]
+    df = collections.Counter(w for _, _, ws in items for w in set(ws))
+    mean = sum(len(ws) for _, _, ws in items) / len(items)
+    width = max(decontamination.PASSAGE, 2 * max(len(ws) for _, _, ws in items))
+    out = []
+    for d, text in texts:
+        words = decontamination.words_of(text or "")
+        starts = range(0, max(1, len(words) - width // 2), width // 2)
+        for i, t, ws in items:
+            impact = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, c in collections.Counter(ws).items()}
+            best = max(sum(impact.get(w, 0) for w in set(words[at : at + width])) / sum(impact.values()) for at in starts)
+            covered = []
+            for part in decontamination.split_item(t):
+                n = min(5, len(part))
+                hit = set()
+                for k in range(len(part) - n + 1 if part else 0):
+                    if any(words[j : j + n] == part[k : k + n] for j in range(len(words) - n + 1)):
+                        hit.update(range(k, k + n))
+                covered.append(len(hit) / len(part) if part else 1.0)
+            if best >= 0.5 and min(covered) >= 0.8:
+                out.append((d, i, round(best, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [decontamination.PART_BYTES, 2500])
+def test_contaminated_equals_a_plain_version(spark, rows, monkeypatch, size):
+    monkeypatch.setattr(decontamination, "PART_BYTES", size)
+    rng = random.Random(16)
+    items = [(i, f"{brute.prose(rng, rng.randint(8, 40))}?\n{brute.prose(rng, rng.randint(1, 9))}.") for i in range(40)] + [(50, "a"), (51, None), (52, "!!")]
+    texts = [(i, t) for i, t, _ in rows]
+    for d in range(60):
+        words = brute.prose(rng, rng.randint(10, 500)).split()
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(items[:40])[1].split()
+            for _ in range(rng.randint(0, 4)):
+                part[rng.randrange(len(part))] = "edited"
+            at = rng.randrange(len(words))
+            words[at:at] = part[rng.randint(0, 3) :]
+        texts.append((100 + d, " ".join(words)))
+    got = decontamination.contaminated(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    want = plain_contaminated(texts, items)
+    assert sorted((r["doc_id"], r["item_id"], round(r["score"], 6)) for r in got.collect()) == want and len(want) > 20
+
+
 # ---- 6 suffix dedup ----
 
 
@@ -403,14 +473,22 @@ def test_long_texts_are_cut(spark, monkeypatch):
 
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts]), pa.array([t for _, t in texts])], names=["doc", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts]), pa.array([d for d, _ in texts]), pa.array([t for _, t in texts])], names=["d1", "d2", "text"])
     starts = Counter()
     for b in suffix_dedup._find_runs(iter([batch])):
-        for doc, first, count in zip(*(b.column(c).to_pylist() for c in ("doc", "first", "count")), strict=True):
+        for doc, first, count in zip(*(b.column(c).to_pylist() for c in ("d1", "first", "count")), strict=True):
             starts.update((doc, s) for s in range(first, first + count))
     assert set(starts.values()) == {1} and len(starts) == sum(len(t) - 199 for _, t in texts)
 
 
+def test_many_equal_rows_and_a_shared_passage(spark):
+    rng = random.Random(21)
+    base, passage = brute.prose(rng, 90), brute.prose(rng, 45)
+    rows = [(7, base, "s")] * 60 + [(i, base, "s") for i in range(100, 140)] + [(None, base, "s")] * 5 + [(i, brute.prose(rng, 5) + passage + brute.prose(rng, 5), "s") for i in range(200, 260)]
+    got = [tuple(r) for r in suffix_dedup.suffix_dedup(brute.docs_frame(spark, rows).repartition(7)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert sorted(got, key=str) == sorted(((r[0], *x) for r, x in zip(rows, brute.repeated(rows), strict=True)), key=str)
+
+
 def test_deep_shallow_order():
     rng = random.Random(1)
     for _ in range(300):
@@ -422,6 +500,10 @@ def test_deep_shallow_order():
         assert [(group[i], s[i]) for i in order] == sorted((g, x) for g, x in zip(group, s, strict=True))
         trie = suffix_dedup.BlindTrie(s)
         assert [s[i] for i in trie.order()] == sorted(s)
+        words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
+        order, part, depth = suffix_dedup._multikey_quicksort(words, group)
+        assert [(group[i], s[i]) for i in order] == sorted((g, x) for g, x in zip(group, s, strict=True))
+        assert all((part[a] == part[b]) == (group[order[a]] == group[order[b]] and s[order[a]] == s[order[b]]) for a in range(len(s)) for b in range(len(s)))
 
 
 # ---- 7 line dedup, 8 mixing, 9 near duplicates: SQL and edge cases ----
