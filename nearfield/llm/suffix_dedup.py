@@ -21,9 +21,10 @@ blind trie puts in order.
 Groups of more than HOT different contents around one anchor are never gathered: each of their starts becomes a
 row with the 128-bit hash of its string, counted with partial aggregates. Contents are told apart by 64-bit hashes.
 
-Hot keys: an anchor, content or string that very many rows share is counted by partial aggregates per (key, salt), and
-joined back by (key, salt), so its rows stay spread over SALTS places (see _repeated). Equal texts share their key, and what
-is found for a text is gathered without repeats, so it is bounded by the text's own length.
+Hot keys: an anchor, content or string that very many rows share is counted by partial aggregates, and what is joined
+back to the rows is a row for each of SALTS salts of a key that repeats, so the rows of one key meet it in SALTS places.
+Runs of anchors that no other run has are dropped first, so the later steps move little. Equal rows of one id share
+their key, and what is found for a key is gathered without repeats, so it is bounded by the text's own length.
 
 Edge cases: null texts and texts shorter than WINDOW keep all bytes; a very long text is cut into pieces of starts;
 equal rows repeat each other, also under one id; an empty table gives an empty result; other columns are ignored.
@@ -45,7 +46,7 @@ from nearfield.llm.shingles import mix, stream
 WINDOW, GRAM = 200, 32
 SHALLOW = 2
 HOT = 4096
-SALTS = 16
+SALTS = 8
 _PIECE = 1 << 19  # starts of a piece; places take 20 bits
 _PLACE = (1 << 20) - 1
 _BYTE = stream(11, 256)
@@ -119,9 +120,13 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The contents of the wanted runs of each document."""
+    """The contents of the wanted runs of each document; equal rows come one after the other, and the first one counts."""
+    last = None
     for batch in batches:
         for d1, d2, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "text", "wanted")), strict=True):
+            if (d1, d2) == last:
+                continue
+            last = (d1, d2)
             raw = text.encode()
             col = lambda k, t: pa.array([w[k] for w in wanted], t)  # noqa: B023, E731
             same = lambda x: pa.array([x] * len(wanted), pa.int64())  # noqa: B023, E731
@@ -346,40 +351,36 @@ def _salt(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int").alias("salt")
 
 
-def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Rows (with `salt`) whose keys occur twice or more, with `n`, how often.
+def _for_all_salts(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
-    Keys are counted per salt, so the join back needs as many rows for a key as it has salts, and a key that very many
-    rows share meets them in SALTS places.
-    """
-    cells = stored(rows.groupBy(*keys, "salt").agg(F.count(F.lit(1)).alias("cell_n")), f"{name}-cells")
-    totals = cells.groupBy(*keys).agg(F.sum("cell_n").alias("n")).where("n > 1")
-    marks = stored(cells.join(totals, keys).select(*keys, "salt", "n"), f"{name}-marks")
-    return rows.join(marks, [*keys, "salt"])
+
+def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows (with `salt`) whose keys occur twice or more, with `n`, how often."""
+    often = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), name)
+    return rows.join(_for_all_salts(often), [*keys, "salt"])
 
 
 _RUN = ("d1", "d2", "first", "count")
 
 
 def repeated_intervals(texts: DataFrame) -> DataFrame:
-    """d1, d2, first, count: all starts whose string also starts elsewhere. texts: d1, d2 (128-bit key of the text), text."""
+    """d1, d2, first, count: all starts whose string also starts elsewhere. texts: d1, d2 (128-bit key of the row), text."""
     found = texts.mapInArrow(_find_runs, "d1 bigint, d2 bigint, first bigint, count int, off int, anchor bigint, content bigint")
     found = stored(found.withColumn("salt", _salt("d1", "first")), "runs")
-    # Contents by (anchor, content, salt) first: a row for each place of a content that very many texts share.
-    cells = stored(found.groupBy("anchor", "content", "salt").agg(F.count(F.lit(1)).alias("cell_n"), F.min(F.struct(*_RUN, "off")).alias("one")), "contents-cells")
-    contents = stored(cells.groupBy("anchor", "content").agg(F.sum("cell_n").alias("n"), F.min("one").alias("one")).withColumn("salt", _salt("content")), "contents")
-    twice = stored(cells.select("anchor", "content", "salt").join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"]), "contents-marks")
-    parts = [found.join(twice, ["anchor", "content", "salt"], "left_semi").select(*_RUN[:3], F.col("count").cast("long").alias("count"))]
-    mixed = _repeated(contents.select("anchor", "content", "salt"), ["anchor"], "anchors").withColumn("hot", F.col("n") > HOT)  # n: different contents of the anchor
-    ones = contents.select("anchor", "content", "salt", (F.col("n") == 1).alias("alone"), "one")
-    wanted = ones.join(mixed.select("anchor", "content", "salt", "hot"), ["anchor", "content", "salt"]).select("anchor", "one.*", "alone", "hot")
-    wanted = wanted.groupBy("d1", "d2").agg(F.collect_set(F.struct("anchor", "first", "count", "off", "alone", "hot")).alias("wanted"))
-    one_text = texts.join(stored(wanted, "wanted"), ["d1", "d2"]).select("d1", "d2", "text", "wanted")
-    cut = stored(one_text.mapInArrow(_cut, "anchor bigint, d1 bigint, d2 bigint, first bigint, count int, off int, alone boolean, hot boolean, bytes binary").dropDuplicates(["anchor", "d1", "d2", "first"]), "cut")
-    parts.append(cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "d1 bigint, d2 bigint, first bigint, count bigint"))
-    if not cut.where("hot").isEmpty():
+    again = stored(_repeated(found, ["anchor"], "anchors").drop("n"), "again")
+    contents = again.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_RUN, "off")).alias("one"))
+    contents = stored(contents.select("anchor", "content", (F.col("n") == 1).alias("alone"), "one", _salt("content")), "contents")
+    twice = _for_all_salts(contents.where("not alone").select("anchor", "content"))
+    parts = [again.join(twice, ["anchor", "content", "salt"], "left_semi").select(*_RUN[:3], F.col("count").cast("long").alias("count"))]
+    mixed = _repeated(contents, ["anchor"], "mixed-anchors").select("anchor", "one.*", "alone", (F.col("n") > HOT).alias("hot"))  # n: different contents
+    wanted = stored(mixed.groupBy("d1", "d2").agg(F.collect_list(F.struct("anchor", "first", "count", "off", "alone", "hot")).alias("wanted")), "wanted")
+    cut = texts.join(wanted.hint("merge"), ["d1", "d2"]).select("d1", "d2", "text", "wanted").mapInArrow(_cut, "anchor bigint, d1 bigint, d2 bigint, first bigint, count int, off int, alone boolean, hot boolean, bytes binary")
+    if not wanted.where(F.exists("wanted", lambda w: w["hot"])).isEmpty():
+        cut = stored(cut, "cut")
         strings = cut.where("hot").mapInArrow(_strings, "h1 bigint, h2 bigint, d1 bigint, d2 bigint, first bigint, alone boolean").withColumn("salt", _salt("d1", "first"))
-        parts.append(_repeated(stored(strings, "strings"), ["h1", "h2"], "strings").where("alone").select(*_RUN[:3], F.lit(1).cast("long").alias("count")))
+        parts.append(_repeated(stored(strings, "strings"), ["h1", "h2"], "often").where("alone").select(*_RUN[:3], F.lit(1).cast("long").alias("count")))
+    parts.append(cut.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "d1 bigint, d2 bigint, first bigint, count bigint"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -388,6 +389,6 @@ def repeated_intervals(texts: DataFrame) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    rows = docs.select("doc_id", text_of(text_col).alias("text")).withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(WINDOW), "text")})
+    rows = docs.select("doc_id", text_of(text_col).alias("text")).withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit(WINDOW), "text", "doc_id")})
     found = repeated_intervals(rows.select("d1", "d2", "text")).groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "count")).alias("found"))
     return rows.join(found, ["d1", "d2"], "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
