@@ -10,7 +10,7 @@ any item that a document holds lies whole in one passage.
 
 Search goes by exact bounds, so nothing above the threshold is lost. The postings of a word lie in blocks of BLOCK
 neighbouring items, of which only those that hold the word are kept, each with its largest impact. The sums of these over
-the words of a document, and then of a passage, dismiss most of them; what is left walks the postings by block-max WAND
+the words of a document, and then of a passage, dismiss most of them and most of their words; what is left walks the postings by block-max WAND
 (Ding and Suel, 2011): a pivot by the largest impacts of whole lists, then the bound by the maxima of the pivot's block
 alone, and if that is too low a skip to the next block.
 
@@ -99,11 +99,17 @@ class Index:
         self.begin = np.cumsum([0, *(len(top) for top in self.tops.values())])
         self.most = {t: max(top.values()) for t, top in self.tops.items()}
 
-    def bound(self, terms: list[int]) -> np.ndarray:
-        """For each block, a bound of what a query of these words scores there."""
-        begin, size = self.begin[terms], self.begin[np.asarray(terms) + 1] - self.begin[terms]
+    def useful(self, words: list[str]) -> list[str]:
+        """Of a query's words those that stand in a block where the sum of the maxima of all reaches MIN_SCORE.
+
+        Every item that the query scores MIN_SCORE lies in such a block, and gets its score from these words alone.
+        """
+        terms = np.fromiter((self.terms[w] for w in words), np.int64, len(words))
+        begin, size = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
         at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.block_of[at], self.block_top[at], self.blocks) + 1e-9
+        block = self.block_of[at]
+        high = np.bincount(block, self.block_top[at], self.blocks) + 1e-9 >= MIN_SCORE
+        return [words[k] for k in np.unique(np.repeat(np.arange(len(words)), size)[high[block]]).tolist()]
 
     def search(self, words: list[str]) -> list[tuple[int, float]]:
         """(item, share of its own score) of every item that a query of distinct words scores MIN_SCORE or more."""
@@ -146,14 +152,14 @@ class Index:
     def candidates(self, words: list[str]) -> dict[int, tuple[float, int]]:
         """item -> (best score, first word of that passage) over the passages of a document."""
         terms = self.terms
-        own = set(words) & terms.keys()
-        if not own or self.bound([terms[w] for w in own]).max() < MIN_SCORE:
+        own = set(self.useful(list(set(words) & terms.keys())))
+        if not own:
             return {}
         width = max(PASSAGE, 2 * self.longest)
         out: dict[int, tuple[float, int]] = {}
         for at in range(0, max(1, len(words) - width // 2), width // 2):
-            query = own.intersection(words[at : at + width])
-            if query and self.bound([terms[w] for w in query]).max() >= MIN_SCORE:
+            query = list(own.intersection(words[at : at + width]))
+            if sum(self.most[w] for w in query) + 1e-9 >= MIN_SCORE and (query := self.useful(query)):
                 for item, score in self.search(sorted(query)):
                     if score > out.get(item, (0.0, 0))[0]:
                         out[item] = (score, at)
