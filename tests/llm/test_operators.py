@@ -375,8 +375,8 @@ def test_block_max_wand_finds_all():
     for _ in range(300):
         query = sorted(set(rng.sample(vocabulary, rng.randint(1, 25))) & set(index.terms))
         got = index.search(query)
-        bound = index.bound([index.terms[w] for w in query]) if query else [0]
-        assert all(bound[n // decontamination.BLOCK] >= s for n, s in got)
+        fewer = index.search(index.useful(query))
+        assert [n for n, _ in fewer] == [n for n, _ in got] and np.allclose([x for _, x in fewer], [x for _, x in got])
         want = plain_scores(index, query)
         assert sorted(n for n, _ in got) == sorted(want) and all(abs(s - want[n]) < 1e-9 for n, s in got)
 
