@@ -117,26 +117,28 @@ def pack_floats(v: Column) -> Column:
     return packed(v)
 
 
-_SUM = "aggregate(zip_with(a, b, (x, y) -> {}), 0D, (p, q) -> p + q)"
+_SAME = "if(size(a) = size(b), {}, raise_error(concat('vector lengths differ: ', size(a), ' and ', size(b))))"
+_SUM = _SAME.format("aggregate(zip_with(a, b, (x, y) -> {}), 0D, (p, q) -> p + q)")
 _SQL = {
     "vector_dot": ("a array<float>, b array<float>", "double", _SUM.format("cast(x as double) * cast(y as double)")),
     "vector_l2": ("a array<float>, b array<float>", "double", f"sqrt({_SUM.format('power(cast(x as double) - cast(y as double), 2)')})"),
     "vector_norm": ("a array<float>", "double", "sqrt(aggregate(a, 0D, (p, x) -> p + cast(x as double) * cast(x as double)))"),
-    "vector_hamming": ("a array<bigint>, b array<bigint>", "int", "aggregate(zip_with(a, b, (x, y) -> cast(bit_count(x ^ y) as int)), 0, (p, q) -> p + q)"),
+    "vector_hamming": ("a array<bigint>, b array<bigint>", "int", _SAME.format("aggregate(zip_with(a, b, (x, y) -> cast(bit_count(x ^ y) as int)), 0, (p, q) -> p + q)")),
     "vector_cosine": ("a array<float>, b array<float>", "double", "if(vector_norm(a) * vector_norm(b) = 0, 0D, vector_dot(a, b) / (vector_norm(a) * vector_norm(b)))"),
     "vector_normalize": ("a array<float>", "array<float>", "if(vector_norm(a) = 0, a, transform(a, x -> cast(cast(x as double) / vector_norm(a) as float)))"),
 }
 
 
 def register_sql(spark: SparkSession, view: str | None = None) -> list[str]:
-    """Temporary SQL functions vector_*; with a view of (row_index, id, vector) also the table function vector_search(query, k)."""
+    """Temporary SQL functions vector_*; with a view of (row_index, id, vector) also the table functions vector_search(query, k)
+    by cosine, vector_search_dot and vector_search_l2."""
     for name, (args, kind, body) in _SQL.items():
         spark.sql(f"create or replace temporary function {name}({args}) returns {kind} return {body}")
     names = list(_SQL)
-    if view:
+    for name, by, order in (("vector_search", "cosine", "desc"), ("vector_search_dot", "dot", "desc"), ("vector_search_l2", "l2", "asc")) if view else ():
         spark.sql(
-            f"create or replace temporary function vector_search(q array<float>, k int) returns table(rank int, id string, score double, row_index bigint) "
-            f"return select rn as rank, id, score, row_index from (select *, row_number() over (order by score desc, row_index) as rn from (select id, row_index, vector_cosine(vector, q) as score from {view})) where rn <= k"
+            f"create or replace temporary function {name}(q array<float>, k int) returns table(rank int, id string, score double, row_index bigint) "
+            f"return select rn as rank, id, score, row_index from (select *, row_number() over (order by score {order}, row_index) as rn from (select id, row_index, vector_{by}(vector, q) as score from {view})) where rn <= k"
         )
-        names.append("vector_search")
+        names.append(name)
     return names

@@ -1,21 +1,28 @@
 """Binary k-means over sign codes: Hamming assignment, bit-majority update.
 
-Codes stay distributed. An iteration sends the centroids (k codes, k about sqrt(N) / 2) to the tasks as literals, assigns
-in the JVM, and brings back one row of bit counts for each centroid. The random numbers are drawn on the driver in a
-fixed order, so results do not depend on partitioning.
+Codes stay distributed. An iteration sends the centroids (k codes, k about sqrt(N) / 2) to the tasks as one packed
+matrix, which numpy compares with blocks of rows; each task passes on one row of bit counts for each cluster that it has
+seen, these are summed by cluster, and one row a cluster comes back. The random numbers are drawn on the driver in a fixed order, so
+results do not depend on partitioning.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from nearfield.functions.vectors import WORD_BITS, hamming
+from nearfield.functions.vectors import WORD_BITS
 
 ITERATIONS, SEED = 6, 1
 _WORD = 1 << 64
+#: Distances that a task holds at once.
+PAIRS = 1 << 20
 
 
 class Lcg:
@@ -52,10 +59,66 @@ def distance(a: list[int], b: list[int]) -> int:
     return sum(((x ^ y) % _WORD).bit_count() for x, y in zip(a, b, strict=True))
 
 
-def nearest(code: Column, centroids: list[list[int]]) -> Column:
-    """Number of the centroid of least Hamming distance, the first of equals."""
-    every = F.array(*[code_literal(c) for c in centroids])
-    return F.array_min(F.transform(every, lambda c, i: F.struct(hamming(code, c).alias("d"), i.cast("int").alias("i"))))["i"]
+def matrix(codes: list[list[int]], words: int = 1) -> np.ndarray:
+    """Codes as rows of unsigned 64-bit words."""
+    return np.array([[w % _WORD for w in c] for c in codes], np.uint64).reshape(len(codes), len(codes[0]) if codes else words)
+
+
+def nearest(codes: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """For each code the number of the centroid of least Hamming distance, the first of equals."""
+    out = np.empty(len(codes), np.int32)
+    step = max(1, PAIRS // max(1, len(centroids)))
+    for at in range(0, len(codes), step):
+        part = codes[at : at + step]
+        far = np.zeros((len(part), len(centroids)), np.uint16)
+        for w in range(codes.shape[1]):
+            far += np.bitwise_count(part[:, w, None] ^ centroids[None, :, w])
+        out[at : at + step] = far.argmin(1)
+    return out
+
+
+def _codes_of(batch: pa.RecordBatch, words: int) -> np.ndarray:
+    return batch.column("code").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, words)
+
+
+def _assign(rows: DataFrame, centroids: list[list[int]]) -> DataFrame:
+    """rows(code, ...) with `cluster`."""
+    sent = rows.sparkSession.sparkContext.broadcast(matrix(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = nearest(_codes_of(batch, sent.value.shape[1]), sent.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "cluster"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cluster", IntegerType())]))
+
+
+def cluster_counts(rows: DataFrame, dimension: int, centroids: list[list[int]]) -> dict[int, tuple[int, list[int]]]:
+    """cluster -> (rows, rows that have each bit set) of an assignment to centroids."""
+    sent = rows.sparkSession.sparkContext.broadcast(matrix(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, words = sent.value.shape
+        n, ones = np.zeros(k, np.int64), np.zeros((k, words * WORD_BITS), np.int64)
+        for batch in batches:
+            codes = _codes_of(batch, words)
+            found = nearest(codes, sent.value)
+            n += np.bincount(found, minlength=k)
+            order = np.argsort(found, kind="stable")
+            heads = np.flatnonzero(np.diff(found[order], prepend=-1))
+            for at in range(0, words):  # one word at a time bounds the bits held
+                bits = np.unpackbits(codes[order, at].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                if len(heads):
+                    ones[found[order][heads], at * WORD_BITS : (at + 1) * WORD_BITS] += np.add.reduceat(bits.astype(np.int64), heads, axis=0)
+        seen = np.flatnonzero(n)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n[seen], pa.int64()), pa.array(list(ones[seen]), pa.list_(pa.int64()))], names=["cluster", "n", "ones"])
+
+    counted = rows.select("code").mapInArrow(run, "cluster int, n bigint, ones array<bigint>")
+    sums = counted.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(F.get("ones", F.lit(i))).alias(f"b{i}") for i in range(dimension)])
+    found = {r["cluster"]: (r["n"], [r[f"b{i}"] for i in range(dimension)]) for r in sums.collect()}  # a row per centroid
+    sent.unpersist()
+    return found
 
 
 @dataclass
@@ -86,27 +149,27 @@ def binary_kmeans(rows: DataFrame, dimension: int, k: int, iterations: int = ITE
     if iterations < 1:
         return Clustering(centroids, rows.withColumn("cluster", F.lit(0)))
     for _ in range(iterations - 1):
-        counts = {r["cluster"]: r for r in bit_counts(rows.withColumn("cluster", nearest(F.col("code"), centroids)), dimension).collect()}  # a row per centroid
+        counts = cluster_counts(rows, dimension, centroids)
         for c in range(k):
             if c not in counts:
                 centroids[c] = _codes_at(rows, [rng.below(n)])[0]
                 continue
+            size, ones = counts[c]
             words = [0] * len(centroids[c])
-            for i, ones in enumerate(counts[c]["ones"]):
-                if ones > counts[c]["n"] // 2:
-                    words[i // WORD_BITS] |= 1 << i % WORD_BITS
+            for i in np.flatnonzero(np.array(ones) > size // 2).tolist():
+                words[i // WORD_BITS] |= 1 << i % WORD_BITS
             centroids[c] = words
-    return Clustering(centroids, rows.withColumn("cluster", nearest(F.col("code"), centroids)))
+    return Clustering(centroids, _assign(rows, centroids))
 
 
 def reorder(centroids: list[list[int]]) -> list[int]:
     """New number of each centroid: a walk from the one nearest to all zeros, each time to the nearest not yet seen."""
     if not centroids:
         return []
-    left = dict(enumerate(centroids))
-    here, place, out = [0] * len(centroids[0]), 0, [0] * len(centroids)
-    while left:
-        c = min(left, key=lambda i: (distance(left[i], here), i))
-        out[c], here = place, left.pop(c)
-        place += 1
+    codes = matrix(centroids)
+    here, seen, out = np.zeros(codes.shape[1], np.uint64), np.zeros(len(codes), np.int64), [0] * len(codes)
+    for place in range(len(codes)):
+        c = int((np.bitwise_count(codes ^ here).sum(1, dtype=np.int64) + seen).argmin())
+        out[c], here = place, codes[c]
+        seen[c] = 1 << 40
     return out

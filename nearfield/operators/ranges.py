@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.operators.kmeans import distance
+from nearfield.sources.scratch import scratch
 
 DEFAULT_PROBE, PROBE_CAP, GAP = 0.25, 48, 64
 
@@ -26,23 +27,38 @@ def select_clusters(centroids: list[list[int]], query: list[int], probe: float |
 
 
 def merge_ranges(ranges: DataFrame, *keys: str) -> DataFrame:
-    """Half-open [row_start, row_end) that touch or overlap become one. keys: ranges of different keys stay apart."""
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    order = by.orderBy("row_start", "row_end")
-    reach = F.max("row_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.withColumn("new", F.when(F.col("row_start") <= reach, 0).otherwise(1))
-    island = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "island").agg(F.min("row_start").alias("row_start"), F.max("row_end").alias("row_end")).drop("island")
+    """Half-open [row_start, row_end) that touch or overlap become one. keys: ranges of different keys stay apart.
+
+    Rows are dealt by range of (keys, row_start, row_end), so a key with very many of them is spread. Windows stay within
+    a part; the parts before come in as one reach and one number of islands for each (keys, part).
+    """
+    dealt = ranges.select(*keys, "row_start", "row_end").repartitionByRange(*keys, "row_start", "row_end").withColumn("part", F.spark_partition_id())
+    path = scratch(ranges.sparkSession, "ranges")
+    dealt.write.parquet(path)
+    dealt = ranges.sparkSession.read.schema(dealt.schema).parquet(path)
+    inside = Window.partitionBy(*keys, "part").orderBy("row_start", "row_end")
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(parts: DataFrame, value: Column, name: str) -> DataFrame:
+        return parts.select(*keys, "part", value.over(earlier).alias(name))
+
+    def joined(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        same = [rows[c].eqNullSafe(parts[c]) for c in (*keys, "part")]
+        return rows.join(parts, same, "left").select(rows["*"], *[parts[c] for c in parts.columns if c not in (*keys, "part")])
+
+    carried = before(dealt.groupBy(*keys, "part").agg(F.max("row_end").alias("end")), F.max("end"), "carried")
+    reach = F.greatest(F.max("row_end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
+    marked = joined(dealt, carried).withColumn("reach", reach).withColumn("new", F.when(F.col("row_start") <= F.col("reach"), 0).otherwise(1)).drop("carried", "reach")
+    numbers = before(marked.groupBy(*keys, "part").agg(F.sum("new").alias("islands")), F.sum("islands"), "first")
+    island = F.coalesce("first", F.lit(0)) + F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = joined(marked, numbers).withColumn("island", island)
+    return placed.groupBy(*keys, "island").agg(F.min("row_start").alias("row_start"), F.max("row_end").alias("row_end")).drop("island")
 
 
 def coalesce_runs(rows: DataFrame, gap: int = GAP, *keys: str) -> DataFrame:
     """Rows (row_index) as half-open runs; runs with at most gap rows between them become one."""
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    order = by.orderBy("row_index")
-    before = F.lag("row_index").over(order)
-    marked = rows.withColumn("new", F.when(F.col("row_index") - before - 1 <= gap, 0).otherwise(1))
-    island = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*keys, "island").agg(F.min("row_index").alias("row_start"), (F.max("row_index") + 1).alias("row_end")).drop("island")
+    reaching = rows.select(*keys, F.col("row_index").alias("row_start"), (F.col("row_index") + 1 + gap).alias("row_end"))
+    return merge_ranges(reaching, *keys).withColumn("row_end", F.col("row_end") - gap)
 
 
 def runs_of(rows: list[int], gap: int = GAP) -> list[tuple[int, int]]:

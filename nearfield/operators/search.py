@@ -3,7 +3,8 @@
 Every order ends with the row number, so results do not depend on partitioning. One query plans as
 TakeOrderedAndProject without a shuffle of rows.
 
-Many queries go to the tasks in blocks of BLOCK, which bounds what is sent. Exact: each task multiplies its rows with the
+Many queries go to the tasks in blocks of BLOCK, one scan of the rows for each, which bounds what is sent; a task holds
+PAIRS scores or distances at once. Exact: each task multiplies its rows with the
 block in numpy and passes on, for each query, the rows that reach its k-th best score up to a rounding error; these
 few are scored again in the JVM as one query would be, so both give the same results. By codes: each task passes on the pool
 of each query as row numbers, and the rows that stay in it are joined back. Either way row_number <= k has a partial limit before its one shuffle by (query, salt).
@@ -20,14 +21,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import best_first, hamming, score, vector_literal
-from nearfield.operators.kmeans import code_literal
+from nearfield.operators.kmeans import PAIRS, code_literal
 from nearfield.operators.ranges import GAP, runs_of
 from nearfield.plans.planner import RERANK, TOP_K, SearchPlan, plan_search
 from nearfield.sources.table import VectorTable
 
-BLOCK = 256
+BLOCK = 2048
 #: Pools up to this many rows come to the driver to be turned into row ranges; larger ones are joined.
 DRIVER_POOL = 10_000
+#: Row ranges that a filter names at most; nearer ones become one.
+SPANS = 256
 
 
 def top(scored: DataFrame, k: int, metric: str) -> DataFrame:
@@ -57,8 +60,8 @@ def hamming_candidates(table: VectorTable, plan: SearchPlan, where: Column | Non
 def search_rerank(table: VectorTable, plan: SearchPlan, k: int, where: Column | None = None, keep: Sequence[str] = (), lazy: bool = True) -> DataFrame:
     """Candidates by codes, scores by floats.
 
-    lazy: one plan with a semi-join. Otherwise the candidate rows (at most DRIVER_POOL) come to the driver first, and
-    the vectors are read by ranges of row numbers, which Parquet skips by.
+    lazy: one plan with a semi-join. Otherwise the row numbers of the candidates (at most DRIVER_POOL) come to the driver
+    first, and ids and vectors are read by ranges of row numbers, by which Parquet skips row groups and pages.
     """
     candidates = hamming_candidates(table, plan, where)
     rows = table.rows
@@ -69,7 +72,10 @@ def search_rerank(table: VectorTable, plan: SearchPlan, k: int, where: Column |
         rows = rows.join(F.broadcast(chosen) if plan.pool <= DRIVER_POOL else chosen, "row_index", "left_semi")
     else:
         wanted = [r["row_index"] for r in candidates.collect()]
-        spans = [F.col("row_index").between(a, b - 1) for a, b in runs_of(wanted, GAP)]
+        gap = GAP
+        while len(runs := runs_of(wanted, gap)) > SPANS:
+            gap *= 2
+        spans = [F.col("row_index").between(a, b - 1) for a, b in runs]
         rows = rows.where(reduce(lambda x, y: x | y, spans, F.lit(False))).where(F.col("row_index").isin(wanted))
     scored = rows.select("id", score(F.col("vector"), vector_literal(plan.query), plan.scoring).alias("score"), "row_index", *keep)
     return top(scored, k, plan.metric)
@@ -77,11 +83,11 @@ def search_rerank(table: VectorTable, plan: SearchPlan, k: int, where: Column |
 
 def search(
     source: VectorTable | Sequence[VectorTable], query: Sequence[float], top_k: int = TOP_K, *, metric: str | None = None, rerank_factor: float = RERANK, probe: float | None = None,
-    algorithm: str = "auto", where: Column | None = None, keep: Sequence[str] = (), lazy: bool = True,
+    algorithm: str = "auto", where: Column | None = None, keep: Sequence[str] = (), lazy: bool | None = None,
 ) -> DataFrame:
     """rank, id, score, row_index[, source_index] of the top_k nearest rows of one table or of several.
 
-    where filters before scoring. Several tables need one metric; equal scores keep the order of the tables.
+    where filters before scoring. lazy: see search_rerank; if it is left open, tables in files are read by row ranges. Several tables need one metric; equal scores keep the order of the tables.
     """
     if source is None:
         raise ValueError("a source is required")
@@ -91,7 +97,7 @@ def search(
     plans = [plan_search(t, query, top_k, metric, rerank_factor, probe, algorithm) for t in tables]
     if len({p.metric for p in plans}) > 1:
         raise ValueError("the sources have different metrics")
-    each = [search_exact(t, p, top_k, where, keep) if p.exact else search_rerank(t, p, top_k, where, keep, lazy) for t, p in zip(tables, plans, strict=True)]
+    each = [search_exact(t, p, top_k, where, keep) if p.exact else search_rerank(t, p, top_k, where, keep, t.path is None if lazy is None else lazy) for t, p in zip(tables, plans, strict=True)]
     if len(tables) == 1:
         return ranked(each[0], plans[0].metric, *keep)
     every = reduce(DataFrame.unionByName, [d.withColumn("source_index", F.lit(i)) for i, d in enumerate(each)])
@@ -120,6 +126,13 @@ def _shortlist(queries: np.ndarray, metric: str, k: int, skip: list[str] | None)
         norms = np.sqrt(squares) * lengths
         return np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
 
+    step = max(1, PAIRS // max(1, len(queries)))
+
+    def cut(row: np.ndarray, q: np.ndarray, s: np.ndarray, batch: pa.RecordBatch, least: np.ndarray) -> tuple:
+        keep = s >= least[q]
+        rows = np.unique(row[keep])
+        return np.searchsorted(rows, row[keep]), q[keep], s[keep], batch.take(pa.array(rows))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full((k, len(queries)), -np.inf)
         places: dict[str, list[int]] = {}
@@ -127,9 +140,7 @@ def _shortlist(queries: np.ndarray, metric: str, k: int, skip: list[str] | None)
             places.setdefault(i, []).append(j)
         size = 0.0  # the largest that a sum of products may be, which bounds its rounding error
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             s = scores(v)
             if places:
@@ -141,6 +152,8 @@ def _shortlist(queries: np.ndarray, metric: str, k: int, skip: list[str] | None)
             row, q = np.nonzero((s >= best[0] - 1e-12 * size) & (s > -np.inf))
             rows = np.unique(row)
             held.append((np.searchsorted(rows, row), q, s[row, q], batch.take(pa.array(rows))))
+            if len(held) >= 64:  # what no longer is among the best goes
+                held = [x for x in (cut(*h, best[0] - 1e-12 * size) for h in held) if len(x[0])]
         for row, q, s, batch in held:
             keep = s >= best[0][q] - 1e-12 * size
             if keep.any():
@@ -163,9 +176,8 @@ def _nearest_codes(codes: list[list[int]], pool: int, skip: list[str] | None, cl
         allowed = np.zeros((len(asked), 1 + max((c for x in clusters or () for c in x), default=0)), bool)
         for j, x in enumerate(clusters or ()):
             allowed[j, x] = True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, PAIRS // max(1, len(asked)))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             words = batch.column("vector_bin").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
             keys = sum(np.bitwise_count(words[:, w, None] ^ asked[None, :, w]).astype(np.int64) for w in range(words.shape[1])) << 40
             keys |= batch.column("row_index").to_numpy()[:, None]

@@ -9,7 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearfield.functions.vectors import best_first, score
+from nearfield.operators.ranges import DEFAULT_PROBE
 from nearfield.operators.search import search, search_batch
+from nearfield.plans.planner import RERANK
 from nearfield.sources.table import VectorTable, write_vectors
 
 
@@ -95,22 +98,17 @@ def timed(run: Callable[[], DataFrame]) -> tuple[list, float]:
 
 
 def sweep(table: VectorTable, queries: DataFrame, truth: DataFrame, k: int, settings: Iterable[dict]) -> DataFrame:
-    """For each setting (rerank_factor, probe, algorithm): recall against truth and milliseconds per query."""
-    given = queries.select(F.col("query_id").cast("string").alias("query_id"), "query").collect()  # the stated query set
-    true = {}
-    for r in truth.where(F.col("rank") <= k).select("query_id", "id").collect():
-        true.setdefault(r["query_id"], set()).add(r["id"])
+    """For each setting (rerank_factor, probe, algorithm): micro recall against truth and milliseconds per query, all queries at once."""
+    asked = queries.count()
     out = []
     for s in settings:
-        hits, total, spent = 0, 0, []
-        for q in given:
-            rows, ms = timed(lambda q=q, s=s: search(table, q["query"], k, **s))
-            hits += len({r["id"] for r in rows} & true[q["query_id"]])
-            total += len(true[q["query_id"]])
-            spent.append(ms)
-        spent.sort()
-        out.append((str(s), hits / total, sum(spent) / len(spent), spent[min(len(spent) - 1, len(spent) // 2)], spent[min(len(spent) - 1, int(0.9 * len(spent)))]))
-    return table.rows.sparkSession.createDataFrame(out, "setting string, recall double, mean_ms double, p50_ms double, p90_ms double")
+        start = time.perf_counter()
+        found = search_batch(table, queries, k, by_cluster=True, **{"algorithm": "auto", **s}).persist()
+        found.count()
+        ms = (time.perf_counter() - start) * 1000 / max(1, asked)
+        out.append((s.get("algorithm", "auto"), float(s.get("rerank_factor", RERANK)), float(s.get("probe", DEFAULT_PROBE)), table.meta.clusters, k, recall_micro(truth, found, k).first()["recall"], ms))
+        found.unpersist()
+    return table.rows.sparkSession.createDataFrame(out, "algorithm string, rerank_factor double, probe double, clusters int, k int, recall double, mean_ms double")
 
 
 def build_ablation(df: DataFrame, dimension: int, folder: str, queries: DataFrame, k: int, clusters: int, **options) -> DataFrame:
@@ -129,29 +127,40 @@ def build_ablation(df: DataFrame, dimension: int, folder: str, queries: DataFram
     return df.sparkSession.createDataFrame(out, "table string, recall double, mean_ms double")
 
 
-def filtered_recall(table: VectorTable, queries: DataFrame, k: int, attribute: str, overfetch: Sequence[int] = (1, 10, 30, 100)) -> DataFrame:
+def filtered_recall(table: VectorTable, queries: DataFrame, k: int, attribute: str, overfetch: Sequence[int] = (1, 10, 30, 100), salts: int = 8) -> DataFrame:
     """Recall of a filter after the search by overfetch, against the filter before it. queries: query_id, query, value of the attribute."""
-    from nearfield.operators.search import post_filtered
+    metric = table.meta.metric
+    order = Window.partitionBy("query_id").orderBy(best_first("score", metric), "row_index")
+    salted = Window.partitionBy("query_id", "salt").orderBy(best_first("score", metric), "row_index")
+    value = queries.select(F.col("query_id").alias("asked"), F.col("value").alias(attribute))
+    rows = table.rows.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts)))
+    own = rows.join(F.broadcast(queries), F.col(attribute) == F.col("value"))  # the stated query set
+    own = own.select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), metric).alias("score"))
+    own = own.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= k)
+    truth = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id").persist()
+    totals = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    wide = search_batch(table, queries.select("query_id", "query"), k * max(overfetch), algorithm="exact")
+    wide = wide.join(table.rows.select("row_index", attribute), "row_index").join(F.broadcast(value), (F.col("asked") == F.col("query_id")) & (table.rows[attribute] == value[attribute]))
+    wide = wide.select("query_id", "id", "rank").persist()
+    out = []
+    for f in overfetch:
+        after = wide.where(F.col("rank") <= k * f).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("place") <= k)
+        hits = after.join(truth, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+        out.append(totals.join(hits, "query_id", "left").agg(F.lit(f).alias("overfetch"), F.avg(F.coalesce("hits", F.lit(0)) / F.col("total")).alias("recall")))
+    return reduce(DataFrame.unionByName, out)
 
-    rows = []
-    for q in queries.collect():  # the stated query set
-        own = F.col(attribute) == q["value"]
-        true = {r["id"] for r in search(table, q["query"], k, where=own, algorithm="exact").collect()}
-        for f in overfetch:
-            got = {r["id"] for r in post_filtered(table, q["query"], k, own, f, keep=(attribute,)).collect()}
-            rows.append((f, len(got & true) / max(1, len(true))))
-    spark = table.rows.sparkSession
-    return spark.createDataFrame(rows, "overfetch int, recall double").groupBy("overfetch").agg(F.avg("recall").alias("recall")).orderBy("overfetch")
 
+def scale_sweep(df: DataFrame, dimension: int, folder: str, sizes: Sequence[int], queries: DataFrame, k: int = 10, **options) -> DataFrame:
+    """For tables of the first rows of df (row_index, id, vector): bytes with and without codes, recall and times of both ways.
 
-def scale_sweep(df: DataFrame, dimension: int, folder: str, sizes: Sequence[int], k: int = 10, queries: int = 3, **options) -> DataFrame:
-    """For tables of the first rows of df (row_index, id, vector): bytes with and without codes, recall and times of both ways."""
+    queries: query_id, query, row_index; of these the rows of each table ask.
+    """
     from nearfield.sources.inspect import inspect
 
     out = []
     for n in sizes:
         rows = df.where(F.col("row_index") < n)
-        asked = sample_queries(rows, queries, n).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        asked = queries.where(F.col("row_index") < n).select("query_id", "query")
         tables = {b: write_vectors(rows, f"{folder}/{n}-{b}", dimension, binary=b, order_by=("row_index",), **options) for b in (False, True)}
         size = {b: int(inspect(df.sparkSession, f"{folder}/{n}-{b}").where("property = 'bytes'").first()["value"]) for b in tables}
         truth = search_batch(tables[False], asked, k).persist()
@@ -161,15 +170,17 @@ def scale_sweep(df: DataFrame, dimension: int, folder: str, sizes: Sequence[int]
 
 
 def cold_and_warm(table: VectorTable, queries: DataFrame, k: int = 10, **options) -> DataFrame:
-    """Percentiles of milliseconds per query with codes read from files (cold) and held in memory (warm)."""
+    """Percentiles of milliseconds per query, and how many came back, with codes read from files (cold) and held in memory (warm)."""
     from nearfield.sources.table import prefetch_codes
 
-    asked = [list(r["query"]) for r in queries.select("query").collect()]  # the stated query set
+    asked = [list(r["query"]) for r in queries.select("query").toLocalIterator()]  # the stated query set, one search after the other
     out = []
     for name, t in (("cold", table), ("warm", prefetch_codes(table))):
-        spent = sorted(timed(lambda q=q, t=t: search(t, q, k, **options))[1] for q in asked)
-        out.append((name, *(spent[min(len(spent) - 1, int(share * len(spent)))] for share in (0.5, 0.9, 0.99))))
-    return table.rows.sparkSession.createDataFrame(out, "codes string, p50_ms double, p90_ms double, p99_ms double")
+        runs = [timed(lambda q=q, t=t: search(t, q, k, **options)) for q in asked]
+        spent = sorted(ms for _, ms in runs)
+        out.append((name, len(asked), sum(len(rows) for rows, _ in runs), *(spent[min(len(spent) - 1, int(share * len(spent)))] for share in (0.5, 0.9, 0.99))))
+        t.release()
+    return table.rows.sparkSession.createDataFrame(out, "codes string, queries bigint, results bigint, p50_ms double, p90_ms double, p99_ms double")
 
 
 def compare_models(models: dict[str, VectorTable], pairs: DataFrame, k: int = 10) -> DataFrame:

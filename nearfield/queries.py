@@ -6,6 +6,7 @@ Vectors are those of `embeddings` (64 elements); row numbers are vec_id. Scores
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ from nearfield.sources.table import VectorTable
 
 DIM, K, PLACES = 64, 10, 6
 CLUSTERS, CLUSTER_SEED = 8, 1
-QUERIES = (3, 57, 199, 342, 444)
+#: The stated query set: every row whose id is divisible by 50.
+STATED = 50
 
 QUERY_MAP: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,13 +66,9 @@ def _clustered(spark: SparkSession, d: str) -> VectorTable:
     return table.build(_rows(spark, d).withColumn("n", F.col("row_index")), DIM, order_by=("n",), normalize=False, clusters=CLUSTERS, cluster_seed=CLUSTER_SEED)
 
 
-def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, d).where(F.col("row_index").isin(*QUERIES)).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-
-
 def _stated(spark: SparkSession, d: str) -> DataFrame:
     """Every row whose id is divisible by 50."""
-    return _rows(spark, d).where("row_index % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    return _rows(spark, d).where(F.col("row_index") % STATED == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
 
 
 def _shown(df: DataFrame, *columns: str) -> DataFrame:
@@ -151,11 +149,10 @@ def fn_hamming(spark, d):
     return _coded(spark, d).select(F.col("row_index").alias("vec_id"), V.hamming(F.col("vector_bin"), q).alias("hamming"))
 
 
-@query("select l_orderkey, l_linenumber, case when l_discount * 100 = floor(l_discount * 100) then (l_discount * 100)::bigint::varchar else (l_discount * 100)::varchar end as id from lineitem where l_discount * 100 = floor(l_discount * 100)")
+@query("select l_orderkey, l_linenumber, case when l_discount * 100 = floor(l_discount * 100) then (l_discount * 100)::bigint::varchar else (l_discount * 100)::varchar end as id from lineitem")
 def fn_id_string(spark, d):
     x = F.col("l_discount") * 100
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where(x == F.floor(x))
-    return rows.select("l_orderkey", "l_linenumber", V.id_string(x, "double").alias("id"))
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", V.id_string(x, "double").alias("id"))
 
 
 @query(f"with {_Q0} select vec_id, round({_SCORES['cosine']}, {PLACES}) as cosine, round({_SCORES['dot']}, {PLACES}) as dot, round({_SCORES['euclidean']}, {PLACES}) as l2 from embeddings, q")
@@ -186,13 +183,13 @@ def lcg_vectors(spark, d):
 @query(
     "with recursive g(i, st) as (select 1::bigint, (7 * 1664525 + 1013904223) % 4294967296 union all select i + 1, (st * 1664525 + 1013904223) % 4294967296 from g where i < 64), "
     "u as (select list((st / 4294967296.0 * 2 - 1) * 0.05 order by i) as u from g), "
-    "v as (select vec_id, list_transform(range(1, 65), lambda i: (embedding[i]::double + u[i])::float) as v from embeddings, u where vec_id < 20) "
+    "v as (select vec_id, list_transform(range(1, 65), lambda i: (embedding[i]::double + u[i])::float) as v from embeddings, u) "
     "select vec_id, round(list_dot_product(embedding::double[], list_transform(v, lambda x: (x::double / sqrt(list_dot_product(v::double[], v::double[])))::float)::double[]), 6) as score from v join embeddings using (vec_id)"
 )
-def perturbed_queries(spark, d):
+def perturbed_stated(spark, d):
     rng = kmeans.Lcg(7)
     noise = V.vector_literal([rng.uniform() * 0.05 for _ in range(DIM)])
-    rows = _rows(spark, d).where("row_index < 20").withColumn("q", V.l2_normalize(F.zip_with("vector", noise, lambda x, u: (x.cast("double") + u).cast("float"))))
+    rows = _rows(spark, d).withColumn("q", V.l2_normalize(F.zip_with("vector", noise, lambda x, u: (x.cast("double") + u).cast("float"))))
     return rows.select(F.col("row_index").alias("vec_id"), F.round(V.dot(F.col("vector"), F.col("q")), PLACES).alias("score"))
 
 
@@ -262,23 +259,23 @@ def knn_multi_source(spark, d):
 
 _BATCH = (
     f"select q.vec_id::varchar as query_id, e.vec_id::varchar as id, e.vec_id as row_index, {_COS.format(a='e.embedding::double[]', b='q.embedding::double[]')} as score "
-    f"from embeddings e, embeddings q where q.vec_id in {QUERIES}"
+    f"from embeddings e, embeddings q where q.vec_id % {STATED} = 0"
 )
 _BATCH_RANKED = "select query_id, (row_number() over (partition by query_id order by score desc, row_index))::int as rank, id, score, row_index from ({}) qualify rank <= {}"
 
 
 @query(f"select query_id, rank, id, round(score, {PLACES}) as score, row_index from ({_BATCH_RANKED.format(_BATCH, K)})")
 def knn_batch(spark, d):
-    return _shown(search.search_batch(_table(_rows(spark, d)), _queries(spark, d), K))
+    return _shown(search.search_batch(_table(_rows(spark, d)), _stated(spark, d), K))
 
 
 @query(f"select query_id, rank, id, round(score, {PLACES}) as score, row_index from ({_BATCH_RANKED.format(_BATCH + ' and e.vec_id <> q.vec_id', K)})")
 def knn_exclude_self(spark, d):
-    return _shown(search.search_batch(_table(_rows(spark, d)), _queries(spark, d), K, exclude_self=True))
+    return _shown(search.search_batch(_table(_rows(spark, d)), _stated(spark, d), K, exclude_self=True))
 
 
 _BATCH_POOL = (
-    f"select q.vec_id as qid, e.vec_id as vec_id from embeddings e, embeddings q where q.vec_id in {QUERIES} "
+    f"select q.vec_id as qid, e.vec_id as vec_id from embeddings e, embeddings q where q.vec_id % {STATED} = 0 "
     f"qualify row_number() over (partition by q.vec_id order by {_BIT.format(a=_CODE.format(v='e.embedding'), b=_CODE.format(v='q.embedding'))}, e.vec_id) <= {{}}"
 )
 _BATCH_RERANK = _BATCH.replace("from embeddings e, embeddings q where", "from pool join embeddings e using (vec_id) join embeddings q on q.vec_id = qid where")
@@ -286,7 +283,7 @@ _BATCH_RERANK = _BATCH.replace("from embeddings e, embeddings q where", "from po
 
 @query(f"with pool as ({_BATCH_POOL.format(100)}) select query_id, rank, id, round(score, {PLACES}) as score, row_index from ({_BATCH_RANKED.format(_BATCH_RERANK, K)})")
 def knn_batch_rerank(spark, d):
-    return _shown(search.search_batch(_table(_coded(spark, d)), _queries(spark, d), K, algorithm="binary"))
+    return _shown(search.search_batch(_table(_coded(spark, d)), _stated(spark, d), K, algorithm="binary"))
 
 
 @query(f"with {_Q0}, s as ({_scored('cosine', 'embeddings, q where label = 3', ', label')}) select (row_number() over (order by score desc, row_index))::int as rank, id, round(score, {PLACES}) as score, row_index, label from s order by rank limit {K}")
@@ -359,11 +356,12 @@ def kmeans_full(spark, d):
     return _kmeans(spark, d, 6)
 
 
-@query(f"{_FULL} select cl as cluster, count(*) as n, list_sum(list_transform(range(0, {DIM}), lambda i: 0))::bigint + sum(o)::bigint as ones from (select a.cl, a.vec_id, (select sum(bit) from bits b where b.vec_id = a.vec_id) as o from a5 a) group by cl")
+@query(f"{_FULL} select a.cl as cluster, b.bi::int as bit, count(*) as n, sum(b.bit)::bigint as ones from a5 a join bits b using (vec_id) group by 1, 2")
 def cluster_bit_counts(spark, d):
     rows = _coded(spark, d).select(F.col("row_index").alias("ordinal"), F.col("vector_bin").alias("code"))
-    found = kmeans.binary_kmeans(rows, DIM, CLUSTERS, 6, CLUSTER_SEED).assigned
-    return kmeans.bit_counts(found, DIM).select("cluster", "n", F.aggregate("ones", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ones"))
+    found = kmeans.binary_kmeans(rows, DIM, CLUSTERS, 6, CLUSTER_SEED)
+    counts = kmeans.cluster_counts(rows, DIM, found.centroids)
+    return spark.createDataFrame([(c, n, ones) for c, (n, ones) in counts.items()], "cluster int, n bigint, ones array<bigint>").select("cluster", "n", F.posexplode("ones").alias("bit", "ones"))
 
 
 @query(f"{_FULL}, {_WALK} select cl as old_cluster, place::int as cluster_id from walk")
@@ -431,19 +429,19 @@ _ISLANDS = "select {key}, min({a})::bigint as row_start, max({b})::bigint as row
 
 @query(
     _ISLANDS.format(
-        key="l_returnflag", a="a", b="b", marked="select *, case when a <= max(b) over (partition by l_returnflag order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from (select l_returnflag, l_partkey as a, l_partkey + l_linenumber as b from lineitem where l_suppkey % 5 = 0 and l_partkey % 7 = 0)"
+        key="l_returnflag", a="a", b="b", marked="select *, case when a <= max(b) over (partition by l_returnflag order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from (select l_returnflag, l_orderkey * 8 as a, l_orderkey * 8 + l_linenumber as b from lineitem)"
     )
 )
 def merge_ranges(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_suppkey % 5 = 0 and l_partkey % 7 = 0").select("l_returnflag", F.col("l_partkey").alias("row_start"), (F.col("l_partkey") + F.col("l_linenumber")).alias("row_end"))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", (F.col("l_orderkey") * 8).alias("row_start"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_end"))
     return ranges.merge_ranges(rows, "l_returnflag")
 
 
 @query(
-    _ISLANDS.format(key="o_orderstatus", a="k", b="e", marked="select *, case when k - lag(k) over (partition by o_orderstatus order by k) - 1 <= 8 then 0 else 1 end as new from (select o_orderstatus, o_orderkey as k, o_orderkey + 1 as e from orders where o_totalprice > 150000)")
+    _ISLANDS.format(key="o_orderstatus", a="k", b="e", marked="select *, case when k - lag(k) over (partition by o_orderstatus order by k) - 1 <= 8 then 0 else 1 end as new from (select o_orderstatus, o_orderkey as k, o_orderkey + 1 as e from orders)")
 )
 def coalesce_runs(spark, d):
-    rows = spark.read.parquet(f"{d}/orders.parquet").where("o_totalprice > 150000").select("o_orderstatus", F.col("o_orderkey").alias("row_index"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderstatus", F.col("o_orderkey").alias("row_index"))
     return ranges.coalesce_runs(rows, 8, "o_orderstatus")
 
 
@@ -456,9 +454,9 @@ def read_slice(spark, d):
     return found.select("id", F.posexplode("vector").alias("pos", "val")).withColumn("val", F.round(F.col("val").cast("double"), PLACES))
 
 
-@query("select vec_id::varchar as id, label from embeddings where vec_id < 50")
+@query("select vec_id::varchar as id, label from embeddings")
 def read_passthrough(spark, d):
-    return table.read_vectors(_table(_rows(spark, d)), None, 50).select("id", F.col("metadata.label").alias("label"))
+    return table.read_vectors(_table(_rows(spark, d))).select("id", F.col("metadata.label").alias("label"))
 
 
 @query(f"select vec_id as row_index, vec_id::varchar as id, label, round(list_sum(embedding::double[]), {PLACES - 1}) as total from embeddings")
@@ -474,15 +472,15 @@ def inspect_stats(spark, d):
     return inspect(spark, path).where(~F.col("property").isin("path", "bytes", "files", "percent_of_raw"))
 
 
-@query("select l_orderkey::varchar || ':' || l_linenumber::varchar as id, 1 + l_quantity::float::double as first from lineitem where l_orderkey < 500".replace("1 + l_quantity::float::double as first", "l_quantity::float::double as first"))
+@query("select l_orderkey::varchar || ':' || l_linenumber::varchar as id, 1 + l_quantity::float::double as first from lineitem".replace("1 + l_quantity::float::double as first", "l_quantity::float::double as first"))
 def ingest_numbers(spark, d):
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey < 500").withColumn("key", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("key", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
     return ingest.from_numbers(rows, "key", "l_quantity", "l_extendedprice", "l_discount", "l_tax").select("id", F.get("vector", F.lit(0)).cast("double").alias("first"))
 
 
-@query(f"with {_Q0} select vec_id::varchar as id, round({_SCORES['dot']}, {PLACES}) as score from embeddings, q where vec_id < 40")
+@query(f"with {_Q0} select vec_id::varchar as id, round({_SCORES['dot']}, {PLACES}) as score from embeddings, q")
 def ingest_bytes(spark, d):
-    stored = _rows(spark, d).where("row_index < 40").select("id", V.pack_floats(F.col("vector")).alias("raw"))
+    stored = _rows(spark, d).select("id", V.pack_floats(F.col("vector")).alias("raw"))
     return ingest.from_bytes(stored, "id", "raw", DIM).select("id", F.round(V.dot(F.col("vector"), V.vector_literal(_vector(spark, d, 0))), PLACES).alias("score"))
 
 
@@ -500,7 +498,7 @@ _HITS = "hits as (select t.query_id, count(f.id) as hits, count(*) as total from
 
 
 def _truth_found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t, q = _table(_coded(spark, d)), _queries(spark, d)
+    t, q = _table(_coded(spark, d)), _stated(spark, d)
     return search.search_batch(t, q, K), search.search_batch(t, q, K, algorithm="binary", rerank_factor=3)
 
 
@@ -536,14 +534,14 @@ def recall_clustered(spark, d):
 
 
 @query(
-    f"with r as ({_BATCH_RANKED.format(_BATCH + ' and e.vec_id <> q.vec_id', K)}), t as (select q.vec_id::varchar as query_id, min(e.vec_id)::varchar as target_id from embeddings q join embeddings e on e.label = q.label and e.vec_id <> q.vec_id where q.vec_id in {QUERIES} group by 1), "
+    f"with r as ({_BATCH_RANKED.format(_BATCH + ' and e.vec_id <> q.vec_id', K)}), t as (select q.vec_id::varchar as query_id, min(e.vec_id)::varchar as target_id from embeddings q join embeddings e on e.label = q.label and e.vec_id <> q.vec_id where q.vec_id % {STATED} = 0 group by 1), "
     f"j as (select t.query_id, r.rank from t left join r on r.query_id = t.query_id and r.id = t.target_id) select round(avg((coalesce(rank, 0) = 1)::int::double), {PLACES}) as hits1, round(avg((rank is not null)::int::double), {PLACES}) as hits10, round(avg(coalesce(1.0 / rank, 0)), {PLACES}) as mrr10 from j"
 )
 def hits_mrr(spark, d):
     rows = _rows(spark, d)
-    q = rows.where(F.col("row_index").isin(*QUERIES)).select(F.col("row_index").alias("q"), "label")
+    q = rows.where(F.col("row_index") % STATED == 0).select(F.col("row_index").alias("q"), "label")
     targets = q.join(rows.select("row_index", "label"), "label").where("row_index <> q").groupBy(F.col("q").cast("string").alias("query_id")).agg(F.min("row_index").cast("string").alias("target_id"))
-    found = evaluate.hits_and_mrr(search.search_batch(_table(rows), _queries(spark, d), K, exclude_self=True), targets)
+    found = evaluate.hits_and_mrr(search.search_batch(_table(rows), _stated(spark, d), K, exclude_self=True), targets)
     return found.select(*[F.round(c, PLACES).alias(c) for c in found.columns])
 
 
@@ -579,30 +577,79 @@ def latency_percentiles(spark, d):
 )
 def filtered_recall(spark, d):
     rows = _rows(spark, d)
-    q = rows.where(F.col("row_index").isin(*QUERIES)).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.col("label").alias("value"))
+    q = rows.where(F.col("row_index") % STATED == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), F.col("label").alias("value"))
     return evaluate.filtered_recall(_table(rows), q, K, "label", (1, 10)).withColumn("recall", F.round("recall", PLACES))
 
 
-@query()
+# Every stated query with every row: distance of codes and score. Clusters are numbered and ranked per query as in _WALK.
+_PAIRS = (
+    f"pairs as materialized (select q.vec_id as qid, e.vec_id, {_BIT.format(a=_CODE.format(v='e.embedding'), b=_CODE.format(v='q.embedding'))} as far, {_COS.format(a='e.embedding::double[]', b='q.embedding::double[]')} as score "
+    f"from embeddings e, embeddings q where q.vec_id % {STATED} = 0)"
+)
+_PAIRS_CLUSTERED = (
+    f"{_PAIRS}, qcodes as (select vec_id as qid, {_CODE.format(v='embedding')}::bit as code from embeddings where vec_id % {STATED} = 0), "
+    "order_of as (select qid, w.place as cluster_id, row_number() over (partition by qid order by bit_count(xor(c.code, q.code)), w.place) as nr from walk w join cent c using (cl), qcodes q), "
+    "plain as materialized (select qid, vec_id, far, score, vec_id as row_index, 0 as nr from pairs), "
+    "clustered_pairs as materialized (select p.qid, p.vec_id, far, score, n.row_index, o.nr from pairs p join numbered n using (vec_id) join order_of o on o.qid = p.qid and o.cluster_id = n.cluster_id)"
+)
+
+
+def _recall_sql(source: str, k: int, pool: int | None, probed: int = CLUSTERS) -> str:
+    """The micro recall of the first k of a pool of the nearest codes in the probed clusters; no pool: of all rows."""
+    chosen = f"select * from {source} where nr <= {probed}" + ("" if pool is None else f" qualify row_number() over (partition by qid order by far, row_index) <= {pool}")
+    found = f"select qid, vec_id from ({chosen}) qualify row_number() over (partition by qid order by score desc, row_index) <= {k}"
+    truth = f"select qid, vec_id from plain qualify row_number() over (partition by qid order by score desc, vec_id) <= {k}"
+    return f"(select round(count(f.vec_id) / count(*), {PLACES}) from ({truth}) t left join ({found}) f using (qid, vec_id))"
+
+
+#: (rerank factor, probe) with and without clusters, for the first 10 and the first 100.
+SWEEP_K, SWEEP_FACTORS, SWEEP_PROBES = (10, 100), (1, 3, 10), (0.25, 0.5, 1.0)
+
+
+def _parameter_sweep_sql() -> str:
+    rows = []
+    for k in SWEEP_K:
+        rows.append(f"select 'exact' as algorithm, {10.0}::double as rerank_factor, {0.25}::double as probe, 0 as clusters, {k} as k, {_recall_sql('plain', k, None)} as recall")
+        for f in SWEEP_FACTORS:
+            rows.append(f"select 'auto', {f}::double, 0.25::double, 0, {k}, {_recall_sql('plain', k, k * f)}")
+            rows += [f"select 'auto', {f}::double, {p}::double, {CLUSTERS}, {k}, {_recall_sql('clustered_pairs', k, k * f, round(CLUSTERS * p))}" for p in SWEEP_PROBES]
+    return f"{_FULL}, {_WALK}, {_PAIRS_CLUSTERED} " + " union all ".join(rows)
+
+
+@query(_parameter_sweep_sql())
 def parameter_sweep(spark, d):
-    t = _table(_coded(spark, d))
-    q = _stated(spark, d)
-    return evaluate.sweep(t, q, search.search_batch(t, q, K), K, [{"algorithm": "exact"}, {"rerank_factor": 3}, {"rerank_factor": 10}])
+    """Clusters x rerank factor x probe, recall at 10 and 100; evaluate.sweep also gives milliseconds."""
+    plain, clustered, q = _table(_coded(spark, d)), _clustered(spark, d), _stated(spark, d)
+    out = []
+    for k in SWEEP_K:
+        truth = search.search_batch(plain, q, k).persist()
+        out.append(evaluate.sweep(plain, q, truth, k, [{"algorithm": "exact"}, *({"rerank_factor": f} for f in SWEEP_FACTORS)]))
+        out.append(evaluate.sweep(clustered, q, truth, k, [{"rerank_factor": f, "probe": p} for f in SWEEP_FACTORS for p in SWEEP_PROBES]))
+    clustered.release()
+    return reduce(DataFrame.unionByName, out).drop("mean_ms").withColumn("recall", F.round("recall", PLACES))
 
 
-@query()
+@query(f"{_FULL}, {_WALK}, {_PAIRS_CLUSTERED} select 'base' as \"table\", {_recall_sql('plain', K, None)} as recall union all select 'codes', {_recall_sql('plain', K, 10 * K)} union all select 'clusters', {_recall_sql('clustered_pairs', K, 10 * K, 2)}")
 def write_ablation(spark, d):
-    return evaluate.build_ablation(_rows(spark, d).withColumn("n", F.col("row_index")), DIM, scratch(spark, "ablation"), _stated(spark, d), K, CLUSTERS, order_by=("n",))
+    found = evaluate.build_ablation(_rows(spark, d).withColumn("n", F.col("row_index")), DIM, scratch(spark, "ablation"), _stated(spark, d), K, CLUSTERS, order_by=("n",), normalize=False)
+    return found.select("table", F.round("recall", PLACES).alias("recall"))
 
 
-@query()
+STORAGE = {"uncompressed": {}, "snappy": {"codec": "snappy"}, "zstd": {"codec": "zstd"}, "dictionary": {"encodings": {"vector": True, "vector_bin": True}}, "plain ids": {"encodings": {"id": False}}, "small pages": {"page_size": 4096}, "large pages": {"page_size": 1 << 20}}
+
+
+@query(" union all ".join(f"select '{name}' as setting, count(*) as vectors, round(sum(list_sum(embedding::double[])), 2) as total, true as smaller_than_text from embeddings" for name in STORAGE))
 def storage_codecs(spark, d):
+    """Codecs, encodings per column and page sizes: what comes back, and if the files are smaller than the numbers as text."""
+    text = _rows(spark, d).agg(F.sum(F.length(F.to_json(F.struct("vector"))))).first()[0]
     out = []
-    for codec in ("uncompressed", "snappy", "zstd"):
-        path = scratch(spark, f"codec-{codec}")
-        table.write_vectors(_rows(spark, d), path, DIM, binary=True, codec=codec)
-        out.append((codec, int(inspect(spark, path).where("property = 'bytes'").first()["value"])))
-    return spark.createDataFrame(out, "codec string, bytes bigint")
+    for name, how in STORAGE.items():
+        path = scratch(spark, "storage")
+        rows = table.write_vectors(_rows(spark, d), path, DIM, binary=True, normalize=False, **how).rows
+        size = int(inspect(spark, path).where("property = 'bytes'").first()["value"])
+        total = rows.select(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("v"))
+        out.append(total.agg(F.lit(name).alias("setting"), F.count(F.lit(1)).alias("vectors"), F.round(F.sum("v"), 2).alias("total"), F.lit(size < text).alias("smaller_than_text")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(
@@ -619,7 +666,7 @@ def _model_sql(name: str, dim: int) -> str:
     batch = _BATCH.replace("e.embedding", f"e.embedding[:{dim}]").replace("q.embedding", f"q.embedding[:{dim}]") + " and e.vec_id <> q.vec_id"
     return (
         f"select '{name}' as model, {dim} as dimension, round(avg((coalesce(rank, 0) = 1)::int::double), {PLACES}) as hits1, round(avg((rank is not null)::int::double), {PLACES}) as hits10, round(avg(coalesce(1.0 / rank, 0)), {PLACES}) as mrr10 "
-        f"from (select p.vec_id::varchar as query_id, ((p.vec_id + 1) % n)::varchar as target_id from embeddings p, (select count(*) as n from embeddings) where p.vec_id in {QUERIES}) t left join ({_BATCH_RANKED.format(batch, K)}) r on r.query_id = t.query_id and r.id = t.target_id"
+        f"from (select p.vec_id::varchar as query_id, ((p.vec_id + 1) % n)::varchar as target_id from embeddings p, (select count(*) as n from embeddings) where p.vec_id % {STATED} = 0) t left join ({_BATCH_RANKED.format(batch, K)}) r on r.query_id = t.query_id and r.id = t.target_id"
     )
 
 
@@ -627,20 +674,48 @@ def _model_sql(name: str, dim: int) -> str:
 def model_comparison(spark, d):
     rows = _rows(spark, d)
     n = rows.count()
-    pairs = spark.createDataFrame([(str(q), str((q + 1) % n)) for q in QUERIES], "query_id string, target_id string")
+    pairs = rows.where(F.col("row_index") % STATED == 0).select(F.col("id").alias("query_id"), ((F.col("row_index") + 1) % n).cast("string").alias("target_id"))
     half = table.from_rows(rows.withColumn("vector", F.slice("vector", 1, DIM // 2)), DIM // 2)
     found = evaluate.compare_models({"whole": _table(rows), "half": half}, pairs)
     return found.select("model", "dimension", *[F.round(c, PLACES).alias(c) for c in ("hits1", "hits10", "mrr10")])
 
 
-@query()
+def _scale_sql() -> str:
+    parts = []
+    for share in (4, 2, 1):
+        near = f"select * from plain where vec_id < n // {share} and qid < n // {share}"
+        truth = f"select qid, vec_id from ({near}) qualify row_number() over (partition by qid order by score desc, vec_id) <= {K}"
+        pool = f"select * from ({near}) qualify row_number() over (partition by qid order by far, vec_id) <= {10 * K}"
+        found = f"select qid, vec_id from ({pool}) qualify row_number() over (partition by qid order by score desc, vec_id) <= {K}"
+        parts.append(f"select (select max(n) // {share} from plain) as rows, round(count(f.vec_id) / count(*), {PLACES}) as recall from ({truth}) t left join ({found}) f using (qid, vec_id)")
+    return f"with {_PAIRS}, plain as (select *, (select count(*) from embeddings) as n from pairs) " + " union all ".join(parts)
+
+
+@query(_scale_sql())
 def scale_sweep(spark, d):
-    return evaluate.scale_sweep(_rows(spark, d).drop("label"), DIM, scratch(spark, "scale"), (100, 400))
+    """A quarter, half and all of the rows; evaluate.scale_sweep also gives bytes and milliseconds."""
+    rows = _rows(spark, d).drop("label")
+    n = rows.count()
+    asked = rows.where(F.col("row_index") % STATED == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), "row_index")
+    found = evaluate.scale_sweep(rows, DIM, scratch(spark, "scale"), [n // 4, n // 2, n], asked, normalize=False)
+    return found.select("rows", F.round("recall", PLACES).alias("recall"))
 
 
-@query()
+@query(f"select unnest(['cold', 'warm']) as codes, count(*) as queries, count(*) * {K} as results from embeddings where vec_id % {STATED} = 0")
 def cold_and_warm(spark, d):
-    return evaluate.cold_and_warm(_table(_coded(spark, d)), _stated(spark, d))
+    """How many results came back; evaluate.cold_and_warm also gives percentiles of milliseconds."""
+    path = scratch(spark, "cold")
+    t = table.write_vectors(_rows(spark, d), path, DIM, binary=True)
+    return evaluate.cold_and_warm(t, _stated(spark, d)).select("codes", "queries", "results")
+
+
+@query(f"{_FULL}, {_WALK}, {_PAIRS_CLUSTERED} " + " union all ".join(f"select {n} as probed, {_recall_sql('clustered_pairs', K, 10 * K, n)} as recall" for n in (1, 2, 4, 8)))
+def probe_sweep(spark, d):
+    """Recall by the number of clusters that a search reads."""
+    clustered, q = _clustered(spark, d), _stated(spark, d)
+    truth = search.search_batch(_table(_rows(spark, d)), q, K).persist()
+    found = evaluate.sweep(clustered, q, truth, K, [{"probe": n / CLUSTERS} for n in (1, 2, 4, 8)])
+    return found.select((F.col("probe") * CLUSTERS).cast("int").alias("probed"), F.round("recall", PLACES).alias("recall"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +27,7 @@ from nearfield.operators.kmeans import ITERATIONS, SEED, binary_kmeans, code_lit
 VERSION = 1
 AUTO_CODES_ROWS = 10_000
 CODE_PAGE_BYTES = 32 * 1024
+ROW_GROUP_BYTES = 16 << 20
 DIRECTORIES = 1000
 
 
@@ -50,6 +52,14 @@ class VectorTable:
     path: str | None = None
     #: Codes that were read into memory: row_index, vector_bin[, cluster_id].
     prefetched: DataFrame | None = None
+    #: What was persisted to build the rows.
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Free what the executors hold for this table. A table that was built but not written is then computed anew when read."""
+        for df in self.held + ([self.prefetched] if self.prefetched is not None else []):
+            df.unpersist()
+        self.held, self.prefetched = [], None
 
     @property
     def codes(self) -> DataFrame:
@@ -88,18 +98,22 @@ def checked_vector(vector: Column, id_col: Column, dimension: int, normalize: bo
     )
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with `ordinal`: 0..N-1 in the given order. Counts per range are all that the driver sees."""
+def _starts(parts: DataFrame) -> DataFrame:
+    """part, start: the number of rows in the parts before, from one count a part."""
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return F.broadcast(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start")))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("bigint"), 33))
+
+
+def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """df with `ordinal`: 0..N-1 in the given order, and the frame that was persisted for it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    dealt = dealt.withColumn("place", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("bigint"), 33))
-    dealt = dealt.persist(StorageLevel.DISK_ONLY)  # the bounds of the ranges are drawn once for both uses
-    starts, at = [], 0
-    for r in dealt.groupBy("part").count().orderBy("part").collect():
-        starts.append((r["part"], at))
-        at += r["count"]
-    placed = F.broadcast(df.sparkSession.createDataFrame(starts, "part int, start bigint"))
-    return dealt.join(placed, "part").withColumn("ordinal", F.col("start") + F.col("place")).drop("part", "place", "start")
+    # The bounds of the ranges are drawn once for both uses.
+    dealt = _placed(df.repartitionByRange(n, *order).sortWithinPartitions(*order)).persist(StorageLevel.DISK_ONLY)
+    return dealt.join(_starts(dealt), "part").withColumn("ordinal", F.col("start") + F.col("place")).drop("part", "place", "start"), dealt
 
 
 def build(
@@ -110,40 +124,68 @@ def build(
     check_options(dimension, metric, binary, clusters)
     vector = checked_vector(F.col(vector_col), F.col(id_col), dimension, normalize)
     kinds = dict(df.dtypes)
-    base = numbered(df, *(order_by or (id_col,))).select("ordinal", id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *keep)
+    base, dealt = numbered(df, *(order_by or (id_col,)))
+    base = base.select("ordinal", id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *keep)
     codes, k = auto_codes(df.count() if binary is None or clusters is None else 0, binary, clusters)
     if codes:
         base = base.withColumn("vector_bin", sign_code(F.col("vector"), dimension))
     meta = Meta(dimension, metric, normalize, codes, 0)
+    held = [dealt]
     if not k:
-        return VectorTable(base.withColumnRenamed("ordinal", "row_index"), meta)
+        return VectorTable(base.withColumnRenamed("ordinal", "row_index"), meta, held=held)
     if cache:
         base = base.persist()  # read once for each iteration
+        held.append(base)
     found = binary_kmeans(base.withColumnRenamed("vector_bin", "code"), dimension, k, cluster_iterations, cluster_seed)
     renumber = reorder(found.centroids)
     if not renumber:
-        return VectorTable(base.withColumnRenamed("ordinal", "row_index").withColumn("cluster_id", F.lit(0)), meta)
+        return VectorTable(base.withColumnRenamed("ordinal", "row_index").withColumn("cluster_id", F.lit(0)), meta, held=held)
     mapping = F.array(*map(F.lit, renumber))
     rows = found.assigned.withColumnRenamed("code", "vector_bin").withColumn("cluster_id", F.get(mapping, F.col("cluster"))).drop("cluster")
     seen = {r["cluster_id"]: r["count"] for r in rows.groupBy("cluster_id").count().collect()}  # a row per cluster
     counts = [seen.get(c, 0) for c in range(len(renumber))]
-    starts = [sum(counts[:c]) for c in range(len(counts))]
+    starts = running(counts)
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("ordinal")) - 1
     rows = rows.withColumn("row_index", (F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("cluster_id")) + place).cast("bigint")).drop("ordinal")
     centroids = [c for _, c in sorted(zip(renumber, found.centroids, strict=True))]
-    return VectorTable(rows.select("row_index", "id", "vector", "vector_bin", "cluster_id", *keep), Meta(dimension, metric, normalize, True, len(counts)), centroids, counts)
+    return VectorTable(rows.select("row_index", "id", "vector", "vector_bin", "cluster_id", *keep), Meta(dimension, metric, normalize, True, len(counts)), centroids, counts, held=held)
+
+
+def running(counts: list[int]) -> list[int]:
+    """The sum of the counts before each."""
+    return [0, *accumulate(counts)][: len(counts)]
 
 
-def write_vectors(df: DataFrame, path: str, dimension: int, *, codec: str = "uncompressed", page_size: int | None = None, row_group_bytes: int | None = None, mode: str = "errorifexists", **options) -> VectorTable:
+def write_stream(df: DataFrame, path: str, dimension: int, *, id_col: str = "id", vector_col: str = "vector", metric: str = "cosine", normalize: bool = True, binary: bool = False, keep: tuple[str, ...] = (), mode: str = "errorifexists", **options) -> VectorTable:
+    """Write records in the order of their partitions: no shuffle, no cache and no clusters.
+
+    Row numbers are the places in the partitions after the counts of those before, so df is read twice; only counts are moved.
+    """
+    check_options(dimension, metric, binary, None)
+    kinds = dict(df.dtypes)
+    vector = checked_vector(F.col(vector_col), F.col(id_col), dimension, normalize)
+    placed = _placed(df)
+    rows = placed.join(_starts(placed.select("part")), "part").select((F.col("start") + F.col("place")).alias("row_index"), id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *keep)
+    if binary:
+        rows = rows.withColumn("vector_bin", sign_code(F.col("vector"), dimension))
+    return _write(VectorTable(rows, Meta(dimension, metric, normalize, binary, 0)), path, mode=mode, **options)
+
+
+def write_vectors(df: DataFrame, path: str, dimension: int, *, codec: str = "uncompressed", page_size: int | None = None, row_group_bytes: int | None = None, encodings: dict[str, bool] | None = None, mode: str = "errorifexists", **options) -> VectorTable:
     """Build a table (see build) and write it; returns it opened from its files."""
-    table = build(df, dimension, **options)
-    meta = {**table.meta.__dict__, "clusters": table.meta.clusters}
-    rows = table.rows.withColumn("vector", F.col("vector").alias("vector", metadata=meta))
-    writer_options = {"compression": codec}
+    return _write(build(df, dimension, **options), path, codec=codec, page_size=page_size, row_group_bytes=row_group_bytes, encodings=encodings, mode=mode)
+
+
+def _write(table: VectorTable, path: str, *, codec: str = "uncompressed", page_size: int | None = None, row_group_bytes: int | None = None, encodings: dict[str, bool] | None = None, mode: str = "errorifexists") -> VectorTable:
+    """encodings: for a column, if it may be written with a dictionary; vectors and codes are not, unless asked for."""
+    spark = table.rows.sparkSession
+    rows = table.rows.withColumn("vector", F.col("vector").alias("vector", metadata=dict(table.meta.__dict__)))
+    leaves = {"vector": "vector.list.element", "vector_bin": "vector_bin.list.element"}
+    writer_options = {"compression": codec, "parquet.block.size": str(row_group_bytes or ROW_GROUP_BYTES)}
+    for column, on in {"vector": False, "vector_bin": False, **(encodings or {})}.items():
+        writer_options[f"parquet.enable.dictionary#{leaves.get(column, column)}"] = str(on).lower()
     if page_size or table.meta.binary:
         writer_options["parquet.page.size"] = str(page_size or CODE_PAGE_BYTES)
-    if row_group_bytes:
-        writer_options["parquet.block.size"] = str(row_group_bytes)
     by_directory = 0 < table.meta.clusters <= DIRECTORIES
     if by_directory:
         rows = rows.repartition("cluster_id").sortWithinPartitions("cluster_id", "row_index")
@@ -151,10 +193,8 @@ def write_vectors(df: DataFrame, path: str, dimension: int, *, codec: str = "unc
         rows = rows.repartitionByRange("cluster_id", "row_index").sortWithinPartitions("cluster_id", "row_index")
     writer = rows.write.mode(mode).options(**writer_options)
     (writer.partitionBy("cluster_id") if by_directory else writer).parquet(f"{path}/rows")
-    spark = df.sparkSession
-    clusters = [(c, code, n, sum(table.counts[:c])) for c, (code, n) in enumerate(zip(([_signed(w) for w in code] for code in table.centroids), table.counts, strict=True))]
-    spark.createDataFrame(clusters, "cluster_id int, centroid array<bigint>, row_count bigint, row_start bigint").coalesce(1).write.mode(mode).parquet(f"{path}/clusters")
-    table.rows.unpersist()
+    clusters_frame(spark, table).coalesce(1).write.mode(mode).parquet(f"{path}/clusters")
+    table.release()
     return open_table(spark, path)
 
 
@@ -202,7 +242,7 @@ def prefetch_codes(table: VectorTable) -> VectorTable:
 
 def clusters_frame(spark: SparkSession, table: VectorTable) -> DataFrame:
     """cluster_id, centroid, row_count, row_start of a table."""
-    data = [(c, [_signed(w % (1 << 64)) for w in code], n, sum(table.counts[:c])) for c, (code, n) in enumerate(zip(table.centroids, table.counts, strict=True))]
+    data = [(c, [_signed(w % (1 << 64)) for w in code], n, start) for c, (code, n, start) in enumerate(zip(table.centroids, table.counts, running(table.counts), strict=True))]
     return spark.createDataFrame(data, "cluster_id int, centroid array<bigint>, row_count bigint, row_start bigint")
 
 

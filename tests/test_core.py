@@ -127,8 +127,9 @@ def test_write_options(spark):
         table.build(df, 8, clusters=2, binary=False)
     with pytest.raises(ValueError, match="unsupported metric"):
         table.build(df, 8, metric="manhattan")
-    with pytest.raises(Exception, match="vec-0 has not 4"):
-        table.build(df, 4, order_by=("n",)).rows.collect()
+    one_bad = spark.createDataFrame([(i, f"vec-{i}", [1.0] * (3 if i == 7 else 4)) for i in range(20)], "n bigint, id string, vector array<float>")
+    with pytest.raises(Exception, match="vec-7 has not 4"):
+        table.build(one_bad, 4, order_by=("n",)).rows.collect()
     bad = spark.createDataFrame([(0, "x", [1.0, None])], "n bigint, id string, vector array<float>")
     with pytest.raises(Exception, match="x has a null or NaN"):
         table.build(bad, 2, order_by=("n",)).rows.collect()
@@ -301,13 +302,72 @@ def test_cancel(spark):
     assert cancel(spark, "some-search") == []
 
 
-def test_evaluations_take_the_stated_queries(spark, monkeypatch):
+def test_evaluations_take_the_stated_queries(spark):
     from nearfield import queries
 
-    for name, f, place in (("parameter_sweep", "sweep", 1), ("cold_and_warm", "cold_and_warm", 1), ("write_ablation", "build_ablation", 3)):
-        monkeypatch.setattr(evaluate, f, lambda *a, place=place, **_: a[place])
-        got = queries.QUERY_MAP[name](spark, "/root/testdata/sf0.1").collect()
-        assert sorted(int(r["query_id"]) for r in got) == list(range(0, 2000, 50))
+    assert sorted(int(r["query_id"]) for r in queries._stated(spark, "/root/testdata/sf0.1").collect()) == list(range(0, 2000, 50))
+
+
+def test_streaming_write_is_narrow(spark):
+    rows = make_vectors(300, 24, 1)
+    path = scratch(spark, "narrow")
+    df = frame(spark, rows).repartitionByRange(5, "n").sortWithinPartitions("n")
+    t = table.write_stream(df.withColumn("tag", F.col("n") % 3), path, 24, normalize=False, binary=True, keep=("tag",))
+    got = t.rows.orderBy("row_index").collect()
+    assert [(r["row_index"], r["id"], r["vector"], r["tag"]) for r in got] == [(n, i, v, n % 3) for n, i, v in rows]
+    assert t.meta == table.Meta(24, "cosine", False, True, 0)
+    assert ids(search(t, rows[9][2], 3, rerank_factor=100)) == nearest(rows, rows[9][2], 3)
+
+
+def test_writing_leaves_nothing_cached(spark):
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    table.write_vectors(frame(spark, make_vectors(60, 8)), scratch(spark, "leak"), 8, order_by=("n",))
+    table.write_vectors(frame(spark, make_vectors(60, 8)), scratch(spark, "leak"), 8, order_by=("n",), clusters=3)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+def test_rerank_of_files_reads_candidate_ranges(spark):
+    from nearfield.operators.search import search_rerank
+
+    rows = make_vectors(400, 32, 2)
+    t = table.write_vectors(frame(spark, rows), scratch(spark, "ranges"), 32, order_by=("n",), binary=True, row_group_bytes=8192, page_size=1024)
+    plan = search_rerank(t, plan_search(t, rows[5][2], 3, rerank_factor=2), 3, lazy=False)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(row_index" in plan and "LessThanOrEqual(row_index" in plan and "vector_bin" not in plan
+    assert ids(search(t, rows[5][2], 3)) == ids(search(t, rows[5][2], 3, lazy=True))
+
+
+def test_ranges_over_many_parts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(str(rng.integers(3)) if rng.random() < 0.9 else None, int(a), int(a + rng.integers(1, 30))) for a in rng.integers(0, 4000, 900)] + [("0", 0, 3500)]
+    df = spark.createDataFrame(rows, "k string, row_start bigint, row_end bigint").repartition(7)
+    want = []
+    for k in {r[0] for r in rows}:
+        last = None
+        for _, a, b in sorted(r for r in rows if r[0] == k):
+            if last and a <= last[2]:
+                last[2] = max(last[2], b)
+            else:
+                last = [k, a, b]
+                want.append(last)
+    got = ranges.merge_ranges(df, "k").select("k", "row_start", "row_end").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(tuple(w)) for w in want)
+
+
+def test_sql_functions_want_equal_lengths(spark):
+    V.register_sql(spark)
+    for call in ("vector_dot(array(1f), array(1f, 2f))", "vector_l2(array(1f), array(1f, 2f))", "vector_hamming(array(1L), array(1L, 2L))"):
+        with pytest.raises(Exception, match="lengths differ"):
+            spark.sql(f"select {call}").collect()
+
+
+def test_walk_of_many_centroids():
+    rng = np.random.default_rng(1)
+    codes = [[int(x) for x in rng.integers(0, 1 << 63, 2)] for _ in range(70)]
+    left, here, want = dict(enumerate(codes)), [0, 0], [0] * 70
+    for place in range(70):
+        c = min(left, key=lambda i: (kmeans.distance(left[i], here), i))
+        want[c], here = place, left.pop(c)
+    assert kmeans.reorder(codes) == want
 
 
 def test_batch_by_cluster_is_many_searches(spark):
