@@ -132,7 +132,7 @@ def filtered_recall(table: VectorTable, queries: DataFrame, k: int, attribute: s
     metric = table.meta.metric
     order = Window.partitionBy("query_id").orderBy(best_first("score", metric), "row_index")
     salted = Window.partitionBy("query_id", "salt").orderBy(best_first("score", metric), "row_index")
-    value = queries.select(F.col("query_id").alias("asked"), F.col("value").alias(attribute))
+    wanted = queries.select(F.col("query_id").alias("asked"), F.col("value").alias("wanted"))
     rows = table.rows.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts)))
     own = rows.join(F.broadcast(queries), F.col(attribute) == F.col("value"))  # the stated query set
     own = own.select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), metric).alias("score"))
@@ -140,7 +140,8 @@ def filtered_recall(table: VectorTable, queries: DataFrame, k: int, attribute: s
     truth = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id").persist()
     totals = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     wide = search_batch(table, queries.select("query_id", "query"), k * max(overfetch), algorithm="exact")
-    wide = wide.join(table.rows.select("row_index", attribute), "row_index").join(F.broadcast(value), (F.col("asked") == F.col("query_id")) & (table.rows[attribute] == value[attribute]))
+    values = table.rows.select("row_index", F.col(attribute).alias("own_value"))
+    wide = wide.join(values, "row_index").join(F.broadcast(wanted), (F.col("asked") == F.col("query_id")) & (F.col("own_value") == F.col("wanted")))
     wide = wide.select("query_id", "id", "rank").persist()
     out = []
     for f in overfetch:
