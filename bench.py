@@ -24,7 +24,7 @@ from nearfield.sources.table import VectorTable, write_stream, write_vectors
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-ROWS, SCALE_DIM = int(os.environ.get("BENCH_ROWS", "1000000")), int(os.environ.get("BENCH_DIM", "384"))
+ROWS, SCALE_DIM = int(os.environ.get("BENCH_ROWS", "100000")), int(os.environ.get("BENCH_DIM", "384"))
 WARM, RUNS, K, ASKED = 1, 2, 10, 3
 HEADLINE = ("fn_cosine", "fn_hamming", "knn_exact_cosine", "knn_exact_euclidean", "knn_rerank", "knn_batch", "knn_multi_source", "kmeans_full", "knn_clustered", "recall_micro", "latency_percentiles")
 
