@@ -13,7 +13,12 @@ each other; links are sought in steps, of which each asks only for classes that
 1. stars: each class is compared with the best by sketch of the centres of its buckets. The centre of a bucket
    is first the class that meets most others in all its buckets (the original among its copies), then another one;
 2. rest: in buckets that still hold several components, every class outside the largest of them is compared with
-   all classes of other components whose sketches are near.
+   all classes of other components whose sketches are near;
+3. hot buckets: a bucket in which step 2 would form more than MOST_PAIRS pairs (many texts around one passage, similar to
+   none) is not paired. Its classes are joined by the rarest shingles of their full sets instead, which loses no link:
+   if sets of n <= m shingles are similar by t, the first n - ceil(2tn / (1 + t)) + 1 of the one and m - ceil(tm) + 1 of the
+   other share a shingle, in any common order of shingles (prefix filter). From rare to common, the passage of
+   all comes last; a set in whose short prefix it stands consists of it so far that it is similar to its like.
 
 So two classes that share a bucket and are similar end up in one component, whatever the size of the bucket,
 and a group of copies costs about one comparison per class. Bands are chosen so that a pair at the threshold
@@ -42,6 +47,7 @@ from nearfield.llm.shingles import common, mix, shingle_sets, stream
 MISS, MOST_SAMPLES = 1e-5, 112
 SKETCH_WORDS, SET_WORDS = 8, 32
 _ROWS = 64  # texts that numpy takes at once
+MOST_PAIRS = 10_000  # of a bucket in the last step; larger ones go by rare shingles
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -114,6 +120,35 @@ def _confirmer(width: int, percent: int):
     return run
 
 
+def _hot_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()], width)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("comp"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "comp", "shingles"])
+
+    return run
+
+
+def _by_rare_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b of texts (rep, comp, text) of different components whose prefixes of rare shingles share one."""
+    sets = stored(texts.distinct().mapInArrow(_hot_sets(width), "rep bigint, comp bigint, shingles array<bigint>"), "hot-sets")
+    sets = sets.where(F.size("shingles") > 0).withColumn("size", F.size("shingles").cast("long"))
+    flat = sets.select("rep", "comp", "size", F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
+    # A shingle of one set only comes first in the order and meets nothing: its place is counted, it does not travel.
+    shared = stored(flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "hot-shingles")
+    ordered = flat.join(shared, "shingle").groupBy("rep", "comp", "size", "set").agg(F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("common"))
+    alone = F.col("size") - F.size("common")
+    short = F.expr(f"size - (2 * {percent} * size + {99 + percent}) div {100 + percent} + 1")
+    long = F.expr(f"size - ({percent} * size + 99) div 100 + 1")
+    ordered = ordered.select("rep", "comp", "size", (short - alone).alias("short"), F.slice("common", F.lit(1), F.greatest(F.lit(0), long - alone).cast("int")).alias("common"))
+    prefixes = stored(ordered.select("rep", "comp", "size", "short", F.posexplode("common").alias("place", "top")).select("rep", "comp", "size", F.col("top.shingle").alias("shingle"), (F.col("place") < F.col("short")).alias("short")), "hot-prefixes")
+    left = prefixes.where("short").select("shingle", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"))
+    right = prefixes.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
+    return left.join(right, "shingle").where(f"comp_a <> comp_b and size_a <= size_b and 100 * size_a >= {percent} * size_b").select("a", "b").distinct()
+
+
 def _distance(a: str, b: str, low: int = 0, high: int = SKETCH_WORDS) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(low, high)))
 
@@ -164,13 +199,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
             pairs = placed.join(stored(centre, f"centres-{step}"), "bucket").where("comp <> comp_b").select(F.col("rep").alias("a"), "b").distinct()
             pairs = near(pairs).groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
         else:
-            held = placed.join(sketches, "rep")
-            major = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"))
+            counts = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"))
+            counts = stored(counts.select("bucket", "major", ((F.col("n") - F.col("most")) * F.col("n") > MOST_PAIRS).alias("hot")), "majors")
+            held, major = placed.join(sketches, "rep"), counts.where("not hot").select("bucket", "major")
             left = held.join(major, "bucket").where("comp <> major").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
             right = held.join(major, "bucket").select("bucket", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"), (F.col("comp") == F.col("major")).alias("in_major"))
             far = (left["bucket"] == right["bucket"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("in_major") | (F.col("a") < F.col("b")))
-            pairs = left.join(right, far & _near(percent, limit))
-            pairs = pairs.select("a", "b").distinct()
+            pairs = left.join(right, far & _near(percent, limit)).select("a", "b")
+            hot = stored(placed.join(counts.where("hot").select("bucket"), "bucket").select("rep", "comp").distinct(), "hot")
+            if not hot.isEmpty():
+                hot_texts = kept_texts.join(hot.hint("merge"), kept_texts["doc_id"] == hot["rep"]).select("rep", "comp", "text")
+                pairs = pairs.unionByName(near(_by_rare_shingles(hot_texts, width, percent)).select("a", "b"))
+            pairs = pairs.distinct()
         links = confirmed(pairs)
         if comps is not None:
             links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))

@@ -608,15 +608,19 @@ def test_van_der_corput(spark):
     assert got == [int(f"{x:062b}"[::-1], 2) for x in far]
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates(docs, rows, none, width, percent):
+@pytest.mark.parametrize(("width", "percent", "most"), [(3, 85, None), (5, 80, None), (3, 85, 0), (5, 80, 0)])
+def test_near_duplicates(docs, rows, none, monkeypatch, width, percent, most):
+    if most is not None:
+        monkeypatch.setattr(near_duplicates, "MOST_PAIRS", most)
     want = brute.components(rows, width, percent)
     got = by_row(near_duplicates.near_duplicates(docs, width, percent), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted((i, len(brute.shingle_set(t, width)), want[i], i == want[i]) for i, t, _ in rows)
     assert near_duplicates.near_duplicates(none, width, percent).count() == 0
 
 
-def test_near_group_of_many_edits(spark):
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_near_group_of_many_edits(spark, monkeypatch, most):
+    monkeypatch.setattr(near_duplicates, "MOST_PAIRS", most)
     rng = random.Random(12)
     base = brute.prose(rng, 160).split()
     rows = []
@@ -631,6 +635,35 @@ def test_near_group_of_many_edits(spark):
     assert got == brute.components(rows, 3, 85)
 
 
+def _around_a_passage(n):
+    """Texts around one passage, of which some are a few words from their neighbour."""
+    rng = random.Random(31)
+    passage, rows = brute.prose(rng, 90), []
+    for i in range(n):
+        tail = brute.prose(rng, rng.choice([4, 10, 14, 20, 90])).split() if i % 5 else [*tail[:-1], brute.prose(rng, 1)] if i else ["end"]
+        rows.append((i, f"{passage} {' '.join(tail)}" if i % 7 else f"{' '.join(tail)} {passage}", "s"))
+    return rows
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
+def test_rare_shingles_lose_no_link(spark, width, percent):
+    rows = _around_a_passage(120)
+    frame = spark.createDataFrame([(i, i, t) for i, t, _ in [*rows, *rows[:3], (500, "", "s")]], "rep bigint, comp bigint, text string")
+    got = {tuple(sorted(r)) for r in near_duplicates._by_rare_shingles(frame, width, percent).collect()}
+    sets = [brute.shingle_set(t, width) for _, t, _ in rows]
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    assert links and links <= got and len(got) < 120 * 119 / 2
+
+
+def test_texts_around_one_passage(spark, monkeypatch):
+    rows = _around_a_passage(300)
+    by_rare, calls = near_duplicates._by_rare_shingles, []
+    monkeypatch.setattr(near_duplicates, "MOST_PAIRS", 1_000)
+    monkeypatch.setattr(near_duplicates, "_by_rare_shingles", lambda *args: calls.append(args[0].count()) or by_rare(*args))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(brute.docs_frame(spark, rows), 3, 85).collect()}
+    assert got == brute.components(rows, 3, 85) and calls[0] > 40
+
+
 def test_keep_one(docs, rows):
     kept = near_duplicates.keep_one(docs, 3, 85)
     want = brute.components(rows, 3, 85)
