@@ -142,11 +142,15 @@ def _by_rare_shingles(texts: DataFrame, width: int, percent: int) -> DataFrame:
     alone = F.col("size") - F.size("common")
     short = F.expr(f"size - (2 * {percent} * size + {99 + percent}) div {100 + percent} + 1")
     long = F.expr(f"size - ({percent} * size + 99) div 100 + 1")
-    ordered = ordered.select("rep", "comp", "size", (short - alone).alias("short"), F.slice("common", F.lit(1), F.greatest(F.lit(0), long - alone).cast("int")).alias("common"))
-    prefixes = stored(ordered.select("rep", "comp", "size", "short", F.posexplode("common").alias("place", "top")).select("rep", "comp", "size", F.col("top.shingle").alias("shingle"), (F.col("place") < F.col("short")).alias("short")), "hot-prefixes")
-    left = prefixes.where("short").select("shingle", F.col("rep").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("size_a"))
-    right = prefixes.select("shingle", F.col("rep").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
-    return left.join(right, "shingle").where(f"comp_a <> comp_b and size_a <= size_b and 100 * size_a >= {percent} * size_b").select("a", "b").distinct()
+    ordered = ordered.select("rep", "comp", "size", alone.alias("alone"), short.alias("short"), F.slice("common", F.lit(1), F.greatest(F.lit(0), long - alone).cast("int")).alias("common"))
+    # left: how many shingles of the set come no earlier than this one
+    placed = ordered.select("rep", "comp", "size", "short", "alone", F.posexplode("common").alias("at", "top")).withColumn("place", F.col("alone") + F.col("at"))
+    prefixes = stored(placed.select("rep", "comp", "size", F.col("top.shingle").alias("shingle"), (F.col("size") - F.col("place")).alias("left"), (F.col("place") < F.col("short")).alias("short")), "hot-prefixes")
+    first, second = (prefixes.select("shingle", F.col("rep").alias(s), F.col("comp").alias(f"comp_{s}"), F.col("size").alias(f"size_{s}"), F.col("left").alias(f"left_{s}"), F.col("short").alias(f"short_{s}")) for s in ("a", "b"))
+    # The first shingle that two sets share has all others of both behind it: too few left means no link by this one.
+    enough = f"least(left_a, left_b) * {100 + percent} >= {percent} * (size_a + size_b)"
+    pairs = first.where("short_a").join(second, "shingle").where(f"comp_a <> comp_b and size_a <= size_b and 100 * size_a >= {percent} * size_b and {enough}")
+    return pairs.select("a", "b").distinct()
 
 
 def _distance(a: str, b: str, low: int = 0, high: int = SKETCH_WORDS) -> Column:
