@@ -88,5 +88,69 @@ from documents d left join sizes s on s.doc_id = d.doc_id left join least_id l o
 """
 
 
+_OP11 = r"""
+with lines as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as w, sha256('7:' || coalesce(doc_id::varchar, '')) as d from documents),
+drawn as (
+  select doc_id, t, w, len(w) as n, ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4 from lines),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from drawn),
+parts as (
+  select doc_id, t, n, form, array_to_string(w[1:low], '') as a, array_to_string(w[low + 1:high], '') as b, array_to_string(w[high + 1:], '') as c from cut)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(a) end::bigint as prefix_chars, case when form <> 'plain' then length(b) end::bigint as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || c || '<M>' || b else '<S>' || c || '<P>' || a || '<M>' || b end) as output_sha256, sha256(t) as restored_sha256
+from parts
+"""
+
+
+_OP12 = r"""
+with docs as (select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n_chars from documents),
+pairs as (
+  select *, coalesce(lead(t) over w, first_value(t) over (order by doc_id nulls first)) as follower from docs window w as (order by doc_id nulls first)),
+cut as (select *, t[1:n_chars - n_chars // 2] || follower[1:n_chars // 2] as edited from pairs),
+texts as (select t from cut union select edited from cut union select follower from cut),
+words as (select t, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from texts),
+sketches as (
+  select t, case when len(w) = 0 then []::varchar[] else list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: md5(array_to_string(w[i:i + 4], ' '))[1:16])))[1:128] end as s from words),
+rows as (
+  select c.*, a.s as own, b.s as changed, n.s as next from cut c join sketches a on a.t = c.t join sketches b on b.t = c.edited join sketches n on n.t = c.follower),
+unions as (
+  select *, list_sort(list_distinct(list_concat(own, changed)))[1:128] as u, list_sort(list_distinct(list_concat(own, next)))[1:128] as v,
+    len(list_filter(own, lambda x: len(changed) < 128 or x <= changed[-1])) as reach from rows)
+select doc_id, n_chars, sha256(edited) as edited_sha256, coalesce(array_to_string(own, ''), '') as fingerprint, coalesce(array_to_string(changed, ''), '') as edited_fingerprint,
+  case when len(u) = 0 then 1.0 else len(list_filter(u, lambda x: list_contains(own, x) and list_contains(changed, x)))::double / len(u) end::double as near_edited,
+  case when len(v) = 0 then 1.0 else len(list_filter(v, lambda x: list_contains(own, x) and list_contains(next, x)))::double / len(v) end::double as near_next,
+  case when len(own) = 0 then 1.0 when len(changed) = 0 or reach = 0 then 0.0 else len(list_filter(own, lambda x: list_contains(changed, x)))::double / reach end::double as held_by_edited,
+  case when len(own) < 128 then len(own)::double else 127.0::double / (('0x' || own[-1][1:13])::bigint::double / 4503599627370496.0::double) end::double as shingles
+from unions
+"""
+
+
+_OP13 = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+words as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from words, (values (1), (2), (3)) as widths(k)),
+freq as (select lang, k, phrase, count(*)::hugeint as f from grams group by all),
+totals as (select lang, sum(f)::bigint as n from freq where k = 1 group by lang),
+cand as (select lang, k, phrase, f, string_split(phrase, ' ') as w from freq where k > 1 and f >= 10),
+cuts as (
+  select c.lang, c.phrase, c.k, c.f, p.cut, l.f as l, r.f as r, (1000000::hugeint * c.f * c.f) // (l.f * r.f) as score
+  from cand c join (values (1), (2)) as p(cut) on p.cut < c.k
+  join freq l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:p.cut], ' ') and l.k = p.cut
+  join freq r on r.lang = c.lang and r.phrase = array_to_string(c.w[p.cut + 1:], ' ') and r.k = c.k - p.cut),
+worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_parts as (
+  select lang, f as longer, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from cand where k = 3),
+held as (
+  select distinct i.lang, i.phrase from cand i join inner_parts p on p.lang = i.lang and p.phrase = i.phrase where i.k = 2 and 100 * p.longer >= 50 * i.f),
+ranked as (
+  select lang, row_number() over (partition by lang order by score desc, f desc, phrase)::bigint as rank, phrase, f::bigint as a, l::bigint as l, r::bigint as r, score::bigint as score
+  from worst anti join held using (lang, phrase))
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": _op7(), "op8_source_mix": _OP8, "op9_near_duplicates": _OP9}
+    return {"op7_line_dedup": _op7(), "op8_source_mix": _OP8, "op9_near_duplicates": _OP9, "op11_fill_in_middle": _OP11, "op12_fingerprints": _OP12, "op13_collocations": _OP13}
