@@ -135,11 +135,12 @@ grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda
 freq as (select lang, k, phrase, count(*)::hugeint as f from grams group by all),
 totals as (select lang, sum(f)::bigint as n from freq where k = 1 group by lang),
 cand as (select lang, k, phrase, f, string_split(phrase, ' ') as w from freq where k > 1 and f >= 10),
-cuts as (
-  select c.lang, c.phrase, c.k, c.f, p.cut, l.f as l, r.f as r, (1000000::hugeint * c.f * c.f) // (l.f * r.f) as score
-  from cand c join (values (1), (2)) as p(cut) on p.cut < c.k
-  join freq l on l.lang = c.lang and l.phrase = array_to_string(c.w[1:p.cut], ' ') and l.k = p.cut
-  join freq r on r.lang = c.lang and r.phrase = array_to_string(c.w[p.cut + 1:], ' ') and r.k = c.k - p.cut),
+sides as materialized (
+  select lang, phrase, k, f, cut, lang || chr(10) || array_to_string(w[1:cut], ' ') as lkey, lang || chr(10) || array_to_string(w[cut + 1:], ' ') as rkey
+  from cand, (values (1), (2)) as p(cut) where cut < k),
+known as materialized (select lang || chr(10) || phrase as fkey, f from freq),
+lefts as materialized (select s.*, n.f as l from sides s join known n on n.fkey = s.lkey),
+cuts as materialized (select s.*, n.f as r, (1000000::hugeint * s.f * s.f) // (s.l * n.f) as score from lefts s join known n on n.fkey = s.rkey),
 worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
 inner_parts as (
   select lang, f as longer, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from cand where k = 3),
