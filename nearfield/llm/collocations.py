@@ -99,14 +99,14 @@ class Block:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(out)).cast(pa.string())
 
 
-def blocks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], seed: int, most: int) -> Iterator[Block]:
     texts: list[bytes] = []
     langs: list[str] = []
     size = 0
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
             value = text.as_py()
-            if texts and size + len(value) > BLOCK:
+            if texts and size + len(value) > most:
                 yield Block(texts, langs, seed)
                 texts, langs, size = [], [], 0
             texts.append(value)
@@ -116,20 +116,20 @@ def blocks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[Block]:
         yield Block(texts, langs, seed)
 
 
-def _bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = keys >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
+def _bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    place = keys >> np.uint64(58 - words.bit_length() + 1)
     return (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63))
 
 
-def _level(width: int, seed: int, passed):
-    """Keys of phrases of `width` words with their counts in a block; passed: bitmap of the keys one word shorter."""
+def _level(width: int, seed: int, passed, most: int):
+    """Keys of phrases of `width` words with their counts in a block of `most` bytes; passed: bitmap of the keys one word shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, seed):
+        for block in blocks(batches, seed, most):
             keys, ok = block.keys(width)
             if passed is not None:
                 shorter, _ = block.keys(width - 1)
-                words, bits = _bits(shorter)
+                words, bits = _bits(shorter, len(passed.value))
                 known = passed.value[words] & bits != 0
                 ok = ok & known[: len(ok)] & known[1 : len(ok) + 1]
             found, n = np.unique(keys[ok], return_counts=True)
@@ -256,14 +256,14 @@ def _rows(n: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
 
-def _counted(held, seed: int, width: int, words: bool):
+def _counted(held, seed: int, width: int, words: bool, most: int, branches: int):
     """Counts of the slots by shard, the phrase of each slot that the task saw, and, if asked for, the words of each language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value
         total, seen = np.zeros(len(table.table), np.int64), np.zeros(len(table.table), bool)
         spoken: dict[str, int] = {}
-        for block in blocks(batches, seed):
+        for block in blocks(batches, seed, most):
             for lang, n in zip(block.langs, np.bincount(block.lang, minlength=len(block.langs)).tolist(), strict=True):
                 spoken[lang] = spoken.get(lang, 0) + n
             for w in range(1, width + 1):
@@ -279,7 +279,7 @@ def _counted(held, seed: int, width: int, words: bool):
                     at = at[new[one]]
                     names = pa.array(block.langs, pa.string()).take(pa.array(block.lang[at]))
                     yield _rows(len(at), key=table.table[fresh].view(np.int64), lang=names, phrase=block.phrases(at, w), width=np.full(len(at), w))
-        branch = TaskContext.get().partitionId() % BRANCHES
+        branch = TaskContext.get().partitionId() % branches
         for s in np.flatnonzero(table.size):
             own = total[table.first[s] : table.first[s] + table.size[s]]
             slots = np.flatnonzero(own)
@@ -354,7 +354,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, width: int = WIDTH, seed:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of("text").alias("text"))
     levels, passed = [], None
     for w in range(1, width + 1):
-        keys = texts.mapInArrow(_level(w, seed, passed), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        keys = texts.mapInArrow(_level(w, seed, passed, BLOCK), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         levels.append(stored(keys.select("key"), f"level-{w}"))
         if w < width:
             passed = sc.broadcast(_bitmap(levels[-1]))
@@ -370,7 +370,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, width: int = WIDTH, seed:
     for low in range(0, shards, step):
         rows = table.where(F.col("shard").between(low, low + step - 1)).collect()  # ROUND keys at most
         held = sc.broadcast(PerfectHash(shards, rows))
-        found = stored(texts.mapInArrow(_counted(held, seed, width, low == 0), COUNTS), "counts")
+        found = stored(texts.mapInArrow(_counted(held, seed, width, low == 0, BLOCK, BRANCHES), COUNTS), "counts")
         arrays.append(found.where("slots is not null").select("shard", "branch", "slots", "counts"))
         named.append(found.where("phrase is not null").select("key", "lang", "phrase", "width"))
         spoken.append(found.where("words is not null").select("lang", "words"))

@@ -90,11 +90,11 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def _transform(text: str, sentinels: tuple[str, str, str], rate: int, spm_rate: int):
+def _transform(text: str, sentinels: tuple[str, str, str], rate: int, spm_rate: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             names = whole.schema.names[:-1]
-            for low, high in _slices(pc.binary_length(whole.column(text)).to_numpy(zero_copy_only=False).astype(np.int64), BYTES):
+            for low, high in _slices(pc.binary_length(whole.column(text)).to_numpy(zero_copy_only=False).astype(np.int64), most):
                 batch = whole.slice(low, high - low)
                 column = batch.column(text).cast(pa.large_string())
                 offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -120,7 +120,7 @@ def fill_in_middle(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", n bigint, form string, prefix_chars bigint, middle_chars bigint"
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     draws = F.transform(F.array(digest), lambda d: F.struct(*[F.conv(F.substring(d, 1 + 8 * i, 8), 16, 10).cast("bigint").alias(f"h{i + 1}") for i in range(4)]))
-    return rows.select("*", draws[0].alias("fim draws")).mapInArrow(_transform(text_col, sentinels, rate, spm_rate), schema)
+    return rows.select("*", draws[0].alias("fim draws")).mapInArrow(_transform(text_col, sentinels, rate, spm_rate, BYTES), schema)
 
 
 def restored(text: Column, form: Column, sentinels: tuple[str, str, str] = SENTINELS) -> Column:
