@@ -8,18 +8,18 @@ bottom k of the sketches' union. Texts are sketched by parts of PART shingles an
 Estimates: resemblance is the share of the union's bottom k that both hold; containment the share of a's hashes, below the reach
 of b's sketch, that b holds; the number of distinct shingles is (k - 1) over the k-th hash as a fraction, and exact below k.
 
-`edited` pairs every document with the next one by id. Rows that agree in id and in the 64-bit hash of the text are one class and are
-carried once with their count. The order is found on ids, hashes and lengths alone: range partitions, a lag inside each, and one row per
-partition for the borders. Then the texts are shuffled once by class, and what a predecessor needs of the next
-text (half of its own length) with the next one's sketch is sent to it; both uses read the same exchange.
+`edited` pairs every document with the next one by id. The bounds of the parts come from ids, hashes and lengths alone: range
+partitions of (id, hash of the text) of PART_BYTES, their least keys in one sorted array. Texts are then shuffled once, to their part; the first
+documents of a part also go to the part before, where they only serve as the next of its last document. Next texts are read by a window inside the part.
 
 Edge cases: null text is the empty text; two empty sketches resemble with 1, an empty and another with 0; null ids come first; rows of one
-id follow by the text's hash; the last document is followed by the first, a single one by itself; equal rows follow each other; an empty table gives
-an empty result; other columns are ignored.
+id follow by the text's hash; the last document is followed by the first, a single one by itself; equal rows follow each other, and rows equal in
+id and text lie in one part, whose sort spills to disk; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +31,8 @@ WIDTH, SIZE = 5, 128
 DIGITS = 16
 #: Shingles that are sorted at once.
 PART = 4096
-#: Rows of a class that one sequence expands to.
-CHUNK = 1 << 14
+#: Bytes of text of a part; parts at most.
+PART_BYTES, MOST_PARTS = 32 << 20, 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -102,41 +102,40 @@ def merge_sketches(sketches: DataFrame, *keys: str, k: int = SIZE) -> DataFrame:
     return every.join(found, same, "left").select(*[every[c] for c in keys], F.coalesce("sketch", F.array().cast("array<string>")).alias("sketch"))
 
 
-def _followed(classes: DataFrame) -> DataFrame:
-    """classes (key, doc_id, hash, n_chars, copies) with `before`: key and half of the class that comes before, the last before the first."""
-    dealt = stored(classes.repartitionByRange("doc_id", "hash").withColumn("part", F.spark_partition_id()), "ids")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
-    own = F.struct("key", F.expr("n_chars div 2").cast("int").alias("half"))
-    inside = F.lag(own).over(Window.partitionBy("part").orderBy(*order))
-    borders = dealt.groupBy("part").agg(F.max_by(own, F.struct("doc_id", "hash")).alias("final"))
-    parts = Window.orderBy("part")  # a row per range partition
-    carried = F.coalesce(F.lag("final").over(parts), F.last("final").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    borders = borders.select(F.col("part").alias("border"), carried.alias("carried"))
-    joined = dealt.withColumn("inside", inside).join(F.broadcast(borders), F.col("part") == F.col("border"))
-    return joined.select("key", "doc_id", "n_chars", "copies", F.coalesce("inside", "carried").alias("before"))
+def _bounds(rows: DataFrame) -> list[Column]:
+    """The least (id, hash) of each range partition of rows(doc_id, hash, size), ascending, at most MOST_PARTS, and every step-th of them, as constants."""
+    spark = rows.sparkSession
+    light = stored(rows, "ids")
+    size = light.agg(F.sum("size")).first()[0] or 0
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // PART_BYTES)))
+    least = light.repartitionByRange(parts, "doc_id", "hash").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("doc_id", "hash")).alias("low"))
+    every = F.array_sort(F.array_distinct(F.collect_list("low")))
+    row = least.agg(F.to_json(every).alias("every"), F.size(every).alias("n")).first()
+    step = max(1, math.isqrt(row["n"]))
+    known = F.from_json(F.lit(row["every"]), f"array<struct<doc_id:{dict(light.dtypes)['doc_id']},hash:bigint>>")
+    return [known, F.filter(known, lambda x, i: i % step == 0), F.lit(step)]
 
 
 def edited(docs: DataFrame, text_col: str = "text", k: int = SIZE, width: int = WIDTH) -> DataFrame:
     """doc_id, n_chars, text, edited, sketch, edited_sketch, next_sketch for each row: `edited` has the last floor(n_chars / 2) code points replaced
     by the first as many (or all) of the next document by id."""
-    text = text_of(text_col)
-    rows = docs.select("doc_id", text.alias("text")).withColumn("hash", F.xxhash64("text"))
-    rows = rows.withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex("hash")))
-    light = rows.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("hash").alias("hash"), F.max(F.length("text")).cast("bigint").alias("n_chars"), F.count(F.lit(1)).alias("copies"))
-    links = stored(_followed(light), "followers")
-    # One exchange of texts by class; its two uses need the same columns, so Spark makes it once.
-    texts = rows.select("key", F.struct("text", sketch(F.col("text"), k, width).alias("sketch")).alias("held")).groupBy("key").agg(F.first("held").alias("held"))
-    sent = texts.join(links.select("key", "before").hint("merge"), "key")
-    sent = sent.select(F.col("before.key").alias("to"), F.struct(F.expr("substring(held.text, 1, before.half)").alias("head"), F.col("held.sketch").alias("sketch")).alias("next"))
-    own = texts.join(links.drop("before").hint("merge"), "key")
-    pairs = own.join(sent.hint("merge"), F.col("key") == F.col("to"))
-    half = F.expr("n_chars div 2").cast("int")
-    itself = F.struct(F.expr("substring(held.text, 1, cast(n_chars div 2 as int))").alias("head"), F.col("held.sketch").alias("sketch"))
-    variants = F.array(F.struct(F.lit(1).cast("bigint").alias("times"), F.col("next").alias("next")), F.struct((F.col("copies") - 1).alias("times"), itself.alias("next")))
-    pairs = pairs.select("doc_id", "n_chars", "held", F.explode(F.filter(variants, lambda v: v["times"] > 0)).alias("variant"))
-    kept = F.substring("held.text", F.lit(1), (F.col("n_chars") - half).cast("int"))
-    out = pairs.select("doc_id", "n_chars", "held", "variant", F.concat(kept, F.col("variant.next.head")).alias("edited"))
-    out = out.withColumn("edited_sketch", sketch(F.col("edited"), k, width))
-    out = out.withColumn("chunk", F.explode(F.expr(f"sequence(0, (variant.times - 1) div {CHUNK})")))
-    out = out.withColumn("copy", F.explode(F.expr(f"sequence(chunk * {CHUNK} + 1, least((chunk + 1) * {CHUNK}, variant.times))")))
-    return out.select("doc_id", "n_chars", F.col("held.text").alias("text"), "edited", F.col("held.sketch").alias("sketch"), "edited_sketch", F.col("variant.next.sketch").alias("next_sketch"))
+    rows = docs.select("doc_id", text_of(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    every, coarse, step = _bounds(rows.select("doc_id", "hash", F.octet_length("text").cast("bigint").alias("size")))
+    own = F.struct("doc_id", "hash")
+    reached = lambda among: F.size(F.filter(among, lambda x: x <= own))
+    # The part: bounds at or below the row's key, found among every step-th bound first.
+    rows = rows.withColumn("far", (F.greatest(reached(coarse), F.lit(1)) - 1) * step)
+    rows = rows.withColumn("part", F.greatest(F.col("far") + reached(F.slice(every, F.col("far") + 1, step)), F.lit(1)))
+    before = F.when(F.col("part") > 1, F.col("part") - 1).otherwise(F.size(every))
+    place = lambda part, guest: F.struct(part.alias("part"), F.lit(guest).alias("guest"))
+    places = F.when(F.element_at(every, F.col("part")) == own, F.array(place(F.col("part"), False), place(before, True))).otherwise(F.array(place(F.col("part"), False)))
+    dealt = rows.select("doc_id", "hash", "text", F.explode(places).alias("at")).select("doc_id", "hash", "text", "at.part", "at.guest").repartition("part")
+    # Sketches are made behind the shuffle, so they do not travel.
+    held = dealt.withColumn("held", F.struct("text", sketch(F.col("text"), k, width).alias("sketch")))
+    order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "hash")
+    pairs = held.withColumn("next", F.lead("held").over(order)).where(~F.col("guest"))
+    n_chars = F.length("held.text")
+    half = F.expr("cast(length(held.text) div 2 as int)")
+    out = pairs.select("doc_id", n_chars.cast("bigint").alias("n_chars"), "held", "next.sketch", F.concat(F.substring("held.text", F.lit(1), n_chars - half), F.substring("next.text", F.lit(1), half)).alias("edited"))
+    out = out.withColumnRenamed("sketch", "next_sketch")
+    return out.select("doc_id", "n_chars", F.col("held.text").alias("text"), "edited", F.col("held.sketch").alias("sketch"), sketch(F.col("edited"), k, width).alias("edited_sketch"), "next_sketch")
