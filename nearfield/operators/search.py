@@ -3,17 +3,20 @@
 Every order ends with the row number, so results do not depend on partitioning. One query plans as
 TakeOrderedAndProject without a shuffle of rows.
 
-Many queries go to the tasks in blocks of BLOCK, one scan of the rows for each, which bounds what is sent; a task holds
-PAIRS scores or distances at once. Exact: each task multiplies its rows with the
-block in numpy and passes on, for each query, the rows that reach its k-th best score up to a rounding error; these
-few are scored again in the JVM as one query would be, so both give the same results. By codes: each task passes on the pool
+Up to BLOCK queries are sent to the tasks, which scan the rows once; a task holds PAIRS scores or distances at once. Exact: each task
+multiplies its rows with the queries in numpy and passes on, for each query, the rows that reach its k-th best score up to a rounding error; these
+few are scored again in the order of one query's sum, so both give the same results. By codes: each task passes on the pool
 of each query as row numbers, and the rows that stay in it are joined back. Either way row_number <= k has a partial limit before its one shuffle by (query, salt).
+
+More queries stay a distributed table: queries and rows are dealt to cells of about CELL_QUERIES by CELL_ROWS, each row travels once for every column of
+cells and each query once for every line, a task works on one cell as above, and the best of all cells are merged. No query comes to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,10 @@ from nearfield.plans.planner import RERANK, TOP_K, SearchPlan, plan_search
 from nearfield.sources.table import VectorTable
 
 BLOCK = 2048
+#: Queries and rows of a cell where there are more than BLOCK queries.
+CELL_QUERIES, CELL_ROWS = 8192, 1 << 15
+#: Bits of a row number beside a distance in one key.
+ROW_BITS = 44
 #: Pools up to this many rows come to the driver to be turned into row ranges; larger ones are joined.
 DRIVER_POOL = 10_000
 #: Row ranges that a filter names at most; nearer ones become one.
@@ -57,37 +64,50 @@ def hamming_candidates(table: VectorTable, plan: SearchPlan, where: Column | Non
     return scored.orderBy("hamming", "row_index").limit(plan.pool)
 
 
-def search_rerank(table: VectorTable, plan: SearchPlan, k: int, where: Column | None = None, keep: Sequence[str] = (), lazy: bool = True) -> DataFrame:
+def _spans(rows: list[int], coalesce: bool = True) -> Column:
+    """A filter for row numbers: at most SPANS ranges, by which Parquet skips row groups and pages, and the numbers themselves."""
+    gap = GAP if coalesce else 0
+    while len(runs := runs_of(rows, gap)) > SPANS:
+        gap = max(1, 2 * gap)
+    return reduce(lambda x, y: x | y, [F.col("row_index").between(a, b - 1) for a, b in runs], F.lit(False)) & F.col("row_index").isin(rows)
+
+
+def search_rerank(
+    table: VectorTable, plan: SearchPlan, k: int, where: Column | None = None, keep: Sequence[str] = (), lazy: bool = True, wanted: list[int] | None = None, coalesce: bool = True, late_ids: bool = False,
+) -> DataFrame:
     """Candidates by codes, scores by floats.
 
-    lazy: one plan with a semi-join. Otherwise the row numbers of the candidates (at most DRIVER_POOL) come to the driver
-    first, and ids and vectors are read by ranges of row numbers, by which Parquet skips row groups and pages.
+    lazy: one plan with a semi-join. Otherwise the row numbers of the candidates (at most DRIVER_POOL; `wanted` if they are known) come to the driver
+    first, and ids and vectors are read by ranges of row numbers; coalesce joins ranges that lie near each other.
+    late_ids: ids are read in a third step, for the k winners alone.
     """
-    candidates = hamming_candidates(table, plan, where)
     rows = table.rows
     if plan.clusters is not None:
         rows = rows.where(F.col("cluster_id").isin(plan.clusters))
-    if lazy or plan.pool > DRIVER_POOL:
-        chosen = candidates.select("row_index")
+    within = rows
+    if wanted is None and (lazy or plan.pool > DRIVER_POOL):
+        chosen = hamming_candidates(table, plan, where).select("row_index")
         rows = rows.join(F.broadcast(chosen) if plan.pool <= DRIVER_POOL else chosen, "row_index", "left_semi")
     else:
-        wanted = [r["row_index"] for r in candidates.collect()]
-        gap = GAP
-        while len(runs := runs_of(wanted, gap)) > SPANS:
-            gap *= 2
-        spans = [F.col("row_index").between(a, b - 1) for a, b in runs]
-        rows = rows.where(reduce(lambda x, y: x | y, spans, F.lit(False))).where(F.col("row_index").isin(wanted))
-    scored = rows.select("id", score(F.col("vector"), vector_literal(plan.query), plan.scoring).alias("score"), "row_index", *keep)
-    return top(scored, k, plan.metric)
+        wanted = [r["row_index"] for r in hamming_candidates(table, plan, where).collect()] if wanted is None else wanted
+        rows = rows.where(_spans(wanted, coalesce))
+    score_of = score(F.col("vector"), vector_literal(plan.query), plan.scoring).alias("score")
+    if not late_ids or k > DRIVER_POOL:
+        return top(rows.select("id", score_of, "row_index", *keep), k, plan.metric)
+    best = top(rows.select(score_of, "row_index"), k, plan.metric).collect()  # k rows
+    found = table.rows.sparkSession.createDataFrame([(r["score"], r["row_index"]) for r in best], "score double, row_index bigint")
+    named = within.where(_spans([r["row_index"] for r in best], coalesce)).select("id", "row_index", *keep)
+    return named.join(F.broadcast(found), "row_index").select("id", "score", "row_index", *keep)
 
 
 def search(
     source: VectorTable | Sequence[VectorTable], query: Sequence[float], top_k: int = TOP_K, *, metric: str | None = None, rerank_factor: float = RERANK, probe: float | None = None,
-    algorithm: str = "auto", where: Column | None = None, keep: Sequence[str] = (), lazy: bool | None = None,
+    algorithm: str = "auto", where: Column | None = None, keep: Sequence[str] = (), lazy: bool | None = None, coalesce: bool = True, late_ids: bool = False,
 ) -> DataFrame:
     """rank, id, score, row_index[, source_index] of the top_k nearest rows of one table or of several.
 
-    where filters before scoring. lazy: see search_rerank; if it is left open, tables in files are read by row ranges. Several tables need one metric; equal scores keep the order of the tables.
+    where filters before scoring. lazy, coalesce, late_ids: see search_rerank; if lazy is left open, tables in files are read by row ranges. Several
+    tables need one metric; equal scores keep the order of the tables. The candidates of all tables in files come from one job, if they are DRIVER_POOL at most.
     """
     if source is None:
         raise ValueError("a source is required")
@@ -97,7 +117,17 @@ def search(
     plans = [plan_search(t, query, top_k, metric, rerank_factor, probe, algorithm) for t in tables]
     if len({p.metric for p in plans}) > 1:
         raise ValueError("the sources have different metrics")
-    each = [search_exact(t, p, top_k, where, keep) if p.exact else search_rerank(t, p, top_k, where, keep, t.path is None if lazy is None else lazy) for t, p in zip(tables, plans, strict=True)]
+    eager = {i for i, (t, p) in enumerate(zip(tables, plans, strict=True)) if not p.exact and not (t.path is None if lazy is None else lazy)}
+    wanted: dict[int, list[int]] = {}
+    if eager and sum(plans[i].pool for i in eager) <= DRIVER_POOL:
+        parts = [hamming_candidates(tables[i], plans[i], where).select(F.lit(i).alias("source"), "row_index") for i in sorted(eager)]
+        wanted = {i: [] for i in eager}
+        for r in reduce(DataFrame.unionByName, parts).collect():
+            wanted[r["source"]].append(r["row_index"])
+    each = [
+        search_exact(t, p, top_k, where, keep) if p.exact else search_rerank(t, p, top_k, where, keep, i not in wanted, wanted.get(i), coalesce, late_ids)
+        for i, (t, p) in enumerate(zip(tables, plans, strict=True))
+    ]
     if len(tables) == 1:
         return ranked(each[0], plans[0].metric, *keep)
     every = reduce(DataFrame.unionByName, [d.withColumn("source_index", F.lit(i)) for i, d in enumerate(each)])
@@ -169,7 +199,7 @@ def _nearest_codes(codes: list[list[int]], pool: int, skip: list[str] | None, cl
     last = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.empty((0, len(asked)), np.int64)  # the distance above 40 bits of the row number
+        best = np.empty((0, len(asked)), np.int64)  # the distance above ROW_BITS of the row number
         places: dict[str, list[int]] = {}
         for j, i in enumerate(skip or ()):
             places.setdefault(i, []).append(j)
@@ -179,8 +209,11 @@ def _nearest_codes(codes: list[list[int]], pool: int, skip: list[str] | None, cl
         step = max(1, PAIRS // max(1, len(asked)))
         for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             words = batch.column("vector_bin").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
-            keys = sum(np.bitwise_count(words[:, w, None] ^ asked[None, :, w]).astype(np.int64) for w in range(words.shape[1])) << 40
-            keys |= batch.column("row_index").to_numpy()[:, None]
+            numbers = batch.column("row_index").to_numpy()
+            if len(numbers) and numbers.max() >> ROW_BITS:
+                raise ValueError(f"row numbers must be below 2**{ROW_BITS}")
+            keys = sum(np.bitwise_count(words[:, w, None] ^ asked[None, :, w]).astype(np.int64) for w in range(words.shape[1])) << ROW_BITS
+            keys |= numbers[:, None]
             if clusters is not None:
                 c = batch.column("cluster_id").to_numpy()
                 keys[~(allowed[:, np.minimum(c, allowed.shape[1] - 1)].T & (c < allowed.shape[1])[:, None])] = last
@@ -191,11 +224,99 @@ def _nearest_codes(codes: list[list[int]], pool: int, skip: list[str] | None, cl
             if len(best) > pool:
                 best = np.partition(best, pool - 1, axis=0)[:pool]
         q, key = (x[best.T < last] for x in (np.broadcast_to(np.arange(len(asked))[:, None], best.T.shape), best.T))
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(key & ((1 << 40) - 1), pa.int64()), pa.array(key >> 40, pa.int32())], names=["q", "row_index", "hamming"])
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(key & ((1 << ROW_BITS) - 1), pa.int64()), pa.array(key >> ROW_BITS, pa.int32())], names=["q", "row_index", "hamming"])
+
+    return run
+
+
+def _sequential(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of pairs of rows, summed from the first element to the last as the JVM does."""
+
+    def total(terms: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(terms))
+        for i in range(terms.shape[1]):
+            out += terms[:, i]
+        return out
+
+    if metric == "euclidean":
+        return np.sqrt(total((v - q) ** 2))
+    products = total(v * q)
+    if metric == "dot":
+        return products
+    norms = np.sqrt(total(v * v)) * np.sqrt(total(q * q))
+    return np.divide(products, norms, out=np.zeros_like(products), where=norms != 0)
+
+
+def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+SCORED = "query_id string, id string, row_index bigint, score double"
+NEAR = "query_id string, row_index bigint, hamming int"
+
+
+def _cell_scores(metric: str, k: int, exclude_self: bool):
+    """Of a cell's rows, those that may be among the k best of each of its queries, with their scores."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [pa.table({"query_id": pa.array([], pa.string()), "id": pa.array([], pa.string()), "row_index": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        if rows.num_rows and queries.num_rows:
+            names = queries.column("query_id").combine_chunks()
+            asked = _matrix(queries.column("query"), queries.num_rows)
+            for b in _shortlist(asked, metric, k, names.to_pylist() if exclude_self else None)(iter(rows.select(["id", "row_index", "vector"]).to_batches())):
+                q = b.column("q").to_numpy()
+                v = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                scores = np.concatenate([_sequential(v[at : at + 4096], asked[q[at : at + 4096]], metric) for at in range(0, b.num_rows, 4096)])
+                out.append(pa.table({"query_id": names.take(b.column("q")), "id": b.column("id"), "row_index": b.column("row_index"), "score": pa.array(scores)}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _cell_codes(pool: int, exclude_self: bool, by_cluster: bool):
+    """Of a cell's rows, the pool nearest to the code of each of its queries."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [pa.table({"query_id": pa.array([], pa.string()), "row_index": pa.array([], pa.int64()), "hamming": pa.array([], pa.int32())})]
+        if rows.num_rows and queries.num_rows:
+            names = queries.column("query_id").combine_chunks()
+            codes = queries.column("code").combine_chunks().to_pylist()
+            clusters = queries.column("clusters").combine_chunks().to_pylist() if by_cluster else None
+            for b in _nearest_codes(codes, pool, names.to_pylist() if exclude_self else None, clusters)(iter(rows.to_batches())):
+                out.append(pa.table({"query_id": names.take(b.column("q")), "row_index": b.column("row_index"), "hamming": b.column("hamming")}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _prepared(meta, sent, options: tuple):
+    """Queries as a search reads them, with their codes and clusters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = SimpleNamespace(meta=meta, centroids=sent.value)
+        for batch in batches:
+            plans = [plan_search(table, q, *options) for q in batch.column("query").to_pylist()]
+            codes = [[w - (1 << 64) if w >> 63 else w for w in p.code] for p in plans]
+            columns = [batch.column("query_id"), pa.array([p.query for p in plans], pa.list_(pa.float64())), pa.array(codes, pa.list_(pa.int64())), pa.array([p.clusters for p in plans], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "query", "code", "clusters"])
 
     return run
 
 
+def _in_cells(rows: DataFrame, queries: DataFrame, run, schema: str) -> DataFrame:
+    """run over the cells of rows by queries."""
+    across, down = max(1, -(-queries.count() // CELL_QUERIES)), max(1, -(-rows.count() // CELL_ROWS))
+    lines = rows.withColumn("down", F.pmod(F.xxhash64("row_index"), F.lit(down)).cast("int")).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    columns = queries.withColumn("across", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    return lines.groupBy("down", "across").cogroup(columns.groupBy("down", "across")).applyInArrow(lambda a, b: run(a.drop_columns(["down", "across"]), b), schema)
+
+
+def _best(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k of each query: in each salt first, then of what is left."""
+    part = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order, "row_index"))).where(F.col("rank") <= k)
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "row_index"))).where(F.col("rank") <= k)
+
+
 def search_batch(
     table: VectorTable, queries: DataFrame, top_k: int = TOP_K, *, metric: str | None = None, exclude_self: bool = False, where: Column | None = None, salts: int = 8, algorithm: str = "exact", rerank_factor: float = RERANK, probe: float | None = None,
     by_cluster: bool = False,
@@ -203,44 +324,39 @@ def search_batch(
     """query_id, rank, id, score, row_index of the top_k for each of queries(query_id, query): exact, or by codes with a rerank.
 
     by_cluster: codes of a clustered table are compared in the clusters that probe chooses for each query, as in search.
-    exclude_self leaves out the row whose id is the query's. Queries are collected; they are the stated query set.
+    exclude_self leaves out the row whose id is the query's. More than BLOCK queries stay distributed; of those that share an id one is then taken.
     """
-    stated = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("query").cast("array<double>").alias("query")).toLocalIterator()
-    spark, blocks, block = table.rows.sparkSession, [], []
-    plan = None
-    for r in stated:
-        p = plan_search(table, r["query"], top_k, metric, rerank_factor, probe, algorithm)
-        plan = plan or p
-        block.append((r["query_id"], p.query, [w - (1 << 64) if w >> 63 else w for w in p.code], p.clusters))
-        if len(block) == BLOCK:
-            blocks.append(block)
-            block = []
-    if block or not blocks:
-        blocks.append(block)
-    if plan is None:
-        plan = plan_search(table, [0.0] * table.meta.dimension, top_k, metric, rerank_factor, probe, algorithm)
+    spark, options = table.rows.sparkSession, (top_k, metric, rerank_factor, probe, algorithm)
+    stated = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+    few = stated.limit(BLOCK + 1).collect()
+    plan = plan_search(table, few[0]["query"] if few else [0.0] * table.meta.dimension, *options)
+    salt = F.pmod(F.xxhash64("row_index"), F.lit(salts))
     rows = table.rows if where is None else table.rows.where(where)
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts)))
-    schema = "query_id string, query array<double>, code array<bigint>, clusters array<int>"
-
-    def best(pairs: DataFrame, k: int, *order: Column) -> DataFrame:
-        """The first k of each query: in each salt first, then of what is left."""
-        part = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*order, "row_index"))).where(F.col("rank") <= k)
-        return part.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "row_index"))).where(F.col("rank") <= k)
-
-    out = []
-    for b in blocks:
-        given = spark.createDataFrame([(n, *x) for n, x in enumerate(b)], f"q int, {schema}")
+    clustered = by_cluster and plan.clusters is not None
+    coded = ["id", "row_index", "vector_bin", *(["cluster_id"] if clustered else [])]
+    order = best_first("score", plan.metric)
+    if len(few) > BLOCK:
+        sent = spark.sparkContext.broadcast(table.centroids)
+        given = stated.mapInArrow(_prepared(table.meta, sent, options), "query_id string, query array<double>, code array<bigint>, clusters array<int>").dropDuplicates(["query_id"])
+        if plan.exact:
+            scored = _in_cells(rows.select("id", "row_index", "vector"), given.select("query_id", "query"), _cell_scores(plan.scoring, top_k, exclude_self), SCORED)
+            return _best(scored.withColumn("salt", salt), top_k, order).select("query_id", "rank", "id", "score", "row_index")
+        near = _in_cells(rows.select(*coded), given.select("query_id", "code", "clusters"), _cell_codes(plan.pool, exclude_self, clustered), NEAR)
+        pairs = _best(near.withColumn("salt", salt), plan.pool, F.col("hamming").asc()).select("query_id", "row_index", "salt")
+        pairs = pairs.join(rows.select("id", "row_index", "vector").hint("merge"), "row_index").join(given.select("query_id", "query").hint("merge"), "query_id")
+    else:
+        plans = [plan_search(table, r["query"], *options) for r in few]
+        block = [(i, r["query_id"], p.query) for i, (r, p) in enumerate(zip(few, plans, strict=True))]
+        given = F.broadcast(spark.createDataFrame(block, "q int, query_id string, query array<double>"))  # BLOCK queries at most
+        own = [r["query_id"] for r in few] if exclude_self else None
         if plan.exact:
-            asked = np.array([x[1] for x in b], np.float64).reshape(len(b), table.meta.dimension)
-            near = rows.select("id", "row_index", "vector").mapInArrow(_shortlist(asked, plan.scoring, top_k, [x[0] for x in b] if exclude_self else None), "q int, id string, row_index bigint, vector array<float>")
-            scored = near.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts))).join(F.broadcast(given), "q").select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), plan.scoring).alias("score"))
-            out.append(best(scored, top_k, best_first("score", plan.metric)).select("query_id", "rank", "id", "score", "row_index"))
-            continue
-        chosen = [x[3] for x in b] if by_cluster and plan.clusters is not None else None
-        near = rows.select("id", "row_index", "vector_bin", *(["cluster_id"] if chosen else [])).mapInArrow(_nearest_codes([x[2] for x in b], plan.pool, [x[0] for x in b] if exclude_self else None, chosen), "q int, row_index bigint, hamming int")
-        pairs = best(near.withColumn("salt", F.pmod(F.xxhash64("row_index"), F.lit(salts))).join(F.broadcast(given.select("q", "query_id")), "q"), plan.pool, F.col("hamming").asc())
-        pairs = pairs.select("q", "row_index", "salt").join(rows.select("id", "row_index", "vector"), "row_index").join(F.broadcast(given), "q")
-        scored = pairs.select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), plan.scoring).alias("score"))
-        out.append(best(scored, top_k, best_first("score", plan.metric)).select("query_id", "rank", "id", "score", "row_index"))
-    return reduce(DataFrame.unionByName, out)
+            asked = np.array([p.query for p in plans], np.float64).reshape(len(plans), table.meta.dimension)
+            near = rows.select("id", "row_index", "vector").mapInArrow(_shortlist(asked, plan.scoring, top_k, own), "q int, id string, row_index bigint, vector array<float>")
+            pairs = near.withColumn("salt", salt).join(given, "q")
+        else:
+            codes = [[w - (1 << 64) if w >> 63 else w for w in p.code] for p in plans]
+            near = rows.select(*coded).mapInArrow(_nearest_codes(codes, plan.pool, own, [p.clusters for p in plans] if clustered else None), "q int, row_index bigint, hamming int")
+            pairs = _best(near.withColumn("salt", salt).join(given.drop("query"), "q"), plan.pool, F.col("hamming").asc())
+            pairs = pairs.select("q", "row_index", "salt").join(rows.select("id", "row_index", "vector"), "row_index").join(given, "q")
+    scored = pairs.select("query_id", "id", "row_index", "salt", score(F.col("vector"), F.col("query"), plan.scoring).alias("score"))
+    return _best(scored, top_k, order).select("query_id", "rank", "id", "score", "row_index")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import best_first, score
-from nearfield.operators.ranges import DEFAULT_PROBE
+from nearfield.operators.ranges import DEFAULT_PROBE, GAP
 from nearfield.operators.search import search, search_batch
 from nearfield.plans.planner import RERANK
 from nearfield.sources.table import VectorTable, write_vectors
@@ -127,6 +128,27 @@ def build_ablation(df: DataFrame, dimension: int, folder: str, queries: DataFram
     return df.sparkSession.createDataFrame(out, "table string, recall double, mean_ms double")
 
 
+def search_ablation(table: VectorTable, queries: DataFrame, k: int = 10, rerank_factor: float = RERANK) -> DataFrame:
+    """step, recall, vector_rows, id_rows: what each step of a search changes, over all queries at once.
+
+    exact reads every vector; codes reads those of the pool, row by row; coalesced reads the runs that join rows of the pool with at most GAP rows
+    between them; late_ids reads ids of the k winners instead of those of the pool. Rows are summed over the queries.
+    """
+    n, asked = table.rows.count(), queries.count()
+    truth = search_batch(table, queries, k).persist()
+    found = search_batch(table, queries, k, algorithm="binary", rerank_factor=rerank_factor).persist()
+    # A search for as many rows as the pool holds, reranked by nothing, returns the pool.
+    pool = search_batch(table, queries, math.ceil(k * rerank_factor), algorithm="binary", rerank_factor=1).select("query_id", "row_index").persist()
+    gap = F.col("row_index") - F.lag("row_index").over(Window.partitionBy("query_id").orderBy("row_index")) - 1
+    covered = pool.withColumn("gap", gap).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(F.col("gap") <= GAP, F.col("gap"))), F.lit(0)).alias("between")).first()
+    winners = found.count()
+    exact, codes = (recall_micro(truth, x, k).first()["recall"] for x in (truth, found))
+    rows = [("exact", exact, n * asked, n * asked), ("codes", codes, covered["rows"], covered["rows"]), ("coalesced", codes, covered["rows"] + covered["between"], covered["rows"] + covered["between"]), ("late_ids", codes, covered["rows"] + covered["between"], winners)]
+    for df in (truth, found, pool):
+        df.unpersist()
+    return table.rows.sparkSession.createDataFrame(rows, "step string, recall double, vector_rows bigint, id_rows bigint")
+
+
 def filtered_recall(table: VectorTable, queries: DataFrame, k: int, attribute: str, overfetch: Sequence[int] = (1, 10, 30, 100), salts: int = 8) -> DataFrame:
     """Recall of a filter after the search by overfetch, against the filter before it. queries: query_id, query, value of the attribute."""
     metric = table.meta.metric

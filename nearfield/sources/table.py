@@ -4,8 +4,11 @@ path/rows holds row_index, id, vector, and if there are codes vector_bin, if the
 columns that were kept. Scalars of the index are metadata of the field `vector`, which Spark writes to Parquet and reads
 back. path/clusters holds a row per cluster: cluster_id, centroid, row_count, row_start.
 
-Row numbers come from a range partitioning by the input order and the counts per partition, not from a window over all
-rows. With clusters, a row's number is the start of its cluster plus its place in it; a cluster holds about 2 sqrt(N) rows.
+Row numbers come from the places of rows in their partitions and the counts of the partitions before, not from a window over all
+rows. Rows are written once with (partition, place) to a folder of the session, and counts and numbers both come from these files: an
+input that ends in a shuffle, whose partitions may differ from one evaluation to the next, loses no row. A write fails if it
+ends with another number of rows than it read. With clusters, a row's number is the start of its cluster plus its place in it; a
+cluster holds about 2 sqrt(N) rows.
 Rows are written in order of their number, by cluster as directories up to DIRECTORIES of them, else as sorted files,
 so a search that names its clusters reads nothing else.
 """
@@ -13,22 +16,25 @@ so a search that names its clusters reads nothing else.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import accumulate
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import check_metric, id_string, l2_normalize, sign_code
 from nearfield.operators.kmeans import ITERATIONS, SEED, binary_kmeans, code_literal, reorder
+from nearfield.sources.scratch import remove, scratch
 
 VERSION = 1
 AUTO_CODES_ROWS = 10_000
 CODE_PAGE_BYTES = 32 * 1024
 ROW_GROUP_BYTES = 16 << 20
 DIRECTORIES = 1000
+#: Columns of a written table; kept columns need other names.
+OWN = ("row_index", "id", "vector", "vector_bin", "cluster_id")
 
 
 @dataclass(frozen=True)
@@ -54,6 +60,9 @@ class VectorTable:
     prefetched: DataFrame | None = None
     #: What was persisted to build the rows.
     held: list[DataFrame] = field(default_factory=list)
+    #: The folder of the numbered input that the rows are read from, and its number of rows.
+    numbered_in: str | None = None
+    expected: int | None = None
 
     def release(self) -> None:
         """Free what the executors hold for this table. A table that was built but not written is then computed anew when read."""
@@ -98,22 +107,35 @@ def checked_vector(vector: Column, id_col: Column, dimension: int, normalize: bo
     )
 
 
-def _starts(parts: DataFrame) -> DataFrame:
-    """part, start: the number of rows in the parts before, from one count a part."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start")))
+def _fresh(stem: str) -> str:
+    """A column name that no caller's column has."""
+    return f"{stem}_{uuid.uuid4().hex}"
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    return df.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("bigint"), 33))
+def _check_kept(keep: tuple[str, ...]) -> None:
+    if clash := [c for c in keep if c in OWN]:
+        raise ValueError(f"kept columns must not be named {', '.join(clash)}")
 
 
-def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
-    """df with `ordinal`: 0..N-1 in the given order, and the frame that was persisted for it."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The bounds of the ranges are drawn once for both uses.
-    dealt = _placed(df.repartitionByRange(n, *order).sortWithinPartitions(*order)).persist(StorageLevel.DISK_ONLY)
-    return dealt.join(_starts(dealt), "part").withColumn("ordinal", F.col("start") + F.col("place")).drop("part", "place", "start"), dealt
+def numbered(df: DataFrame, number: str) -> tuple[DataFrame, str, int]:
+    """df with `number`, 0..N-1 in the order of its partitions; the folder that holds its rows; and N.
+
+    df is evaluated once: its rows go to files with their partition and place, and the counts are read from these files.
+    """
+    spark = df.sparkSession
+    part, place, other, start = (_fresh(x) for x in ("part", "place", "of_part", "start"))
+    placed = df.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place))
+    folder = scratch(spark, "numbered")
+    placed.write.parquet(folder)
+    held = spark.read.schema(placed.schema).parquet(folder)
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    sizes = held.groupBy(part).agg(F.count(F.lit(1)).alias("n"), (F.max(place) + 1).alias("places"))
+    whole = F.when(F.col("n") == F.col("places"), F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = sizes.select(F.col(part).alias(other), F.coalesce(whole, F.raise_error(F.lit("a partition was written in part")).cast("bigint")).alias(start))
+    known = F.coalesce(F.col(start), F.raise_error(F.lit("a partition without a start")).cast("bigint"))
+    # A row per partition of the input: small whatever the number of rows.
+    rows = held.join(F.broadcast(starts), held[part] == F.col(other), "left").withColumn(number, known + F.col(place)).drop(part, place, other, start)
+    return rows, folder, held.count()
 
 
 def build(
@@ -122,24 +144,32 @@ def build(
 ) -> VectorTable:
     """The table of df's records, not yet written. keep: other columns to carry along."""
     check_options(dimension, metric, binary, clusters)
+    _check_kept(keep)
     vector = checked_vector(F.col(vector_col), F.col(id_col), dimension, normalize)
-    kinds = dict(df.dtypes)
-    base, dealt = numbered(df, *(order_by or (id_col,)))
-    base = base.select("ordinal", id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *keep)
-    codes, k = auto_codes(df.count() if binary is None or clusters is None else 0, binary, clusters)
+    kinds, order = dict(df.dtypes), order_by or (id_col,)
+    kept = {c: _fresh("kept") for c in keep}
+    used = df.select(*dict.fromkeys((*order, id_col, vector_col, *keep)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = _fresh("ordinal")
+    base, folder, n = numbered(used.repartitionByRange(parts, *order).sortWithinPartitions(*order), at)
+    base = base.select(F.col(at).alias("ordinal"), id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *[F.col(c).alias(f) for c, f in kept.items()])
+    codes, k = auto_codes(n, binary, clusters)
     if codes:
         base = base.withColumn("vector_bin", sign_code(F.col("vector"), dimension))
-    meta = Meta(dimension, metric, normalize, codes, 0)
-    held = [dealt]
+    back = [F.col(f).alias(c) for c, f in kept.items()]
+    meta, source = Meta(dimension, metric, normalize, codes, 0), {"numbered_in": folder, "expected": n}
     if not k:
-        return VectorTable(base.withColumnRenamed("ordinal", "row_index"), meta, held=held)
+        rows = base.select(F.col("ordinal").alias("row_index"), "id", "vector", *back, *(["vector_bin"] if codes else []))
+        return VectorTable(rows, meta, **source)
+    held = []
     if cache:
         base = base.persist()  # read once for each iteration
         held.append(base)
     found = binary_kmeans(base.withColumnRenamed("vector_bin", "code"), dimension, k, cluster_iterations, cluster_seed)
     renumber = reorder(found.centroids)
     if not renumber:
-        return VectorTable(base.withColumnRenamed("ordinal", "row_index").withColumn("cluster_id", F.lit(0)), meta, held=held)
+        rows = base.select(F.col("ordinal").alias("row_index"), "id", "vector", *back, "vector_bin", F.lit(0).alias("cluster_id"))
+        return VectorTable(rows, meta, held=held, **source)
     mapping = F.array(*map(F.lit, renumber))
     rows = found.assigned.withColumnRenamed("code", "vector_bin").withColumn("cluster_id", F.get(mapping, F.col("cluster"))).drop("cluster")
     seen = {r["cluster_id"]: r["count"] for r in rows.groupBy("cluster_id").count().collect()}  # a row per cluster
@@ -148,7 +178,8 @@ def build(
     place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("ordinal")) - 1
     rows = rows.withColumn("row_index", (F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("cluster_id")) + place).cast("bigint")).drop("ordinal")
     centroids = [c for _, c in sorted(zip(renumber, found.centroids, strict=True))]
-    return VectorTable(rows.select("row_index", "id", "vector", "vector_bin", "cluster_id", *keep), Meta(dimension, metric, normalize, True, len(counts)), centroids, counts, held=held)
+    rows = rows.select("row_index", "id", "vector", "vector_bin", "cluster_id", *back)
+    return VectorTable(rows, Meta(dimension, metric, normalize, True, len(counts)), centroids, counts, held=held, **source)
 
 
 def running(counts: list[int]) -> list[int]:
@@ -159,16 +190,16 @@ def running(counts: list[int]) -> list[int]:
 def write_stream(df: DataFrame, path: str, dimension: int, *, id_col: str = "id", vector_col: str = "vector", metric: str = "cosine", normalize: bool = True, binary: bool = False, keep: tuple[str, ...] = (), mode: str = "errorifexists", **options) -> VectorTable:
     """Write records in the order of their partitions: no shuffle, no cache and no clusters.
 
-    Row numbers are the places in the partitions after the counts of those before, so df is read twice; only counts are moved.
+    df is evaluated once; its records pass through a folder of the session, from which they are numbered (see `numbered`).
     """
     check_options(dimension, metric, binary, None)
-    kinds = dict(df.dtypes)
+    _check_kept(keep)
+    kinds, kept = dict(df.dtypes), {c: _fresh("kept") for c in keep}
     vector = checked_vector(F.col(vector_col), F.col(id_col), dimension, normalize)
-    placed = _placed(df)
-    rows = placed.join(_starts(placed.select("part")), "part").select((F.col("start") + F.col("place")).alias("row_index"), id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *keep)
-    if binary:
-        rows = rows.withColumn("vector_bin", sign_code(F.col("vector"), dimension))
-    return _write(VectorTable(rows, Meta(dimension, metric, normalize, binary, 0)), path, mode=mode, **options)
+    records = df.select(id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *[F.col(c).alias(f) for c, f in kept.items()])
+    rows, folder, n = numbered(records, "row_index")
+    rows = rows.select("row_index", "id", "vector", *[F.col(f).alias(c) for c, f in kept.items()], *([sign_code(F.col("vector"), dimension).alias("vector_bin")] if binary else []))
+    return _write(VectorTable(rows.sortWithinPartitions("row_index"), Meta(dimension, metric, normalize, binary, 0), numbered_in=folder, expected=n), path, mode=mode, **options)
 
 
 def write_vectors(df: DataFrame, path: str, dimension: int, *, codec: str = "uncompressed", page_size: int | None = None, row_group_bytes: int | None = None, encodings: dict[str, bool] | None = None, mode: str = "errorifexists", **options) -> VectorTable:
@@ -195,7 +226,12 @@ def _write(table: VectorTable, path: str, *, codec: str = "uncompressed", page_s
     (writer.partitionBy("cluster_id") if by_directory else writer).parquet(f"{path}/rows")
     clusters_frame(spark, table).coalesce(1).write.mode(mode).parquet(f"{path}/clusters")
     table.release()
-    return open_table(spark, path)
+    written = open_table(spark, path)
+    if table.expected is not None and (n := written.rows.count()) != table.expected:
+        raise RuntimeError(f"{path} holds {n} rows of {table.expected}")
+    if table.numbered_in:
+        remove(spark, table.numbered_in)
+    return written
 
 
 def _signed(word: int) -> int:

@@ -385,3 +385,104 @@ def test_recall_is_reached(spark):
     for name in ("recall_rerank", "recall_clustered"):
         r = queries.QUERY_MAP[name](spark, "/root/testdata/sf0.1").first()
         assert r["queries"] == 40 and r["recall"] >= 0.9 and r["rerank_factor"] > 10
+
+
+def shuffled_inputs(spark):
+    """Inputs that end in a shuffle, each of 4,000 rows."""
+    rows = spark.range(4000, numPartitions=8).select(F.col("id").alias("k"), F.concat(F.lit("v"), "id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: (F.col("k") * 31 + i).cast("float")).alias("vector"), (100 + F.col("k") % 20).alias("part"))
+    return {
+        "aggregate": rows.groupBy("k").agg(*[F.first(c).alias(c) for c in ("id", "vector", "part")]),
+        "join": rows.drop("part").join(rows.select("k", "part").hint("merge"), "k"),
+        "repartition": rows.repartition("k"),
+        "distinct": rows.dropDuplicates(["id"]),
+        "sorted": rows.orderBy("part"),
+    }
+
+
+@pytest.mark.parametrize("name", ["aggregate", "join", "repartition", "distinct", "sorted"])
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k"}, {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "37"}])
+def test_narrow_write_loses_nothing(spark, name, conf):
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        t = table.write_stream(shuffled_inputs(spark)[name], scratch(spark, "shuffled"), 32, normalize=False, keep=("part", "k"))
+        got = t.rows.select("row_index", "id", "part", "k", F.col("vector")[0].alias("v")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["row_index"] for r in got) == list(range(4000))
+    assert sorted((r["id"], r["part"], r["v"]) for r in got) == sorted((f"v{k}", 100 + k % 20, float(k * 31)) for k in range(4000))
+
+
+CLASHING = ("part", "place", "start", "ordinal", "code", "cluster", "n", "count", "rank")
+
+
+@pytest.mark.parametrize("how", ["narrow", "plain", "clustered"])
+def test_kept_columns_may_have_any_other_name(spark, how):
+    df = frame(spark, make_vectors(60, 16)).withColumnsRenamed({"n": "at"}).select("*", *[(F.col("at") * 10 + i).alias(c) for i, c in enumerate(CLASHING)])
+    if how == "narrow":
+        t = table.write_stream(df, scratch(spark, how), 16, keep=CLASHING)
+    else:
+        t = table.write_vectors(df, scratch(spark, how), 16, order_by=("at",), keep=CLASHING, **({"clusters": 4} if how == "clustered" else {}))
+    for r in t.rows.collect():
+        n = int(r["id"].removeprefix("vec-"))
+        assert [r[c] for c in CLASHING] == [10 * n + i for i in range(len(CLASHING))]
+    for own in ("id", "row_index", "vector_bin"):
+        with pytest.raises(ValueError, match="must not be named"):
+            table.write_stream(df.withColumn(own, F.lit("x")), scratch(spark, how), 16, keep=(own,))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+@pytest.mark.parametrize("cells", [(7, 30), (500, 11)])
+def test_many_queries_stay_distributed(spark, monkeypatch, metric, cells):
+    from nearfield.operators import search as S
+
+    rows = make_vectors(90, 24, 5)
+    t = table.build(frame(spark, rows), 24, order_by=("n",), normalize=False, clusters=4, metric=metric)
+    queries = frame(spark, rows).where("n % 2 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for options in ({}, {"exclude_self": True}, {"algorithm": "binary", "rerank_factor": 2}, {"algorithm": "binary", "rerank_factor": 2, "by_cluster": True, "probe": 0.5, "exclude_self": True}, {"where": F.col("row_index") % 3 > 0}):
+        monkeypatch.setattr(S, "BLOCK", 2048)
+        few = key(S.search_batch(t, queries, 4, **options))
+        monkeypatch.setattr(S, "BLOCK", 10)
+        monkeypatch.setattr(S, "CELL_QUERIES", cells[0])
+        monkeypatch.setattr(S, "CELL_ROWS", cells[1])
+        many = S.search_batch(t, queries, 4, **options)
+        assert key(many) == few and len(few) == 45 * 4
+    t.release()
+
+
+def test_many_queries_are_one_plan(spark, monkeypatch):
+    from nearfield.operators import search as S
+
+    t = table.build(frame(spark, make_vectors(20, 8)), 8, order_by=("n",), binary=True)
+    queries = spark.range(100_000).select(F.col("id").cast("string").alias("query_id"), F.array(*[(F.rand(i) - 0.5) for i in range(8)]).alias("query"))
+    plan = S.search_batch(t, queries, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CoGroup") == 1 and "Union" not in plan
+
+
+def test_late_ids_and_coalescing_change_nothing(spark):
+    rows = make_vectors(400, 32, 9)
+    paths = [scratch(spark, "toggles") for _ in range(3)]
+    tables = [table.write_vectors(frame(spark, rows[a:b]), p, 32, order_by=("n",), binary=True) for p, (a, b) in zip(paths, ((0, 400), (0, 200), (200, 400)), strict=True)]
+    shown = lambda source, **o: [tuple(r) for r in search(source, rows[7][2], 5, rerank_factor=8, **o).collect()]
+    for source in (tables[0], tables[1:]):
+        want = shown(source, lazy=True)
+        assert len(want) == 5
+        for o in ({}, {"coalesce": False}, {"late_ids": True}, {"late_ids": True, "lazy": True}, {"late_ids": True, "coalesce": False}):
+            assert shown(source, **o) == want
+
+
+def test_candidates_of_many_tables_come_from_one_job(spark):
+    rows = make_vectors(60, 16, 2)
+    tables = [table.write_vectors(frame(spark, rows[i : i + 10]), scratch(spark, "many"), 16, order_by=("n",), binary=True) for i in range(0, 60, 10)]
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for source in (tables[:2], tables):
+        group = f"jobs-{len(source)}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert ids(search(source, rows[13][2], 3, rerank_factor=100))[0] == "vec-13"
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
