@@ -24,6 +24,8 @@ result; other columns are kept aside by name.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,8 +161,9 @@ def repeat_by_share(docs: DataFrame, text_col: str = "text") -> DataFrame:
     At most one document of a source is taken in part, at the end of its target. Rows that share an id, a null id
     too, are taken equally often.
     """
-    shares = mix(docs, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__passes")).where("__passes > 0")
-    shares = stored(shares, "shares")
+    own, passes, one = (f"{x}_{uuid.uuid4().hex}" for x in ("id", "passes", "pass"))
+    share = F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int")
+    shares = stored(mix(docs, text_col).groupBy(F.col("doc_id").alias(own)).agg(share.alias(passes)).where(F.col(passes) > 0), "shares")
     # A merge join at any size: the shares grow with the documents.
-    out = docs.join(shares.hint("merge"), docs["doc_id"].eqNullSafe(shares["__id"]))
-    return out.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__passes")))).select(*docs.columns)
+    out = docs.join(shares.hint("merge"), docs["doc_id"].eqNullSafe(shares[own]))
+    return out.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(passes)))).select(*docs.columns)

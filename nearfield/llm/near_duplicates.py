@@ -32,6 +32,7 @@ an empty table gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -231,5 +232,6 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str =
     kept = near_duplicates(docs, width, percent, text_col).where("kept").select("doc_id").distinct()
     place = Window.partitionBy("doc_id").orderBy(text_of(text_col))
     # A merge join at any size: the ids grow with the documents.
-    one = docs.join(stored(kept, "kept").hint("merge"), "doc_id", "left_semi").withColumn("__place", F.row_number().over(place)).where("__place = 1")
+    first = f"place_{uuid.uuid4().hex}"
+    one = docs.join(stored(kept, "kept").hint("merge"), "doc_id", "left_semi").withColumn(first, F.row_number().over(place)).where(F.col(first) == 1)
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))

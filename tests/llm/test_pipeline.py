@@ -47,3 +47,18 @@ def test_stages(spark):
         start += len(ids)
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in blocks) == want
     assert corpus_pipeline.run(spark, DATA).count() == len(want)
+
+
+def test_rows_without_an_id_and_clashing_columns(spark):
+    items = [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").limit(2).collect()]
+    names = ("__place", "__pass", "__passes", "__id", "part", "copies", "key")
+    given = [(1, items[0]), (None, items[0]), (None, "a clean text of some words"), (2, "another clean text"), (2, items[1]), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[100 * n + j for j in range(len(names))]) for n, (i, t) in enumerate(given)], "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} int" for n in names)).coalesce(1)
+    shown = lambda df: sorted(tuple(r[n] for n in names) for r in df.collect())
+    rows = {n: tuple(100 * n + j for j in range(len(names))) for n in range(len(given))}
+    clean = corpus_pipeline.drop_benchmark(spark, docs, DATA)
+    assert clean.columns == docs.columns and shown(clean) == [rows[2], rows[3], rows[5]]
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert one.columns == docs.columns and set(shown(one)) <= set(rows.values()) and {rows[1], rows[2]} <= set(shown(one))
+    mixed = corpus_pipeline.mix_sources(spark, docs, DATA)
+    assert mixed.columns == docs.columns and set(shown(mixed)) <= set(rows.values())
