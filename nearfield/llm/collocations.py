@@ -8,11 +8,15 @@ many texts at once; a phrase's key is a 64-bit hash of its language and words.
    A false positive or two phrases of one key only make a sum larger, so no frequent phrase is lost.
 2. The keys are dealt to shards of about SHARD by their hash; a task per shard builds its minimal perfect hash by displacement.
    Each slot stores its key, by which foreign phrases are turned away.
-3. Tasks look up all phrases of a block in the hash, at most ROUND keys of it at once (broadcast, some 40 MB), bincount the slots and pass on an
-   array of slots and counts per shard; these arrays are summed as a tree. More than ROUND candidates cost a further pass over the texts for each ROUND.
-   Tasks also name the phrase of each slot once. If a key ever stands for two phrases, all is done again with another seed.
+3. Tasks look up all phrases of a block in the hash, at most ROUND keys of it at once (broadcast, some 40 MB), bincount the slots and pass on, for
+   each shard, a bitmap of the slots that they have seen and their counts; these arrays are summed as a tree. More than ROUND candidates
+   cost a further pass over the texts for each ROUND.
+   One task in NAMERS, by the key, also names the phrase of a slot; one more pass over the texts names the slots that no such task has seen.
 4. Cuts: the keys of a candidate's parts come from its words, their counts from the slots; scores are exact decimals.
 
+Verification: a slot stores its 64-bit key. Occurrences also add a 16-bit check of their words, by another hash, to their slot. If two
+phrases are named for a key, or a slot's sum is not its count times the check of its phrase, two phrases shared a key and all is done again with another seed.
+
 Broadcasts: the bitmap (8 MB) and one round of the hash; neither grows with the data.
 
 Edge cases: null text is empty, null language is `und`; phrases do not cross pieces or documents; equal rows count each; very long texts are
@@ -37,9 +41,9 @@ LEAST, WIDTH, TOP, SHARE = 10, 3, 2000, 50
 #: Bytes that end a piece, and those between words.
 PIECE, BLANK = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text that a task takes at once, bits of the bitmap, keys of a shard and of a round.
-BLOCK, FILTER_BITS, SHARD, ROUND = 6 << 20, 1 << 26, 1 << 16, 1 << 22
-#: Branches of the tree of sums.
-BRANCHES = 16
+BLOCK, FILTER_BITS, SHARD, ROUND = 4 << 20, 1 << 26, 1 << 16, 1 << 22
+#: Branches of the tree of sums; of how many tasks one names a phrase.
+BRANCHES, NAMERS = 16, 8
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(BLANK)], _CLASS[list(PIECE)] = 1, 2
 _PLACE = stream(3, 16) | np.uint64(1)
@@ -51,9 +55,9 @@ def language_key(lang: str, seed: int) -> int:
 
 
 class Block:
-    """Words of many texts: where they are, the language of each, and the keys of phrases."""
+    """Words of many texts: where they are, the language of each, and the keys and checks of phrases."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], seed: int) -> None:
+    def __init__(self, texts: list[bytes], langs: list[str], seed: int, checked: bool = False) -> None:
         self.buf = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         kind = _CLASS[self.buf]
         inside = kind == 0
@@ -68,12 +72,14 @@ class Block:
         self.lang = np.array([at[x] for x in langs], np.int64)[doc] if len(langs) else np.empty(0, np.int64)
         self.piece = np.cumsum(kind == 2)[self.begins]
         if not len(sizes):
-            self.words = np.empty(0, np.uint64)
+            self.words = self.signs = np.empty(0, np.uint64)
             return
         letters = self.buf[inside]
         offset = np.arange(len(letters)) - np.repeat(first, sizes)
         hashes = mix(np.add.reduceat(_BYTE[letters] * _powers(int(sizes.max()) + 1)[offset], first) + sizes.astype(np.uint64))
-        self.words = mix(hashes ^ np.array([language_key(x, seed) for x in self.langs], np.uint64)[self.lang])
+        spoken = np.array([language_key(x, seed) for x in self.langs], np.uint64)[self.lang]
+        self.words = mix(hashes ^ spoken)
+        self.signs = mix(np.add.reduceat(mix(_BYTE[letters] + offset.astype(np.uint64)), first) ^ spoken) if checked else None
 
     def keys(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the phrases that start at each word, and which of them lie inside one piece."""
@@ -85,6 +91,14 @@ class Block:
             total += self.words[j : n + j] * _PLACE[j]
         return mix(total), self.piece[:n] == self.piece[width - 1 : n + width - 1]
 
+    def checks(self, width: int) -> np.ndarray:
+        """16 bits of each phrase that starts at a word, by another hash than the keys."""
+        n = max(0, len(self.signs) - width + 1)
+        total = np.full(n, width, np.uint64)
+        for j in range(width):
+            total += self.signs[j : n + j] * _PLACE[4 + j]
+        return (mix(total) & np.uint64(0xFFFF)).astype(np.int64)
+
     def phrases(self, at: np.ndarray, width: int) -> pa.Array:
         """The phrases that start at the given words, joined by a space, in lower case."""
         words = (at[:, None] + np.arange(width)).ravel()
@@ -99,7 +113,7 @@ class Block:
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(out)).cast(pa.string())
 
 
-def blocks(batches: Iterator[pa.RecordBatch], seed: int, most: int) -> Iterator[Block]:
+def blocks(batches: Iterator[pa.RecordBatch], seed: int, most: int, checked: bool = False) -> Iterator[Block]:
     texts: list[bytes] = []
     langs: list[str] = []
     size = 0
@@ -107,13 +121,13 @@ def blocks(batches: Iterator[pa.RecordBatch], seed: int, most: int) -> Iterator[
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
             value = text.as_py()
             if texts and size + len(value) > most:
-                yield Block(texts, langs, seed)
+                yield Block(texts, langs, seed, checked)
                 texts, langs, size = [], [], 0
             texts.append(value)
             langs.append(lang)
             size += len(value)
     if texts:
-        yield Block(texts, langs, seed)
+        yield Block(texts, langs, seed, checked)
 
 
 def _bits(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,43 +262,58 @@ def perfect_hash(candidates: DataFrame, shards: int) -> DataFrame:
     return stored(sharded.groupBy("shard").applyInArrow(_built, "shard int, shift binary, keys binary"), "perfect-hash")
 
 
-COUNTS = "shard int, branch int, slots binary, counts binary, key bigint, lang string, phrase string, width int, words bigint"
+COUNTS = "shard int, branch int, seen binary, counts binary, sums binary, key bigint, lang string, phrase string, width int, words bigint"
 
 
 def _rows(n: int, **given) -> pa.RecordBatch:
-    types = {"shard": pa.int32(), "branch": pa.int32(), "slots": pa.binary(), "counts": pa.binary(), "key": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "width": pa.int32(), "words": pa.int64()}
+    types = {"shard": pa.int32(), "branch": pa.int32(), "seen": pa.binary(), "counts": pa.binary(), "sums": pa.binary(), "key": pa.int64(), "lang": pa.string(), "phrase": pa.string(), "width": pa.int32(), "words": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
 
-def _counted(held, seed: int, width: int, words: bool, most: int, branches: int):
-    """Counts of the slots by shard, the phrase of each slot that the task saw, and, if asked for, the words of each language."""
+def _packed(counts: np.ndarray, sums: np.ndarray) -> dict[str, list[bytes]]:
+    seen = counts > 0
+    return {"seen": [np.packbits(seen).tobytes()], "counts": [counts[seen].astype("<i8").tobytes()], "sums": [(sums[seen] & 0xFFFF).astype("<u2").tobytes()]}
+
+
+def _unpacked(seen: bytes) -> np.ndarray:
+    """The slots of a bitmap."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(seen, np.uint8)))
+
+
+def _counted(held, seed: int, widths: range, namers: int, most: int, branches: int, counting: bool, words: bool):
+    """The names of slots, and if counting, their counts and sums of checks by shard; if asked for, also the words of each language.
+
+    namers: of how many tasks one names a phrase.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
-        total, seen = np.zeros(len(table.table), np.int64), np.zeros(len(table.table), bool)
+        table, task = held.value, TaskContext.get().partitionId()
+        total, sums = (np.zeros(len(table.table) if counting else 0, np.int64) for _ in range(2))
+        to_name = (mix(table.table) + np.uint64(task)) % np.uint64(namers) == 0
         spoken: dict[str, int] = {}
-        for block in blocks(batches, seed, most):
+        for block in blocks(batches, seed, most, counting):
             for lang, n in zip(block.langs, np.bincount(block.lang, minlength=len(block.langs)).tolist(), strict=True):
                 spoken[lang] = spoken.get(lang, 0) + n
-            for w in range(1, width + 1):
+            for w in widths:
                 keys, ok = block.keys(w)
                 at = np.flatnonzero(ok)
                 slots = table.find(keys[at])
                 at, slots = at[slots >= 0], slots[slots >= 0]
-                total += np.bincount(slots, minlength=len(total))
-                new = np.flatnonzero(~seen[slots])
-                fresh, one = np.unique(slots[new], return_index=True)
-                if len(fresh):
-                    seen[fresh] = True
-                    at = at[new[one]]
-                    names = pa.array(block.langs, pa.string()).take(pa.array(block.lang[at]))
-                    yield _rows(len(at), key=table.table[fresh].view(np.int64), lang=names, phrase=block.phrases(at, w), width=np.full(len(at), w))
-        branch = TaskContext.get().partitionId() % branches
-        for s in np.flatnonzero(table.size):
-            own = total[table.first[s] : table.first[s] + table.size[s]]
-            slots = np.flatnonzero(own)
-            if len(slots):
-                yield _rows(1, shard=[s], branch=[branch], slots=[slots.astype("<u4").tobytes()], counts=[own[slots].astype("<i8").tobytes()])
+                if counting:
+                    total += np.bincount(slots, minlength=len(total))
+                    sums += np.bincount(slots, block.checks(w)[at], len(total)).astype(np.int64)
+                if w > 1:
+                    new = np.flatnonzero(to_name[slots])
+                    fresh, one = np.unique(slots[new], return_index=True)
+                    if len(fresh):
+                        to_name[fresh] = False
+                        at = at[new[one]]
+                        names = pa.array(block.langs, pa.string()).take(pa.array(block.lang[at]))
+                        yield _rows(len(at), key=table.table[fresh].view(np.int64), lang=names, phrase=block.phrases(at, w), width=np.full(len(at), w))
+        for s in np.flatnonzero(table.size) if counting else ():
+            own = slice(table.first[s], table.first[s] + table.size[s])
+            if total[own].any():
+                yield _rows(1, shard=[s], branch=[task % branches], **_packed(total[own], sums[own]))
         if words and spoken:
             yield _rows(len(spoken), lang=list(spoken), words=list(spoken.values()))
 
@@ -292,64 +321,82 @@ def _counted(held, seed: int, width: int, words: bool, most: int, branches: int)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of slots and counts for each (shard, branch) of the rows that a task reads, which come sorted by them."""
-    key, total = None, np.zeros(0, np.int64)
+    """One row for each (shard, branch) of the rows that a task reads, which come sorted by them."""
+    key, total, sums = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def row() -> pa.RecordBatch:
-        slots = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([slots.astype("<u4").tobytes()]), pa.array([total[slots].tobytes()])], names=["shard", "branch", "slots", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *(pa.array(x, pa.binary()) for x in _packed(total, sums).values())], names=["shard", "branch", "seen", "counts", "sums"])
 
     for batch in batches:
-        for shard, branch, slots, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "branch", "slots", "counts")), strict=True):
+        for shard, branch, seen, counts, checks in zip(*(batch.column(c).to_pylist() for c in ("shard", "branch", "seen", "counts", "sums")), strict=True):
             if (shard, branch) != key:
                 if key:
                     yield row()
-                key, total = (shard, branch), np.zeros(0, np.int64)
-            at = np.frombuffer(slots, "<u4")
-            total = np.concatenate([total, np.zeros(max(0, int(at[-1]) + 1 - len(total)), np.int64)])
+                key, total, sums = (shard, branch), np.zeros(8 * len(seen), np.int64), np.zeros(8 * len(seen), np.int64)
+            at = _unpacked(seen)
             total[at] += np.frombuffer(counts, "<i8")
+            sums[at] += np.frombuffer(checks, "<u2")
     if key:
         yield row()
 
 
 def tree_sum(arrays: DataFrame) -> DataFrame:
-    """shard, slots, counts: the arrays of each shard summed, first those of a branch, then the branches."""
+    """shard, seen, counts, sums: the arrays of each shard summed, first those of a branch, then the branches."""
     for branch in (F.col("branch"), F.lit(0)):
-        dealt = arrays.select("shard", branch.alias("branch"), "slots", "counts").repartition("shard", "branch").sortWithinPartitions("shard", "branch")
-        arrays = dealt.mapInArrow(_summed, "shard int, branch int, slots binary, counts binary")
+        dealt = arrays.select("shard", branch.alias("branch"), "seen", "counts", "sums").repartition("shard", "branch").sortWithinPartitions("shard", "branch")
+        arrays = dealt.mapInArrow(_summed, "shard int, branch int, seen binary, counts binary, sums binary")
     return arrays.drop("branch")
 
 
 def _read_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, a of all slots."""
+    """key, a, sum of all slots."""
     for batch in batches:
-        for keys, slots, counts in zip(*(batch.column(c).to_pylist() for c in ("keys", "slots", "counts")), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)[np.frombuffer(slots, "<u4")]), pa.array(np.frombuffer(counts, "<i8"))], names=["key", "a"])
+        for keys, seen, counts, sums in zip(*(batch.column(c).to_pylist() for c in ("keys", "seen", "counts", "sums")), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)[_unpacked(seen)]), pa.array(np.frombuffer(counts, "<i8")), pa.array(np.frombuffer(sums, "<u2").astype(np.int64))], names=["key", "a", "sum"])
+
+
+PARTS = "key bigint, lang string, phrase string, width int, sign bigint, cuts array<struct<k:int,left:bigint,left_sign:bigint,right:bigint,right_sign:bigint>>"
 
 
 def _parts(seed: int):
-    """For each candidate: the keys of both parts of each cut, and of the phrases one word shorter that it contains."""
+    """For each candidate its check, and the keys and checks of both parts of each cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("k", "left", "left_sign", "right", "right_sign")
+        kind = pa.list_(pa.struct([(n, pa.int32() if n == "k" else pa.int64()) for n in names]))
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 16):
                 part = batch.slice(at, 1 << 16)
                 widths = part.column("width").to_numpy()
-                block = Block([p.encode() for p in part.column("phrase").to_pylist()], part.column("lang").to_pylist(), seed)
-                first = np.cumsum(widths) - widths
-                made = {w: block.keys(w)[0].view(np.int64) for w in range(1, max(2, int(widths.max(initial=2))))}
-                cuts = [[(k, int(made[k][f]), int(made[w - k][f + k])) for k in range(1, w)] for f, w in zip(first.tolist(), widths.tolist(), strict=True)]
-                # Words of a phrase that hold a sign of their own would show here: every word is one of the phrase's.
+                block = Block([p.encode() for p in part.column("phrase").to_pylist()], part.column("lang").to_pylist(), seed, True)
                 if len(block.words) != int(widths.sum()):
                     raise ValueError("a phrase does not split into its words")
-                kind = pa.list_(pa.struct([("k", pa.int32()), ("left", pa.int64()), ("right", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "lang", "phrase", "width")), pa.array([[dict(zip(("k", "left", "right"), c, strict=True)) for c in x] for x in cuts], kind)], names=["key", "lang", "phrase", "width", "cuts"])
+                first = np.cumsum(widths) - widths
+                made = {w: (block.keys(w)[0].view(np.int64), block.checks(w)) for w in range(1, int(widths.max()) + 1)}
+                cuts = [[dict(zip(names, (k, made[k][0][f], made[k][1][f], made[w - k][0][f + k], made[w - k][1][f + k]), strict=True)) for k in range(1, w)] for f, w in zip(first.tolist(), widths.tolist(), strict=True)]
+                sign = [int(made[w][1][f]) for f, w in zip(first.tolist(), widths.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "lang", "phrase", "width")), pa.array(sign, pa.int64()), pa.array(cuts, kind)], names=["key", "lang", "phrase", "width", "sign", "cuts"])
 
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, width: int = WIDTH, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(key, lang, phrase, width, a) of all phrases of up to `width` words with a >= least, and (lang, n)."""
+def _scanned(texts: DataFrame, keys: DataFrame, seed: int, widths: range, namers: int, counting: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows of _counted over all rounds of a perfect hash of keys, and the hash."""
+    sc = texts.sparkSession.sparkContext
+    shards = max(1, -(-keys.count() // SHARD))
+    table = perfect_hash(keys, shards)
+    step, found = max(1, ROUND // SHARD), None
+    for low in range(0, shards, step):
+        held = sc.broadcast(PerfectHash(shards, table.where(F.col("shard").between(low, low + step - 1)).collect()))  # ROUND keys at most
+        rows = stored(texts.mapInArrow(_counted(held, seed, widths, namers, BLOCK, BRANCHES, counting, counting and low == 0), COUNTS), "counts")
+        found = rows if found is None else found.unionByName(rows)
+        held.unpersist()
+    return found, table
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, width: int = WIDTH, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, a, sum) of all phrases of up to `width` words that can have a >= least; (key, lang, phrase, width, low, high) of those of two words
+    or more, where low and high differ if a key has two phrases; and (lang, n)."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of("text").alias("text"))
     levels, passed = [], None
@@ -358,54 +405,43 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, width: int = WIDTH, seed:
         levels.append(stored(keys.select("key"), f"level-{w}"))
         if w < width:
             passed = sc.broadcast(_bitmap(levels[-1]))
-    candidates = levels[0]
-    for more in levels[1:]:
-        candidates = candidates.unionByName(more)
-    candidates = stored(candidates.distinct(), "candidates")  # phrases of different widths may share a key
-    many = candidates.count()
-    shards = max(1, -(-many // SHARD))
-    table = perfect_hash(candidates, shards)
-    arrays, named, spoken = [], [], []
-    step = max(1, ROUND // SHARD)
-    for low in range(0, shards, step):
-        rows = table.where(F.col("shard").between(low, low + step - 1)).collect()  # ROUND keys at most
-        held = sc.broadcast(PerfectHash(shards, rows))
-        found = stored(texts.mapInArrow(_counted(held, seed, width, low == 0, BLOCK, BRANCHES), COUNTS), "counts")
-        arrays.append(found.where("slots is not null").select("shard", "branch", "slots", "counts"))
-        named.append(found.where("phrase is not null").select("key", "lang", "phrase", "width"))
-        spoken.append(found.where("words is not null").select("lang", "words"))
-    for parts in (arrays, named, spoken):
-        for more in parts[1:]:
-            parts[0] = parts[0].unionByName(more)
-    counts = tree_sum(arrays[0]).join(table.select("shard", "keys").hint("merge"), "shard").mapInArrow(_read_slots, "key bigint, a bigint")
-    names = named[0].groupBy("key").agg(F.min(F.struct("width", "lang", "phrase")).alias("low"), F.max(F.struct("width", "lang", "phrase")).alias("high"))
-    whole = stored(names.join(counts.hint("merge"), "key").select("key", "low", "high", "a"), "phrases")
-    if not whole.where("low <> high").isEmpty():
-        return phrase_counts(docs, least, width, seed + 1)
-    phrases = whole.select("key", "low.lang", "low.phrase", "low.width", "a").where(F.col("a") >= least)
-    return phrases.withColumn("seed", F.lit(seed)), spoken[0].groupBy("lang").agg(F.sum("words").alias("n"))
-
-
-def collocations(docs: DataFrame, least: int = LEAST, width: int = WIDTH, top: int = TOP, share: int = SHARE) -> DataFrame:
+    longer = levels[1]
+    for more in levels[2:]:
+        longer = longer.unionByName(more)
+    candidates = stored(longer.unionByName(levels[0]).distinct(), "candidates")  # phrases of different widths may share a key
+    found, table = _scanned(texts, candidates, seed, range(1, width + 1), NAMERS, True)
+    arrays = found.where("seen is not null").select("shard", "branch", "seen", "counts", "sums")
+    counts = stored(tree_sum(arrays).join(table.select("shard", "keys").hint("merge"), "shard").mapInArrow(_read_slots, "key bigint, a bigint, sum bigint"), "slots")
+    named = found.where("phrase is not null").select("key", "lang", "phrase", "width")
+    unnamed = stored(longer.join(named.select("key").distinct().hint("merge"), "key", "left_anti").distinct(), "unnamed")
+    rest, _ = _scanned(texts, unnamed, seed, range(2, width + 1), 1, False)
+    named = named.unionByName(rest.where("phrase is not null").select("key", "lang", "phrase", "width")).withColumn("mark", F.xxhash64("lang", "phrase"))
+    names = named.groupBy("key").agg(F.first(F.struct("lang", "phrase", "width")).alias("name"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    return counts, stored(names.select("key", "name.*", "low", "high"), "names"), found.where("words is not null").groupBy("lang").agg(F.sum("words").alias("n"))
+
+
+def collocations(docs: DataFrame, least: int = LEAST, width: int = WIDTH, top: int = TOP, share: int = SHARE, seed: int = 0) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `top` candidates of each language that no longer one holds share % of the time."""
     if width not in (2, 3):
         raise ValueError("phrases of 2 or 3 words")
-    phrases, words = phrase_counts(docs, least, width)
-    seed = (phrases.select("seed").first() or [0])[0]
-    counts = phrases.select("key", "a")
-    wide = stored(phrases.where("width > 1").select("key", "lang", "phrase", "width", "a"), "wide")
-    cuts = stored(wide.drop("a").mapInArrow(_parts(seed), "key bigint, lang string, phrase string, width int, cuts array<struct<k:int,left:bigint,right:bigint>>"), "cuts")
-    sides = cuts.select("key", "width", F.explode("cuts").alias("c")).select("key", "width", "c.k", "c.left", "c.right")
-    ends = sides.select("key", "width", "k", F.lit(True).alias("is_left"), F.col("left").alias("part")).unionByName(sides.select("key", "width", "k", F.lit(False).alias("is_left"), F.col("right").alias("part")))
-    known = counts.select(F.col("key").alias("part"), F.col("a").alias("f"))
-    read = stored(ends.join(known.hint("merge"), "part"), "cut-counts")
-    cut = read.groupBy("key", "k").agg(F.max(F.when(F.col("is_left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("is_left"), F.col("f"))).alias("r"))
-    # A candidate that a longer one, its first or last words left out, holds often enough goes.
-    longer = read.where("(is_left and k = width - 1) or (not is_left and k = 1)").where("width > 2").select("key", F.col("part").alias("inner"), F.col("f").alias("inner_a"))
-    longer = longer.join(counts.hint("merge"), "key").where(F.lit(100) * F.col("a") >= F.lit(share) * F.col("inner_a")).select(F.col("inner").alias("key")).distinct()
-    scored = cut.join(wide.hint("merge"), "key").join(longer.hint("merge"), "key", "left_anti")
+    counts, names, words = phrase_counts(docs, least, width, seed)
+    wide = names.mapInArrow(_parts(seed), PARTS).join(counts.hint("merge"), "key")
+    wide = stored(wide.withColumn("wrong", (F.col("a") * F.col("sign")).bitwiseAND(F.lit(0xFFFF)) != F.col("sum")), "wide")
+    sides = wide.where(F.col("a") >= least).select("key", "lang", "phrase", "width", "a", F.explode("cuts").alias("c"))
+    end = lambda side: F.struct(F.lit(side == "left").alias("is_left"), F.col(f"c.{side}").alias("part"), F.col(f"c.{side}_sign").alias("part_sign"))
+    ends = sides.select("key", "lang", "phrase", "width", "a", "c.k", F.explode(F.array(end("left"), end("right"))).alias("e")).select("*", "e.*").drop("e")
+    known = counts.select(F.col("key").alias("part"), F.col("a").alias("f"), F.col("sum").alias("part_sum"))
+    read = ends.join(known.hint("merge"), "part")
+    read = stored(read.withColumn("wrong", (F.col("f") * F.col("part_sign")).bitwiseAND(F.lit(0xFFFF)) != F.col("part_sum")), "cut-counts")
+    if not names.where("low <> high").isEmpty() or not wide.where("wrong").isEmpty() or not read.where("wrong").isEmpty():
+        return collocations(docs, least, width, top, share, seed + 1)
+    # A candidate that a longer one, its first or last word left out, holds often enough goes.
+    inner = (F.col("width") > 2) & F.when(F.col("is_left"), F.col("k") == F.col("width") - 1).otherwise(F.col("k") == 1)
+    longer = read.where(inner & (F.lit(100) * F.col("a") >= F.lit(share) * F.col("f"))).select(F.col("part").alias("key")).distinct()
+    # The rows of a phrase hold both ends of its cuts.
+    cut = read.groupBy("key", "k").agg(*[F.first(c).alias(c) for c in ("lang", "phrase", "a")], F.max(F.when(F.col("is_left"), F.col("f"))).alias("l"), F.max(F.when(~F.col("is_left"), F.col("f"))).alias("r"))
     score = F.expr("(cast(1000000 as decimal(7,0)) * (cast(a as decimal(15,0)) * cast(a as decimal(15,0)))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    best = scored.withColumn("score", score).groupBy("key", "lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
+    best = cut.join(longer.hint("merge"), "key", "left_anti").withColumn("score", score).groupBy("key", "lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
     order = [F.col("best.score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     salted = Window.partitionBy("lang", F.pmod(F.col("key"), F.lit(16))).orderBy(*order)
     best = best.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= top)

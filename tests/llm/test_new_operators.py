@@ -113,7 +113,6 @@ def plain_near(a, b, k=128):
 
 def test_edited_and_sketches(spark, docs, rows, none, monkeypatch):
     monkeypatch.setattr(fingerprints, "PART", 7)
-    monkeypatch.setattr(fingerprints, "CHUNK", 2)
     hashes = {r["text"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("h")).collect()}
     many = rows + [(500, "five words are enough here now", "s1")] * 7
     more = brute.docs_frame(spark, many).repartition(3)
@@ -230,7 +229,7 @@ def test_two_phrases_of_one_key_start_anew(spark, monkeypatch):
     given = [("en", "a b. " * 12), ("de", "a b. " * 15)]
     df = spark.createDataFrame(given, "lang string, text string").coalesce(1)
     got = sorted(tuple(r) for r in collocations.collocations(df).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
-    assert got == plain_collocations(given) and seeds == [0, 1]
+    assert got == plain_collocations(given) and sorted(set(seeds)) == [0, 1]
 
 
 def test_empty_table(spark):
