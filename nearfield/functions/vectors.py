@@ -6,6 +6,7 @@ Arithmetic is in double whatever the element type. Lengths that differ raise an
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 METRICS = ("cosine", "dot", "euclidean")
 WORD_BITS = 64
+#: Words of a code that are compared in one expression without a loop; longer codes take the loop.
+UNROLLED = 64
 
 
 def vector_literal(values: Sequence[float]) -> Column:
@@ -67,8 +70,12 @@ def code_bits(code: Column, dimension: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: bit(i).cast("string")), "")
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Bits in which two codes differ; all bits of all words count."""
+def hamming(a: Column, b: Column, words: int | None = None) -> Column:
+    """Bits in which two codes differ; all bits of all words count. words, if known: their number, which spares the loop over arrays."""
+    if words and words <= UNROLLED:
+        total = reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))).cast("int") for i in range(words)])
+        wrong = F.concat(F.lit(f"codes of {words} words are due, not of "), F.size(a).cast("string"), F.lit(" and "), F.size(b).cast("string"))
+        return F.when((F.size(a) == words) & (F.size(b) == words), total).otherwise(F.raise_error(wrong))
     return _paired(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"), F.lit(0))
 
 

@@ -14,6 +14,7 @@ cells and each query once for every line, a task works on one cell as above, and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from types import SimpleNamespace
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from nearfield.functions.vectors import best_first, hamming, score, vector_literal
 from nearfield.operators.kmeans import PAIRS, code_literal
@@ -51,7 +53,14 @@ def ranked(results: DataFrame, metric: str, *after: str) -> DataFrame:
 
 
 def search_exact(table: VectorTable, plan: SearchPlan, k: int, where: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """All rows by their scores. Rows of a table in files pass through numpy first, which leaves those of each partition that may be among its k best;
+    these few are scored as the rows of other tables are, so both give the same results."""
     rows = table.rows if where is None else table.rows.where(where)
+    if table.path is not None:
+        rows, number = rows.select("id", "row_index", "vector", *keep), f"q_{uuid.uuid4().hex}"
+        asked = np.array([plan.query], np.float64)
+        schema = StructType([StructField(number, IntegerType()), *rows.schema.fields])
+        rows = rows.mapInArrow(_shortlist(asked, plan.scoring, k, None, number), schema)
     return top(rows.select("id", score(F.col("vector"), vector_literal(plan.query), plan.scoring).alias("score"), "row_index", *keep), k, plan.metric)
 
 
@@ -60,7 +69,7 @@ def hamming_candidates(table: VectorTable, plan: SearchPlan, where: Column | Non
     codes = table.codes if where is None else table.rows.where(where)
     if plan.clusters is not None:
         codes = codes.where(F.col("cluster_id").isin(plan.clusters))
-    scored = codes.select("row_index", hamming(F.col("vector_bin"), code_literal(plan.code)).alias("hamming"))
+    scored = codes.select("row_index", hamming(F.col("vector_bin"), code_literal(plan.code), len(plan.code)).alias("hamming"))
     return scored.orderBy("hamming", "row_index").limit(plan.pool)
 
 
@@ -142,8 +151,8 @@ def post_filtered(table: VectorTable, query: Sequence[float], top_k: int, predic
     return wide.where(predicate).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def _shortlist(queries: np.ndarray, metric: str, k: int, skip: list[str] | None):
-    """Of a partition's rows, those that may be among the k best of each query; skip: an id for each query to leave out."""
+def _shortlist(queries: np.ndarray, metric: str, k: int, skip: list[str] | None, number: str = "q"):
+    """Of a partition's rows, those that may be among the k best of each query, with its number; skip: an id for each query to leave out."""
     lengths = np.sqrt((queries**2).sum(1))
 
     def scores(v: np.ndarray) -> np.ndarray:
@@ -188,7 +197,7 @@ def _shortlist(queries: np.ndarray, metric: str, k: int, skip: list[str] | None)
             keep = s >= best[0][q] - 1e-12 * size
             if keep.any():
                 chosen = batch.take(pa.array(row[keep]))
-                yield pa.RecordBatch.from_arrays([pa.array(q[keep], pa.int32()), *(chosen.column(c) for c in ("id", "row_index", "vector"))], names=["q", "id", "row_index", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep], pa.int32()), *chosen.columns], names=[number, *chosen.schema.names])
 
     return run
 

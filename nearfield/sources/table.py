@@ -199,16 +199,19 @@ def write_stream(df: DataFrame, path: str, dimension: int, *, id_col: str = "id"
     records = df.select(id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *[F.col(c).alias(f) for c, f in kept.items()])
     rows, folder, n = numbered(records, "row_index")
     rows = rows.select("row_index", "id", "vector", *[F.col(f).alias(c) for c, f in kept.items()], *([sign_code(F.col("vector"), dimension).alias("vector_bin")] if binary else []))
-    return _write(VectorTable(rows.sortWithinPartitions("row_index"), Meta(dimension, metric, normalize, binary, 0), numbered_in=folder, expected=n), path, mode=mode, **options)
+    return save(VectorTable(rows.sortWithinPartitions("row_index"), Meta(dimension, metric, normalize, binary, 0), numbered_in=folder, expected=n), path, mode=mode, **options)
 
 
 def write_vectors(df: DataFrame, path: str, dimension: int, *, codec: str = "uncompressed", page_size: int | None = None, row_group_bytes: int | None = None, encodings: dict[str, bool] | None = None, mode: str = "errorifexists", **options) -> VectorTable:
     """Build a table (see build) and write it; returns it opened from its files."""
-    return _write(build(df, dimension, **options), path, codec=codec, page_size=page_size, row_group_bytes=row_group_bytes, encodings=encodings, mode=mode)
+    return save(build(df, dimension, **options), path, codec=codec, page_size=page_size, row_group_bytes=row_group_bytes, encodings=encodings, mode=mode)
 
 
-def _write(table: VectorTable, path: str, *, codec: str = "uncompressed", page_size: int | None = None, row_group_bytes: int | None = None, encodings: dict[str, bool] | None = None, mode: str = "errorifexists") -> VectorTable:
-    """encodings: for a column, if it may be written with a dictionary; vectors and codes are not, unless asked for."""
+def save(table: VectorTable, path: str, *, codec: str = "uncompressed", page_size: int | None = None, row_group_bytes: int | None = None, encodings: dict[str, bool] | None = None, mode: str = "errorifexists") -> VectorTable:
+    """Write a built table; returns it opened from its files.
+
+    encodings: for a column, if it may be written with a dictionary; vectors and codes are not, unless asked for.
+    """
     spark = table.rows.sparkSession
     rows = table.rows.withColumn("vector", F.col("vector").alias("vector", metadata=dict(table.meta.__dict__)))
     leaves = {"vector": "vector.list.element", "vector_bin": "vector_bin.list.element"}
@@ -287,4 +290,4 @@ def union_tables(tables: list[VectorTable]) -> DataFrame:
     return reduce(DataFrame.unionByName, [t.rows.select("row_index", "id", "vector").withColumn("source_index", F.lit(i)) for i, t in enumerate(tables)])
 
 
-__all__ = ["Meta", "VectorTable", "auto_codes", "build", "check_options", "checked_vector", "clusters_frame", "code_literal", "from_rows", "numbered", "open_table", "prefetch_codes", "read_vectors", "union_tables", "write_vectors"]
+__all__ = ["Meta", "VectorTable", "auto_codes", "build", "check_options", "checked_vector", "clusters_frame", "code_literal", "from_rows", "numbered", "open_table", "prefetch_codes", "read_vectors", "save", "union_tables", "write_stream", "write_vectors"]

@@ -11,7 +11,8 @@ from nearfield.plans import evaluate
 from nearfield.plans.planner import code_of, plan_search
 from nearfield.sources import ingest, table
 from nearfield.sources.inspect import inspect, main
-from nearfield.sources.scratch import scratch
+from nearfield.sources.scratch import remove, scratch
+from nearfield.streaming import append
 from nearfield.streaming.append import append_batches, open_batches
 from tests.helpers import frame, ids, make_vectors, nearest
 
@@ -486,3 +487,82 @@ def test_candidates_of_many_tables_come_from_one_job(spark):
         jobs.append(len(tracker.getJobIdsForGroup(group)))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_exact_search_of_files_equals_that_of_rows(spark, metric):
+    """Rows pass through numpy first there; scores, ties, filters and kept columns of any name are the same."""
+    rows = make_vectors(300, 20, 5)
+    rows += [(300 + i, f"copy-{i}", rows[7][2]) for i in range(30)] + [(330, "zero", [0.0] * 20)]
+    df = frame(spark, rows).withColumn("q", F.col("n") % 3).withColumnRenamed("n", "row")
+    t = table.write_vectors(df, scratch(spark, "exact"), 20, order_by=("row",), metric=metric, normalize=False, keep=("q",))
+    plain = table.from_rows(t.rows, 20, metric)
+    for where, k in ((None, 10), (F.col("q") == 1, 40), (F.col("q") == 9, 5), (None, 1000)):
+        got = search(t, rows[7][2], k, algorithm="exact", where=where, keep=("q",)).collect()
+        assert got == search(plain, rows[7][2], k, algorithm="exact", where=where, keep=("q",)).collect()
+        assert len(got) == min(k, t.rows.where(where if where is not None else F.lit(True)).count())
+    from nearfield.operators.search import search_exact
+
+    plan = search_exact(t, plan_search(t, rows[7][2]), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+def test_unrolled_hamming(spark):
+    df = spark.createDataFrame([([5, -1, 0], [3, 1, -(1 << 63)]), ([0, 0, 0], [0, 0, 0])], "a array<bigint>, b array<bigint>")
+    got = df.select(V.hamming(F.col("a"), F.col("b"), 3).alias("x"), V.hamming(F.col("a"), F.col("b")).alias("y")).collect()
+    assert [r["x"] for r in got] == [r["y"] for r in got] == [2 + 63 + 1, 0]
+    with pytest.raises(Exception, match="words are due"):
+        df.select(V.hamming(F.col("a"), F.slice("b", 1, 2), 3)).collect()
+
+
+def test_compaction(spark):
+    """Tiers, order, kept columns, meta, replayed and half-written batches, two compactions at once, and what vacuum deletes."""
+    path, rows = scratch(spark, "tiers"), make_vectors(130, 16, 9)
+    q = rows[64][2]
+    for b in range(13):
+        batch = frame(spark, rows[b * 10 : b * 10 + 10]).withColumn("part", F.col("n") + 100)
+        append.append_batch(batch.drop("part") if b == 4 else batch, path, b + (b > 5), 16, narrow=True, binary=b < 3, keep=() if b == 4 else ("part",))  # no batch 6
+    before = search(append.open_batches(spark, path), q, 12, algorithm="exact").select("rank", "id", "score").collect()
+    live = append.compact(spark, path, fan_in=3)
+    assert [(t.tier, t.first, t.last) for t in live] == [(2, 0, 9), (1, 10, 12), (0, 13, 13)]
+    tables = append.open_batches(spark, path)
+    assert tables[0].meta.normalized and tables[0].meta.binary and not tables[1].meta.binary
+    assert [r["id"] for r in tables[0].rows.orderBy("row_index").collect()] == [f"vec-{i}" for i in range(90)]
+    assert [r["row_index"] for r in tables[0].rows.orderBy("row_index").collect()] == list(range(90))
+    assert [r["part"] for r in tables[0].rows.orderBy("row_index").collect()] == [None if 40 <= i < 50 else i + 100 for i in range(90)]
+    after = search(tables, q, 12, algorithm="exact")
+    assert after.select("rank", "id", "score").collect() == before
+    assert append.compact(spark, path, fan_in=3) == live  # nothing left to merge
+    with pytest.raises(Exception, match="exist"):
+        append._commit(spark, path, append._manifest(spark, path)[0], live)  # a number is taken once
+    append.append_batch(frame(spark, rows[:10]), path, 0, 16)  # run again after it was merged
+    table.write_stream(frame(spark, rows[:10]), f"{path}/batch-00000014", 16)
+    remove(spark, f"{path}/batch-00000014/clusters")  # not yet ended
+    assert append.live_tables(spark, path) == live
+    assert after.select("rank", "id", "score").collect() == before  # opened before: still there
+    gone = append.vacuum(spark, path)
+    assert len(gone) == 12 + 3 and "batch-00000014" not in gone and "batch-00000013" not in gone
+    assert search(append.open_batches(spark, path), q, 12, algorithm="exact").select("rank", "id", "score").collect() == before
+    with pytest.raises(ValueError, match="fan_in"):
+        append.compact(spark, path, fan_in=1)
+
+
+def test_compaction_clusters_what_had_clusters(spark):
+    path, rows = scratch(spark, "tiers"), make_vectors(60, 16, 2)
+    for b in range(2):
+        append.append_batch(frame(spark, rows[b * 30 : b * 30 + 30]), path, b, 16, order_by=("n",), clusters=3)
+    append.compact(spark, path, fan_in=2, clusters=4)
+    (t,) = append.open_batches(spark, path)
+    assert t.meta.clusters > 1 and sum(t.counts) == 60
+    assert ids(search(t, rows[41][2], 3, probe=1.0))[0] == "vec-41"
+
+
+def test_stream_compacts_as_it_goes(spark):
+    source, index = scratch(spark, "stream-in"), scratch(spark, "stream-out")
+    rows = make_vectors(40, 8, 3)
+    for at in range(0, 40, 10):
+        frame(spark, rows[at : at + 10]).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("n bigint, id string, vector array<float>").option("maxFilesPerTrigger", 1).parquet(source)
+    append_batches(stream, index, 8, scratch(spark, "stream-state"), fan_in=2, narrow=True).awaitTermination()
+    assert [(t.tier, t.first, t.last) for t in append.live_tables(spark, index)] == [(2, 0, 3)]
+    assert ids(search(append.open_batches(spark, index), rows[31][2], 3))[0] == "vec-31"
