@@ -5,13 +5,17 @@ Arithmetic is in double whatever the element type. Lengths that differ raise an
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 METRICS = ("cosine", "dot", "euclidean")
 WORD_BITS = 64
@@ -64,6 +68,29 @@ def sign_code(v: Column, dimension: int) -> Column:
     return F.array(*[word(at) for at in range(0, dimension, WORD_BITS)])
 
 
+def with_codes(df: DataFrame, dimension: int, vector: str = "vector", code: str = "vector_bin") -> DataFrame:
+    """df with the sign codes of its vectors, which must have dimension elements each: whole batches of Arrow at once, the same bits as sign_code.
+
+    Where a column has a type that Arrow does not carry, sign_code does it.
+    """
+    try:
+        to_arrow_schema(df.schema)
+    except (PySparkException, TypeError):
+        return df.withColumn(code, sign_code(F.col(vector), dimension))
+    words = -(-dimension // WORD_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dimension)
+            bits = np.zeros((batch.num_rows, words * WORD_BITS), bool)
+            np.greater_equal(v, 0, out=bits[:, :dimension])  # false for NaN
+            packed = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * words), pa.array(packed))
+            yield pa.RecordBatch.from_arrays([*batch.columns, codes], names=[*batch.schema.names, code])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(code, ArrayType(LongType()))]))
+
+
 def code_bits(code: Column, dimension: int) -> Column:
     """A code as a string of 0 and 1, element 0 first."""
     bit = lambda i: F.call_function("shiftright", F.get(code, (i / WORD_BITS).cast("int")), i % WORD_BITS).bitwiseAND(F.lit(1).cast("bigint"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from nearfield.operators.kmeans import distance
 from nearfield.sources.scratch import scratch
 
 DEFAULT_PROBE, PROBE_CAP, GAP = 0.25, 48, 64
+#: Row numbers of a block of a range join, and blocks in which a large pool of rows is looked for.
+BLOCK_ROWS, BLOCKS = 1 << 15, 4096
 
 
 def probe_count(clusters: int, probe: float | None = None) -> int:
@@ -61,6 +65,36 @@ def coalesce_runs(rows: DataFrame, gap: int = GAP, *keys: str) -> DataFrame:
     return merge_ranges(reaching, *keys).withColumn("row_end", F.col("row_end") - gap)
 
 
+def range_join(rows: DataFrame, ranges: DataFrame, *keys: str, row: str = "row_index", width: int = BLOCK_ROWS) -> DataFrame:
+    """Each row with each half-open [row_start, row_end) that holds it, and all columns of both but the ranges' keys. keys: only ranges of equal keys.
+
+    Both sides meet by an equi-join on blocks of `width` row numbers, never all ranges with all rows: a range stands in each block that it touches,
+    so at most two copies more than its rows fill whole blocks, and a pair meets in one block alone. Empty ranges and nulls hold no row.
+    """
+    if width < 1:
+        raise ValueError(f"invalid width: {width}")
+    own, block, number = [f"{c}_{uuid.uuid4().hex}" for c in keys], f"block_{uuid.uuid4().hex}", f"number_{uuid.uuid4().hex}"
+    at = lambda c: F.floor(c / F.lit(width)).cast("bigint") if width & (width - 1) else F.call_function("shiftright", c, F.lit(width.bit_length() - 1))
+    others = [c for c in ranges.columns if c not in keys]
+    whole = ranges.where(F.col("row_start") < F.col("row_end"))
+    first, last = at(F.col("row_start").cast("bigint")), at(F.col("row_end").cast("bigint") - 1)
+    dealt = whole.select(*[F.col(c).alias(n) for c, n in zip(keys, own, strict=True)], *others, F.explode(F.sequence(first, last)).alias(block))
+    numbered = rows.withColumn(number, at(F.col(row).cast("bigint")))
+    meet = [numbered[number] == dealt[block], *[numbered[c] == dealt[n] for c, n in zip(keys, own, strict=True)]]
+    held = (numbered[row] >= dealt["row_start"]) & (numbered[row] < dealt["row_end"])
+    return numbered.join(dealt, reduce(lambda a, b: a & b, [*meet, held])).drop(block, number, *own)
+
+
+def block_ranges(chosen: DataFrame, low: int, high: int, most: int, gap: int = 0) -> list[tuple[int, int]]:
+    """At most `most` half-open ranges that hold all row_index of chosen, which lie in low..high. BLOCKS numbers at most come to the driver,
+    however many rows are chosen."""
+    width = -(-(high - low + 1) // BLOCKS)
+    hit = [r["block"] for r in chosen.select(F.floor((F.col("row_index") - low) / width).cast("bigint").alias("block")).distinct().collect()]
+    while len(runs := runs_of(hit, gap)) > most:
+        gap = max(1, 2 * gap)
+    return [(low + a * width, min(high + 1, low + b * width)) for a, b in runs]
+
+
 def runs_of(rows: list[int], gap: int = GAP) -> list[tuple[int, int]]:
     """The same for the few rows of one search, on the driver."""
     out: list[tuple[int, int]] = []

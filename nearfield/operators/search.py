@@ -27,8 +27,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from nearfield.functions.vectors import best_first, hamming, score, vector_literal
 from nearfield.operators.kmeans import PAIRS, code_literal
-from nearfield.operators.ranges import GAP, runs_of
+from nearfield.operators.ranges import GAP, block_ranges, runs_of
 from nearfield.plans.planner import RERANK, TOP_K, SearchPlan, plan_search
+from nearfield.sources.scratch import scratch
 from nearfield.sources.table import VectorTable
 
 BLOCK = 2048
@@ -36,10 +37,12 @@ BLOCK = 2048
 CELL_QUERIES, CELL_ROWS = 8192, 1 << 15
 #: Bits of a row number beside a distance in one key.
 ROW_BITS = 44
-#: Pools up to this many rows come to the driver to be turned into row ranges; larger ones are joined.
+#: Pools up to this many rows come to the driver to be turned into row ranges; larger ones are joined within the blocks that they touch.
 DRIVER_POOL = 10_000
 #: Row ranges that a filter names at most; nearer ones become one.
 SPANS = 256
+#: Blocks between those of a large pool that are read along.
+GAP_BLOCKS = 1
 
 
 def top(scored: DataFrame, k: int, metric: str) -> DataFrame:
@@ -78,7 +81,24 @@ def _spans(rows: list[int], coalesce: bool = True) -> Column:
     gap = GAP if coalesce else 0
     while len(runs := runs_of(rows, gap)) > SPANS:
         gap = max(1, 2 * gap)
-    return reduce(lambda x, y: x | y, [F.col("row_index").between(a, b - 1) for a, b in runs], F.lit(False)) & F.col("row_index").isin(rows)
+    # One text each: thousands of literals sent one by one cost more than the search itself.
+    return _within(runs) & F.expr(f"row_index in ({', '.join(map(str, rows))})") if runs else F.lit(False)
+
+
+def _within(runs: list[tuple[int, int]]) -> Column:
+    """A filter for half-open ranges of row numbers."""
+    return F.expr(" or ".join(f"(row_index >= {a} and row_index <= {b - 1})" for a, b in runs))
+
+
+def _in_pool(rows: DataFrame, pool: DataFrame, gap: int) -> DataFrame:
+    """Rows of a pool of any size: Parquet skips what lies outside of the blocks that it touches, and a semi-join does the rest."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "pool")
+    pool.write.parquet(path)
+    chosen = spark.read.schema(pool.schema).parquet(path)
+    low, high = chosen.agg(F.min("row_index"), F.max("row_index")).first()
+    if low is None:
+        return rows.where(F.lit(False))
+    return rows.where(_within(block_ranges(chosen, low, high, SPANS, gap))).join(chosen, "row_index", "left_semi")
 
 
 def search_rerank(
@@ -87,16 +107,19 @@ def search_rerank(
     """Candidates by codes, scores by floats.
 
     lazy: one plan with a semi-join. Otherwise the row numbers of the candidates (at most DRIVER_POOL; `wanted` if they are known) come to the driver
-    first, and ids and vectors are read by ranges of row numbers; coalesce joins ranges that lie near each other.
+    first, and ids and vectors are read by ranges of row numbers; coalesce joins ranges that lie near each other. A larger pool is written to
+    the shared folder and joined there, within the ranges of the blocks of row numbers that it touches.
     late_ids: ids are read in a third step, for the k winners alone.
     """
     rows = table.rows
     if plan.clusters is not None:
         rows = rows.where(F.col("cluster_id").isin(plan.clusters))
     within = rows
-    if wanted is None and (lazy or plan.pool > DRIVER_POOL):
+    if wanted is None and lazy:
         chosen = hamming_candidates(table, plan, where).select("row_index")
         rows = rows.join(F.broadcast(chosen) if plan.pool <= DRIVER_POOL else chosen, "row_index", "left_semi")
+    elif wanted is None and plan.pool > DRIVER_POOL:
+        rows = _in_pool(rows, hamming_candidates(table, plan, where).select("row_index"), GAP_BLOCKS if coalesce else 0)
     else:
         wanted = [r["row_index"] for r in hamming_candidates(table, plan, where).collect()] if wanted is None else wanted
         rows = rows.where(_spans(wanted, coalesce))
@@ -134,7 +157,7 @@ def search(
         for r in reduce(DataFrame.unionByName, parts).collect():
             wanted[r["source"]].append(r["row_index"])
     each = [
-        search_exact(t, p, top_k, where, keep) if p.exact else search_rerank(t, p, top_k, where, keep, i not in wanted, wanted.get(i), coalesce, late_ids)
+        search_exact(t, p, top_k, where, keep) if p.exact else search_rerank(t, p, top_k, where, keep, not (i in wanted or (i in eager and p.pool > DRIVER_POOL)), wanted.get(i), coalesce, late_ids)
         for i, (t, p) in enumerate(zip(tables, plans, strict=True))
     ]
     if len(tables) == 1:

@@ -20,6 +20,7 @@ from nearfield.sources import ingest, table
 from nearfield.sources.inspect import inspect
 from nearfield.sources.scratch import scratch
 from nearfield.sources.table import VectorTable
+from nearfield.streaming import append
 
 DIM, K, PLACES = 64, 10, 6
 CLUSTERS, CLUSTER_SEED = 8, 1
@@ -758,6 +759,48 @@ def probe_sweep(spark, d):
     return found.select((F.col("probe") * CLUSTERS).cast("int").alias("probed"), F.round("recall", PLACES).alias("recall"))
 
 
+@query("select s_suppkey, count(*) as n, sum(label)::bigint as labels from supplier join embeddings on vec_id >= s_suppkey and vec_id < s_suppkey + 4 * s_nationkey group by s_suppkey")
+def range_join(spark, d):
+    """Rows of one row range for each supplier."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    given = s.select("s_suppkey", F.col("s_suppkey").cast("bigint").alias("row_start"), (F.col("s_suppkey") + 4 * F.col("s_nationkey")).cast("bigint").alias("row_end"))
+    return ranges.range_join(_rows(spark, d).select("row_index", "label"), given, width=256).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("labels"))
+
+
+@query(f"with {_Q0} {_ranked(_scored('cosine'))}")
+def knn_rerank_large_pool(spark, d):
+    """A pool too large for the driver, on a table in files: here all rows, so the exact result."""
+    path, q = scratch(spark, "large-pool"), _vector(spark, d, 0)
+    n = _rows(spark, d).count()
+    t = table.write_vectors(_rows(spark, d).withColumn("n", F.col("row_index")), path, DIM, order_by=("n",), normalize=False, binary=True)
+    return _shown(search.search(t, q, K, rerank_factor=max(n, 10_001) / K))
+
+
+#: Batches of compacted_search, and neighbours of a tier that become one table.
+BATCHES, FAN_IN = 9, 3
+
+
+@query(
+    f"with {_Q0}, s as (select * exclude (row_index) from (select vec_id::varchar as id, {_SCORES['cosine']} as score, vec_id % {BATCHES} as batch, vec_id as row_index from embeddings, q)), "
+    f"r as (select (row_number() over (order by score desc, batch, id::bigint))::int as rank, id, round(score, {PLACES}) as score from s qualify rank <= {K}) "
+    f"select step, tables, rank, id, score from r, (values ('appended', {BATCHES}), ('compacted', 1), ('vacuumed', 1)) as v(step, tables)"
+)
+def compacted_search(spark, d):
+    """The same search over all rows, appended in batches, then merged in tiers, then without the replaced files."""
+    path, rows, q = scratch(spark, "batches"), _rows(spark, d), _vector(spark, d, 0)
+    for b in range(BATCHES):
+        append.append_batch(rows.where(F.col("row_index") % BATCHES == b).coalesce(1).sortWithinPartitions("row_index"), path, b, DIM, narrow=True, normalize=False)
+    out = []
+    for step, change in (("appended", lambda: None), ("compacted", lambda: append.compact(spark, path, fan_in=FAN_IN)), ("vacuumed", lambda: append.vacuum(spark, path))):
+        change()
+        tables = append.open_batches(spark, path)
+        found = search.search(tables, q, K, algorithm="exact").select("rank", "id", F.round("score", PLACES).alias("score"))
+        kept = scratch(spark, "found")
+        found.select(F.lit(step).alias("step"), F.lit(len(tables)).alias("tables"), "*").write.parquet(kept)  # vacuum deletes what it reads
+        out.append(spark.read.parquet(kept))
+    return reduce(DataFrame.unionByName, out)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.search(_table(_rows(spark, d)), _vector(spark, d, 0), K))
 

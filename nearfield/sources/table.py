@@ -24,7 +24,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.vectors import check_metric, id_string, l2_normalize, sign_code
+from nearfield.functions.vectors import check_metric, id_string, l2_normalize, with_codes
 from nearfield.operators.kmeans import ITERATIONS, SEED, binary_kmeans, code_literal, reorder
 from nearfield.sources.scratch import remove, scratch
 
@@ -155,7 +155,7 @@ def build(
     base = base.select(F.col(at).alias("ordinal"), id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *[F.col(c).alias(f) for c, f in kept.items()])
     codes, k = auto_codes(n, binary, clusters)
     if codes:
-        base = base.withColumn("vector_bin", sign_code(F.col("vector"), dimension))
+        base = with_codes(base, dimension)
     back = [F.col(f).alias(c) for c, f in kept.items()]
     meta, source = Meta(dimension, metric, normalize, codes, 0), {"numbered_in": folder, "expected": n}
     if not k:
@@ -198,7 +198,9 @@ def write_stream(df: DataFrame, path: str, dimension: int, *, id_col: str = "id"
     vector = checked_vector(F.col(vector_col), F.col(id_col), dimension, normalize)
     records = df.select(id_string(F.col(id_col), kinds[id_col]).alias("id"), vector.alias("vector"), *[F.col(c).alias(f) for c, f in kept.items()])
     rows, folder, n = numbered(records, "row_index")
-    rows = rows.select("row_index", "id", "vector", *[F.col(f).alias(c) for c, f in kept.items()], *([sign_code(F.col("vector"), dimension).alias("vector_bin")] if binary else []))
+    if binary:
+        rows = with_codes(rows, dimension)
+    rows = rows.select("row_index", "id", "vector", *[F.col(f).alias(c) for c, f in kept.items()], *(["vector_bin"] if binary else []))
     return save(VectorTable(rows.sortWithinPartitions("row_index"), Meta(dimension, metric, normalize, binary, 0), numbered_in=folder, expected=n), path, mode=mode, **options)
 
 

@@ -566,3 +566,58 @@ def test_stream_compacts_as_it_goes(spark):
     append_batches(stream, index, 8, scratch(spark, "stream-state"), fan_in=2, narrow=True).awaitTermination()
     assert [(t.tier, t.first, t.last) for t in append.live_tables(spark, index)] == [(2, 0, 3)]
     assert ids(search(append.open_batches(spark, index), rows[31][2], 3))[0] == "vec-31"
+
+
+@pytest.mark.parametrize("width", [1, 7, 8, 1000])
+def test_range_join(spark, width):
+    """Ranges that overlap, repeat, are empty or null or lie across blocks; rows without a number; keys, and columns of equal names as keys only."""
+    rng = np.random.default_rng(width)
+    rows = [(int(rng.integers(-30, 200)), "ab"[i % 2], i) for i in range(120)] + [(None, "a", 900), (5, None, 901)]
+    spans = [(int(a), int(a + rng.integers(-3, 60)), "ab"[i % 2], i) for i, a in enumerate(rng.integers(-40, 200, 60))] + [(None, 5, "a", 80), (0, None, "a", 81), (-40, 220, "b", 82), (-40, 220, "b", 82)]
+    left = spark.createDataFrame(rows, "row_index bigint, k string, x int")
+    right = spark.createDataFrame(spans, "row_start bigint, row_end bigint, k string, y int")
+    joined = ranges.range_join(left, right, "k", width=width)
+    assert joined.columns == ["row_index", "k", "x", "row_start", "row_end", "y"]
+    fits = [(r, s) for r in rows for s in spans if None not in (r[0], s[0], s[1]) and s[0] <= r[0] < s[1]]
+    assert sorted((r["x"], r["y"]) for r in joined.collect()) == sorted((r[2], s[3]) for r, s in fits if r[1] == s[2])
+    free = ranges.range_join(left.drop("k"), right.drop("k"), width=width)
+    assert sorted((r["x"], r["y"]) for r in free.collect()) == sorted((r[2], s[3]) for r, s in fits)
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_large_pool_reads_the_blocks_that_it_touches(spark, monkeypatch):
+    """Beyond DRIVER_POOL the pool is joined; the scan is cut to its blocks, and the result is that of one plan with a semi-join."""
+    from nearfield.operators import search as S
+
+    rows = make_vectors(400, 16, 4)
+    t = table.write_vectors(frame(spark, rows), scratch(spark, "pool"), 16, order_by=("n",), binary=True, row_group_bytes=2048)
+    q = rows[17][2]
+    want = search(t, q, 10, rerank_factor=4, lazy=True).collect()
+    monkeypatch.setattr(S, "DRIVER_POOL", 5)
+    got = search(t, q, 10, rerank_factor=4)
+    assert got.collect() == want
+    assert search(t, q, 10, rerank_factor=4, where=F.col("row_index") < 0).collect() == []
+    monkeypatch.setattr(ranges, "BLOCKS", 10)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    try:
+        plan = search(t, q, 10, rerank_factor=4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "LessThanOrEqual(row_index" in plan.split("PushedFilters")[1] and "LeftSemi" in plan
+    chosen = spark.createDataFrame([(3,), (4,), (55,), (399,)], "row_index bigint")
+    assert ranges.block_ranges(chosen, 3, 399, 5) == [(3, 83), (363, 400)]
+    assert ranges.block_ranges(chosen, 3, 399, 1) == [(3, 400)]
+
+
+@pytest.mark.parametrize("dim", [1, 63, 64, 65, 200])
+def test_codes_of_batches(spark, dim):
+    """The same bits as the expression has, also for 0, -0 and infinities; columns that Arrow does not carry come along."""
+    rows = make_vectors(50, dim, dim)
+    rows += [(90 + i, None, [x] * dim) for i, x in enumerate((0.0, -0.0, float("inf"), float("-inf"), float("nan")))]
+    df = frame(spark, rows).withColumn("extra", F.create_map(F.lit("a"), F.col("n")))
+    want = df.select("n", V.sign_code(F.col("vector"), dim).alias("vector_bin")).collect()
+    assert V.with_codes(df, dim).select("n", "vector_bin").collect() == want
+    other = V.with_codes(df.withColumn("odd", F.make_interval(F.lit(1))), dim)
+    assert other.select("n", "vector_bin").collect() == want
+    assert V.with_codes(df.limit(0), dim).count() == 0
