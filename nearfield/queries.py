@@ -759,6 +759,17 @@ def probe_sweep(spark, d):
     return found.select((F.col("probe") * CLUSTERS).cast("int").alias("probed"), F.round("recall", PLACES).alias("recall"))
 
 
+def _reached_sql(source: str, clusters: int, *probes: float) -> str:
+    """The first probe and factor (10, doubled up to 10,240) that reach a recall of 0.9."""
+    tried = [f"select {p}::double as probe, {10 << i}::int as rerank_factor, {_recall_sql(source, K, K * (10 << i), round(CLUSTERS * p))} as recall" for p in probes for i in range(11)]
+    stated = "(select count(distinct qid) from plain)::bigint as queries"
+    return f"{_FULL}, {_WALK}, {_PAIRS_CLUSTERED}, tried as ({' union all '.join(tried)}) select {K}::int as k, {stated}, {clusters}::int as clusters, probe, rerank_factor, recall from tried where recall >= 0.9 order by probe, rerank_factor limit 1"
+
+
+ORACLES["recall_rerank"] = _reached_sql("plain", 0, 1.0)
+ORACLES["recall_clustered"] = _reached_sql("clustered_pairs", CLUSTERS, 0.875, 1.0)
+
+
 @query("select s_suppkey, count(*) as n, sum(label)::bigint as labels from supplier join embeddings on vec_id >= s_suppkey and vec_id < s_suppkey + 4 * s_nationkey group by s_suppkey")
 def range_join(spark, d):
     """Rows of one row range for each supplier."""
