@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from nearfield.llm import decontamination, mixing, near_duplicates, token_files, toxicity
 from nearfield.llm.common import stored, table, text_of
