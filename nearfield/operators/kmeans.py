@@ -4,6 +4,9 @@ Codes stay distributed. An iteration sends the centroids (k codes, k about sqrt(
 matrix, which numpy compares with blocks of rows; each task passes on one row of bit counts for each cluster that it has
 seen, these are summed by cluster, and one row a cluster comes back. The random numbers are drawn on the driver in a fixed order, so
 results do not depend on partitioning.
+
+The flat way compares N codes with k centroids. two_level_kmeans compares each with about sqrt(k) coarse centroids, and then with the
+centroids below the nearest of these, about sqrt(k) again.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ ITERATIONS, SEED = 6, 1
 _WORD = 1 << 64
 #: Distances that a task holds at once.
 PAIRS = 1 << 20
+#: Rows drawn for each cluster to begin two levels with.
+FIRST = 4
 
 
 class Lcg:
@@ -77,32 +82,63 @@ def nearest(codes: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass
+class TwoLevel:
+    """Centroids below coarse centroids: those of coarse centroid p are fine[heads[p]:heads[p + 1]]."""
+
+    coarse: np.ndarray
+    fine: np.ndarray
+    heads: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.fine.shape
+
+    def nearest(self, codes: np.ndarray) -> np.ndarray:
+        """The nearest centroid below the nearest coarse one, the first of equals."""
+        parent, out = nearest(codes, self.coarse), np.empty(len(codes), np.int32)
+        order = np.argsort(parent, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(parent[order])) + 1):
+            if len(rows):
+                at, end = self.heads[parent[rows[0]]], self.heads[parent[rows[0]] + 1]
+                out[rows] = at + nearest(codes[rows], self.fine[at:end])
+        return out
+
+
+def _sendable(centroids: list[list[int]] | TwoLevel) -> np.ndarray | TwoLevel:
+    return centroids if isinstance(centroids, TwoLevel) else matrix(centroids)
+
+
+def _find(codes: np.ndarray, sent: np.ndarray | TwoLevel) -> np.ndarray:
+    return sent.nearest(codes) if isinstance(sent, TwoLevel) else nearest(codes, sent)
+
+
 def _codes_of(batch: pa.RecordBatch, words: int) -> np.ndarray:
     return batch.column("code").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, words)
 
 
-def _assign(rows: DataFrame, centroids: list[list[int]]) -> DataFrame:
+def _assign(rows: DataFrame, centroids: list[list[int]] | TwoLevel) -> DataFrame:
     """rows(code, ...) with `cluster`."""
-    sent = rows.sparkSession.sparkContext.broadcast(matrix(centroids))
+    sent = rows.sparkSession.sparkContext.broadcast(_sendable(centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = nearest(_codes_of(batch, sent.value.shape[1]), sent.value)
+            found = _find(_codes_of(batch, sent.value.shape[1]), sent.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "cluster"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("cluster", IntegerType())]))
 
 
-def cluster_counts(rows: DataFrame, dimension: int, centroids: list[list[int]]) -> dict[int, tuple[int, list[int]]]:
+def cluster_counts(rows: DataFrame, dimension: int, centroids: list[list[int]] | TwoLevel) -> dict[int, tuple[int, list[int]]]:
     """cluster -> (rows, rows that have each bit set) of an assignment to centroids."""
-    sent = rows.sparkSession.sparkContext.broadcast(matrix(centroids))
+    sent = rows.sparkSession.sparkContext.broadcast(_sendable(centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, words = sent.value.shape
         n, ones = np.zeros(k, np.int64), np.zeros((k, words * WORD_BITS), np.int64)
         for batch in batches:
             codes = _codes_of(batch, words)
-            found = nearest(codes, sent.value)
+            found = _find(codes, sent.value)
             n += np.bincount(found, minlength=k)
             order = np.argsort(found, kind="stable")
             heads = np.flatnonzero(np.diff(found[order], prepend=-1))
@@ -154,14 +190,51 @@ def binary_kmeans(rows: DataFrame, dimension: int, k: int, iterations: int = ITE
             if c not in counts:
                 centroids[c] = _codes_at(rows, [rng.below(n)])[0]
                 continue
-            size, ones = counts[c]
-            words = [0] * len(centroids[c])
-            for i in np.flatnonzero(np.array(ones) > size // 2).tolist():
-                words[i // WORD_BITS] |= 1 << i % WORD_BITS
-            centroids[c] = words
+            centroids[c] = _majority(*counts[c], len(centroids[c]))
     return Clustering(centroids, _assign(rows, centroids))
 
 
+def _majority(size: int, ones: list[int], words: int) -> list[int]:
+    """The code of the bits that more than half of the rows have set."""
+    out = [0] * words
+    for i in np.flatnonzero(np.array(ones) > size // 2).tolist():
+        out[i // WORD_BITS] |= 1 << i % WORD_BITS
+    return out
+
+
+def two_level_kmeans(rows: DataFrame, dimension: int, k: int, iterations: int = ITERATIONS, seed: int = SEED) -> Clustering:
+    """Cluster rows(ordinal 0..N-1, code, ...) into at most k clusters by 2 sqrt(k) comparisons a row instead of k.
+
+    About sqrt(k) coarse centroids are fitted to all rows. FIRST * k rows, drawn like those of the flat way, give each of them a share of the k
+    centroids by the rows nearest to it, and the first different codes of these to begin with. All rows then fit the centroids below their
+    coarse one; a centroid without rows stays as it is. There are fewer than k if too few different codes were drawn.
+    """
+    n = rows.count()
+    k = min(k, n)
+    if k < 4 or iterations < 1:
+        return binary_kmeans(rows, dimension, k, iterations, seed)
+    coarse = matrix(binary_kmeans(rows, dimension, round(k**0.5), iterations, seed).centroids)
+    places = Lcg(seed + 1).distinct(n, min(n, FIRST * k))
+    drawn = rows.sparkSession.createDataFrame([(p, i) for i, p in enumerate(places)], "ordinal bigint, turn int")
+    first = rows.join(F.broadcast(drawn), "ordinal").select("turn", "code").collect()  # FIRST * k codes
+    codes = matrix([list(r["code"]) for r in sorted(first, key=lambda r: r["turn"])])
+    parent, below, heads = nearest(codes, coarse), [], [0]
+    own = np.bincount(parent, minlength=len(coarse))
+    exact = own * (k - len(coarse)) / len(codes)
+    shares = 1 + np.floor(exact).astype(int)
+    shares[np.argsort(-(exact % 1), kind="stable")[: k - int(shares.sum())]] += 1
+    for p, share in enumerate(shares.tolist()):
+        mine = list(dict.fromkeys(map(tuple, codes[parent == p].tolist())))[:share] or [tuple(coarse[p].tolist())]
+        below += mine
+        heads.append(len(below))
+    fine = matrix([list(c) for c in below])
+    for _ in range(iterations - 1):
+        found = cluster_counts(rows, dimension, TwoLevel(coarse, fine, np.array(heads)))
+        fine = matrix([_majority(*found[c], fine.shape[1]) if c in found else fine[c].tolist() for c in range(len(fine))])
+    levels = TwoLevel(coarse, fine, np.array(heads))
+    return Clustering([[signed(w) for w in c] for c in fine.tolist()], _assign(rows, levels))
+
+
 def reorder(centroids: list[list[int]]) -> list[int]:
     """New number of each centroid: a walk from the one nearest to all zeros, each time to the nearest not yet seen."""
     if not centroids:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import best_first, score
@@ -98,6 +99,33 @@ def timed(run: Callable[[], DataFrame]) -> tuple[list, float]:
     return rows, (time.perf_counter() - start) * 1000
 
 
+def reads(spark: SparkSession, run: Callable[[], DataFrame]) -> dict[str, int | float]:
+    """What a search reads, from the metrics of its tasks: results, jobs, bytes, rows (those that the filters of the scan let through its row groups
+    and pages) and milliseconds. The jobs that run() starts on its way count; jobs of other threads do not."""
+    context, group = spark.sparkContext, f"reads-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "measured")
+    try:
+        rows, ms = timed(run)
+    finally:
+        context._jsc.clearJobGroup()
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    jobs = tracker.getJobIdsForGroup(group)
+    stages = {s for j in jobs if (info := tracker.getJobInfo(j)) for s in info.stageIds}
+    data = [store.lastStageAttempt(s) for s in stages]
+    return {"results": len(rows), "jobs": len(jobs), "bytes": sum(d.inputBytes() for d in data), "rows": sum(d.inputRecords() for d in data), "ms": ms}
+
+
+def search_reads(table: VectorTable, query: Sequence[float], k: int = 10, **options) -> DataFrame:
+    """way, results, bytes, rows and ms of the exact search, of the one by codes, and, on a table with clusters, of that by clusters."""
+    spark, out = table.rows.sparkSession, []
+    ways = {"exact": {"algorithm": "exact"}, "rerank": {"algorithm": "binary", "probe": 1.0}, **({"clustered": {"algorithm": "binary"}} if table.meta.clusters else {})}
+    for way, how in ways.items():
+        found = reads(spark, lambda how=how: search(table, query, k, **{**options, **how}))
+        out.append((way, found["results"], found["bytes"], found["rows"], found["ms"]))
+    return spark.createDataFrame(out, "way string, results int, bytes bigint, rows bigint, ms double")
+
+
 def sweep(table: VectorTable, queries: DataFrame, truth: DataFrame, k: int, settings: Iterable[dict]) -> DataFrame:
     """For each setting (rerank_factor, probe, algorithm): micro recall against truth and milliseconds per query, all queries at once."""
     asked = queries.count()

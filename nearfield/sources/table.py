@@ -7,8 +7,8 @@ back. path/clusters holds a row per cluster: cluster_id, centroid, row_count, ro
 Row numbers come from the places of rows in their partitions and the counts of the partitions before, not from a window over all
 rows. Rows are written once with (partition, place) to a folder of the session, and counts and numbers both come from these files: an
 input that ends in a shuffle, whose partitions may differ from one evaluation to the next, loses no row. A write fails if it
-ends with another number of rows than it read. With clusters, a row's number is the start of its cluster plus its place in it; a
-cluster holds about 2 sqrt(N) rows.
+ends with another number of rows than it read. With clusters, rows are numbered a second time, in ranges of (cluster, number): a cluster
+of any size is split among tasks.
 Rows are written in order of their number, by cluster as directories up to DIRECTORIES of them, else as sorted files,
 so a search that names its clusters reads nothing else.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import check_metric, id_string, l2_normalize, with_codes
-from nearfield.operators.kmeans import ITERATIONS, SEED, binary_kmeans, code_literal, reorder
+from nearfield.operators.kmeans import ITERATIONS, SEED, binary_kmeans, code_literal, reorder, two_level_kmeans
 from nearfield.sources.scratch import remove, scratch
 
 VERSION = 1
@@ -140,10 +140,12 @@ def numbered(df: DataFrame, number: str) -> tuple[DataFrame, str, int]:
 
 def build(
     df: DataFrame, dimension: int, *, id_col: str = "id", vector_col: str = "vector", order_by: tuple[str, ...] | None = None, metric: str = "cosine", normalize: bool = True,
-    binary: bool | None = None, clusters: int | None = None, cluster_iterations: int = ITERATIONS, cluster_seed: int = SEED, keep: tuple[str, ...] = (), cache: bool = True,
+    binary: bool | None = None, clusters: int | None = None, cluster_iterations: int = ITERATIONS, cluster_seed: int = SEED, cluster_levels: int = 1, keep: tuple[str, ...] = (), cache: bool = True,
 ) -> VectorTable:
-    """The table of df's records, not yet written. keep: other columns to carry along."""
+    """The table of df's records, not yet written. keep: other columns to carry along. cluster_levels: 2 for two_level_kmeans."""
     check_options(dimension, metric, binary, clusters)
+    if cluster_levels not in (1, 2):
+        raise ValueError(f"invalid cluster_levels: {cluster_levels}")
     _check_kept(keep)
     vector = checked_vector(F.col(vector_col), F.col(id_col), dimension, normalize)
     kinds, order = dict(df.dtypes), order_by or (id_col,)
@@ -165,21 +167,26 @@ def build(
     if cache:
         base = base.persist()  # read once for each iteration
         held.append(base)
-    found = binary_kmeans(base.withColumnRenamed("vector_bin", "code"), dimension, k, cluster_iterations, cluster_seed)
+    fit = binary_kmeans if cluster_levels == 1 else two_level_kmeans
+    found = fit(base.withColumnRenamed("vector_bin", "code"), dimension, k, cluster_iterations, cluster_seed)
     renumber = reorder(found.centroids)
     if not renumber:
         rows = base.select(F.col("ordinal").alias("row_index"), "id", "vector", *back, "vector_bin", F.lit(0).alias("cluster_id"))
         return VectorTable(rows, meta, held=held, **source)
     mapping = F.array(*map(F.lit, renumber))
     rows = found.assigned.withColumnRenamed("code", "vector_bin").withColumn("cluster_id", F.get(mapping, F.col("cluster"))).drop("cluster")
+    place = ("cluster_id", "ordinal")
+    rows, sorted_in, written = numbered(rows.repartitionByRange(parts, *place).sortWithinPartitions(*place), "row_index")
+    for cached in held:
+        cached.unpersist()
+    remove(df.sparkSession, folder)
+    if written != n:
+        raise RuntimeError(f"{written} rows of {n} were clustered")
     seen = {r["cluster_id"]: r["count"] for r in rows.groupBy("cluster_id").count().collect()}  # a row per cluster
     counts = [seen.get(c, 0) for c in range(len(renumber))]
-    starts = running(counts)
-    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("ordinal")) - 1
-    rows = rows.withColumn("row_index", (F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("cluster_id")) + place).cast("bigint")).drop("ordinal")
     centroids = [c for _, c in sorted(zip(renumber, found.centroids, strict=True))]
     rows = rows.select("row_index", "id", "vector", "vector_bin", "cluster_id", *back)
-    return VectorTable(rows, Meta(dimension, metric, normalize, True, len(counts)), centroids, counts, held=held, **source)
+    return VectorTable(rows, Meta(dimension, metric, normalize, True, len(counts)), centroids, counts, numbered_in=sorted_in, expected=n)
 
 
 def running(counts: list[int]) -> list[int]:
@@ -223,9 +230,7 @@ def save(table: VectorTable, path: str, *, codec: str = "uncompressed", page_siz
     if page_size or table.meta.binary:
         writer_options["parquet.page.size"] = str(page_size or CODE_PAGE_BYTES)
     by_directory = 0 < table.meta.clusters <= DIRECTORIES
-    if by_directory:
-        rows = rows.repartition("cluster_id").sortWithinPartitions("cluster_id", "row_index")
-    elif table.meta.clusters:
+    if table.meta.clusters:  # by ranges, also for directories: a large cluster is written by several tasks
         rows = rows.repartitionByRange("cluster_id", "row_index").sortWithinPartitions("cluster_id", "row_index")
     writer = rows.write.mode(mode).options(**writer_options)
     (writer.partitionBy("cluster_id") if by_directory else writer).parquet(f"{path}/rows")

@@ -621,3 +621,101 @@ def test_codes_of_batches(spark, dim):
     other = V.with_codes(df.withColumn("odd", F.make_interval(F.lit(1))), dim)
     assert other.select("n", "vector_bin").collect() == want
     assert V.with_codes(df.limit(0), dim).count() == 0
+
+
+def test_a_large_cluster_is_split(spark):
+    same = make_vectors(1, 16)[0][2]
+    rows = [(i, s, same if i % 2 else v) for i, s, v in make_vectors(4000, 16)]
+    before = table.build(frame(spark, rows).repartition(7), 16, order_by=("n",), normalize=False, clusters=6)
+    expected = before.rows.orderBy("cluster_id", F.col("id").substr(5, 9).cast("int")).select("id", "row_index").collect()
+    assert [r["row_index"] for r in expected] == list(range(4000))
+    written = table.save(before, scratch(spark, "hot"))
+    hot = max(written.counts)
+    assert sum(written.counts) == 4000 and hot >= 2000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        split = table.write_vectors(frame(spark, rows), scratch(spark, "hot"), 16, order_by=("n",), normalize=False, clusters=6)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in split.rows.groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) < hot / 1.5 and sum(sizes) == 4000  # 4 partitions share the rows
+    assert ids(search(split, rows[8][2], 5, probe=1.0, rerank_factor=4000)) == nearest(rows, rows[8][2], 5)
+
+
+def plain_two_level(codes, dim, k, iterations, seed):
+    """Loops over bits; clusters of the codes, by number."""
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b))
+    least = lambda c, cents: min(range(len(cents)), key=lambda i: (far(c, cents[i]), i))
+
+    def majority(members):
+        bits = [sum(m[i // 64] >> i % 64 & 1 for m in members) for i in range(dim)]
+        return [sum(1 << i % 64 for i in range(dim) if i // 64 == w and bits[i] > len(members) // 2) for w in range(len(members[0]))]
+
+    codes = [[w % (1 << 64) for w in c] for c in codes]
+    rng, n, few = kmeans.Lcg(seed), len(codes), round(k**0.5)
+    coarse = [codes[p] for p in rng.distinct(n, few)]
+    for _ in range(iterations - 1):
+        near = [least(c, coarse) for c in codes]
+        for p in range(few):
+            mine = [c for c, x in zip(codes, near) if x == p]
+            coarse[p] = majority(mine) if mine else codes[rng.below(n)]
+    drawn = [codes[p] for p in kmeans.Lcg(seed + 1).distinct(n, min(n, kmeans.FIRST * k))]
+    own = [[c for c in drawn if least(c, coarse) == p] for p in range(few)]
+    exact = [len(o) * (k - few) / len(drawn) for o in own]
+    share = [1 + int(x) for x in exact]
+    for p in sorted(range(few), key=lambda p: (-(exact[p] % 1), p))[: k - sum(share)]:
+        share[p] += 1
+    fine = []
+    for p in range(few):
+        unique = []
+        for c in own[p]:
+            if c not in unique:
+                unique.append(c)
+        fine.append(unique[: share[p]] or [coarse[p]])
+    base = [sum(map(len, fine[:p])) for p in range(few)]
+
+    def assign():
+        return [(p, least(c, fine[p])) for c in codes for p in [least(c, coarse)]]
+
+    for _ in range(iterations - 1):
+        near = assign()
+        fine = [[majority(m) if (m := [c for c, x in zip(codes, near) if x == (p, i)]) else f for i, f in enumerate(fs)] for p, fs in enumerate(fine)]
+    return [base[p] + i for p, i in assign()]
+
+
+@pytest.mark.parametrize("n,dim,k,seed,repeated", [(300, 24, 9, 1, False), (200, 70, 16, 3, False), (120, 8, 12, 2, True), (30, 16, 30, 1, False), (20, 16, 3, 1, False)])
+def test_two_level_kmeans_matches_a_plain_one(spark, n, dim, k, seed, repeated):
+    rows = make_vectors(n, dim, 2)
+    if repeated:
+        rows = [(i, s, rows[i % 5][2]) for i, s, _ in rows]
+    codes = [code_of(v) for _, _, v in rows]
+    df = frame(spark, rows).repartition(3).select(F.col("n").alias("ordinal"), V.sign_code(F.col("vector"), dim).alias("code"))
+    found = kmeans.two_level_kmeans(df, dim, k, 3, seed)
+    got = [r["cluster"] for r in found.assigned.orderBy("ordinal").collect()]
+    assert got == (plain_two_level(codes, dim, k, 3, seed) if k >= 4 else plain_kmeans(codes, dim, k, 3, seed))
+    assert max(got) < len(found.centroids) <= k
+
+
+def test_two_levels_find_what_one_finds(spark):
+    centres = make_vectors(40, 32, 9)
+    rows = [(i, s, [float(np.float32(0.6 * a + b)) for a, b in zip(v, centres[i % 40][2])]) for i, s, v in make_vectors(3000, 32, 4)]
+    recall = {}
+    for levels in (1, 2):
+        t = table.write_vectors(frame(spark, rows), scratch(spark, "levels"), 32, order_by=("n",), normalize=False, clusters=36, cluster_levels=levels)
+        assert sum(t.counts) == t.rows.count() == 3000
+        hits = [len(set(ids(search(t, rows[q][2], 10, probe=0.25, rerank_factor=30))) & set(nearest(rows, rows[q][2], 10))) for q in range(0, 3000, 300)]
+        recall[levels] = sum(hits) / (10 * len(hits))
+    assert recall[2] >= recall[1] - 0.02, recall
+    with pytest.raises(ValueError, match="cluster_levels"):
+        table.build(frame(spark, rows), 32, clusters=4, cluster_levels=3)
+    assert table.build(frame(spark, rows[:0]), 32, clusters=8, cluster_levels=2).rows.count() == 0
+
+
+def test_reads_of_a_search(spark):
+    rows = make_vectors(6000, 64)
+    t = table.write_vectors(frame(spark, rows), scratch(spark, "reads"), 64, order_by=("n",), normalize=False, clusters=20)
+    found = {r["way"]: r for r in evaluate.search_reads(t, rows[7][2], 10, rerank_factor=1).collect()}
+    assert set(found) == {"exact", "rerank", "clustered"} and all(r["results"] == 10 for r in found.values())
+    assert found["exact"]["rows"] == 6000 and found["exact"]["bytes"] >= 6000 * 64 * 4
+    assert found["clustered"]["bytes"] < found["rerank"]["bytes"] and found["clustered"]["rows"] < 6000
+    assert evaluate.reads(spark, lambda: spark.range(5))["bytes"] == 0
