@@ -101,13 +101,20 @@ def timed(run: Callable[[], DataFrame]) -> tuple[list, float]:
 
 def reads(spark: SparkSession, run: Callable[[], DataFrame]) -> dict[str, int | float]:
     """What a search reads, from the metrics of its tasks: results, jobs, bytes, rows (those that the filters of the scan let through its row groups
-    and pages) and milliseconds. The jobs that run() starts on its way count; jobs of other threads do not."""
-    context, group = spark.sparkContext, f"reads-{uuid.uuid4().hex}"
+    and pages) and milliseconds. The jobs that run() starts on its way count; jobs of other threads do not. Parquet reads its column chunks one by one
+    here: those that it reads at once come through other threads, whose bytes tasks do not count."""
+    context, group, at_once = spark.sparkContext, f"reads-{uuid.uuid4().hex}", "parquet.hadoop.vectored.io.enabled"
+    before = spark.conf.get(at_once, None)
+    spark.conf.set(at_once, "false")
     context.setJobGroup(group, "measured")
     try:
         rows, ms = timed(run)
     finally:
         context._jsc.clearJobGroup()
+        if before is None:
+            spark.conf.unset(at_once)
+        else:
+            spark.conf.set(at_once, before)
     context._jsc.sc().listenerBus().waitUntilEmpty()
     tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
     jobs = tracker.getJobIdsForGroup(group)
