@@ -158,14 +158,28 @@ _SQL = {
     "vector_l2": ("a array<float>, b array<float>", "double", f"sqrt({_SUM.format('power(cast(x as double) - cast(y as double), 2)')})"),
     "vector_norm": ("a array<float>", "double", "sqrt(aggregate(a, 0D, (p, x) -> p + cast(x as double) * cast(x as double)))"),
     "vector_hamming": ("a array<bigint>, b array<bigint>", "int", _SAME.format("aggregate(zip_with(a, b, (x, y) -> cast(bit_count(x ^ y) as int)), 0, (p, q) -> p + q)")),
+    "vector_code": ("a array<float>", "array<bigint>", "transform(sequence(0, (size(a) - 1) div 64), w -> aggregate(sequence(0, 63), 0L, (p, i) -> if(coalesce(get(a, int(w * 64 + i)) >= 0, false), p | shiftleft(1L, i), p)))"),
     "vector_cosine": ("a array<float>, b array<float>", "double", "if(vector_norm(a) * vector_norm(b) = 0, 0D, vector_dot(a, b) / (vector_norm(a) * vector_norm(b)))"),
     "vector_normalize": ("a array<float>", "array<float>", "if(vector_norm(a) = 0, a, transform(a, x -> cast(cast(x as double) / vector_norm(a) as float)))"),
 }
 
 
-def register_sql(spark: SparkSession, view: str | None = None) -> list[str]:
+#: A pool of row numbers by the distance of codes, then the vectors of the pool alone by cosine; equal values go by row number.
+_RERANKED = (
+    "select rn as rank, id, score, row_index from (select id, score, row_index, row_number() over (order by score desc, row_index) as rn from (select id, row_index, vector_cosine(vector, q) as score from {view} join "
+    "(select row_index from (select row_index, row_number() over (order by far, row_index) as place from (select row_index, vector_hamming(vector_bin, vector_code(q)) as far from {source})) where place <= pool) using (row_index))) where rn <= k"
+)
+
+
+def register_sql(spark: SparkSession, view: str | None = None, clusters: str | None = None) -> list[str]:
     """Temporary SQL functions vector_*; with a view of (row_index, id, vector) also the table functions vector_search(query, k)
-    by cosine, vector_search_dot and vector_search_l2."""
+    by cosine, vector_search_dot and vector_search_l2. If the view has vector_bin, also vector_search_rerank(query, k, pool); if it has cluster_id
+    and there is a view of clusters (cluster_id, centroid), also vector_search_probe(query, k, pool, n) over the n nearest clusters.
+
+    For a table of queries: from queries, lateral vector_search_rerank(query, 10, 100). Spark joins each different query with the rows: all rows for
+    the rerank, those of the chosen clusters (an equality join) for the probe. Only row numbers and distances of these pairs are shuffled; vectors
+    are read for the pools. search_batch spreads many queries better.
+    """
     for name, (args, kind, body) in _SQL.items():
         spark.sql(f"create or replace temporary function {name}({args}) returns {kind} return {body}")
     names = list(_SQL)
@@ -175,4 +189,15 @@ def register_sql(spark: SparkSession, view: str | None = None) -> list[str]:
             f"return select rn as rank, id, score, row_index from (select *, row_number() over (order by score {order}, row_index) as rn from (select id, row_index, vector_{by}(vector, q) as score from {view})) where rn <= k"
         )
         names.append(name)
+    columns = spark.table(view).columns if view else []
+    out = "returns table(rank int, id string, score double, row_index bigint)"
+    if "vector_bin" in columns:
+        body = _RERANKED.format(view=view, source=view)
+        spark.sql(f"create or replace temporary function vector_search_rerank(q array<float>, k int, pool int) {out} return {body}")
+        names.append("vector_search_rerank")
+    if "cluster_id" in columns and clusters:
+        chosen = f"(select cluster_id from (select cluster_id, row_number() over (order by vector_hamming(centroid, vector_code(q)), cluster_id) as nr from {clusters}) where nr <= n)"
+        body = _RERANKED.format(view=view, source=f"{view} join {chosen} using (cluster_id)")
+        spark.sql(f"create or replace temporary function vector_search_probe(q array<float>, k int, pool int, n int) {out} return {body}")
+        names.append("vector_search_probe")
     return names

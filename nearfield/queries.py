@@ -5,6 +5,7 @@ Vectors are those of `embeddings` (64 elements); row numbers are vec_id. Scores
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -812,6 +813,43 @@ def compacted_search(spark, d):
     return reduce(DataFrame.unionByName, out)
 
 
+def _lateral(spark: SparkSession, d: str, t: VectorTable, call: str) -> DataFrame:
+    """A table function for each stated query. The views have names of their own, so they outlive later calls."""
+    names = [f"nearfield_{x}_{uuid.uuid4().hex}" for x in ("rows", "clusters", "asked")]
+    for name, df in zip(names, (t.rows, table.clusters_frame(spark, t), _stated(spark, d)), strict=True):
+        df.createOrReplaceTempView(name)
+    V.register_sql(spark, *names[:2])
+    return _shown(spark.sql(f"select a.query_id, r.* from {names[2]} a, lateral {call} r"))
+
+
+@query(ORACLES["knn_batch_rerank"])
+def fn_sql_lateral(spark, d):
+    return _lateral(spark, d, _table(_coded(spark, d)), f"vector_search_rerank(a.query, {K}, 100)")
+
+
+@query(
+    f"{_FULL}, {_WALK}, {_PAIRS_CLUSTERED}, pool as (select * from clustered_pairs where nr <= 4 qualify row_number() over (partition by qid order by far, row_index) <= 100) "
+    f"select qid::varchar as query_id, (row_number() over (partition by qid order by score desc, row_index))::int as rank, vec_id::varchar as id, round(score, {PLACES}) as score, row_index from pool qualify rank <= {K}"
+)
+def fn_sql_lateral_probe(spark, d):
+    return _lateral(spark, d, _clustered(spark, d), f"vector_search_probe(a.query, {K}, 100, 4)")
+
+
+@query()
+def kmeans_two_level(spark, d):
+    """Clusters of all rows by two levels of centroids; a test compares them with plain loops."""
+    rows = _coded(spark, d).select(F.col("row_index").alias("ordinal"), F.col("vector_bin").alias("code"))
+    return kmeans.two_level_kmeans(rows, DIM, 2 * CLUSTERS, seed=CLUSTER_SEED).assigned.select(F.col("ordinal").alias("vec_id"), "cluster")
+
+
+@query()
+def search_reads(spark, d):
+    """Bytes and rows read by each way to search a table in files."""
+    rows = _rows(spark, d).withColumn("n", F.col("row_index"))
+    t = table.write_vectors(rows, scratch(spark, "reads"), DIM, order_by=("n",), normalize=False, clusters=CLUSTERS, cluster_seed=CLUSTER_SEED)
+    return evaluate.search_reads(t, _vector(spark, d, 0), K).drop("ms")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.search(_table(_rows(spark, d)), _vector(spark, d, 0), K))
 
