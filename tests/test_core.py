@@ -719,3 +719,24 @@ def test_reads_of_a_search(spark):
     assert found["exact"]["rows"] == 6000 and found["exact"]["bytes"] >= 6000 * 64 * 4
     assert found["clustered"]["bytes"] < found["rerank"]["bytes"] and found["clustered"]["rows"] < 6000
     assert evaluate.reads(spark, lambda: spark.range(5))["bytes"] == 0
+
+
+def test_sql_search_of_a_pool_and_of_clusters(spark):
+    rows = [(i, s, v if i % 3 else [0.5] * 70) for i, s, v in make_vectors(90, 70)]  # equal vectors tie
+    t = table.build(frame(spark, rows), 70, order_by=("n",), normalize=False, clusters=5)
+    t.rows.createOrReplaceTempView("sql_rows")
+    table.clusters_frame(spark, t).createOrReplaceTempView("sql_clusters")
+    frame(spark, [rows[0], rows[4], rows[3]]).createOrReplaceTempView("sql_asked")  # two of them equal
+    t.rows.drop("vector_bin", "cluster_id").createOrReplaceTempView("sql_plain")
+    names = V.register_sql(spark, "sql_rows", "sql_clusters")
+    assert {"vector_search_rerank", "vector_search_probe"} <= set(names)
+    assert "vector_search_probe" not in V.register_sql(spark, "sql_rows") and "vector_search_rerank" not in V.register_sql(spark, "sql_plain")
+    V.register_sql(spark, "sql_rows", "sql_clusters")
+    for call, probe in (("vector_search_rerank(a.vector, 6, 12)", 1.0), ("vector_search_probe(a.vector, 6, 12, 2)", 0.4)):
+        got = spark.sql(f"select a.n, r.* from sql_asked a, lateral {call} r").collect()
+        for i in (0, 3, 4):
+            mine = [(r["rank"], r["id"], r["row_index"]) for r in sorted(got, key=lambda r: r["rank"]) if r["n"] == i]
+            wanted = search(t, rows[i][2], 6, probe=probe, rerank_factor=2).select("rank", "id", "row_index").collect()
+            assert mine == [tuple(r) for r in wanted]
+    codes = spark.sql("select vector_code(vector) as c, row_index from sql_rows").join(t.rows, "row_index")
+    assert codes.where(F.col("c") != F.col("vector_bin")).count() == 0
