@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.functions.vectors import check_metric, id_string, l2_normalize, with_codes
@@ -123,19 +123,19 @@ def numbered(df: DataFrame, number: str) -> tuple[DataFrame, str, int]:
     df is evaluated once: its rows go to files with their partition and place, and the counts are read from these files.
     """
     spark = df.sparkSession
-    part, place, other, start = (_fresh(x) for x in ("part", "place", "of_part", "start"))
+    part, place = _fresh("part"), _fresh("place")
     placed = df.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place))
     folder = scratch(spark, "numbered")
     placed.write.parquet(folder)
     held = spark.read.schema(placed.schema).parquet(folder)
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    sizes = held.groupBy(part).agg(F.count(F.lit(1)).alias("n"), (F.max(place) + 1).alias("places"))
-    whole = F.when(F.col("n") == F.col("places"), F.coalesce(F.sum("n").over(before), F.lit(0)))
-    starts = sizes.select(F.col(part).alias(other), F.coalesce(whole, F.raise_error(F.lit("a partition was written in part")).cast("bigint")).alias(start))
-    known = F.coalesce(F.col(start), F.raise_error(F.lit("a partition without a start")).cast("bigint"))
-    # A row per partition of the input: small whatever the number of rows.
-    rows = held.join(F.broadcast(starts), held[part] == F.col(other), "left").withColumn(number, known + F.col(place)).drop(part, place, other, start)
-    return rows, folder, held.count()
+    sizes = {r[part]: (r["n"], r["places"]) for r in held.groupBy(part).agg(F.count(F.lit(1)).alias("n"), (F.max(place) + 1).alias("places")).collect()}  # a row per task of the write
+    if any(n != places for n, places in sizes.values()):
+        raise RuntimeError("a partition was written in part")
+    counts = [sizes.get(p, (0, 0))[0] for p in range(max(sizes, default=-1) + 1)]
+    # One literal for the starts of all partitions.
+    start = F.get(F.split(F.lit(",".join(map(str, running(counts)))), ","), F.col(part)).cast("bigint")
+    known = F.coalesce(start, F.raise_error(F.lit("a partition without a start")).cast("bigint"))
+    return held.withColumn(number, known + F.col(place)).drop(part, place), folder, sum(counts)
 
 
 def build(
