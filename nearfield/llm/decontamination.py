@@ -8,11 +8,16 @@ words also found in the document must make up MIN_OVERLAP of each.
 Passages are windows of words, twice the longest item wide (PASSAGE at least) with half of it as the stride, so
 any item that a document holds lies whole in one passage.
 
-Search goes by exact bounds, so nothing above the threshold is lost. The postings of a word lie in blocks of BLOCK
-neighbouring items, of which only those that hold the word are kept, each with its largest impact. The sums of these over
-the words of a document, and then of a passage, dismiss most of them and most of their words; what is left walks the postings by block-max WAND
-(Ding and Suel, 2011): a pivot by the largest impacts of whole lists, then the bound by the maxima of the pivot's block
-alone, and if that is too low a skip to the next block.
+Search goes by exact bounds, so nothing above the threshold is lost. As in MaxScore (Turtle and Flood, 1995) the words of an
+item are split: its most frequent ones, up to REST of its own score, cannot reach the threshold alone and count as found; a
+passage is searched only for the items that its other, essential words lift to MIN_SCORE. Frequent words thus have few
+essential postings or none. This bound is summed by numpy for all passages of about CHUNK characters of text at once, with
+words known by 64-bit hashes: two words of one hash can only raise it, and the search compares the words themselves.
+
+What is left walks the postings by block-max WAND (Ding and Suel, 2011): a pivot by the largest impacts of whole lists, then
+the bound by the maxima of the pivot's block alone, and if that is too low a skip to the next block, each time on to an item
+that the first bound has left. The postings of a word lie in blocks of BLOCK neighbouring items, of which only those that hold
+the word are kept, each with its largest impact; words that stand in no block whose sum reaches MIN_SCORE are left out.
 
 No document is shuffled. Items are cut into words in tasks, and document frequencies and lengths are counted there too.
 The items are dealt by hash into parts of about PART_BYTES of text. One part after the other goes to the tasks, which
@@ -32,6 +37,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +45,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import stored, text_of
+from nearfield.llm.shingles import mix
 
 K1, B = 1.2, 0.75
 MIN_SCORE, MIN_OVERLAP, SHINGLE = 0.5, 0.8, 5
 PASSAGE = 128
 PART_BYTES = 4 << 20
 BLOCK = 4
+REST = MIN_SCORE / 2
+CHUNK, AT_ONCE = 1 << 20, 1 << 20
 _WORD = re.compile(r"\w+")
+_OTHER = re.compile(r"[^\w\x00-\x7F]")
+#: UTF-8 bytes of words, once _OTHER has become spaces.
+_IS_WORD = np.array([b >= 128 or bool(_WORD.match(chr(b))) for b in range(256)])
 _LAST = re.compile(r"(?s)(.*(?:\n|[.!?]\s))(.*\w.*)")
 
 RESULT = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word int"
@@ -55,6 +67,25 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words_of all texts in order, from their length and first and last eight bytes, and the place of each text's first word."""
+    cut = [(t if t.isascii() else _OTHER.sub(" ", t)).encode() for t in map(str.lower, texts)]
+    buf = np.frombuffer(b" ".join([b" " * 7, *cut, b" " * 8]), np.uint8)
+    inside = _IS_WORD[buf]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    eight = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+    sizes = ends - begins
+    short = (np.maximum(8 - sizes, 0) * 8).astype(np.uint64)
+    hashes = mix((eight[begins] << short) * np.uint64(0x9E3779B97F4A7C15) + (eight[ends - 8] >> short) + sizes.astype(np.uint64))
+    return hashes, np.searchsorted(begins, np.cumsum([8, *(len(c) + 1 for c in cut)]))
+
+
+def ranges_of(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range of the given size, one range after the other."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def split_item(text: str) -> tuple[list[str], list[str]]:
     """Question and answer of an item: the last line, or else the last sentence, is the answer."""
     body = text.strip()
@@ -75,7 +106,9 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, mean: float) -> None:
         self.ids = [i for i, _ in items]
         self.parts = [split_item(t) for _, t in items]
-        self.longest = max((len(q) + len(a) for q, a in self.parts), default=0)
+        self.width = max(PASSAGE, 2 * max((len(q) + len(a) for q, a in self.parts), default=0))
+        self.rest = np.zeros(len(items))
+        essential: list[tuple[str, int, float]] = []
         self.postings: dict[str, tuple[list[int], list[float]]] = {}
         for n, (q, a) in enumerate(self.parts):
             counts = Counter(q + a)
@@ -86,6 +119,11 @@ class Index:
                 p = self.postings.setdefault(t, ([], []))
                 p[0].append(n)
                 p[1].append(float(impact[t] / own))
+            for t in sorted(counts, key=lambda t: (-df[t], t)):
+                if self.rest[n] + impact[t] / own <= REST:
+                    self.rest[n] += impact[t] / own
+                else:
+                    essential.append((t, n, float(impact[t] / own)))
         self.blocks = -(-len(items) // BLOCK)
         self.terms = {t: k for k, t in enumerate(self.postings)}
         #: For each word the blocks that hold it and their largest impacts, one word after the other, and as a dict.
@@ -98,6 +136,17 @@ class Index:
         self.block_top = np.array([x for top in self.tops.values() for x in top.values()])
         self.begin = np.cumsum([0, *(len(top) for top in self.tops.values())])
         self.most = {t: max(top.values()) for t, top in self.tops.items()}
+        #: Essential postings by the hash of their word; a bit for every hash's leading bits.
+        essential.sort()
+        hashes = word_hashes([" ".join(t for t, _, _ in essential)])[0]
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.sizes = np.unique(hashes, return_counts=True)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.items_of = np.array([n for _, n, _ in essential], np.int64)[order]
+        self.impacts = np.array([x for _, _, x in essential])[order]
+        self.shift = np.uint64(64 - (16 * len(self.hashes) + 1).bit_length())
+        self.seen = np.zeros(1 << 64 - int(self.shift), bool)
+        self.seen[self.hashes >> self.shift] = True
 
     def useful(self, words: list[str]) -> list[str]:
         """Of a query's words those that stand in a block where the sum of the maxima of all reaches MIN_SCORE.
@@ -105,17 +154,25 @@ class Index:
         Every item that the query scores MIN_SCORE lies in such a block, and gets its score from these words alone.
         """
         terms = np.fromiter((self.terms[w] for w in words), np.int64, len(words))
-        begin, size = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
-        at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+        size = self.begin[terms + 1] - self.begin[terms]
+        at = ranges_of(self.begin[terms], size)
         block = self.block_of[at]
         high = np.bincount(block, self.block_top[at], self.blocks) + 1e-9 >= MIN_SCORE
         return [words[k] for k in np.unique(np.repeat(np.arange(len(words)), size)[high[block]]).tolist()]
 
-    def search(self, words: list[str]) -> list[tuple[int, float]]:
-        """(item, share of its own score) of every item that a query of distinct words scores MIN_SCORE or more."""
+    def search(self, words: list[str], among: list[int] | None = None) -> list[tuple[int, float]]:
+        """(item, share of its own score) of every item that a query of distinct words scores MIN_SCORE or more.
+
+        If it is known that such items are among some, in ascending order, the walk skips from one of these to the next.
+        """
         cursors = [[self.postings[w][0], self.postings[w][1], 0, self.most[w], self.tops[w]] for w in words]
-        found, target = [], 0
+        found, target, k = [], 0, 0
         while True:
+            if among is not None:
+                k = bisect_left(among, target, k)
+                if k == len(among):
+                    return found
+                target = among[k]
             kept = []
             for c in cursors:
                 if c[0][c[2]] < target:
@@ -125,10 +182,10 @@ class Index:
             cursors = kept
             cursors.sort(key=_place)
             high, pivot = 1e-9, -1
-            for k, c in enumerate(cursors):
+            for n, c in enumerate(cursors):
                 high += c[3]
                 if high >= MIN_SCORE:
-                    pivot = k
+                    pivot = n
                     break
             if pivot < 0:
                 return found
@@ -140,27 +197,55 @@ class Index:
             if sum(c[4].get(block, 0.0) for c in cursors[: pivot + 1]) + 1e-9 < MIN_SCORE:
                 target = min(after, (block + 1) * BLOCK)  # no item before it gets more from these words
             elif _place(cursors[0]) == item:
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    score += c[1][c[2]]
+                score = fsum(c[1][c[2]] for c in cursors[: pivot + 1])  # the same in whatever order the walk has left them
                 if score >= MIN_SCORE:
                     found.append((item, score))
                 target = item + 1
             else:
                 target = item
 
-    def candidates(self, words: list[str]) -> dict[int, tuple[float, int]]:
-        """item -> (best score, first word of that passage) over the passages of a document."""
-        terms = self.terms
-        own = set(self.useful(list(set(words) & terms.keys())))
-        if not own:
-            return {}
-        width = max(PASSAGE, 2 * self.longest)
+    def promising(self, texts: list[str]) -> dict[int, dict[int, list[int]]]:
+        """number of a text -> first word of a passage -> items whose bound reaches MIN_SCORE in it; what has none is left out."""
+        stride = self.width // 2
+        hashes, begin = word_hashes(texts)
+        at = np.flatnonzero(self.seen[hashes >> self.shift])
+        term = np.searchsorted(self.hashes, hashes[at], "right") - 1
+        true = self.hashes[term] == hashes[at]
+        at, term = at[true], term[true]
+        last = np.maximum(-(-np.diff(begin) // stride) - 1, 1)  # passages of each text
+        start = np.cumsum(last) - last
+        text = np.searchsorted(begin, at, "right") - 1
+        place = (at - begin[text]) // stride
+        # a word lies in the passage that begins in its stride and in the one before
+        passage = np.concatenate([(start[text] + place)[place < last[text]], (start[text] + place - 1)[place > 0]])
+        pair = np.sort(passage * max(1, len(self.hashes)) + np.concatenate([term[place < last[text]], term[place > 0]]))
+        pair = pair[np.diff(pair, prepend=-1) > 0]
+        passage, term = np.divmod(pair, max(1, len(self.hashes)))
+        size, out = self.sizes[term], []
+        reach = np.cumsum(size)
+        a = 0
+        while a < len(pair):  # whole passages with about AT_ONCE postings
+            b = int(np.searchsorted(reach, reach[a] - size[a] + AT_ONCE, "right"))
+            b = int(np.searchsorted(passage, passage[max(a, b - 1)], "right"))
+            posting = ranges_of(self.firsts[term[a:b]], size[a:b])
+            key, which = np.unique(np.repeat(passage[a:b], size[a:b]) * len(self.rest) + self.items_of[posting], return_inverse=True)
+            high = np.bincount(which, self.impacts[posting]) + self.rest[key % len(self.rest)] + 1e-9 >= MIN_SCORE
+            out.append(key[high])
+            a = b
+        passage, item = np.divmod(np.concatenate(out or [pair]), max(1, len(self.rest)))
+        text = np.searchsorted(start, passage, "right") - 1
+        found: dict[int, dict[int, list[int]]] = {}
+        for n, at, i in zip(text.tolist(), ((passage - start[text]) * stride).tolist(), item.tolist(), strict=True):
+            found.setdefault(n, {}).setdefault(at, []).append(i)
+        return found
+
+    def candidates(self, words: list[str], passages: dict[int, list[int]]) -> dict[int, tuple[float, int]]:
+        """item -> (best score, first word of that passage) over the promising passages of a document."""
         out: dict[int, tuple[float, int]] = {}
-        for at in range(0, max(1, len(words) - width // 2), width // 2):
-            query = list(own.intersection(words[at : at + width]))
-            if sum(self.most[w] for w in query) + 1e-9 >= MIN_SCORE and (query := self.useful(query)):
-                for item, score in self.search(sorted(query)):
+        for at, among in passages.items():
+            query = list(self.terms.keys() & words[at : at + self.width])
+            if query := self.useful(query):
+                for item, score in self.search(sorted(query), among):
                     if score > out.get(item, (0.0, 0))[0]:
                         out[item] = (score, at)
         return out
@@ -209,13 +294,16 @@ def _matcher(items: list[tuple[int, str]], df: dict[str, int], total: int, mean:
         index = _shared_index(key, (items, df, total, mean))
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = words_of(text)
-                shingles = _Shingles(words)
-                for item, (score, at) in sorted(index.candidates(words).items()):
-                    q, a = (overlap(p, shingles) for p in index.parts[item])
-                    if q >= MIN_OVERLAP and a >= MIN_OVERLAP:
-                        rows.append((doc, index.ids[item], score, q, a, at))
+            docs, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            reach = np.cumsum([len(t) for t in texts]) // CHUNK
+            for chunk in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(reach)) + 1):
+                for n, passages in index.promising([texts[k] for k in chunk]).items():
+                    words = words_of(texts[chunk[n]])
+                    shingles = _Shingles(words)
+                    for item, (score, at) in sorted(index.candidates(words, passages).items()):
+                        q, a = (overlap(p, shingles) for p in index.parts[item])
+                        if q >= MIN_OVERLAP and a >= MIN_OVERLAP:
+                            rows.append((docs[int(chunk[n])].as_py(), index.ids[item], score, q, a, at))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -442,6 +443,59 @@ def test_contaminated_equals_a_plain_version(spark, rows, monkeypatch, size):
     assert sorted((r["doc_id"], r["item_id"], round(r["score"], 6)) for r in got.collect()) == want and len(want) > 20
 
 
+def index_of(items):
+    words = [decontamination.words_of(t) for _, t in items]
+    return items, collections.Counter(w for ws in words for w in set(ws)), len(items), sum(map(len, words)) / len(items)
+
+
+def test_word_hashes_follow_the_words():
+    texts = ["", "One,two_2 ONE", "ÀÉ… ñandú—ñANDÚ ΟΔΟΣ ΟΔΟΣ.", "\0\n", "İstanbul ß 東京 ١٢ x", "abcdefg abcdefgh abcdefghi abcdefghi abcdefghj", "e\u0301e " + "z" * 40]
+    hashes, begin = decontamination.word_hashes(texts)
+    words = [decontamination.words_of(t) for t in texts]
+    assert np.diff(begin).tolist() == [len(w) for w in words]
+    known = {}
+    assert all(known.setdefault(w, h) == h for w, h in zip([w for ws in words for w in ws], hashes.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+    assert decontamination.word_hashes([])[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("at_once", [decontamination.AT_ONCE, 3])
+def test_promising_passages_are_all_found(monkeypatch, at_once):
+    monkeypatch.setattr(decontamination, "AT_ONCE", at_once)
+    rng = random.Random(26)
+    long = [f"startofit{c}endofword" for c in "abc"]  # one hash
+    vocabulary = [f"w{i}" for i in range(90)] + long + ["ñu", "Ö"]
+    items = [(i, " ".join(rng.choice(vocabulary[: rng.choice([10, 95])]) for _ in range(rng.randint(1, 30)))) for i in range(57)]
+    index = decontamination.Index(*index_of(items))
+    texts = ["", "…", *(" ".join(rng.choice([f"x{rng.randint(0, 99)}", rng.choice(vocabulary).upper()]) for _ in range(rng.choice([1, 63, 64, 65, 128, 129, 192, 193, 500]))) for _ in range(120))]
+    got, hits = index.promising(texts), 0
+    for n, text in enumerate(texts):
+        words = decontamination.words_of(text)
+        for at in range(0, max(1, len(words) - index.width // 2), index.width // 2):
+            query = sorted(set(words[at : at + index.width]) & index.terms.keys())
+            if want := plain_scores(index, query):
+                hits += 1
+                assert set(want) <= set(got[n][at])
+                assert [i for i, _ in index.search(query, got[n][at])] == sorted(want)
+        assert all(at in range(0, max(1, len(words) - index.width // 2), index.width // 2) for at in got.get(n, []))
+    assert hits > 50
+
+
+def test_passages_with_frequent_words_alone_are_not_searched(monkeypatch):
+    """Documents share the items' frequent words, in numbers that the bounds by blocks do not dismiss."""
+    rng = random.Random(36)
+    common = [f"the{i}" for i in range(12)]
+    items = [(i, " ".join(common + [f"rare{i}x{j}" for j in range(12)]) + ".") for i in range(40)]
+    texts = [" ".join(rng.choice([*common, f"rare{rng.randint(0, 39)}x{rng.randint(0, 11)}", "other", "more"]) for _ in range(300)) for _ in range(50)]
+    texts[30] += " " + items[17][1]
+    calls = []
+    monkeypatch.setattr(decontamination.Index, "useful", lambda self, words, useful=decontamination.Index.useful: calls.append(words) or useful(self, words))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(50)), "text": texts})
+    (found,) = decontamination._matcher(*index_of(items))([batch])
+    assert [(r["doc_id"], r["item_id"]) for r in found.to_pylist()] == [(30, 17)]
+    assert len(calls) <= 5
+
+
 # ---- 6 suffix dedup ----
 
 
