@@ -189,12 +189,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     def confirmed(pairs: DataFrame) -> DataFrame:
         return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(width, percent), "a bigint, b bigint")
 
+    # Joins with a row per document are merge joins at any size, as a broadcast costs the driver memory and a thread.
     comps = None
     for step in range(3):
         if comps is None:
-            placed = member.join(central, "rep").select("bucket", "rep", F.col("rep").alias("comp"), F.col("central").alias("order"))
+            placed = member.join(central.hint("merge"), "rep").select("bucket", "rep", F.col("rep").alias("comp"), F.col("central").alias("order"))
         else:
-            placed = member.join(comps, member["rep"] == comps["node"], "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"), F.xxhash64("rep", "bucket").alias("order"))
+            placed = member.join(comps.hint("merge"), member["rep"] == comps["node"], "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"), F.xxhash64("rep", "bucket").alias("order"))
             mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
             placed = stored(placed.join(stored(mixed, f"mixed-{step}"), "bucket"), f"placed-{step}")
             if placed.isEmpty():
@@ -218,9 +219,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text_col
             pairs = pairs.distinct()
         links = confirmed(pairs)
         if comps is not None:
+            links = stored(links, f"links-{step}")
+            if links.isEmpty():  # the components stay as they are
+                continue
             links = links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         comps = connected_components(links)
-    named = classes.select("c1", "c2", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
+    named = classes.select("c1", "c2", "rep").join(comps.hint("merge"), F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("comp", "rep").alias("comp"))
     filled = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "c1", "c2").join(named, ["c1", "c2"]).select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))

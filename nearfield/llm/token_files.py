@@ -135,12 +135,13 @@ def _shared_encoder(path: str) -> ChunkEncoder:
     return _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
 
 
-def _encoder(path: str, end_id: int, bits: int, size: int):
+def _encoder(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, end = _shared_encoder(path), np.array([end_id], "<u4").tobytes()
+        bits = bits_for(encoder.tokenizer.get_vocab_size())
         shard, block, held, held_n, total = -1, 0, [], 0, 0
         docs: list[tuple[int, int, int]] = []
 
@@ -172,17 +173,14 @@ def _encoder(path: str, end_id: int, bits: int, size: int):
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, text_col: str = "text", block_ids: int = BLOCK) -> DataFrame:
     """Encode docs and store the block table; returns the table as read back.
 
-    docs is read three times: for its size, for the bounds of the ranges, and for its texts.
+    docs is read three times: for its size, for the bounds of the ranges, and for its texts. Only tasks load the tokenizer.
     """
-    from tokenizers import Tokenizer
-
     path = tokenizer or default_tokenizer()
-    bits = bits_for(Tokenizer.from_file(path).get_vocab_size())
     size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
     shards = max(2, docs.sparkSession.sparkContext.defaultParallelism, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
     rows = docs.select("doc_id", text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    return stored(dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(_encoder(path, end_id, bits, block_ids), BLOCKS), "tokens")
+    return stored(dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(_encoder(path, end_id, block_ids), BLOCKS), "tokens")
 
 
 def _doc_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import collections
 
 import corpus_pipeline
 import numpy as np
-from nearfield.llm import decontamination, token_files
+from nearfield.llm import components, decontamination, near_duplicates, token_files
 from nearfield.llm.common import stored
 from tests.llm import brute
 
@@ -62,3 +62,32 @@ def test_rows_without_an_id_and_clashing_columns(spark):
     assert one.columns == docs.columns and set(shown(one)) <= set(rows.values()) and {rows[1], rows[2]} <= set(shown(one))
     mixed = corpus_pipeline.mix_sources(spark, docs, DATA)
     assert mixed.columns == docs.columns and set(shown(mixed)) <= set(rows.values())
+
+
+def test_the_driver_is_spared(spark, monkeypatch):
+    """The driver loads no tokenizer, and components that are stars, or were not linked further, take no round more."""
+    import tokenizers
+
+    def refused(*_):
+        raise AssertionError("loaded by the driver")
+
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id bigint, text string")
+    monkeypatch.setattr(tokenizers.Tokenizer, "from_file", refused)
+    assert {r["bits"] for r in token_files.write_tokens(docs).collect()} == {16}
+
+    kind, rounds = type(docs), []
+    plain = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a: rounds.append(1) or plain(self, *a))
+    comps = lambda edges: {r["node"]: r["comp"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert comps([(9, 2), (2, 7), (5, 4)]) == {2: 2, 7: 2, 9: 2, 4: 4, 5: 4}
+    assert len(rounds) == 1
+    rounds.clear()
+    assert comps([(1, 3), (3, 2), (8, 8)]) == {1: 1, 2: 1, 3: 1}
+    assert len(rounds) == 2
+
+    rounds.clear()
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "x"]), " ".join([*words, "y"]), "others " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    assert [r["component_id"] for r in near_duplicates.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 1, 1, 4]
+    assert len(rounds) <= 2
