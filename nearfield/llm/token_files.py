@@ -14,7 +14,9 @@ table of ids per shard, whose running sum gives the global starts, is small what
 are ordered by a hash of the text, which also is the second key of the ranges: very many rows of one id spread.
 
 Tokenizing: a chunk between white space never influences its neighbours (the pre-tokenizer drops white space
-and never crosses it), so each chunk is encoded once per cache period and then looked up.
+and never crosses it), so each chunk of up to LONG letters is encoded once per cache period and then looked up.
+Long chunks (scripts without spaces, encoded data) rarely come again and are encoded each time: what a worker holds
+is bounded in bytes, not only in number, and long texts are cut at white space before they are encoded.
 
 Edge cases: a null text is the empty text, which is the end id alone; documents with equal ids follow each
 other, ordered by a hash of the text, then by the text; very long texts span blocks; an empty table gives empty files; other columns are ignored.
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 from nearfield.llm.common import stored, text_of
 
 BLOCK = 1 << 16
-#: Chunks that a worker remembers before it starts anew; about 0.2 GB.
-CACHE = 3 << 18
+#: Chunks that a worker remembers before it starts anew; about 0.2 GB. Longer ones than LONG letters are not remembered.
+CACHE, LONG = 3 << 18, 64
+#: Letters that are encoded at once; only a chunk that is longer by itself goes beyond.
+PART = 1 << 18
 SHARD_BYTES, MOST_SHARDS = 8 << 20, 100_000
 
 BLOCKS = "shard int, block int, n_tokens int, bits int, block_ids int, doc_ids array<bigint>, doc_starts array<bigint>, doc_lens array<bigint>, payload binary"
@@ -79,6 +83,8 @@ class ChunkEncoder:
 
     #: Separators of str.split() that the tokenizer does not see as white space.
     ODD = re.compile("[\x1c-\x1f]")
+    #: Where a long text is cut: white space to str.split() and to the tokenizer alike.
+    GAP = re.compile("[ \t\n\r]")
     #: A full stop or comma beside another sign, with which it is one piece.
     BESIDE = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))", re.S)
 
@@ -118,13 +124,44 @@ class ChunkEncoder:
             return text.split()
         return text.split() if self.BESIDE.search(text) else text.lower().replace(",", " , ").replace(".", " . ").split()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _cut(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > PART and (gap := self.GAP.search(text, at + PART)):
+            yield text[at : gap.start()]
+            at = gap.end()
+        yield text[at:] if at else text
+
+    def _looked_up(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]
         if len(self.chunks) > CACHE:
             self.chunks = {}
-        self._learn(set().union(*split).difference(self.chunks))
+        new = set().union(*split).difference(self.chunks)
+        self._learn(new)
         get = self.chunks.__getitem__
-        return [b"".join(map(get, cs)) for cs in split]
+        out = [b"".join(map(get, cs)) for cs in split]
+        for c in new:
+            if len(c) > LONG:
+                del self.chunks[c]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def put() -> None:
+            for (i, _), ids in zip(held, self._looked_up([t for _, t in held]), strict=True):
+                out[i].append(ids)
+
+        for i, text in enumerate(texts):
+            for piece in self._cut(text):
+                held.append((i, piece))
+                size += len(piece)
+                if size >= PART:
+                    put()
+                    held, size = [], 0
+        put()
+        return [b"".join(ids) for ids in out]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -105,6 +105,24 @@ def test_chunk_encoder(tokenizer):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_chunk_encoder_holds_little(tokenizer, monkeypatch):
+    """Long chunks (no spaces, odd separators) are not remembered, few letters are encoded at once, and no id changes."""
+    rng = random.Random(2)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600)) for _ in range(20)]
+    texts += [f"odd\x1c{brute.prose(rng, 100)} {i}" for i in range(20)]
+    texts += [brute.prose(rng, 2000), "a<|endoftext|>b, c. " * 300, "word \u3000 e\u0301 \x1c \x85 \xa0\u0301\n" * 200, " " * 5000, "x" * 3000 + " y", ""]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for part in (token_files.PART, 100):
+        monkeypatch.setattr(token_files, "PART", part)
+        encoder = token_files.ChunkEncoder(token_files.default_tokenizer())
+        kind, plain, sizes = token_files.ChunkEncoder, token_files.ChunkEncoder._plain, []
+        monkeypatch.setattr(kind, "_plain", lambda self, t, plain=plain, sizes=sizes: sizes.append(sum(map(len, t))) or plain(self, t))
+        assert [np.frombuffer(g, "<u4").tolist() for g in encoder.encode(texts)] == want
+        monkeypatch.setattr(kind, "_plain", plain)
+        assert max(map(len, encoder.chunks)) <= token_files.LONG
+        assert max(sizes) <= 2 * part + 3000
+
+
 @pytest.mark.parametrize("block", [64, 1 << 16])
 def test_token_files(docs, rows, none, tokenizer, block):
     blocks = token_files.write_tokens(docs, block_ids=block)
