@@ -352,7 +352,9 @@ def _salt(*columns: str) -> Column:
 
 
 def _for_all_salts(keys: DataFrame) -> DataFrame:
-    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """A row for each salt of each key, for a sort-merge join: Spark takes the compressed files of the keys for the size of these rows, and would
+    broadcast millions of them."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -391,4 +393,4 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     rows = docs.select("doc_id", text_of(text_col).alias("text")).withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit(WINDOW), "text", "doc_id")})
     found = repeated_intervals(rows.select("d1", "d2", "text")).groupBy("d1", "d2").agg(F.collect_set(F.struct("first", "count")).alias("found"))
-    return rows.join(found, ["d1", "d2"], "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.join(found.hint("merge"), ["d1", "d2"], "left").select("doc_id", "text", "found").mapInArrow(_remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -536,6 +536,17 @@ def test_suffix_dedup_of_random_overlaps(spark):
     assert got == sorted((r[0], *x) for r, x in zip(rows, brute.repeated(rows), strict=True))
 
 
+def test_suffix_dedup_broadcasts_no_keys(spark):
+    """Spark takes the files of the keys for the size of the rows that are made of them, one for each salt."""
+    rng = random.Random(22)
+    passage = brute.prose(rng, 45)
+    docs = brute.docs_frame(spark, [(i, brute.prose(rng, 5) + passage + brute.prose(rng, 5), "s") for i in range(20)])
+    keys = suffix_dedup._repeated(spark.range(100).selectExpr("id % 7 as anchor", "int(id % 8) as salt"), ["anchor"], "keys")
+    for df in (keys, suffix_dedup.suffix_dedup(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_long_texts_are_cut(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_PIECE", 1000)
     rng = random.Random(9)
