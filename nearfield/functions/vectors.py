@@ -5,6 +5,7 @@ Arithmetic is in double whatever the element type. Lengths that differ raise an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -164,11 +165,38 @@ _SQL = {
 }
 
 
-#: A pool of row numbers by the distance of codes, then the vectors of the pool alone by cosine; equal values go by row number.
+#: Rows whose codes lie in one array, blocks whose pools are merged at once, and parts that the blocks of a cluster are dealt to.
+SQL_ROWS, SQL_BLOCKS, SQL_PARTS = 4096, 64, 8
+#: A distance and a row number in one number, and the distances of a block's codes to a code, as such numbers. One word is compared without a loop.
+_KEYS = (
+    "if(size(code) = 1, transform(codes, x -> shiftleft(bigint(bit_count({word} ^ code[0])), 44) | x.r), "
+    "transform(codes, x -> shiftleft(bigint(if(size(x.c) = size(code), aggregate(zip_with(x.c, code, (a, b) -> int(bit_count(a ^ b))), 0, (p, y) -> p + y), "
+    "raise_error(concat('vector lengths differ: ', size(x.c), ' and ', size(code))))), 44) | x.r))"
+).format(word="if(size(x.c) = 1, x.c[0], raise_error(concat('vector lengths differ: ', size(x.c), ' and 1')))")
+
+
+def _inlined(name: str, **names: str) -> str:
+    """The body of a function of _SQL with the functions that it calls: Spark 4.1 does not resolve them all beside a generator."""
+    body = re.sub(r"\b(\w+)\(([ab](?:, b)?)\)", lambda m: f"({_inlined(m[1], **dict(zip('ab', m[2].split(', '), strict=False)))})" if m[1] in _SQL else m[0], _SQL[name][2])
+    return re.sub(r"\b[ab]\b", lambda m: names.get(m[0], m[0]), body)
+
+
+_FIRST = "slice(sort_array({}), 1, pool)"
+#: A pool of row numbers by the distance of codes, then the vectors of the pool alone by cosine; equal values go by row number. Queries meet blocks of codes,
+#: not rows: each pair gives the pool of its block, the pools of SQL_BLOCKS blocks are merged, and only row numbers of these become rows again.
 _RERANKED = (
-    "select rn as rank, id, score, row_index from (select id, score, row_index, row_number() over (order by score desc, row_index) as rn from (select id, row_index, vector_cosine(vector, q) as score from {view} join "
-    "(select row_index from (select row_index, row_number() over (order by far, row_index) as place from (select row_index, vector_hamming(vector_bin, vector_code(q)) as far from {source})) where place <= pool) using (row_index))) where rn <= k"
-)
+    "select rn as rank, id, score, row_index from (select id, score, row_index, row_number() over (order by score desc, row_index) as rn from (select id, row_index, {{cosine}} as score from {view} join "
+    f"(select key & 17592186044415 as row_index from (select key, row_number() over (order by key) as place from (select explode(near) as key from (select {_FIRST.format('near')} as near from ("
+    f"select flatten(collect_list(near)) as near from (select block, {_FIRST.format(_KEYS)} as near from (select block, codes, {{code}} as code from {{source}})) group by block div {SQL_BLOCKS}"
+    ")))) where place <= pool) using (row_index))) where rn <= k"
+).replace("{{cosine}}", _inlined("vector_cosine", a="vector", b="q")).replace("{code}", _inlined("vector_code", a="q"))
+
+
+def _blocks(view: str, parts: int, *keys: str) -> str:
+    """The codes of a view by blocks of row numbers, one row each, in any case in so many partitions: there are few of them, and each is much work."""
+    own = "".join(f"{c}, " for c in keys)
+    number = f"if(row_index >= 0 and row_index < {1 << 44}, row_index, raise_error('row numbers must be below 2**44'))"
+    return f"(select /*+ repartition({parts}) */ {own}row_index div {SQL_ROWS} as block, collect_list(struct({number} as r, vector_bin as c)) as codes from {view} group by {own}row_index div {SQL_ROWS})"
 
 
 def register_sql(spark: SparkSession, view: str | None = None, clusters: str | None = None) -> list[str]:
@@ -176,10 +204,11 @@ def register_sql(spark: SparkSession, view: str | None = None, clusters: str | N
     by cosine, vector_search_dot and vector_search_l2. If the view has vector_bin, also vector_search_rerank(query, k, pool); if it has cluster_id
     and there is a view of clusters (cluster_id, centroid), also vector_search_probe(query, k, pool, n) over the n nearest clusters.
 
-    For a table of queries: from queries, lateral vector_search_rerank(query, 10, 100). Spark joins each different query with the rows: all rows for
-    the rerank, those of the chosen clusters (an equality join) for the probe. Only row numbers and distances of these pairs are shuffled; vectors
-    are read for the pools. search_batch spreads many queries better.
+    For a table of queries: from queries, lateral vector_search_rerank(query, 10, 100). Spark joins each different query with blocks of codes: all
+    for the rerank, those of the chosen clusters (an equality join) for the probe. Only the pools of blocks are shuffled; vectors are read for the
+    pools of queries.
     """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name, (args, kind, body) in _SQL.items():
         spark.sql(f"create or replace temporary function {name}({args}) returns {kind} return {body}")
     names = list(_SQL)
@@ -192,12 +221,14 @@ def register_sql(spark: SparkSession, view: str | None = None, clusters: str | N
     columns = spark.table(view).columns if view else []
     out = "returns table(rank int, id string, score double, row_index bigint)"
     if "vector_bin" in columns:
-        body = _RERANKED.format(view=view, source=view)
+        body = _RERANKED.format(view=view, source=_blocks(view, parts))
         spark.sql(f"create or replace temporary function vector_search_rerank(q array<float>, k int, pool int) {out} return {body}")
         names.append("vector_search_rerank")
     if "cluster_id" in columns and clusters:
-        chosen = f"(select cluster_id from (select cluster_id, row_number() over (order by vector_hamming(centroid, vector_code(q)), cluster_id) as nr from {clusters}) where nr <= n)"
-        body = _RERANKED.format(view=view, source=f"{view} join {chosen} using (cluster_id)")
+        chosen = f"(select cluster_id from (select cluster_id, row_number() over (order by {_inlined('vector_hamming', a='centroid', b=_inlined('vector_code', a='q'))}, cluster_id) as nr from {clusters}) where nr <= n)"
+        dealt = f"(select cluster_id, explode(sequence(0, {SQL_PARTS - 1})) as part from {chosen})"
+        blocks = f"(select *, int(pmod(block, {SQL_PARTS})) as part from {_blocks(view, parts, 'cluster_id')})"
+        body = _RERANKED.format(view=view, source=f"{blocks} join {dealt} using (cluster_id, part)")
         spark.sql(f"create or replace temporary function vector_search_probe(q array<float>, k int, pool int, n int) {out} return {body}")
         names.append("vector_search_probe")
     return names

@@ -740,3 +740,22 @@ def test_sql_search_of_a_pool_and_of_clusters(spark):
             assert mine == [tuple(r) for r in wanted]
     codes = spark.sql("select vector_code(vector) as c, row_index from sql_rows").join(t.rows, "row_index")
     assert codes.where(F.col("c") != F.col("vector_bin")).count() == 0
+
+
+def test_sql_search_pairs_queries_with_blocks_of_codes(spark, monkeypatch):
+    monkeypatch.setattr(V, "SQL_ROWS", 16)
+    monkeypatch.setattr(V, "SQL_PARTS", 2)
+    rows = [(i, s, v if i % 3 else [0.5] * 40) for i, s, v in make_vectors(300, 40, 9)]  # equal vectors tie across blocks
+    t = table.build(frame(spark, rows), 40, order_by=("n",), normalize=False, clusters=4)
+    t.rows.createOrReplaceTempView("block_rows")
+    table.clusters_frame(spark, t).createOrReplaceTempView("block_clusters")
+    frame(spark, rows[:5]).createOrReplaceTempView("block_asked")
+    V.register_sql(spark, "block_rows", "block_clusters")
+    for call, probe in (("vector_search_rerank(a.vector, 6, 12)", 1.0), ("vector_search_probe(a.vector, 6, 12, 2)", 0.5)):
+        found = spark.sql(f"select a.n, r.* from block_asked a, lateral {call} r")
+        got = found.collect()
+        for i in range(5):
+            mine = [(r["rank"], r["id"], r["row_index"]) for r in sorted(got, key=lambda r: r["rank"]) if r["n"] == i]
+            assert mine == [tuple(r) for r in search(t, rows[i][2], 6, probe=probe, rerank_factor=2).select("rank", "id", "row_index").collect()]
+        assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+    t.release()
