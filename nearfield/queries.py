@@ -660,15 +660,17 @@ def _parameter_sweep_sql() -> str:
 
 @query(_parameter_sweep_sql())
 def parameter_sweep(spark, d):
-    """Clusters x rerank factor x probe, recall at 10 and 100; evaluate.sweep also gives milliseconds."""
+    """Clusters x rerank factor x probe, recall at 10 and 100, from the places of the true neighbours; evaluate.sweep searches and gives milliseconds."""
     plain, clustered, q = _table(_coded(spark, d)), _clustered(spark, d), _stated(spark, d)
-    out = []
-    for k in SWEEP_K:
-        truth = search.search_batch(plain, q, k).persist()
-        out.append(evaluate.sweep(plain, q, truth, k, [{"algorithm": "exact"}, *({"rerank_factor": f} for f in SWEEP_FACTORS)]))
-        out.append(evaluate.sweep(clustered, q, truth, k, [{"rerank_factor": f, "probe": p} for f in SWEEP_FACTORS for p in SWEEP_PROBES]))
+    truth = search.search_batch(plain, q, max(SWEEP_K)).persist()
+    settings = [(k, f) for k in SWEEP_K for f in SWEEP_FACTORS]
+    probed = [(k, f, p) for k, f in settings for p in SWEEP_PROBES]
+    out = [("exact", 10.0, 0.25, 0, k, evaluate.recall_micro(truth, truth, k).first()["recall"]) for k in SWEEP_K]  # the search that truth is
+    out += [("auto", float(f), 0.25, 0, k, r) for (k, f), r in zip(settings, evaluate.pool_recalls(plain, q, truth, [(k, f, None) for k, f in settings]), strict=True)]
+    out += [("auto", float(f), p, CLUSTERS, k, r) for (k, f, p), r in zip(probed, evaluate.sweep_recalls(clustered, q, truth, probed), strict=True)]
     clustered.release()
-    return reduce(DataFrame.unionByName, out).drop("mean_ms").withColumn("recall", F.round("recall", PLACES))
+    found = spark.createDataFrame(out, "algorithm string, rerank_factor double, probe double, clusters int, k int, recall double")
+    return found.withColumn("recall", F.round("recall", PLACES))
 
 
 @query(f"{_FULL}, {_WALK}, {_PAIRS_CLUSTERED} select 'base' as \"table\", {_recall_sql('plain', K, None)} as recall union all select 'codes', {_recall_sql('plain', K, 10 * K)} union all select 'clusters', {_recall_sql('clustered_pairs', K, 10 * K, 2)}")
